@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,12 +12,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def of_kind(kind: str) -> Column:
+    """How many of the base spans are of a kind."""
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
 def op3_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_counts
+    from .vocab import public_path
+
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.after_edits(docs.select("doc_id", "text", token_counts.usual_edits().alias("edits")), public_path("byte_bpe_50k.json"))
+
+
 def op6_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
     from .vocab import public_path
@@ -25,6 +38,22 @@ def op6_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
+def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import piece_codec
+    from .vocab import public_path
+
+    return piece_codec.round_trip(table(spark, sf_dir, "documents"), public_path("piece_bpe_32k.model"))
+
+
+def op9_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+    from .spans import joined
+
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [of_kind(k).alias(f"n_{k}") for k, _ in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op10_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
@@ -34,7 +63,10 @@ def op10_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_bands": op3_quality_bands,
+    "op4_edit_counts": op4_edit_counts,
     "op6_cost_packing": op6_cost_packing,
+    "op8_piece_codec": op8_piece_codec,
+    "op9_linked_secrets": op9_linked_secrets,
     "op10_bounded_ring": op10_bounded_ring,
 }
 
