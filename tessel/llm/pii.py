@@ -1,0 +1,257 @@
+"""Personal data by weak supervision.
+
+Strict patterns give base spans, which always stay. Looser patterns (CANDIDATES) give candidates, on which labelers
+vote yes, no or abstain: a format regex, a gazetteer, trigger words before the span, counter-words before it, and the
+span's shape. Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is, without
+labelled text, and the probability of every pattern. These soft labels train a span classifier (naive Bayes over the
+votes, the word before, the span's length and the character after it), which decides.
+
+Everything per row is native. The corpus enters the model as two aggregates of fixed size: at most 6 * 3^5 vote
+patterns and 6 * 68 feature values, whatever the table's size. The scan leaves only spans; there is no join.
+
+Defined cases: a null text is empty; texts are scanned whole; candidates on which all labelers abstain or say no are
+never accepted; candidates that overlap a base span are dropped; repeated rows count each; an empty table trains an
+empty model; other columns are not read by find() and pass through mask() whatever they are called.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+from .spans import let, matches, overlaps
+
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
+CARD = r"[0-9](?:[\x20-]?+[0-9])++"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+BASE = ("email", "ip", "card", "phone")
+
+#: Candidates: kind and pattern ("digits" are runs like a card's that fail its check).
+CANDIDATES = (
+    ("name", r"(?<![\p{L}])(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Sr|Sra|Señor|Señora)\.? )?[A-Z][a-zà-ÿ]{1,20} [A-Z][a-zà-ÿ]{1,20}(?![\p{L}])"),
+    ("idnum", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    ("local", r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"),
+    ("hidden", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63} ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z]{2,10}(?![A-Za-z])"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("digits", ""),
+)
+KINDS = (*BASE, *(k for k, _ in CANDIDATES))
+#: Gazetteers and trigger words.
+FIRST_NAMES = "Anna Antonio Carlos Carmen Charles Claire David Elena Elizabeth Emma Francois Hans Isabel James Jean Jennifer Jessica Johann John Jose Juan Julia Karl Klaus Laura Linda Luis Maria Marie Mark Mary Michael Michel Miguel Patricia Paul Peter Pierre Robert Sarah Sophie Susan Thomas William".split()
+NO_NAMES = "The This That These Those And But For With From Of On In To Is Are Was It As At By Or An Der Die Das Und Le La Les Et Un Une El Los Las Que De Del Version License General Public Creative Commons Apache".split()
+DOMAINS = "com net org edu gov io de fr es uk info eu".split()
+COUNTRIES = "AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split()
+TRIGGERS = {
+    "name": r"(?i:name|contact|signed|from|dear|mr|mrs|ms|dr|author|by)[:.,]?\s*$",
+    "idnum": r"(?i:ssn|social security|tax id|id(?: no\.?| number)?)[:#]?\s*$",
+    "local": r"(?i:tel|phone|call|fax|mobile|cell|telefon|teléfono|téléphone)[.:]?\s*$",
+    "hidden": r"(?i:e-?mail|mail|contact|write|reach)(?: (?:me|us|to))*[:]?\s*$",
+    "iban": r"(?i:iban|account|konto|cuenta|compte)(?: no\.?)?[:]?\s*$",
+    "digits": r"(?i:card|visa|mastercard|amex|credit|karte|carte|tarjeta)(?: no\.?| number)?[:#]?\s*$",
+}
+AGAINST = r"(?i:version|page|pages|isbn|issn|order|invoice|serial|part|vol|fig|section|no)[.:#]?\s*$|[$€£§#%=]\s*$"
+LABELERS = ("format", "gazetteer", "trigger", "against", "shape")
+#: Where expectation-maximisation starts, (no, abstain, yes) for harmless and for personal spans.
+START = ((0.4, 0.5, 0.1), (0.05, 0.35, 0.6))
+ROUNDS = 60
+BUCKETS = 32
+
+
+def digits(x: Column) -> Column:
+    return F.regexp_replace(x, "[^0-9]", "")
+
+
+def luhn(number: Column) -> Column:
+    """Whether a string of digits passes the check that doubles every second one from the right."""
+    each = F.transform(F.split(F.reverse(number), ""), lambda c, i: c.cast("int") * F.when(i % 2 == 1, 2).otherwise(1))
+    return F.aggregate(each, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x)) % 10 == 0
+
+
+def base_spans(text: Column) -> Column:
+    """struct of the base kinds' spans, and of card-like runs that fail the check."""
+    card = let(
+        F.filter(matches(text, CARD), lambda s: F.length(digits(s["text"])).between(13, 19)),
+        lambda c: F.struct(F.filter(c, lambda s: luhn(digits(s["text"]))).alias("good"), F.filter(c, lambda s: ~luhn(digits(s["text"]))).alias("bad")),
+    )
+    ip = F.filter(matches(text, IP), lambda s: ~F.exists(F.split(s["text"], r"\."), lambda p: ~p.rlike("^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$")))
+    phone = F.filter(matches(text, PHONE), lambda s: F.length(digits(s["text"])).between(9, 15))
+    return let(card, lambda c: F.struct(matches(text, EMAIL).alias("email"), ip.alias("ip"), c["good"].alias("card"), phone.alias("phone"), c["bad"].alias("digits")))
+
+
+def _kinded(spans: Column, kind: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(F.lit(KINDS.index(kind)).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+
+def _among(x: Column, words: list[str]) -> Column:
+    return x.isin(words)
+
+
+def _votes(kind: str, s: Column, before: Column) -> list[Column]:
+    """One vote a labeler: 1 yes, 0 abstain, -1 no."""
+    t = s["text"]
+    vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
+    never = F.lit(False)
+    titled = t.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Sr|Sra|Señor|Señora)\.? ")
+    words = F.split(F.regexp_replace(t, r"^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Sr|Sra|Señor|Señora)\.? ", ""), " ")
+    form = {
+        "name": vote(titled, never),
+        "idnum": vote(t.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), t.rlike("^(?:000|666)|-00-|-0000$")),
+        "local": vote(t.rlike(r"^\([2-9]|^[2-9][0-9]{2}([ .-])[0-9]{3}\1"), t.rlike(r"^\(?[01]")),
+        "hidden": vote(t.rlike(r"\[at\]|\(at\)"), never),
+        "iban": vote(F.length(F.regexp_replace(t, " ", "")).between(15, 34), never),
+        "digits": vote(never, F.lit(True)),
+    }[kind]
+    gazetteer = {
+        "name": vote(F.exists(words, lambda w: _among(w, FIRST_NAMES)), F.exists(words, lambda w: _among(w, NO_NAMES))),
+        "idnum": F.lit(0),
+        "local": vote(never, t.rlike("555[ .-]01")),
+        "hidden": vote(F.lower(F.regexp_extract(t, "([A-Za-z]+)$", 1)).isin(DOMAINS), F.lit(True)),
+        "iban": vote(F.substring(t, 1, 2).isin(COUNTRIES), F.lit(True)),
+        "digits": vote(t.rlike("^(?:4|5[1-5]|3[47]|6011)"), never),
+    }[kind]
+    shape = vote(never, t.rlike(r"(.)\1{4}|0123456|1234567"))
+    return [form, gazetteer, vote(before.rlike(TRIGGERS[kind]), never), vote(never, before.rlike(AGAINST)), shape]
+
+
+def _judged(text: Column, spans: Column, kind: str) -> Column:
+    """Candidates with their votes, joined to a pattern like 1,0,0,-1,0, and their other features."""
+
+    def one(s: Column) -> Column:
+        before = F.substring(text, (F.greatest(s["start"] - 31, F.lit(1))).cast("int"), F.least(s["start"], F.lit(32)).cast("int"))
+        after = F.substring(text, (s["end"] + 1).cast("int"), F.lit(1))
+        word = F.lower(F.regexp_extract(before, r"([\p{L}]+)[^\p{L}]*$", 1))
+        return F.struct(
+            F.lit(KINDS.index(kind)).alias("rank"),
+            s["start"].alias("start"),
+            s["end"].alias("end"),
+            F.lit(kind).alias("kind"),
+            F.array_join(F.array(*[v.cast("string") for v in _votes(kind, s, before)]), ",").alias("votes"),
+            F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int").alias("word"),
+            F.least(s["end"] - s["start"], F.lit(31)).cast("int").alias("size"),
+            F.when(after.rlike(r"[\p{L}]"), 0).when(after.rlike("[0-9]"), 1).when(after.rlike(r"[.,;:!?)]"), 2).when(after == "", 3).otherwise(4).alias("next"),
+        )
+
+    return F.transform(spans, one)
+
+
+def scanned(text: Column) -> Column:
+    """struct of base (array of struct rank, start, end, kind) and of judged candidates."""
+    t = F.coalesce(text, F.lit(""))
+
+    def both(b: Column) -> Column:
+        base = F.concat(*[_kinded(b[k], k) for k in BASE])
+        loose = F.concat(*[_judged(t, b["digits"] if k == "digits" else matches(t, p), k) for k, p in CANDIDATES])
+        return let(F.struct(base.alias("base"), loose.alias("loose")), lambda x: F.struct(x["base"].alias("base"), F.filter(x["loose"], lambda c: ~F.exists(x["base"], lambda s: overlaps(s, c))).alias("loose")))
+
+    return let(base_spans(t), both)
+
+
+@dataclass
+class Model:
+    """Log odds of (kind, feature, value) and of kinds; reliability of each labeler, for those who want to read it."""
+
+    odds: dict[str, float] = field(default_factory=dict)
+    prior: dict[str, float] = field(default_factory=dict)
+    reliability: dict[str, tuple] = field(default_factory=dict)
+
+
+def expectation_maximisation(counts: dict[tuple[str, str], int]) -> tuple[dict[tuple[str, str], float], dict[str, float], list]:
+    """Probability of each (kind, pattern), prior of each kind, and per labeler the chances of its votes for either class."""
+    chance = [[list(START[0]), list(START[1])] for _ in LABELERS]
+    prior = {k: 0.3 for k, _ in counts}
+    p: dict[tuple[str, str], float] = {}
+    for _ in range(ROUNDS if counts else 0):
+        for kind, pattern in counts:
+            odds = math.log(prior[kind] / (1 - prior[kind]))
+            for c, v in zip(chance, pattern.split(","), strict=True):
+                odds += math.log(c[1][int(v) + 1] / c[0][int(v) + 1])
+            p[kind, pattern] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+        for i in range(len(LABELERS)):
+            sums = [[1 + 10 * x for x in START[y]] for y in (0, 1)]  # START counts as ten spans
+            for key, n in counts.items():
+                v = int(key[1].split(",")[i]) + 1
+                sums[1][v] += n * p[key]
+                sums[0][v] += n * (1 - p[key])
+            chance[i] = [[x / sum(s) for x in s] for s in sums]
+        for kind in prior:
+            of = [(n, p[key]) for key, n in counts.items() if key[0] == kind]
+            prior[kind] = min(0.95, max(0.05, (3 + sum(n * q for n, q in of)) / (10 + sum(n for n, _ in of))))
+    return p, prior, chance
+
+
+def _feature_keys(c: Column) -> Column:
+    votes = F.transform(F.split(c["votes"], ","), lambda v, i: F.concat_ws("|", c["kind"], i.cast("string"), v))
+    return F.concat(votes, F.array(*[F.concat_ws("|", c["kind"], F.lit(n), c[n].cast("string")) for n in ("word", "size", "next")]))
+
+
+def _map(values: dict[str, float]) -> Column:
+    keys = sorted(values)
+    if not keys:
+        return F.create_map().cast("map<string,double>")
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(float(values[k])) for k in keys]))
+
+
+def train(found: DataFrame, loose: str = "loose") -> Model:
+    """The classifier for a table with a column of judged candidates."""
+    each = found.filter(F.size(loose) > 0).select(F.explode(loose).alias("c"))
+    counts = {(r[0], r[1]): r[2] for r in each.groupBy("c.kind", "c.votes").count().collect()}
+    if not counts:
+        return Model()
+    p, prior, chance = expectation_maximisation(counts)
+    sure = _map({f"{k}|{v}": x for (k, v), x in p.items()})
+    keyed = each.select(F.try_element_at(sure, F.concat_ws("|", "c.kind", "c.votes")).alias("p"), F.explode(_feature_keys(F.col("c"))).alias("f"))
+    seen = {r[0]: (r[1], r[2]) for r in keyed.groupBy("f").agg(F.sum("p"), F.sum(1 - F.col("p"))).collect()}
+    total = {k: [sum(n * q for (kind, v), n in counts.items() if kind == k for q in [p[kind, v]]), sum(n * (1 - p[kind, v]) for (kind, v), n in counts.items() if kind == k)] for k in prior}
+    odds = {}
+    for f, (yes, no) in seen.items():
+        a, b = total[f.split("|", 1)[0]]
+        odds[f] = math.log((yes + 1) / (a + 8)) - math.log((no + 1) / (b + 8))
+    return Model(odds, {k: math.log(q / (1 - q)) for k, q in prior.items()}, {name: tuple(map(tuple, c)) for name, c in zip(LABELERS, chance, strict=True)})
+
+
+def accepted(loose: Column, model: Model) -> Column:
+    """The candidates that the classifier takes for personal data, as struct rank, start, end, kind."""
+    if not model.odds:
+        return F.array().cast("array<struct<rank:int,start:long,end:long,kind:string>>")
+    odds, prior = _map(model.odds), _map(model.prior)
+
+    def good(c: Column) -> Column:
+        score = F.aggregate(_feature_keys(c), F.coalesce(F.try_element_at(prior, c["kind"]), F.lit(-1.0)), lambda a, f: a + F.coalesce(F.try_element_at(odds, f), F.lit(0.0)))
+        return (score > 0) & c["votes"].rlike("(?:^|,)1")
+
+    return F.transform(F.filter(loose, good), lambda c: F.struct(c["rank"].alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
+
+
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, base and spans of every row: arrays of struct rank, start, end, kind, by kind as listed, then start."""
+    rows = written(docs.select(F.col(key).alias("key"), scanned(F.col(text)).alias("s")).select("key", "s.base", "s.loose"), "pii-spans")
+    model = train(rows)
+    return rows.select(F.col("key").alias(key), "base", F.array_sort(F.concat("base", accepted(F.col("loose"), model))).alias("spans"))
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with every span, and what overlaps it, replaced by its kind in brackets."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    piece = "array<string>"
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(piece).alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        fresh = s["start"] >= a["at"]
+        gap = F.substring(text, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).otherwise(a["out"]).alias("out"))
+
+    end = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(ordered, start, step, end)).otherwise(text)
+
+
+def mask(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with personal data masked in the text; texts without any, and null ones, stay as they are."""
+    loose = docs.select(scanned(F.col(text))["loose"].alias("loose")).filter(F.size("loose") > 0)
+    model = train(written(loose, "pii-candidates"))
+    spans = let(scanned(F.col(text)), lambda s: F.concat(s["base"], accepted(s["loose"], model)))
+    return docs.withColumn(text, let(spans, lambda s: masked(F.col(text), s)))

@@ -17,6 +17,14 @@ def of_kind(kind: str) -> Column:
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
 
+def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+    from .spans import joined
+
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[of_kind(k).alias(f"n_{k}") for k in pii.BASE], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op3_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -62,6 +70,7 @@ def op10_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_weak_pii": op1_weak_pii,
     "op3_quality_bands": op3_quality_bands,
     "op4_edit_counts": op4_edit_counts,
     "op6_cost_packing": op6_cost_packing,
