@@ -46,6 +46,12 @@ def op6_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
+def op7_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_filter
+
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import piece_codec
     from .vocab import public_path
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_bands": op3_quality_bands,
     "op4_edit_counts": op4_edit_counts,
     "op6_cost_packing": op6_cost_packing,
+    "op7_url_models": op7_url_models,
     "op8_piece_codec": op8_piece_codec,
     "op9_linked_secrets": op9_linked_secrets,
     "op10_bounded_ring": op10_bounded_ring,
