@@ -25,6 +25,12 @@ def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[of_kind(k).alias(f"n_{k}") for k in pii.BASE], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -77,6 +83,7 @@ def op10_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weak_pii": op1_weak_pii,
+    "op2_ngram_join": op2_ngram_join,
     "op3_quality_bands": op3_quality_bands,
     "op4_edit_counts": op4_edit_counts,
     "op6_cost_packing": op6_cost_packing,
