@@ -45,6 +45,12 @@ def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.after_edits(docs.select("doc_id", "text", token_counts.usual_edits().alias("edits")), public_path("byte_bpe_50k.json"))
 
 
+def op5_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
     from .vocab import public_path
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_quality_bands": op3_quality_bands,
     "op4_edit_counts": op4_edit_counts,
+    "op5_dimension_scan": op5_dimension_scan,
     "op6_cost_packing": op6_cost_packing,
     "op7_url_models": op7_url_models,
     "op8_piece_codec": op8_piece_codec,
