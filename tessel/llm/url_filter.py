@@ -75,15 +75,25 @@ def model(train: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ratios(distinct: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
-    """w and llr, the difference of the models' log likelihoods of its last character, for each window w."""
-    each = distinct.select("w", F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1))).alias("k")).withColumn("gram", F.substring(F.col("w"), F.lit(ORDER + 2) - F.col("k"), F.col("k"))).withColumn("context", F.substring("gram", F.lit(1), F.col("k") - 1))
-    met = each.join(grams, ["k", "gram"], "left").join(contexts, ["k", "context"], "left")
-    parts = F.array_sort(F.collect_list(F.struct("k", *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in ("ca", "na", "ta", "cb", "nb", "tb")])))
-
-    def chance(c: str, n: str, t: str) -> Column:
-        return F.aggregate("parts", F.lit(FLAT), lambda p, x: F.when(x[n] > 0, (x[c] + x[t] * p) / (x[n] + x[t])).otherwise(p))
-
-    return met.groupBy("w").agg(parts.alias("parts")).select("w", (F.log(chance("ca", "na", "ta")) - F.log(chance("cb", "nb", "tb"))).alias("llr"))
+    """w and llr, the difference of the models' log likelihoods of its last character, for each window w.
+
+    Order by order over distinct grams: a gram takes the prediction of its tail, one character shorter. A tail or a
+    context has as many grams as there are characters at most, so no key is frequent.
+    """
+    shorter = None
+    for k in range(1, ORDER + 2):
+        own = distinct.select(_tail(F.col("w"), k).alias("gram")).distinct().withColumn("context", F.substring("gram", 1, k - 1)).withColumn("tail", F.substring("gram", 2, k))
+        met = own.join(grams.filter(F.col("k") == k).select("gram", "ca", "cb"), "gram", "left").join(contexts.filter(F.col("k") == k).drop("k"), "context", "left")
+        if shorter is not None:
+            met = met.join(shorter, "tail")
+        else:
+            met = met.withColumn("qa", F.lit(FLAT)).withColumn("qb", F.lit(FLAT))
+
+        def chance(c: str, n: str, t: str, q: str) -> Column:
+            return F.when(F.col(n) > 0, (F.coalesce(F.col(c), F.lit(0)) + F.col(t) * F.col(q)) / (F.col(n) + F.col(t))).otherwise(F.col(q))
+
+        shorter = met.select(F.col("gram").alias("tail"), chance("ca", "na", "ta", "qa").alias("qa"), chance("cb", "nb", "tb", "qb").alias("qb"))
+    return shorter.select(F.col("tail").alias("w"), (F.log("qa") - F.log("qb")).alias("llr"))
 
 
 def threshold(scored: DataFrame) -> float:
