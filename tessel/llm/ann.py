@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, written
+from .common import batch, ready, written
 
 SAMPLE = 8192
 LIST = 2048
@@ -96,7 +96,7 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", i
     """query_id, rank, vec_id, score: the k nearest found of each query row, among all other rows."""
     spark = vectors.sparkSession
     asked = F.col(key) % 50 == 0 if is_query is None else is_query
-    good = vectors.filter(valid(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(asked, F.lit(False)).alias("q"))
+    good = ready(vectors).filter(valid(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(asked, F.lit(False)).alias("q"))
     schema = "query_id long, rank int, vec_id long, score double"
     dims = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not dims:

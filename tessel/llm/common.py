@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,14 @@ def _release_at_exit() -> None:
 atexit.register(_release_at_exit)
 
 
+def ready(df: DataFrame) -> DataFrame:
+    """df; Python functions made from now on find this package on workers that share the driver's folders, wherever these started."""
+    env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = f"{root}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else root
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as a Parquet table in the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

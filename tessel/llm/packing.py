@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts
+from .common import batch, ready, texts
 from .vocab import byte_bpe
 
 CAPACITY = 1024
@@ -66,7 +66,7 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """Cut documents: key, start, length, checksum, the document's tokens, ids (null for a piece that fills a sequence), block."""
     blocks = max(1, -(-docs.count() // block))
-    dealt = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.pmod(F.xxhash64(F.col(key), F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"))
+    dealt = ready(docs).select(F.col(key).alias("k"), F.col(text).alias("t"), F.pmod(F.xxhash64(F.col(key), F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe(tokenizer)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import batch, texts
+from .common import batch, ready, texts
 
 LEVEL = 3
 CHUNK = 2048
@@ -95,7 +95,7 @@ class Bands:
 
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and the measures of every row."""
-    keyed = docs.select(docs[key].alias("k"), docs[text].alias("t"))
+    keyed = ready(docs).select(docs[key].alias("k"), docs[text].alias("t"))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Bands()
@@ -109,7 +109,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    at = docs.columns.index(text)
+    at = ready(docs).columns.index(text)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Bands()

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts
+from .common import batch, ready, texts
 from .vocab import SPLIT, encoding
 
 LEAF = 32
@@ -156,7 +156,7 @@ def counter(path: str) -> Callable[[str], int]:
 
 def after_edits(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", edits: str = "edits") -> DataFrame:
     """key, tokens before and after the row's edits (array of struct start, stop, text), pre-tokens, and those encoded for the edits."""
-    keyed = docs.select(docs[key].alias("k"), docs[text].alias("t"), docs[edits].alias("e"))
+    keyed = ready(docs).select(docs[key].alias("k"), docs[text].alias("t"), docs[edits].alias("e"))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
