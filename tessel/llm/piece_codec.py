@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -27,12 +27,28 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import batch, texts
+from .common import batch, ready, texts
 
 MARK = "▁"
 REMEMBERED = 400_000
 
 
+class Memory(dict):
+    """Ids of segments, worked out when first asked for; bounded."""
+
+    def __init__(self, work: Callable[[str], list[int]]) -> None:
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, text: str) -> list[int]:
+        ids = self.work(text)
+        if len(text) < 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[text] = ids
+        return ids
+
+
 class PieceCodec:
     def __init__(self, path: str) -> None:
         lib = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -53,7 +69,7 @@ class PieceCodec:
             raise ValueError("pieces hold inner space marks or letters that are no pieces")
         self._build()
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if "\n" in self.known else f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n").findall
-        self.memory: dict[str, list[int]] = {}
+        self.memory = Memory(self.segment)
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def _build(self) -> None:
@@ -79,6 +95,7 @@ class PieceCodec:
         for s in usable:
             self.automaton.add_word(s, self.rank[s])
         self.automaton.make_automaton()
+        self.whole = {s: self.rank[s] for s in usable}
         self.shorter = [-1] * len(self.text_of)
         for s in usable:
             self.shorter[self.rank[s]] = next((self.rank[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in usable), -1)
@@ -134,6 +151,9 @@ class PieceCodec:
 
     def backtrack(self, text: str) -> list[int]:
         """Ranks of the pieces of a text of known letters."""
+        whole = self.whole.get(text)
+        if whole is not None:
+            return [whole]
         longest = [-1] * len(text)
         lengths = self.length
         for end, r in self.automaton.iter(text):  # ends ascend, so the last match from a start is its longest
@@ -169,6 +189,8 @@ class PieceCodec:
 
     def segment(self, text: str) -> list[int]:
         """Ids of a segment: one run of space marks at most, at its start."""
+        if not text.startswith(MARK * 2) and self.known.issuperset(text):
+            return [self.ids[r] for r in self.backtrack(text)]
         out: list[int] = []
         start = 0
         for i in range(len(text) + 1):
@@ -189,17 +211,7 @@ class PieceCodec:
         return self.cut(self.normalize(text))
 
     def encode(self, text: str) -> list[int]:
-        memory, out = self.memory, []
-        for s in self.segments(text):
-            ids = memory.get(s)
-            if ids is None:
-                if len(memory) >= REMEMBERED:
-                    memory.clear()
-                ids = self.segment(s)
-                if len(s) < 64:
-                    memory[s] = ids
-            out.append(ids)
-        return list(chain.from_iterable(out))
+        return list(chain.from_iterable(map(self.memory.__getitem__, self.segments(text))))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces side by side make characters, or one replacement character each where they can't."""
@@ -249,7 +261,7 @@ def codec(path: str) -> PieceCodec:
 
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and ids (array<int>) of every row."""
-    keyed = docs.select(docs[key].alias("k"), docs[text].alias("t"))
+    keyed = ready(docs).select(docs[key].alias("k"), docs[text].alias("t"))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
@@ -261,7 +273,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text")
 
 def decode(coded: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """key and text of every row of ids; null ids are none."""
-    keyed = coded.select(coded[key].alias("k"), coded[ids].alias("i"))
+    keyed = ready(coded).select(coded[key].alias("k"), coded[ids].alias("i"))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
@@ -273,7 +285,7 @@ def decode(coded: DataFrame, model: str, key: str = "doc_id", ids: str = "ids")
 
 def round_trip(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, number of ids, SHA-256 of the ids and of the text decoded from them; ids don't leave the worker."""
-    keyed = docs.select(docs[key].alias("k"), docs[text].alias("t"))
+    keyed = ready(docs).select(docs[key].alias("k"), docs[text].alias("t"))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
