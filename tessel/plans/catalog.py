@@ -2,39 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessel.plans import analytics, documents, sharing, vectors
+from tessel.plans.base import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessel.functions import vector as V
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None) -> Callable:
-    """Registers a query under its function's name, with its SQL twin."""
-
-    def put(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return put
-
-
-@query(
-    """SELECT e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-    FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
-    ORDER BY score DESC, vec_id LIMIT 10"""
-)
-def vec_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.join(F.broadcast(q)).select("vec_id", F.round(V.dot("embedding", "q"), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+__all__ = ["ORACLE", "QUERIES", "analytics", "documents", "sharing", "vectors"]
