@@ -11,19 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions import text as T
+from tessel.functions.python import fnv
 
-MASK = (1 << 64) - 1
 RUN = 6
 
 
-def fnv(s: str) -> str:
-    """FNV-1a over UTF-16LE, 64 bits, as 16 hex digits."""
-    h = 0xCBF29CE484222325
-    for b in s.encode("utf-16-le", "surrogatepass"):
-        h = ((h ^ b) * 0x100000001B3) & MASK
-    return f"{h:016x}"
-
-
 def fnv1a64(s: Column) -> Column:
     """fnv of a text column; an Arrow function, as unsigned products of 64 bits have no column form."""
 

@@ -105,7 +105,7 @@ def blended(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
 
 def source_of(detail: Column) -> Column:
     """The source named in a log line: source=… up to ' chunks=' or a space, or src=… up to the end."""
-    return F.coalesce(F.nullif(F.regexp_extract(detail, r"source=(.*?)(?: chunks=| |$)", 1), F.lit("")), F.nullif(F.regexp_extract(detail, "src=(.*)$", 1), F.lit("")))
+    return F.coalesce(*[F.nullif(F.regexp_extract(detail, p, 1), F.lit("")) for p in ("source=(.*?) chunks=", "source=([^ ]+)", "src=(.*)$")])
 
 
 def export(log: DataFrame, clusters: DataFrame, minutes: dict[str, int], exp: dict[str, int]) -> DataFrame:
