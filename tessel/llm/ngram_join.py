@@ -8,12 +8,14 @@ first order goes by ascending hash, the second by descending. Two sets that link
 each order. Shingles of one class alone come first in both and match nothing, so they use up prefixes without any row
 being made for them, and they bound every overlap from above: most classes drop out right there.
 
-Frequencies come from one shuffle of packed bytes (five per shingle, two or four for its document, and a
-16-byte class mark per document and packet); each task counts its share by sorting and gives back only shingles that several classes hold.
+Frequencies come from one shuffle of packed bytes (five per shingle, two or four for its document, and an
+8-byte class mark per document and packet); each task counts its share by sorting and gives back only shingles that several classes hold.
+
+Classes are named by 64-bit hashes of their sets: of ten thousand million distinct sets about three would share one.
 
 Groups. Within the list of a prefix token every class is compared to one pivot, not to every other. Links to pivots
 give components; only pairs that lie in different components are left, one side outside the pivot's component. Their
-overlap is bounded by what each shares with the pivot, then they must share a token under the second order too, and
+overlap is bounded by the place of the token they meet at and by what each shares with the pivot, then they must share a token under the second order too, and
 only then are sets intersected. No pair is dropped unless a bound excludes a link or its ends are connected already,
 so components are exact.
 
@@ -32,11 +34,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, written
+from .common import batch, ready, written
 
 SHINGLE = 5
 THRESHOLD = 80
-REMEMBERED = 500_000
+REMEMBERED = 300_000
+SLICE = 4096  # documents, and
+FLUSH = 1_000_000  # shingles that a task holds at once before it packs them
 BITS = 40  # of a hash that travel; the part says the rest
 MIX = np.uint64(0x9E3779B97F4A7C15)
 TURN = np.uint64(0xBF58476D1CE4E5B9)
@@ -70,32 +74,44 @@ def shingles(text: bytes, words: Hashes, n: int = SHINGLE) -> np.ndarray:
 
 def packets(docs: DataFrame, key: str, text: str, parts: int) -> DataFrame:
     """Document rows (k, n, mark) and packed shingles (marks, at, low, high), by part."""
-    keyed = docs.select(docs[key].cast("long").alias("k"), F.col(text).cast("binary").alias("t"))
-    schema = pa.schema([("part", pa.int32()), ("k", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("marks", pa.binary()), ("at", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
+    keyed = ready(docs).select(docs[key].cast("long").alias("k"), F.col(text).cast("binary").alias("t"))
+    schema = pa.schema([("part", pa.int32()), ("k", pa.int64()), ("n", pa.int64()), ("mark", pa.int64()), ("marks", pa.binary()), ("at", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Hashes()
         for b in batches:
-            seen: dict[bytes, int] = {}
-            sets, owners, found = [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(t or b"", words)
-                mark = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                found.append((k, len(s), mark))
-                if mark is not None and mark not in seen:
-                    seen[mark] = len(seen)
-                    sets.append(s)
-                    owners.append(np.full(len(s), len(seen) - 1, np.uint32))
-            where = [i % parts for i in range(len(found))]
-            nothing = [None] * len(found)
-            yield batch(schema, [where, *([d[i] for d in found] for i in range(3)), nothing, nothing, nothing, nothing])
-            if sets:
-                yield batch(schema, packed(np.concatenate(sets), np.concatenate(owners), list(seen), parts))
-
-    return keyed.mapInArrow(rows, "part int, k long, n long, mark binary, marks binary, at binary, low binary, high binary")
-
-
-def packed(h: np.ndarray, owner: np.ndarray, marks: list[bytes], parts: int) -> list[list]:
+            for i in range(0, b.num_rows, SLICE):
+                yield from sliced(b.slice(i, SLICE), words)
+
+    def sliced(b: pa.RecordBatch, words: Hashes) -> Iterator[pa.RecordBatch]:
+        marks: list[int | None] = []
+        sizes: list[int] = []
+        seen: dict[int, int] = {}
+        sets: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        held = 0
+        for t in b.column(1):
+            s = shingles(t.as_py() or b"", words)
+            mark = signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else None
+            marks.append(mark)
+            sizes.append(len(s))
+            if mark is not None and mark not in seen:
+                seen[mark] = len(seen)
+                sets.append(s)
+                owners.append(np.full(len(s), len(seen) - 1, np.uint32))
+                held += len(s)
+            if held > FLUSH:
+                yield batch(schema, packed(np.concatenate(sets), np.concatenate(owners), np.array(list(seen), "<i8"), parts))
+                seen, sets, owners, held = {}, [], [], 0
+        if sets:
+            yield batch(schema, packed(np.concatenate(sets), np.concatenate(owners), np.array(list(seen), "<i8"), parts))
+        nothing = [None] * b.num_rows
+        yield batch(schema, [[i % parts for i in range(b.num_rows)], b.column(0), sizes, marks, nothing, nothing, nothing, nothing])
+
+    return keyed.mapInArrow(rows, "part int, k long, n long, mark long, marks binary, at binary, low binary, high binary")
+
+
+def packed(h: np.ndarray, owner: np.ndarray, marks: np.ndarray, parts: int) -> list[list]:
     """Columns of packets: per part the marks of its documents, then for each shingle its document and hash."""
     part = (h >> np.uint64(BITS)) % np.uint64(parts)
     order = np.argsort(part, kind="stable")
@@ -105,12 +121,16 @@ def packed(h: np.ndarray, owner: np.ndarray, marks: list[bytes], parts: int) ->
     for i, j in zip([0, *cuts], [*cuts, len(h)], strict=True):
         own, at = np.unique(owner[i:j], return_inverse=True)
         low, high = h[i:j] & np.uint64(0xFFFFFFFF), (h[i:j] >> np.uint64(32)) & np.uint64(0xFF)
-        row = (int(part[i]), None, None, None, b"".join(marks[x] for x in own), at.astype(place(len(own))).tobytes(), low.astype("<u4").tobytes(), high.astype("u1").tobytes())
+        row = (int(part[i]), None, None, None, marks[own].tobytes(), at.astype(place(len(own))).tobytes(), low.astype("<u4").tobytes(), high.astype("u1").tobytes())
         for column, value in zip(out, row, strict=True):
             column.append(value)
     return out
 
 
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 def place(n: int) -> str:
     """The type of a place among n."""
     return "<u2" if n <= 65536 else "<u4"
@@ -123,7 +143,7 @@ def shared(packs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     at = np.concatenate([a + base[i] for i, (_, a, _) in enumerate(packs)])
     token = np.concatenate([t for _, _, t in packs])
     packs.clear()
-    _, first, code = np.unique(np.ascontiguousarray(marks.view("<u8").reshape(-1, 2)[:, 0]), return_index=True, return_inverse=True)
+    marks, code = np.unique(marks, return_inverse=True)
     order = np.argsort(token, kind="stable")
     token, owner = token[order], code[at[order]]
     same = token[1:] == token[:-1]
@@ -138,12 +158,12 @@ def shared(packs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     token, owner = token[new], owner[new]
     _, which, n = np.unique(token, return_inverse=True, return_counts=True)
     df = n[which]
-    return marks[first[owner[df > 1]]], token[df > 1], df[df > 1]
+    return marks[owner[df > 1]], token[df > 1], df[df > 1]
 
 
 def counted(packets_: DataFrame, parts: int) -> DataFrame:
     """Document rows (k, n, mark), and rows (mark, token, df) of shingles that several classes hold."""
-    schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("token", pa.int64()), ("df", pa.int64())])
+    schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("mark", pa.int64()), ("token", pa.int64()), ("df", pa.int64())])
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -153,7 +173,7 @@ def counted(packets_: DataFrame, parts: int) -> DataFrame:
                 none = [None] * len(doc)
                 yield batch(schema, [doc.column(1), doc.column(2), doc.column(3), none, none])
             for r in b.filter(b.column(4).is_valid()).to_pylist():
-                own = np.frombuffer(r["marks"], "V16")
+                own = np.frombuffer(r["marks"], "<i8")
                 token = np.frombuffer(r["low"], "<u4").astype(np.int64) | np.frombuffer(r["high"], "u1").astype(np.int64) << 32
                 held.setdefault(r["part"], []).append((own, np.frombuffer(r["at"], place(len(own))).astype(np.int64), token))
         for part in sorted(held):
@@ -161,9 +181,9 @@ def counted(packets_: DataFrame, parts: int) -> DataFrame:
             for i in range(0, len(token), 50_000):
                 j = i + 50_000
                 none = [None] * len(token[i:j])
-                yield batch(schema, [none, none, pa.array([m.tobytes() for m in marks[i:j]], pa.binary()), pa.array(token[i:j] | part << BITS), pa.array(df[i:j].astype(np.int64))])
+                yield batch(schema, [none, none, pa.array(marks[i:j]), pa.array(token[i:j] | part << BITS), pa.array(df[i:j].astype(np.int64))])
 
-    return packets_.repartition(parts, "part").mapInArrow(rows, "k long, n long, mark binary, token long, df long")
+    return packets_.repartition(parts, "part").mapInArrow(rows, "k long, n long, mark long, token long, df long")
 
 
 def least_overlap(a: Column, b: Column) -> Column:
@@ -212,40 +232,40 @@ def class_links(classes: DataFrame, tokens: DataFrame) -> DataFrame:
     held = tokens.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t")).join(classes, "mark")
     prefix = F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100 - 1e-9) + 1 - (F.col("n") - F.size("t"))
     turned = F.array_sort(F.transform("t", lambda x: F.struct(x["df"].alias("df"), F.bitwise_not(x["token"]).alias("token"))))
-    sets = written(
-        held.withColumn("m", F.least(prefix, F.size("t")).cast("int")).filter("m > 0").select("mark", "n", F.size("t").cast("long").alias("c"), F.col("t.token").alias("tokens"), F.slice("t", 1, F.col("m"))["token"].alias("first"), F.slice(turned, 1, F.col("m"))["token"].alias("second")),
-        "sets",
-    )
-    postings = sets.select("mark", "n", "c", F.explode("first").alias("token"))
+    unique = (F.col("n") - F.size("t")).alias("u")
+    prefixes = held.withColumn("m", F.least(prefix, F.size("t")).cast("int")).filter("m > 0")
+    sets = written(prefixes.select("mark", "n", unique, F.size("t").cast("long").alias("c"), F.col("t.token").alias("tokens"), F.slice("t", 1, F.col("m"))["token"].alias("first"), F.slice(turned, 1, F.col("m"))["token"].alias("second")), "sets")
+    postings = sets.select("mark", "n", "c", "u", F.posexplode("first").alias("i", "token")).select("token", "mark", "n", "c", (F.col("n") - F.col("u") - F.col("i")).alias("rest"))
     pivot = F.max(F.struct((F.col("c") / F.col("n")).alias("share"), "mark", "n", "c")).alias("p")
-    lists = written(postings.groupBy("token").agg(F.count("*").alias("members"), pivot).filter("members > 1").select("token", "p"), "lists")
+    lists = written(postings.groupBy("token").agg(F.count("*").alias("members"), pivot).filter("members > 1").select("token", F.col("p.mark").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc")), "lists")
     members = written(postings.join(lists, "token"), "members")
-    n, c, pn, pc = F.col("n"), F.col("c"), F.col("p.n"), F.col("p.c")
-    stars = members.filter((F.col("mark") != F.col("p.mark")) & may_link(n, c, pn, pc)).select(F.col("p.mark").alias("a"), F.col("mark").alias("b")).distinct()
+    n, c, pn, pc = F.col("n"), F.col("c"), F.col("pn"), F.col("pc")
+    stars = members.filter((F.col("mark") != F.col("pivot")) & may_link(n, c, pn, pc)).select(F.col("pivot").alias("a"), F.col("mark").alias("b")).distinct()
     seen = written(compared(stars, sets, False), "star-overlaps")
     links = seen.filter(linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
     roots = written(connected(links), "roots")
-    placed = _placed(members, roots, seen)
-    split = placed.groupBy("token").agg(F.max("minor").alias("any")).filter("any").select("token")
-    open_ = written(placed.join(written(split, "open-lists"), "token"), "open-members")
+    open_ = open_members(members.drop("pn", "pc"), roots, seen)
     left, right = open_.filter("minor").alias("l"), open_.alias("r")
     ln, lc, rn, rc, lo, ro = (F.col(x) for x in ("l.n", "l.c", "r.n", "r.c", "l.overlap", "r.overlap"))
-    bound = lo.isNull() | ro.isNull() | (F.least(lo, ro) + F.least(lc - lo, rc - ro) >= least_overlap(ln, rn))
+    least = least_overlap(ln, rn)
+    bound = lo.isNull() | ro.isNull() | (F.least(lo, ro) + F.least(lc - lo, rc - ro) >= least)
     apart = (F.col("l.root") != F.col("r.root")) & (~F.col("r.minor") | (F.col("l.mark") < F.col("r.mark")))
-    crossing = left.join(right, (F.col("l.token") == F.col("r.token")) & apart & may_link(ln, lc, rn, rc) & bound)
+    met = F.least("l.rest", "r.rest") >= least  # if this is the first token that both hold, what can still be shared
+    crossing = left.join(right, (F.col("l.token") == F.col("r.token")) & apart & may_link(ln, lc, rn, rc) & met & bound)
     pairs = written(crossing.select(F.col("l.mark").alias("a"), F.col("r.mark").alias("b")).distinct(), "crossing")
     more = compared(pairs, sets, True).filter(linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
     return written(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "links")
 
 
-def _placed(members: DataFrame, roots: DataFrame, seen: DataFrame) -> DataFrame:
-    """Members of lists with their component, whether it is not the pivot's, and their overlap with the pivot."""
-    m = members.select("token", "mark", "n", "c", F.col("p.mark").alias("pivot"))
-    m = m.join(roots.select(F.col("node").alias("mark"), F.col("root").alias("r")), "mark", "left")
+def open_members(members: DataFrame, roots: DataFrame, seen: DataFrame) -> DataFrame:
+    """Members of the lists that hold several components: root, whether it is not the pivot's (minor), overlap with the pivot where known."""
+    rooted = written(members.join(roots.select(F.col("node").alias("mark"), F.col("root").alias("r")), "mark", "left").withColumn("root", F.coalesce("r", "mark")).drop("r"), "rooted")
+    several = written(rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token"), "open-lists")
+    m = rooted.join(several, "token")
     m = m.join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("pr")), "pivot", "left")
     m = m.join(seen.select(F.col("a").alias("pivot"), F.col("b").alias("mark"), "overlap"), ["pivot", "mark"], "left")
-    root, pivot_root = F.coalesce("r", "mark"), F.coalesce("pr", "pivot")
-    return m.select("token", "mark", "n", "c", root.alias("root"), (root != pivot_root).alias("minor"), F.when(F.col("mark") == F.col("pivot"), F.col("c")).otherwise(F.col("overlap")).alias("overlap"))
+    minor = (F.col("root") != F.coalesce("pr", "pivot")).alias("minor")
+    return written(m.select("token", "mark", "n", "c", "rest", "root", minor, F.when(F.col("mark") == F.col("pivot"), F.col("c")).otherwise(F.col("overlap")).alias("overlap")), "open-members")
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
