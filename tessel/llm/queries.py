@@ -100,4 +100,60 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bounded_ring": op10_bounded_ring,
 }
 
-ORACLE: dict[str, str] = {}
+NGRAM_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), e AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), p AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), l AS (
+    SELECT x, y FROM p UNION ALL SELECT y, x FROM p
+), r(doc_id, root) AS (
+    SELECT doc_id, doc_id FROM s UNION SELECT l.y, r.root FROM r JOIN l ON r.doc_id = l.x
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component_id FROM s JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) m ON s.doc_id = m.doc_id
+"""
+
+SECRETS_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents
+), k(kind, rank, role, pattern) AS (VALUES
+    ('assign', 0, 'secret', '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+    ('access', 1, 'identifier', 'AKIA[A-Z0-9]+'),
+    ('hex', 2, 'secret', '[0-9a-f]{16,}'),
+    ('id', 3, 'identifier', '(?:(?i:client_?id|access_?key(?:_?id)?|account|user(?:name)?|login))["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9@._-]{3,}'),
+    ('key', 4, 'secret', '[A-Za-z0-9+/_=-]{16,}'),
+    ('short', 5, 'secret', '(?:(?i:password|passwd|pwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+    ('endpoint', 6, 'endpoint', '(?:(?i:(?:https?|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://|(?:host|endpoint|server)["'']?\x20*[:=]\x20*["'']?))[A-Za-z0-9_.:@-]{3,}')
+), f AS (
+    SELECT row, kind, rank, role, regexp_extract_all(t, pattern) AS m, list_transform(string_split_regex(t, pattern), lambda x: length(x)) AS gaps FROM d, k WHERE regexp_matches(t, pattern)
+), g AS (
+    SELECT row, kind, rank, role, unnest(m) AS m, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) AS start FROM f
+), v AS (
+    SELECT row, kind, rank, role, start::BIGINT AS start, (start + length(m))::BIGINT AS stop, m, length(regexp_extract(m, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) AS value FROM g
+), b AS (
+    SELECT * FROM v WHERE kind = 'assign' AND value >= 12 OR kind = 'access' AND length(m) >= 18 OR kind = 'hex' AND length(m) >= 16
+), w AS (
+    SELECT * FROM v WHERE (kind IN ('id', 'endpoint') OR kind = 'short' AND value BETWEEN 4 AND 11
+        OR kind = 'key' AND length(m) >= 16 AND regexp_matches(left(m, 81), '[0-9]') AND regexp_matches(left(m, 81), '[a-z]') AND regexp_matches(left(m, 81), '[A-Z]'))
+    AND NOT EXISTS (SELECT 1 FROM b WHERE b.row = v.row AND b.start < v.stop AND v.start < b.stop)
+), p AS (
+    SELECT * FROM b UNION ALL SELECT * FROM w
+), n AS (
+    SELECT w.row, w.start, w.rank, w.stop, w.kind, w.role, bool_or(p.role = 'identifier') AS i, bool_or(p.role = 'secret') AS s, bool_or(p.role = 'endpoint') AS e
+    FROM w JOIN p ON w.row = p.row AND w.role <> p.role AND abs(w.start - p.start) <= 240 GROUP BY ALL
+), a AS (
+    SELECT row, start, rank, stop, kind FROM n WHERE role = 'identifier' AND s OR role = 'secret' AND (i OR e) OR role = 'endpoint' AND i AND s
+    UNION ALL SELECT row, start, rank, stop, kind FROM b
+), o AS (
+    SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS spans FROM a GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (row)
+"""
+
+ORACLE: dict[str, str] = {"op2_ngram_join": NGRAM_SQL, "op9_linked_secrets": SECRETS_SQL}

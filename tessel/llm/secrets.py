@@ -25,24 +25,35 @@ VALUE = "[A-Za-z0-9+/_.=-]"
 ASSIGN = rf"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?{VALUE}++"""
 #: The base kinds, in the order that ranks them, with their roles.
 BASE = (("assign", "secret"), ("access", "identifier"), ("hex", "secret"))
-#: Weak candidates: kind, role, pattern.
+#: Weak candidates: kind, role, pattern (matches of short are filtered by the value's length).
 WEAK = (
     ("id", "identifier", r"""(?i:client_?id|access_?key(?:_?id)?|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+"""),
     ("key", "secret", r"""(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,80}[0-9])(?=[A-Za-z0-9+/_=-]{0,80}[a-z])(?=[A-Za-z0-9+/_=-]{0,80}[A-Z])[A-Za-z0-9+/_=-]{16,}+"""),
-    ("short", "secret", rf"""(?i:password|passwd|pwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?{VALUE}{{4,11}}+(?!{VALUE})"""),
+    ("short", "secret", rf"""(?i:password|passwd|pwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?{VALUE}++"""),
     ("endpoint", "endpoint", r"""(?i:(?:https?|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9_.:@-]{3,}+"""),
 )
 ROLES = ("identifier", "secret", "endpoint")
 
 
+def value_length(s: Column) -> Column:
+    """Characters after the separator of a name and value."""
+    return F.length(F.regexp_extract(s["text"], rf"""[:=]\x20*["']?({VALUE}+)$""", 1))
+
+
 def base_spans(text: Column) -> Column:
     """struct of the base kinds' spans."""
-    assign = F.filter(matches(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["text"], rf"""[:=]\x20*["']?({VALUE}+)$""", 1)) >= 12)
+    assign = F.filter(matches(text, ASSIGN), lambda s: value_length(s) >= 12)
     access = matches(text, "AKIA[A-Z0-9]{14,}+")
     hexes = matches(text, "(?<![0-9a-f])[0-9a-f]{16,}+")
     return F.struct(assign.alias("assign"), access.alias("access"), hexes.alias("hex"))
 
 
+def _loose(text: Column, kind: str, pattern: str) -> Column:
+    """Matches of a weak kind; a short value has 4 to 11 characters, as longer ones are strong."""
+    found = matches(text, pattern)
+    return F.filter(found, lambda s: value_length(s).between(4, 11)) if kind == "short" else found
+
+
 def _candidates(spans: Column, kind: str, role: str, rank: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(role).alias("role")))
 
@@ -50,7 +61,7 @@ def _candidates(spans: Column, kind: str, role: str, rank: int) -> Column:
 def scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, row, base (array of kinded spans), weak (array of struct kind, role, start, end); no texts."""
     t = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), base_spans(t).alias("b"), *[matches(t, p).alias(f"w{i}") for i, (_, _, p) in enumerate(WEAK)])
+    found = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), base_spans(t).alias("b"), *[_loose(t, k, p).alias(f"w{i}") for i, (k, _, p) in enumerate(WEAK)])
     base = F.concat(*[kinded(F.col(f"b.{k}"), k, i) for i, (k, _) in enumerate(BASE)])
     flat = F.concat(*[_candidates(F.col(f"w{i}"), k, r, len(BASE) + i) for i, (k, r, _) in enumerate(WEAK)])
     return found.select("key", "row", base.alias("base"), flat.alias("weak")).select("key", "row", "base", F.when(F.size("weak") > 0, F.filter("weak", lambda w: ~F.exists("base", lambda s: overlaps(s, w)))).otherwise(F.col("weak")).alias("weak"))
