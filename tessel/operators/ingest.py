@@ -77,15 +77,17 @@ def windows(text: str, target: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
-def _chunked(docs: DataFrame, key: str, text: str, cut) -> DataFrame:  # noqa: ANN001
+def _chunked(docs: DataFrame, key: str, text: str, cut, paged: bool = False) -> DataFrame:  # noqa: ANN001
     kind = docs.schema[key].dataType.simpleString()
+    names = ["k", "seq", *(["page"] if paged else []), "start", "end", "text"]
+    types = {"seq": np.int32, "page": np.int32, "start": np.int64, "end": np.int64}
 
     def rows(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = [(k, i, *c) for k, t in zip(f["k"], f["t"], strict=True) for i, c in enumerate(cut(t or ""))]
-            yield pd.DataFrame(out, columns=["k", "seq", "start", "end", "text"]).astype({"seq": np.int32, "start": np.int64, "end": np.int64})
+            yield pd.DataFrame(out, columns=names).astype({n: t for n, t in types.items() if n in names})
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(rows, f"k {kind}, seq int, start long, end long, text string").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(rows, f"k {kind}, seq int, {'page int, ' if paged else ''}start long, end long, text string").withColumnRenamed("k", key)
 
 
 def fixed_chunks(docs: DataFrame, key: str, text: str, target: int, overlap: int) -> DataFrame:
@@ -97,35 +99,74 @@ def fixed_chunks(docs: DataFrame, key: str, text: str, target: int, overlap: int
     return _chunked(docs, key, text, cut)
 
 
-CHAPTER = re.compile(r"^(?:# |【.{0,58}】|第[0-9０-９一二三四五六七八九十]+[編章])")
-SECTION = re.compile(r"^(?:##+ |第[0-9０-９一二三四五六七八九十]+[条節])")
+NUMERAL = "[0-9０-９一二三四五六七八九十]+"
+#: Line classes in the order that decides: class, pattern, fewer characters than, characters that rule it out.
+LINE_RULES = (
+    (1, re.compile("^# "), None, ""),
+    (1, re.compile("^【.*】"), 61, ""),
+    (1, re.compile(f"^第{NUMERAL}[編章]"), None, ""),
+    (2, re.compile("^##+ "), None, ""),
+    (2, re.compile(f"^第{NUMERAL}[条節]"), None, ""),
+    (2, re.compile(r"^[0-9]+\."), 50, ""),
+    (2, re.compile("^[■●◆]"), 40, "。"),
+    (3, re.compile(f"^第{NUMERAL}項"), None, ""),
+    (3, re.compile("^(?:・|- |[(（][0-9０-９]|[①-⑳])"), None, ""),
+)
+DOTTED = re.compile("(?:[.．・…‥]{2,}|[…‥])[ ]*[0-9０-９]+[ ]*$")
+
+
+def line_class(line: str) -> int:
+    """0 body, 1 chapter, 2 section, 3 item, 4 table; equal to text.line_class."""
+    t = line.strip(" ")
+    if "\t" in line or "   " in t or "|" in line:
+        return 4
+    return next((c for c, p, below, without in LINE_RULES if p.match(t) and (below is None or len(t) < below) and not (without and without in t)), 0)
+
+
+def contents_page(page: str) -> bool:
+    lines = [x for x in page.split("\n") if x.strip(" ")]
+    return len(lines) >= 3 and 2 * sum(bool(DOTTED.search(x)) for x in lines) >= len(lines)
 
 
 def structured_chunks(docs: DataFrame, key: str, text: str, target: int, overlap: int, most: int) -> DataFrame:
-    """key, seq, start, end, text: blocks between headings with a breadcrumb line, cut into windows where they are longer than `most`."""
+    """key, seq, page, start, end, text: blocks between headings after a breadcrumb line, cut into windows where they are longer than `most`.
+
+    Pages are parted by form feeds; headings hold over pages, and pages of contents have none. Table lines keep their spacing,
+    other lines have single spaces. A chunk's page is that of its first ink; start and end count within its block's text.
+    """
 
     def cut(t: str) -> list[tuple]:
-        out, chapter, section, block, start, at = [], "", "", "", 0, 0
+        out: list[tuple] = []
+        heads = ["", ""]
+        block: list[tuple[int, str]] = []
 
         def flush() -> None:
-            if not block.strip():
-                return
-            crumb = "【" + " > ".join(x for x in ("〔資料〕", chapter, section) if x) + "】\n"
-            spans = [(0, len(block))] if len(block) <= most - len(crumb) else windows(block, target, overlap)
-            out.extend((start + a, start + b, crumb + block[a:b]) for a, b in spans)
-
-        for line in t.splitlines(keepends=True):
-            s = line.strip()
-            if CHAPTER.match(s) or SECTION.match(s):
-                flush()
-                block, start = "", at
-                chapter, section = (s, "") if CHAPTER.match(s) else (chapter, s)
-            block += line
-            at += len(line)
+            body = "\n".join(line for _, line in block)
+            if body.strip():
+                crumb = "【" + " > ".join(x for x in ("〔資料〕", *heads) if x) + "】\n"
+                starts, at = [], 0
+                for page, line in block:
+                    starts.append((at, page))
+                    at += len(line) + 1
+                spans = [(0, len(body))] if len(body) <= most - len(crumb) else windows(body, target, overlap)
+                for a, b in spans:
+                    ink = a + len(body[a:b]) - len(body[a:b].lstrip())
+                    page = next((p for s, p in reversed(starts) if s <= ink), 1)
+                    out.append((page, a, b, crumb + body[a:b]))
+            block.clear()
+
+        for number, page in enumerate(t.split("\f"), 1):
+            plain = contents_page(page)
+            for line in page.split("\n"):
+                c = 0 if plain else line_class(line)
+                if c in (1, 2):
+                    flush()
+                    heads[:] = [line.strip(), ""] if c == 1 else [heads[0], line.strip()]
+                block.append((number, line.rstrip() if c == 4 else re.sub(" {2,}", " ", line.strip())))
         flush()
         return out
 
-    return _chunked(docs, key, text, cut)
+    return _chunked(docs, key, text, cut, paged=True)
 
 
 def containing(docs: DataFrame, probes: DataFrame, key: str, text: str, probe_key: str, probe: str, more: list[str] | None = None, most: int = 10_000) -> DataFrame:

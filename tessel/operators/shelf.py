@@ -63,8 +63,8 @@ def ingested(pages: DataFrame, shelf: DataFrame, origin: str, target: int = 700,
     cleaned = pages.select("source", D.ingest_text(F.col("text")).alias("text"))
     chunks = ingest.structured_chunks(cleaned, "source", "text", target, overlap, most)
     named = chunks.withColumn("text", F.expr("replace(text, '〔資料〕', source)"))
-    rows = named.select("source", F.lit(origin).alias("origin"), F.col("seq"), F.col("text").alias("full_text"), D.section_path(F.col("text")).alias("section_path"), T.ref_labels("text").alias("refs"))
-    rows = rows.withColumn("hash", ingest.fnv1a64(T.norm_hash("full_text"))).withColumn("chunk_id", F.concat(F.lit("bs::"), "hash", F.lit("::p1::c"), F.col("seq").cast("string")))
+    rows = named.select("source", F.lit(origin).alias("origin"), F.col("page"), F.col("seq"), F.col("text").alias("full_text"), D.section_path(F.col("text")).alias("section_path"), T.ref_labels("text").alias("refs"))
+    rows = rows.withColumn("hash", ingest.fnv1a64(T.norm_hash("full_text"))).withColumn("chunk_id", F.concat(F.lit("bs::"), "hash", F.lit("::p"), F.col("page").cast("string"), F.lit("::c"), F.col("seq").cast("string")))
     rows = sets.deduplicated(rows, ["hash"], ["source", "seq"])
     held = shelf.select(F.lower("source").alias("_s"), ingest.fnv1a64(T.norm_hash("full_text")).alias("hash")).distinct()
     return rows.join(held, (rows["hash"] == held["hash"]) & (F.lower(rows["source"]) != held["_s"]), "left_anti")

@@ -106,6 +106,11 @@ def test_chunks(spark):
     s = spark.createDataFrame([(1, "# A\nbody a\n## B\nbody b\n# C\n" + "long text. " * 60)], "id long, t string")
     parts = ingest.structured_chunks(s, "id", "t", 200, 40, 300).orderBy("seq").collect()
     assert parts[0].text.startswith("【〔資料〕 > # A】\n# A") and parts[1].text.startswith("【〔資料〕 > # A > ## B】\n") and len(parts) > 4
+    p = spark.createDataFrame([(1, "a .... 1\n# b .... 2\nc .... 3\f# T\nx   y\fmore  text\f■ S")], "id long, t string")
+    got = [(r.page, r.text) for r in ingest.structured_chunks(p, "id", "t", 200, 40, 300).orderBy("seq").collect()]
+    assert got == [(1, "【〔資料〕】\na .... 1\n# b .... 2\nc .... 3"), (2, "【〔資料〕 > # T】\n# T\nx   y\nmore text"), (4, "【〔資料〕 > # T > ■ S】\n■ S")]
+    for line in ("a\tb", "# T", "【総則】", "第1章 総則", "## S", "第3条 目的", "1. x", "■見出し", "■見出し。", "第2項", "・x", "①x", "(1) x", "body", "x   y"):
+        assert one(spark, T.line_class("s"), s=line) == ingest.line_class(line), line
 
 
 def test_pages(spark):
