@@ -65,16 +65,16 @@ def prefiltered(rows: DataFrame, query: list[float], key: str, vector: str, n: i
 
 
 def bm25(docs: DataFrame, question: list[str], key: str, tokens: Column, k: int) -> DataFrame:
-    """Term scores of distinct question tokens; document counts come from the postings of those tokens alone."""
+    """Term scores of distinct question tokens; document counts come from the postings of those tokens alone. The table's size and mean length are fetched first, as two numbers."""
     words = sorted(set(question))
     lengths = docs.select(key, tokens.alias("t")).withColumn("dl", F.size("t"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     postings = lengths.select(key, "dl", F.explode(F.filter("t", lambda x: x.isin(words))).alias("w")).groupBy(key, "dl", "w").agg(F.count("*").alias("tf"))
     df = postings.groupBy("w").agg(F.count("*").alias("df"))  # a row per question token
-    n, avgdl, tf = F.col("n"), F.col("avgdl"), F.col("tf")
+    n, avgdl, tf = F.lit(stats.n), F.lit(stats.avgdl), F.col("tf")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * tf * (T.K1 + 1) / (tf + T.K1 * (1 - T.B + T.B * F.col("dl") / avgdl))
-    scores = postings.join(F.broadcast(df), "w").join(F.broadcast(stats)).groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
+    scores = postings.join(F.broadcast(df), "w").groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
     return top(scores, k, "score", key)
 
 
