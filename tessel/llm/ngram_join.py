@@ -38,9 +38,9 @@ from .common import batch, ready, written
 
 SHINGLE = 5
 THRESHOLD = 80
-REMEMBERED = 300_000
-SLICE = 4096  # documents, and
-FLUSH = 1_000_000  # shingles that a task holds at once before it packs them
+REMEMBERED = 150_000
+SLICE = 2048  # documents, and
+FLUSH = 500_000  # shingles that a task holds at once before it packs them
 BITS = 40  # of a hash that travel; the part says the rest
 MIX = np.uint64(0x9E3779B97F4A7C15)
 TURN = np.uint64(0xBF58476D1CE4E5B9)
@@ -140,12 +140,15 @@ def shared(packs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     """(mark, token, df) of the tokens that several marks hold, from packets (marks, at, token)."""
     base = np.cumsum([0, *(len(m) for m, _, _ in packs)])
     marks = np.concatenate([m for m, _, _ in packs])
-    at = np.concatenate([a + base[i] for i, (_, a, _) in enumerate(packs)])
+    at = np.concatenate([a + np.int32(base[i]) for i, (_, a, _) in enumerate(packs)])
     token = np.concatenate([t for _, _, t in packs])
     packs.clear()
     marks, code = np.unique(marks, return_inverse=True)
+    owner = code.astype(np.int32)[at]
+    del at, code
     order = np.argsort(token, kind="stable")
-    token, owner = token[order], code[at[order]]
+    token, owner = token[order], owner[order]
+    del order
     same = token[1:] == token[:-1]
     several = np.zeros(len(token), bool)
     several[1:] |= same
@@ -175,7 +178,7 @@ def counted(packets_: DataFrame, parts: int) -> DataFrame:
             for r in b.filter(b.column(4).is_valid()).to_pylist():
                 own = np.frombuffer(r["marks"], "<i8")
                 token = np.frombuffer(r["low"], "<u4").astype(np.int64) | np.frombuffer(r["high"], "u1").astype(np.int64) << 32
-                held.setdefault(r["part"], []).append((own, np.frombuffer(r["at"], place(len(own))).astype(np.int64), token))
+                held.setdefault(r["part"], []).append((own, np.frombuffer(r["at"], place(len(own))).astype(np.int32), token))
         for part in sorted(held):
             marks, token, df = shared(held.pop(part))
             for i in range(0, len(token), 50_000):
@@ -285,10 +288,14 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group of near copies, the one with the smallest key; rows without a key all stay."""
-    found = written(components(docs, key, text), "near-copies")
-    firsts = written(found.filter(F.col(key) == F.col("component_id")).select(F.col(key)).distinct(), "firsts")
-    out = docs.join(firsts, key, "left_semi")
-    if not found.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates([key, text])
-    return out.unionByName(docs.filter(F.col(key).isNull()))
+    """docs with one row of each group of near copies, the one with the smallest key; rows without a key all stay.
+
+    What goes is a small sorted table of keys, so texts are shuffled only where that table is too large to broadcast.
+    Rows that repeat a key are one document unless their texts differ.
+    """
+    found = written(components(docs, key, text), "near-copies").filter(F.col(key).isNotNull())
+    gone = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
+    if found.groupBy(key).count().filter("count > 1").isEmpty():
+        return docs.join(written(gone.repartitionByRange(8, key).sortWithinPartitions(key), "gone"), key, "left_anti")
+    firsts = written(found.filter(F.col(key) == F.col("component_id")).select(key).distinct(), "firsts")
+    return docs.join(firsts, key, "left_semi").dropDuplicates([key, text]).unionByName(docs.filter(F.col(key).isNull()))
