@@ -118,12 +118,11 @@ def _votes(kind: str, s: Column, before: Column) -> list[Column]:
     return [form, gazetteer, vote(before.rlike(TRIGGERS[kind]), never), vote(never, before.rlike(AGAINST)), shape]
 
 
-def _judged(text: Column, spans: Column, kind: str) -> Column:
+def _judged(spans: Column, kind: str) -> Column:
     """Candidates with their votes, joined to a pattern like 1,0,0,-1,0, and their other features."""
 
     def one(s: Column) -> Column:
-        before = F.substring(text, (F.greatest(s["start"] - 31, F.lit(1))).cast("int"), F.least(s["start"], F.lit(32)).cast("int"))
-        after = F.substring(text, (s["end"] + 1).cast("int"), F.lit(1))
+        before, after = s["before"], s["after"]
         word = F.lower(F.regexp_extract(before, r"([\p{L}]+)[^\p{L}]*$", 1))
         return F.struct(
             F.lit(KINDS.index(kind)).alias("rank"),
@@ -145,7 +144,7 @@ def scanned(text: Column) -> Column:
 
     def both(b: Column) -> Column:
         base = F.concat(*[_kinded(b[k], k) for k in BASE])
-        loose = F.concat(*[_judged(t, b["digits"] if k == "digits" else matches(t, p), k) for k, p in CANDIDATES])
+        loose = F.concat(*[_judged(b["digits"] if k == "digits" else matches(t, p), k) for k, p in CANDIDATES])
         return let(F.struct(base.alias("base"), loose.alias("loose")), lambda x: F.struct(x["base"].alias("base"), F.filter(x["loose"], lambda c: ~F.exists(x["base"], lambda s: overlaps(s, c))).alias("loose")))
 
     return let(base_spans(t), both)
@@ -251,7 +250,6 @@ def masked(text: Column, spans: Column) -> Column:
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with personal data masked in the text; texts without any, and null ones, stay as they are."""
-    loose = docs.select(scanned(F.col(text))["loose"].alias("loose")).filter(F.size("loose") > 0)
-    model = train(written(loose, "pii-candidates"))
+    model = train(written(docs.select(scanned(F.col(text))["loose"].alias("loose")), "pii-candidates"))
     spans = let(scanned(F.col(text)), lambda s: F.concat(s["base"], accepted(s["loose"], model)))
     return docs.withColumn(text, let(spans, lambda s: masked(F.col(text), s)))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<start:long,end:long,text:string>>"
+SPAN = "array<struct<start:long,end:long,text:string,before:string,after:string>>"
 STEP = 128
+CONTEXT = 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -17,15 +18,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches of a Java pattern, as array<struct<start, end, text>>; none in a null text.
+    """All leftmost non-overlapping matches of a Java pattern, as array<struct<start, end, text, before, after>>; none in a null text.
 
     Texts between the matches give the positions. Sums run within steps of STEP matches and over the steps, so the
-    cost of many matches in one text stays low.
+    cost of many matches in one text stays low. before holds up to CONTEXT characters since the last match began, after
+    the next character.
     """
 
     def located(found: Column) -> Column:
-        pieces = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).cast("long").alias("g"), F.length(m).cast("long").alias("n"), m.alias("t")))
-        return let(pieces, stepped)
+        return let(F.split(text, pattern, -1), lambda gaps: let(F.transform(found, lambda m, i: piece(found, gaps, m, i)), stepped))
+
+    def piece(found: Column, gaps: Column, m: Column, i: Column) -> Column:
+        gap, nothing = F.get(gaps, i), F.lit("")
+        before = F.right(F.concat(F.when(i > 0, F.get(found, i - 1)).otherwise(nothing), gap), F.lit(CONTEXT))
+        after = F.left(F.concat(F.get(gaps, i + 1), F.coalesce(F.get(found, i + 1), nothing)), F.lit(1))
+        return F.struct(F.length(gap).cast("long").alias("g"), F.length(m).cast("long").alias("n"), m.alias("t"), before.alias("before"), after.alias("after"))
 
     def stepped(pieces: Column) -> Column:
         steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / STEP).cast("int")), lambda b: F.slice(pieces, b * STEP + 1, STEP))
@@ -47,7 +54,7 @@ def matches(text: Column, pattern: str) -> Column:
             F.struct(start.alias("at"), F.array().cast(SPAN).alias("out")),
             lambda a, x: F.struct(
                 (a["at"] + x["g"] + x["n"]).alias("at"),
-                F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("start"), (a["at"] + x["g"] + x["n"]).alias("end"), x["t"].alias("text")))).alias("out"),
+                F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("start"), (a["at"] + x["g"] + x["n"]).alias("end"), x["t"].alias("text"), x["before"].alias("before"), x["after"].alias("after")))).alias("out"),
             ),
             lambda a: a["out"],
         )

@@ -355,3 +355,27 @@ def test_ring_moves_little():
         counts[n] = where
     moved = sum(a != b for a, b in zip(counts[24], counts[25], strict=True))
     assert moved < 0.3 * len(keys)
+
+
+# Odd tables
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_clashing_columns_and_long_texts(spark, empty):
+    from tessel.llm import ngram_join, pii, secrets
+
+    long = "word " * 60000 + "x" * 100000
+    rows = [(1, "a b c d e f", *range(12)), (1, "a b c d e f", *range(12)), (2, None, *range(12)), (None, long, *[None] * 12), (4, " \t\n", *range(12))]
+    clash = "k t row part block n mark token ids key base spans".split()
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} int" for c in clash))
+    df = df.limit(0) if empty else df
+    n = 0 if empty else 5
+    assert quality.measure(df).count() == n
+    assert quality.keep(df).columns == df.columns
+    assert packing.sequences(df, BPE).select("doc_id").distinct().count() == (0 if empty else 4)
+    assert piece_codec.round_trip(df, PIECE).count() == n
+    assert token_counts.after_edits(df.withColumn("edits", token_counts.usual_edits()), BPE).count() == n
+    assert sharding.assign(df, 5).count() == n
+    assert pii.find(df).count() == n and secrets.scan(df).count() == n
+    assert ngram_join.components(df).count() == n
+    assert ngram_join.keep(df).count() == (0 if empty else 4)
