@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -22,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
         if held.isDefined():
             base = held.get()
         else:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessel-"))
+            own = tempfile.mkdtemp(prefix="tessel-")
+            atexit.register(shutil.rmtree, own, True)
+            sc.setCheckpointDir(own)
             base = sc._jsc.sc().getCheckpointDir().get()
     return base.rstrip("/")
 
