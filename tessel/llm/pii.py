@@ -3,11 +3,11 @@
 Strict patterns give base spans, which always stay. Looser patterns (CANDIDATES) give candidates, on which labelers
 vote yes, no or abstain: a format regex, a gazetteer, trigger words before the span, counter-words before it, and the
 span's shape. Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is, without
-labelled text, and the probability of every pattern. These soft labels train a span classifier (naive Bayes over the
-votes, the word before, the span's length and the character after it), which decides.
+labelled text, and the probability of every pattern. These soft labels train a span classifier, which decides: naive
+Bayes over the votes, as weighed by their reliability, the word before, the span's length and the character after it.
 
 Everything per row is native. The corpus enters the model as two aggregates of fixed size: at most 6 * 3^5 vote
-patterns and 6 * 68 feature values, whatever the table's size. The scan leaves only spans; there is no join.
+patterns and 6 * 69 feature values, whatever the table's size. The scan leaves only spans; there is no join.
 
 Defined cases: a null text is empty; texts are scanned whole; candidates on which all labelers abstain or say no are
 never accepted; candidates that overlap a base span are dropped; repeated rows count each; an empty table trains an
@@ -60,6 +60,7 @@ LABELERS = ("format", "gazetteer", "trigger", "against", "shape")
 START = ((0.4, 0.5, 0.1), (0.05, 0.35, 0.6))
 ROUNDS = 60
 BUCKETS = 32
+SMOOTH = 8.0
 
 
 def digits(x: Column) -> Column:
@@ -159,33 +160,52 @@ class Model:
     reliability: dict[str, tuple] = field(default_factory=dict)
 
 
-def expectation_maximisation(counts: dict[tuple[str, str], int]) -> tuple[dict[tuple[str, str], float], dict[str, float], list]:
-    """Probability of each (kind, pattern), prior of each kind, and per labeler the chances of its votes for either class."""
-    chance = [[list(START[0]), list(START[1])] for _ in LABELERS]
-    prior = {k: 0.3 for k, _ in counts}
+def expectation_maximisation(counts: dict[tuple[str, str], int]) -> tuple[dict[tuple[str, str], float], dict[str, float], dict[str, list]]:
+    """Probability of each (kind, pattern), prior of each kind, and by kind and labeler the chances of its votes for either class.
+
+    Kinds are estimated apart, as a frequent one would else set the chances of all. A labeler may turn out to know nothing,
+    but not to mean the opposite: yes is never rarer, and no never more frequent, for personal spans.
+    """
+    kinds = {k for k, _ in counts}
+    chance = {k: [[list(START[0]), list(START[1])] for _ in LABELERS] for k in kinds}
+    prior = dict.fromkeys(kinds, 0.3)
     p: dict[tuple[str, str], float] = {}
     for _ in range(ROUNDS if counts else 0):
         for kind, pattern in counts:
             odds = math.log(prior[kind] / (1 - prior[kind]))
-            for c, v in zip(chance, pattern.split(","), strict=True):
+            for c, v in zip(chance[kind], pattern.split(","), strict=True):
                 odds += math.log(c[1][int(v) + 1] / c[0][int(v) + 1])
             p[kind, pattern] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-        for i in range(len(LABELERS)):
-            sums = [[1 + 10 * x for x in START[y]] for y in (0, 1)]  # START counts as ten spans
-            for key, n in counts.items():
-                v = int(key[1].split(",")[i]) + 1
-                sums[1][v] += n * p[key]
-                sums[0][v] += n * (1 - p[key])
-            chance[i] = [[x / sum(s) for x in s] for s in sums]
-        for kind in prior:
-            of = [(n, p[key]) for key, n in counts.items() if key[0] == kind]
-            prior[kind] = min(0.95, max(0.05, (3 + sum(n * q for n, q in of)) / (10 + sum(n for n, _ in of))))
+        for kind in kinds:
+            own = [(key[1].split(","), n, p[key]) for key, n in counts.items() if key[0] == kind]
+            for i in range(len(LABELERS)):
+                sums = [[10 * x for x in START[y]] for y in (0, 1)]  # START counts as ten spans
+                for votes, n, q in own:
+                    v = int(votes[i]) + 1
+                    sums[1][v] += n * q
+                    sums[0][v] += n * (1 - q)
+                chance[kind][i] = directed([[x / sum(s) for x in s] for s in sums])
+            prior[kind] = min(0.95, max(0.05, (3 + sum(n * q for _, n, q in own)) / (10 + sum(n for _, n, _ in own))))
     return p, prior, chance
 
 
+def directed(chance: list[list[float]]) -> list[list[float]]:
+    """Chances of (no, abstain, yes) for harmless and personal spans, pooled where a vote would mean its opposite."""
+    no, yes = [chance[0][0], chance[1][0]], [chance[0][2], chance[1][2]]
+    if no[1] > no[0]:
+        no = [sum(no) / 2] * 2
+    if yes[1] < yes[0]:
+        yes = [sum(yes) / 2] * 2
+    return [[no[y], max(1e-6, 1 - no[y] - yes[y]), yes[y]] for y in (0, 1)]
+
+
 def _feature_keys(c: Column) -> Column:
     votes = F.transform(F.split(c["votes"], ","), lambda v, i: F.concat_ws("|", c["kind"], i.cast("string"), v))
-    return F.concat(votes, F.array(*[F.concat_ws("|", c["kind"], F.lit(n), c[n].cast("string")) for n in ("word", "size", "next")]))
+    return F.concat(votes, _other_keys(c))
+
+
+def _other_keys(c: Column) -> Column:
+    return F.array(*[F.concat_ws("|", c["kind"], F.lit(n), c[n].cast("string")) for n in ("word", "size", "next")])
 
 
 def _map(values: dict[str, float]) -> Column:
@@ -203,14 +223,15 @@ def train(found: DataFrame, loose: str = "loose") -> Model:
         return Model()
     p, prior, chance = expectation_maximisation(counts)
     sure = _map({f"{k}|{v}": x for (k, v), x in p.items()})
-    keyed = each.select(F.try_element_at(sure, F.concat_ws("|", "c.kind", "c.votes")).alias("p"), F.explode(_feature_keys(F.col("c"))).alias("f"))
+    keyed = each.select(F.try_element_at(sure, F.concat_ws("|", "c.kind", "c.votes")).alias("p"), F.explode(_other_keys(F.col("c"))).alias("f"))
     seen = {r[0]: (r[1], r[2]) for r in keyed.groupBy("f").agg(F.sum("p"), F.sum(1 - F.col("p"))).collect()}
-    total = {k: [sum(n * q for (kind, v), n in counts.items() if kind == k for q in [p[kind, v]]), sum(n * (1 - p[kind, v]) for (kind, v), n in counts.items() if kind == k)] for k in prior}
-    odds = {}
+    odds = {f"{k}|{i}|{v - 1}": math.log(c[1][v] / c[0][v]) for k in chance for i, c in enumerate(chance[k]) for v in range(3)}
     for f, (yes, no) in seen.items():
-        a, b = total[f.split("|", 1)[0]]
-        odds[f] = math.log((yes + 1) / (a + 8)) - math.log((no + 1) / (b + 8))
-    return Model(odds, {k: math.log(q / (1 - q)) for k, q in prior.items()}, {name: tuple(map(tuple, c)) for name, c in zip(LABELERS, chance, strict=True)})
+        own = [(n, p[key]) for key, n in counts.items() if key[0] == f.split("|", 1)[0]]
+        a, b = sum(n * q for n, q in own), sum(n * (1 - q) for n, q in own)
+        rate = SMOOTH * (yes + no) / (a + b)
+        odds[f] = math.log((yes + rate) / (a + SMOOTH)) - math.log((no + rate) / (b + SMOOTH))
+    return Model(odds, {k: math.log(q / (1 - q)) for k, q in prior.items()}, {f"{k}|{name}": tuple(map(tuple, c)) for k in chance for name, c in zip(LABELERS, chance[k], strict=True)})
 
 
 def accepted(loose: Column, model: Model) -> Column:

@@ -90,8 +90,10 @@ def test_votes_accept_names_with_support_and_leave_prose(spark):
 def test_model_trusts_labelers_that_agree():
     p, prior, chance = pii.expectation_maximisation({("name", "1,1,1,0,0"): 50, ("name", "0,-1,0,-1,0"): 50, ("name", "0,0,0,0,0"): 10})
     assert p["name", "1,1,1,0,0"] > 0.95 > 0.05 > p["name", "0,-1,0,-1,0"]
-    assert 0.3 < prior["name"] < 0.7 and chance[0][1][2] > chance[0][0][2]
-    assert pii.expectation_maximisation({}) [0] == {}
+    assert 0.3 < prior["name"] < 0.7 and chance["name"][0][1][2] > chance["name"][0][0][2]
+    more, _, _ = pii.expectation_maximisation({("name", "0,0,0,0,0"): 7000, ("digits", "-1,0,0,0,0"): 135, ("digits", "-1,1,0,0,0"): 22, ("local", "1,0,0,0,0"): 2})
+    assert more["digits", "-1,0,0,0,0"] < 0.1 and more["digits", "-1,1,0,0,0"] < 0.5 and more["name", "0,0,0,0,0"] < 0.1
+    assert pii.expectation_maximisation({})[0] == {}
 
 
 def test_mask_replaces_spans_and_keeps_other_columns(spark):
