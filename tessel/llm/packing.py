@@ -11,7 +11,7 @@ are dealt by a hash of key and row number, so neither a frequent key nor copies
 
 Defined cases: a null text is empty and gives one piece, its end token; repeated rows are packed one by one; ties
 go by key, then start, then the lowest sequence; an empty table gives an empty result; other columns are not read.
-Strings of special tokens inside a text are ordinary text.
+Strings of the file's added tokens inside a text are those tokens, as tokenizers has it.
 """
 
 from __future__ import annotations

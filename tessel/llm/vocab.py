@@ -25,16 +25,16 @@ def encoding(path: str) -> tiktoken.Encoding:
     """The byte-level BPE in a tokenizers JSON file; its ids are the merge ranks, so the file's vocabulary is enough."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {x["content"] for x in spec.get("added_tokens", [])}
+    added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
     letters = byte_letters()
-    ranks = {bytes(letters[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-    return tiktoken.Encoding("byte-bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(letters[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in added}
+    return tiktoken.Encoding("byte-bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=added)
 
 
 def byte_bpe(path: str) -> Callable[[str], np.ndarray]:
-    """A function from text to ids; strings of special tokens are ordinary text."""
+    """A function from text to the ids of tokenizers with add_special_tokens=False: the file's added tokens are matched inside texts."""
     e = encoding(path)
-    return lambda text: np.array(e.encode_ordinary(text), dtype=np.uint32)
+    return lambda text: np.array(e.encode(text, allowed_special="all", disallowed_special=()), dtype=np.uint32)
 
 
 def public_path(name: str) -> str:

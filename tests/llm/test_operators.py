@@ -163,6 +163,20 @@ def test_byte_bpe_equals_library():
         assert e(s).tolist() == t.encode(s, add_special_tokens=False).ids
 
 
+def test_byte_bpe_equals_unmodified_library_on_added_tokens(spark):
+    t = Tokenizer.from_file(BPE)
+    r, e = random.Random(6), byte_bpe(BPE)
+    bits = ["<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "<|", " ", "  ", "\n", "a", " word", "'s", "12", "é", "🙂", "!"]
+    texts = ["a <|endoftext|> b", *("".join(r.choice(bits) for _ in range(r.randrange(20))) for _ in range(1000))]
+    want = [t.encode(s, add_special_tokens=False).ids for s in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [e(s).tolist() for s in texts] == want
+    packed = packing.sequences(docs_of(spark, list(enumerate(texts))), BPE).filter("length = doc_tokens").collect()
+    assert len(packed) > 900
+    for x in packed:
+        assert x.ids_crc32 == zlib.crc32(np.array([*want[x.doc_id], packing.END], "<u4").tobytes())
+
+
 # Token counts
 
 
