@@ -1,11 +1,11 @@
 """Approximate nearest neighbours by adaptive dimension scans of inverted lists.
 
-Index: centroids are fitted by spherical k-means on a bounded sample (SAMPLE rows by hash of the id); every vector is normalised, turned by a fixed
+Index: centroids are fitted by spherical k-means on a bounded sample (SAMPLE ids by their hash, a row of each); every vector is normalised, turned by a fixed
 random rotation, and put into the list of its nearest centroid. Lists longer than LIST rows are split into parts.
 
 Search: a query probes the PROBED share of nearest lists (all, where there are few). Within a list the rotated
 vectors lie in blocks of BLOCK columns. After each block, a hypothesis test compares every candidate's partial
-squared distance, scaled up to all dimensions, with the distance of the k-th nearest so far: a candidate is
+squared distance, scaled up to all dimensions, with the distance of the k-th nearest id so far: a candidate is
 abandoned where it could only be nearer by a deviation of more than CAREFUL standard errors. The k-th distance
 starts from the sample's, whose nearest are found too, so the first list is pruned as well. What survives is scored exactly on original vectors.
 
@@ -72,8 +72,23 @@ def exact(query: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * query).sum(1) / (math.sqrt((query * query).sum()) * np.sqrt((x * x).sum(1)))
 
 
+def kth(far: np.ndarray, ids: np.ndarray, k: int) -> float:
+    """The distance of the k-th nearest distinct id, infinite where there are fewer; rows that repeat an id count once, by their nearest."""
+    m = min(k, len(far))
+    while m >= k:
+        near = np.argpartition(far, m - 1)[:m]
+        near = near[np.argsort(far[near])]
+        _, first = np.unique(ids[near], return_index=True)
+        if len(first) >= k:
+            return float(far[near[np.sort(first)[k - 1]]])
+        if m == len(far):
+            break
+        m = min(2 * m, len(far))
+    return math.inf
+
+
 def scan(query: np.ndarray, own: int, blocks: list[np.ndarray], ids: np.ndarray, limit: float, k: int) -> np.ndarray:
-    """Places of candidates that may be among the k nearest of a rotated unit query within squared distance `limit`."""
+    """Places of candidates that may be among the k nearest distinct ids of a rotated unit query within squared distance `limit`."""
     dim = sum(b.shape[1] for b in blocks)
     alive = np.flatnonzero(ids != own)
     far = np.zeros(len(alive))
@@ -87,9 +102,7 @@ def scan(query: np.ndarray, own: int, blocks: list[np.ndarray], ids: np.ndarray,
             alive, far = alive[stay], far[stay]
             if not len(alive):
                 return alive
-    if len(alive) > k:
-        limit = min(limit, np.partition(far, k - 1)[k - 1])
-    return alive[far <= limit + 1e-5]
+    return alive[far <= min(limit, kth(far, ids[alive], k)) + 1e-5]
 
 
 def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", is_query: Column | None = None, k: int = 5, probed: float = PROBED) -> DataFrame:
@@ -98,15 +111,15 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", i
     asked = F.col(key) % 50 == 0 if is_query is None else is_query
     good = ready(vectors).filter(valid(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(asked, F.lit(False)).alias("q"))
     schema = "query_id long, rank int, vec_id long, score double"
-    dims = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    dims = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("count"), F.count_distinct("id").alias("ids")).orderBy(F.desc("count"), "d").limit(1).collect()
     if not dims:
         return spark.createDataFrame([], schema)
-    dim, total = dims[0][0], dims[0][1]
+    dim, total, distinct = dims[0]
     good = good.filter(F.size("v") == dim)
     turn = rotation(dim)
     most = min(SAMPLE, max(256, 2**22 // dim))
-    share = min(1.0, 1.5 * most / total)
-    sample = good.filter(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("id", "v").orderBy(F.xxhash64("id"), "id").limit(most).toArrow()
+    share = min(1.0, 1.5 * most / distinct)
+    sample = good.filter(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).groupBy("id").agg(F.min("v").alias("v")).orderBy(F.xxhash64("id"), "id").limit(most).toArrow()
     own = np.array(sample["id"].to_numpy())
     picked = np.array(sample["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)
     original = picked

@@ -252,6 +252,55 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def check_distinct_neighbours(spark, ids, x, least):
+    rows = [(i, v) for i, v in zip(ids.tolist(), x.tolist(), strict=True)]
+    got = defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = n = 0
+    for q in sorted({i for i in ids.tolist() if i % 50 == 0}):
+        best = {}
+        for i, s in zip(ids.tolist(), (unit @ unit[np.flatnonzero(ids == q)[0]]).tolist(), strict=True):
+            if i != q:
+                best[i] = max(best.get(i, -2), s)
+        want = sorted(best, key=lambda i: (-best[i], i))[:5]
+        assert len(got[q]) == len(set(got[q])) == len(want), q
+        hits += len(set(want) & set(got[q]))
+        n += len(want)
+    assert hits / n >= least
+
+
+def test_neighbours_of_tables_whose_rows_repeat(spark):
+    g = np.random.default_rng(4)
+    ids, x = np.arange(1000), g.standard_normal((1000, 32))
+    check_distinct_neighbours(spark, np.repeat(ids, 2), np.repeat(x, 2, axis=0), 0.99)
+    hot = x[[50]] + 0.01 * g.standard_normal((500, 32))  # near a query, each row another vector
+    check_distinct_neighbours(spark, np.append(ids, np.full(500, 7)), np.vstack([x, hot]), 0.99)
+
+
+def test_neighbours_where_one_id_could_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 64)
+    g = np.random.default_rng(5)
+    from pyspark.sql import functions as F
+
+    by_hash = F.pmod(F.xxhash64("id", F.lit(ann.SEED)), F.lit(1 << 30)) < (1 << 30) * 1.5 * 64 / 3600
+    hot = spark.range(600).filter(by_hash & (F.col("id") % 50 != 0)).orderBy(F.xxhash64("id")).first().id
+    x = g.standard_normal((600, 16))
+    near = x[[50]] + 0.01 * g.standard_normal((3000, 16))
+    check_distinct_neighbours(spark, np.append(np.arange(600), np.full(3000, hot)), np.vstack([x, near]), 0.8)
+
+
+def test_scan_limits_by_distinct_ids():
+    g = np.random.default_rng(6)
+    x = g.standard_normal((60, 32))
+    x = np.repeat(x / np.linalg.norm(x, axis=1, keepdims=True), 7, axis=0)
+    ids, query = np.repeat(np.arange(60), 7), x[0]
+    at = ann.scan(query, 0, [x[:, :16], x[:, 16:]], ids, 4.0, 5)
+    best = [i for i in dict.fromkeys(ids[np.argsort(-(x @ query), kind="stable")].tolist()) if i != 0][:5]
+    assert set(best) <= set(ids[at].tolist())
+
+
 # URL filter
 
 
