@@ -73,9 +73,9 @@ def shingles(text: bytes, words: Hashes, n: int = SHINGLE) -> np.ndarray:
 
 
 def packets(docs: DataFrame, key: str, text: str, parts: int) -> DataFrame:
-    """Document rows (k, n, mark) and packed shingles (marks, at, low, high), by part."""
-    keyed = ready(docs).select(docs[key].cast("long").alias("k"), F.col(text).cast("binary").alias("t"))
-    schema = pa.schema([("part", pa.int32()), ("k", pa.int64()), ("n", pa.int64()), ("mark", pa.int64()), ("marks", pa.binary()), ("at", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
+    """Document rows (k, n, mark, h), h being a hash of the text, and packed shingles (marks, at, low, high), by part."""
+    keyed = ready(docs).select(docs[key].cast("long").alias("k"), F.col(text).cast("binary").alias("t"), F.xxhash64(F.col(text)).alias("h"))
+    schema = pa.schema([("part", pa.int32()), ("k", pa.int64()), ("n", pa.int64()), ("mark", pa.int64()), ("marks", pa.binary()), ("at", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("h", pa.int64())])
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Hashes()
@@ -106,9 +106,9 @@ def packets(docs: DataFrame, key: str, text: str, parts: int) -> DataFrame:
         if sets:
             yield batch(schema, packed(np.concatenate(sets), np.concatenate(owners), np.array(list(seen), "<i8"), parts))
         nothing = [None] * b.num_rows
-        yield batch(schema, [[i % parts for i in range(b.num_rows)], b.column(0), sizes, marks, nothing, nothing, nothing, nothing])
+        yield batch(schema, [[i % parts for i in range(b.num_rows)], b.column(0), sizes, marks, nothing, nothing, nothing, nothing, b.column(2)])
 
-    return keyed.mapInArrow(rows, "part int, k long, n long, mark long, marks binary, at binary, low binary, high binary")
+    return keyed.mapInArrow(rows, "part int, k long, n long, mark long, marks binary, at binary, low binary, high binary, h long")
 
 
 def packed(h: np.ndarray, owner: np.ndarray, marks: np.ndarray, parts: int) -> list[list]:
@@ -117,11 +117,11 @@ def packed(h: np.ndarray, owner: np.ndarray, marks: np.ndarray, parts: int) -> l
     order = np.argsort(part, kind="stable")
     h, owner, part = h[order], owner[order], part[order]
     cuts = np.flatnonzero(np.diff(part)) + 1
-    out: list[list] = [[] for _ in range(8)]
+    out: list[list] = [[] for _ in range(9)]
     for i, j in zip([0, *cuts], [*cuts, len(h)], strict=True):
         own, at = np.unique(owner[i:j], return_inverse=True)
         low, high = h[i:j] & np.uint64(0xFFFFFFFF), (h[i:j] >> np.uint64(32)) & np.uint64(0xFF)
-        row = (int(part[i]), None, None, None, marks[own].tobytes(), at.astype(place(len(own))).tobytes(), low.astype("<u4").tobytes(), high.astype("u1").tobytes())
+        row = (int(part[i]), None, None, None, marks[own].tobytes(), at.astype(place(len(own))).tobytes(), low.astype("<u4").tobytes(), high.astype("u1").tobytes(), None)
         for column, value in zip(out, row, strict=True):
             column.append(value)
     return out
@@ -165,8 +165,8 @@ def shared(packs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
 
 
 def counted(packets_: DataFrame, parts: int) -> DataFrame:
-    """Document rows (k, n, mark), and rows (mark, token, df) of shingles that several classes hold."""
-    schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("mark", pa.int64()), ("token", pa.int64()), ("df", pa.int64())])
+    """Document rows (k, n, mark, h), and rows (mark, token, df) of shingles that several classes hold."""
+    schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("mark", pa.int64()), ("token", pa.int64()), ("df", pa.int64()), ("h", pa.int64())])
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -174,7 +174,7 @@ def counted(packets_: DataFrame, parts: int) -> DataFrame:
             doc = b.filter(b.column(4).is_null())
             if len(doc):
                 none = [None] * len(doc)
-                yield batch(schema, [doc.column(1), doc.column(2), doc.column(3), none, none])
+                yield batch(schema, [doc.column(1), doc.column(2), doc.column(3), none, none, doc.column(8)])
             for r in b.filter(b.column(4).is_valid()).to_pylist():
                 own = np.frombuffer(r["marks"], "<i8")
                 token = np.frombuffer(r["low"], "<u4").astype(np.int64) | np.frombuffer(r["high"], "u1").astype(np.int64) << 32
@@ -184,9 +184,9 @@ def counted(packets_: DataFrame, parts: int) -> DataFrame:
             for i in range(0, len(token), 50_000):
                 j = i + 50_000
                 none = [None] * len(token[i:j])
-                yield batch(schema, [none, none, pa.array(marks[i:j]), pa.array(token[i:j] | part << BITS), pa.array(df[i:j].astype(np.int64))])
+                yield batch(schema, [none, none, pa.array(marks[i:j]), pa.array(token[i:j] | part << BITS), pa.array(df[i:j].astype(np.int64)), none])
 
-    return packets_.repartition(parts, "part").mapInArrow(rows, "k long, n long, mark long, token long, df long")
+    return packets_.repartition(parts, "part").mapInArrow(rows, "k long, n long, mark long, token long, df long, h long")
 
 
 def least_overlap(a: Column, b: Column) -> Column:
@@ -271,31 +271,39 @@ def open_members(members: DataFrame, roots: DataFrame, seen: DataFrame) -> DataF
     return written(m.select("token", "mark", "n", "c", "rest", "root", minor, F.when(F.col("mark") == F.col("pivot"), F.col("c")).otherwise(F.col("overlap")).alias("overlap")), "open-members")
 
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id (the smallest key that links reach) of every row."""
+def grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """k, n, mark, h, component (the smallest key that links reach) and root (the component's own name, as several can share a key) of every row."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     base = written(counted(packets(docs, key, text, parts), parts), "shingles")
-    rows = base.filter("n is not null").select("k", "n", "mark")
+    rows = base.filter("n is not null").select("k", "n", "mark", "h")
     classes = written(rows.filter("mark is not null and k is not null").groupBy("mark").agg(F.max("n").alias("n"), F.min("k").alias("k")), "classes")
     links = class_links(classes.select("mark", "n"), base.filter("token is not null").select("mark", "token", "df"))
     roots = connected(links)
     rooted = written(classes.join(roots.select(F.col("node").alias("mark"), "root"), "mark", "left").select("mark", "k", F.coalesce("root", "mark").alias("root")), "rooted")
     smallest = written(rooted.groupBy("root").agg(F.min("k").alias("component")), "smallest")
-    of = written(rooted.join(smallest, "root").select("mark", "component"), "components")
+    of = written(rooted.join(smallest, "root").select("mark", "component", "root"), "components")
     out = rows.join(of, "mark", "left")
     component = F.when(F.col("k").isNotNull(), F.coalesce(F.when(F.col("mark").isNotNull(), F.col("component")), F.col("k")))
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("k", "n", "mark", "h", component.alias("component"), "root")
+
+
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles, component_id (the smallest key that links reach) of every row."""
+    return grouped(docs, key, text).select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near copies, the one with the smallest key; rows without a key all stay.
 
     What goes is a small sorted table of keys, so texts are shuffled only where that table is too large to broadcast.
-    Rows that repeat a key are one document unless their texts differ.
+    Where keys repeat, rows are told apart by key and a 64-bit hash of the text: of a group's rows with its smallest key
+    the one of the smallest hash stays, whatever else its key is on. Rows that repeat key and text are one.
     """
-    found = written(components(docs, key, text), "near-copies").filter(F.col(key).isNotNull())
-    gone = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
-    if found.groupBy(key).count().filter("count > 1").isEmpty():
+    found = written(grouped(docs, key, text), "near-copies").filter("k is not null")
+    if found.groupBy("k").count().filter("count > 1").isEmpty():
+        gone = found.filter("k != component").select(F.col("k").alias(key)).distinct()
         return docs.join(written(gone.repartitionByRange(8, key).sortWithinPartitions(key), "gone"), key, "left_anti")
-    firsts = written(found.filter(F.col(key) == F.col("component_id")).select(key).distinct(), "firsts")
-    return docs.join(firsts, key, "left_semi").dropDuplicates([key, text]).unionByName(docs.filter(F.col(key).isNull()))
+    firsts = found.filter("mark is not null").groupBy("root").agg(F.min(F.struct("k", "h")).alias("first")).select("first.k", "first.h")
+    firsts = written(firsts.union(found.filter("mark is null").select("k", "h").distinct()).select(F.col("k").alias("_first_key"), F.col("h").alias("_first_text")), "firsts")
+    here = (F.col(key).cast("long") == F.col("_first_key")) & (F.xxhash64(F.col(text)) == F.col("_first_text"))
+    return docs.join(firsts, here, "left_semi").dropDuplicates([key, text]).unionByName(docs.filter(F.col(key).isNull()))

@@ -78,3 +78,27 @@ def test_null_keys_repeats_and_empty(spark):
     assert got == sorted([(True, 0, 3, None), (True, 0, 0, None), (False, 7, 3, 7), (False, 7, 3, 7), (False, 9, 3, 7)], key=str)
     assert ngram_join.components(df.limit(0)).count() == 0
     assert sorted((r.doc_id or 0) for r in ngram_join.keep(df).collect()) == [0, 0, 7]
+
+
+def test_keep_leaves_one_row_of_each_group_where_keys_repeat(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in ngram_join.keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert kept([(2, x), (5, x), (5, y)]) == [(2, x), (5, y)]
+    assert kept([(5, y), (5, y), (5, z), (5, " "), (5, None), (5, None)]) == sorted([(5, y), (5, z), (5, " "), (5, None)], key=str)
+    near = [(5, y), (5, y + " more"), (5, y + " again"), (5, z)]
+    got = kept(near)
+    assert len(got) == 2 and (5, z) in got and got == kept(near[::-1])
+
+
+def test_keep_with_a_hot_key_equals_brute_force(spark):
+    texts = dict(enumerate(families(6, 12, 60, 3, 8) + families(8, 1, 60, 0, 9)))
+    key = lambda i: 1000 if i % 3 == 0 else i
+    rows = [(key(i), t) for i, t in texts.items()]
+    groups = {}
+    for i, root in brute_components(texts).items():
+        groups.setdefault(root, []).append((key(i), texts[i]))
+    got = [(r.doc_id, r.text) for r in ngram_join.keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(groups)
+    for g in groups.values():
+        mine = [r for r in got if r in g]
+        assert len(mine) == 1 and mine[0][0] == min(k for k, _ in g)
