@@ -100,7 +100,7 @@ def blended(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Smoothed value of each key: the first as it is, then the mean of the old and the new."""
     xs = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
     a = rows.groupBy(key).agg(xs.alias("_x"))
-    return a.select(key, F.aggregate(F.slice("_x", 2, 1_000_000), F.col("_x")[0], lambda s, x: (s + x) / 2).alias("blended"))
+    return a.select(key, F.aggregate(F.slice("_x", F.lit(2), F.size("_x")), F.col("_x")[0], lambda s, x: (s + x) / 2).alias("blended"))
 
 
 def source_of(detail: Column) -> Column:

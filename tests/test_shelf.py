@@ -193,3 +193,13 @@ def test_search_over_tables(spark):
     assert [r.chunk_id for r in shelf.pending_embedding(todo, "t", embed).filter("embedded").collect()] == ["a"]
     ctx = shelf.context(spark.createDataFrame([("S", 1, "abcdef", 1), ("T", 2, "ghijkl", 2)], "source string, page int, full_text string, rank int"), 8).first().context
     assert ctx == "[S p.1]\nabcdef\n\n[T p.2]\ngh"
+
+
+def test_blended_folds_every_value(spark):
+    from tessel.operators import usage
+
+    n = 1_000_003
+    rows = spark.range(n).select(F.lit("u").alias("user"), "id", F.when(F.col("id") == n - 1, 1.0).otherwise(0.0).alias("x"))
+    assert [tuple(r) for r in usage.blended(rows, "user", "id", "x").collect()] == [("u", 0.5)]
+    few = spark.createDataFrame([("a", 2, 4.0), ("a", 1, 2.0), ("b", 1, 7.0), ("a", 3, 5.0)], "user string, id int, x double")
+    assert {tuple(r) for r in usage.blended(few, "user", "id", "x").collect()} == {("a", 4.0), ("b", 7.0)}
