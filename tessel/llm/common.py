@@ -3,25 +3,31 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _opened: set[str] = set()
+#: Rows in an Arrow batch to or from Python: documents are long, so batches of the usual 10,000 rows would hold tens of megabytes each, twice in Python and once outside the heap.
+ROWS = "1000"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a new local one, which only a local session can use."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if base is None:
         held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
+        elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             own = tempfile.mkdtemp(prefix="tessel-")
             atexit.register(shutil.rmtree, own, True)
@@ -49,7 +55,9 @@ atexit.register(_release_at_exit)
 
 
 def ready(df: DataFrame) -> DataFrame:
-    """df; Python functions made from now on find this package on workers that share the driver's folders, wherever these started."""
+    """df; Python functions made from now on find this package on workers that share the driver's folders, and get small batches unless the session sets their size."""
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{root}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else root
@@ -66,6 +74,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trimmed(rows: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """rows, after which the worker gives the memory it no longer needs back to the machine: workers outlive tasks, and what they keep counts against the executor."""
+
+    def all_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return all_rows
+
+
 def texts(column: pa.Array) -> list[str]:
     """A string column as Python strings, null as empty."""
     return [x or "" for x in column.to_pylist()]
