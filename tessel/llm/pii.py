@@ -6,11 +6,13 @@ span's shape. Expectation-maximisation over the counts of vote patterns estimate
 labelled text, and the probability of every pattern. These soft labels train a span classifier, which decides: naive
 Bayes over the votes, as weighed by their reliability, the word before, the span's length and the character after it.
 
-Everything per row is native. The corpus enters the model as two aggregates of fixed size: at most 6 * 3^5 vote
-patterns and 6 * 69 feature values, whatever the table's size. The scan leaves only spans; there is no join.
+Everything per row is native, and linear but for one sort of spans. The corpus enters the model as two aggregates of fixed size: at most 6 * 3^5 vote
+patterns and 6 * 69 feature values, whatever the table's size. The scan leaves only spans; there is no join. Texts are
+scanned once, by mask() too, which writes the rows with their spans before it trains.
 
 Defined cases: a null text is empty; texts are scanned whole; candidates on which all labelers abstain or say no are
-never accepted; candidates that overlap a base span are dropped; repeated rows count each; an empty table trains an
+never accepted; candidates that overlap a base span are dropped; of spans that tie for a place the kind listed first comes first;
+where spans overlap, the first one's kind stands for all; repeated rows count each; an empty table trains an
 empty model; other columns are not read by find() and pass through mask() whatever they are called.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .spans import let, matches, overlaps
+from .spans import clear_of, let, matches, replaced
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
@@ -42,10 +44,20 @@ CANDIDATES = (
 )
 KINDS = (*BASE, *(k for k, _ in CANDIDATES))
 #: Gazetteers and trigger words.
-FIRST_NAMES = "Anna Antonio Carlos Carmen Charles Claire David Elena Elizabeth Emma Francois Hans Isabel James Jean Jennifer Jessica Johann John Jose Juan Julia Karl Klaus Laura Linda Luis Maria Marie Mark Mary Michael Michel Miguel Patricia Paul Peter Pierre Robert Sarah Sophie Susan Thomas William".split()
+FIRST_NAMES = (
+    "Adam Agnes Alain Albert Alex Alexander Alice Alicia Amanda Amy Ana Andre Andrea Andreas Andrew Angela Anita Ann Anna Anne Antoine Antonio Arthur Barbara Beatriz Ben Benjamin Bernard "
+    "Bernd Brian Bruno Camille Carl Carlos Carmen Carol Caroline Catherine Cecile Charles Charlotte Chloe Chris Christian Christine Christoph Claire Clara Claude Claudia Cristina Daniel "
+    "David Deborah Diana Diego Dieter Dominique Donna Eduardo Edward Elena Elisabeth Elizabeth Emily Emma Eric Erik Eva Felix Fernando Florian Francisco Francois Frank Franz Fred Gabriel "
+    "Georg George Gerard Grace Guillaume Hans Heinz Helen Helga Henry Hugo Ines Ingrid Irene Isabel Jack Jacques James Jan Jane Javier Jean Jennifer Jessica Joan Johann John Jonas Jorge Jose "
+    "Joseph Juan Julia Julie Karen Karin Karl Kevin Klaus Laura Lea Linda Lisa Louis Lucas Lucia Luis Manuel Marc Marco Maria Marie Mark Markus Marta Martin Mary Matthew Max Michael Michel "
+    "Miguel Monica Nicole Nina Olivier Oscar Pablo Patricia Paul Pedro Peter Philippe Pierre Rachel Rafael Raul Richard Robert Sara Sarah Simon Sofia Sophie Stefan Susan Thomas Ursula Victor William"
+).split()
 NO_NAMES = "The This That These Those And But For With From Of On In To Is Are Was It As At By Or An Der Die Das Und Le La Les Et Un Une El Los Las Que De Del Version License General Public Creative Commons Apache".split()
 DOMAINS = "com net org edu gov io de fr es uk info eu".split()
-COUNTRIES = "AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split()
+COUNTRIES = (
+    "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV "
+    "MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK"
+).split()
 TRIGGERS = {
     "name": r"(?i:name|contact|signed|from|dear|mr|mrs|ms|dr|author|by)[:.,]?\s*$",
     "idnum": r"(?i:ssn|social security|tax id|id(?: no\.?| number)?)[:#]?\s*$",
@@ -73,6 +85,14 @@ def luhn(number: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x)) % 10 == 0
 
 
+def checked(iban: Column) -> Column:
+    """Whether an account number is 1 modulo 97, its first four characters moved to the end and letters read as 10 to 35."""
+    plain = F.regexp_replace(iban, " ", "")
+    digit = lambda a, c: (a * F.when(c >= 65, 100).otherwise(10) + F.when(c >= 65, c - 55).otherwise(c - 48)) % 97
+    turned = F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4))
+    return F.aggregate(F.transform(F.filter(F.split(turned, ""), lambda c: c != ""), F.ascii), F.lit(0), digit) == 1
+
+
 def base_spans(text: Column) -> Column:
     """struct of the base kinds' spans, and of card-like runs that fail the check."""
     card = let(
@@ -104,7 +124,7 @@ def _votes(kind: str, s: Column, before: Column) -> list[Column]:
         "idnum": vote(t.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), t.rlike("^(?:000|666)|-00-|-0000$")),
         "local": vote(t.rlike(r"^\([2-9]|^[2-9][0-9]{2}([ .-])[0-9]{3}\1"), t.rlike(r"^\(?[01]")),
         "hidden": vote(t.rlike(r"\[at\]|\(at\)"), never),
-        "iban": vote(F.length(F.regexp_replace(t, " ", "")).between(15, 34), never),
+        "iban": vote(F.length(F.regexp_replace(t, " ", "")).between(15, 34) & checked(t), ~checked(t)),
         "digits": vote(never, F.lit(True)),
     }[kind]
     gazetteer = {
@@ -146,7 +166,7 @@ def scanned(text: Column) -> Column:
     def both(b: Column) -> Column:
         base = F.concat(*[_kinded(b[k], k) for k in BASE])
         loose = F.concat(*[_judged(b["digits"] if k == "digits" else matches(t, p), k) for k, p in CANDIDATES])
-        return let(F.struct(base.alias("base"), loose.alias("loose")), lambda x: F.struct(x["base"].alias("base"), F.filter(x["loose"], lambda c: ~F.exists(x["base"], lambda s: overlaps(s, c))).alias("loose")))
+        return let(F.struct(base.alias("base"), loose.alias("loose")), lambda x: F.struct(x["base"].alias("base"), clear_of(x["loose"], x["base"]).alias("loose")))
 
     return let(base_spans(t), both)
 
@@ -256,21 +276,15 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with every span, and what overlaps it, replaced by its kind in brackets."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    piece = "array<string>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(piece).alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        gap = F.substring(text, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).otherwise(a["out"]).alias("out"))
-
-    end = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, start, step, end)).otherwise(text)
+    return replaced(text, spans, lambda kind: F.concat(F.lit("["), F.upper(kind), F.lit("]")))
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with personal data masked in the text; texts without any, and null ones, stay as they are."""
-    model = train(written(docs.select(scanned(F.col(text))["loose"].alias("loose")), "pii-candidates"))
-    spans = let(scanned(F.col(text)), lambda s: F.concat(s["base"], accepted(s["loose"], model)))
-    return docs.withColumn(text, let(spans, lambda s: masked(F.col(text), s)))
+    own = "_spans"
+    while own in docs.columns:
+        own = "_" + own
+    rows = written(docs.withColumn(own, scanned(F.col(text))), "pii-rows")
+    model = train(rows.select(F.col(f"{own}.loose").alias("loose")))
+    found = F.concat(F.col(f"{own}.base"), accepted(F.col(f"{own}.loose"), model))
+    return rows.withColumn(text, masked(F.col(text), found)).select(*docs.columns)

@@ -139,7 +139,7 @@ WITH d AS (
     SELECT * FROM v WHERE kind = 'assign' AND value >= 12 OR kind = 'access' AND length(m) >= 18 OR kind = 'hex' AND length(m) >= 16
 ), w AS (
     SELECT * FROM v WHERE (kind IN ('id', 'endpoint') OR kind = 'short' AND value BETWEEN 4 AND 11
-        OR kind = 'key' AND length(m) >= 16 AND regexp_matches(left(m, 81), '[0-9]') AND regexp_matches(left(m, 81), '[a-z]') AND regexp_matches(left(m, 81), '[A-Z]'))
+        OR kind = 'key' AND length(m) >= 16 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]'))
     AND NOT EXISTS (SELECT 1 FROM b WHERE b.row = v.row AND b.start < v.stop AND v.start < b.stop)
 ), p AS (
     SELECT * FROM b UNION ALL SELECT * FROM w

@@ -8,8 +8,8 @@ identifier and a secret. Candidates that overlap a strong part are that part and
 All of it is native. The scan leaves only spans; the interval join deals them by (row, position / SCOPE) and gets, per
 bin and role, just the first and last start, so a candidate meets nine rows at most however many parts a text holds.
 
-Defined cases: a null text is empty; texts are scanned whole; repeated rows are scanned each; rows without a key
-are kept; an empty table gives an empty result; other columns are not read.
+Defined cases: a null text is empty; texts are scanned whole; repeated rows are scanned each; spans that tie for a start
+go by kind as listed; rows without a key are kept; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,17 +18,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .spans import kinded, matches, overlaps
+from .spans import clear_of, kinded, matches
 
 SCOPE = 240
 VALUE = "[A-Za-z0-9+/_.=-]"
 ASSIGN = rf"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?{VALUE}++"""
 #: The base kinds, in the order that ranks them, with their roles.
 BASE = (("assign", "secret"), ("access", "identifier"), ("hex", "secret"))
-#: Weak candidates: kind, role, pattern (matches of short are filtered by the value's length).
+#: Weak candidates: kind, role, pattern (matches of key must mix digits and letters of both cases, those of short are filtered by the value's length).
 WEAK = (
     ("id", "identifier", r"""(?i:client_?id|access_?key(?:_?id)?|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+"""),
-    ("key", "secret", r"""(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,80}[0-9])(?=[A-Za-z0-9+/_=-]{0,80}[a-z])(?=[A-Za-z0-9+/_=-]{0,80}[A-Z])[A-Za-z0-9+/_=-]{16,}+"""),
+    ("key", "secret", r"""(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"""),
     ("short", "secret", rf"""(?i:password|passwd|pwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?{VALUE}++"""),
     ("endpoint", "endpoint", r"""(?i:(?:https?|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9_.:@-]{3,}+"""),
 )
@@ -49,9 +49,13 @@ def base_spans(text: Column) -> Column:
 
 
 def _loose(text: Column, kind: str, pattern: str) -> Column:
-    """Matches of a weak kind; a short value has 4 to 11 characters, as longer ones are strong."""
+    """Matches of a weak kind; a short value has 4 to 11 characters, as longer ones are strong; a key mixes three kinds of characters."""
     found = matches(text, pattern)
-    return F.filter(found, lambda s: value_length(s).between(4, 11)) if kind == "short" else found
+    if kind == "short":
+        return F.filter(found, lambda s: value_length(s).between(4, 11))
+    if kind == "key":
+        return F.filter(found, lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[a-z]") & s["text"].rlike("[A-Z]"))
+    return found
 
 
 def _candidates(spans: Column, kind: str, role: str, rank: int) -> Column:
@@ -64,7 +68,7 @@ def scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
     found = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), base_spans(t).alias("b"), *[_loose(t, k, p).alias(f"w{i}") for i, (k, _, p) in enumerate(WEAK)])
     base = F.concat(*[kinded(F.col(f"b.{k}"), k, i) for i, (k, _) in enumerate(BASE)])
     flat = F.concat(*[_candidates(F.col(f"w{i}"), k, r, len(BASE) + i) for i, (k, r, _) in enumerate(WEAK)])
-    return found.select("key", "row", base.alias("base"), flat.alias("weak")).select("key", "row", "base", F.when(F.size("weak") > 0, F.filter("weak", lambda w: ~F.exists("base", lambda s: overlaps(s, w)))).otherwise(F.col("weak")).alias("weak"))
+    return found.select("key", "row", base.alias("base"), flat.alias("weak")).select("key", "row", "base", clear_of(F.col("weak"), F.col("base")).alias("weak"))
 
 
 def linked(rows: DataFrame) -> DataFrame:

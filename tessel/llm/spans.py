@@ -72,5 +72,68 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def most_before(values: Column) -> Column:
+    """For each place of an array of numbers the largest value before it, null at the first; nulls are passed over.
+
+    Steps of STEP values, and the largest of each step, keep the cost of long arrays low.
+    """
+
+    def stepped(v: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STEP).cast("int")), lambda b: F.slice(v, b * STEP + 1, STEP))
+        return let(steps, lambda s: let(F.transform(s, F.array_max), lambda tops: F.flatten(F.transform(s, lambda x, b: within(x, F.array_max(F.slice(tops, 1, b)))))))
+
+    def within(step: Column, top: Column) -> Column:
+        return F.transform(step, lambda x, i: F.greatest(top, F.array_max(F.slice(step, 1, i))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, stepped(v)).otherwise(v))
+
+
+def clear_of(loose: Column, base: Column) -> Column:
+    """The spans of loose, with start and end, that overlap no span of base; one sort of both, not every pair."""
+
+    def mark(spans: Column, own: int) -> Column:
+        return F.transform(spans, lambda s, i: F.struct(s["start"].cast("long").alias("start"), F.lit(own).alias("own"), s["end"].cast("long").alias("end"), i.cast("int").alias("place")))
+
+    def clear(m: Column) -> Column:
+        """Places of loose spans that no base span before them reaches, and that reach no base span after them."""
+        end = most_before(F.transform(m, lambda x: F.when(x["own"] == 0, x["end"])))
+        start = F.reverse(most_before(F.reverse(F.transform(m, lambda x: F.when(x["own"] == 0, -x["start"])))))
+        near = F.zip_with(end, start, lambda e, s: F.struct(e.alias("end"), (-s).alias("start")))
+        met = lambda x, n: F.coalesce(n["end"] > x["start"], F.lit(False)) | F.coalesce(n["start"] < x["end"], F.lit(False))
+        return F.array_sort(F.array_compact(F.zip_with(m, near, lambda x, n: F.when((x["own"] == 1) & ~met(x, n), x["place"]))))
+
+    def left(x: Column) -> Column:
+        places = let(F.array_sort(F.concat(mark(x["base"], 0), mark(x["loose"], 1))), clear)
+        return F.transform(places, lambda i: F.get(x["loose"], i))
+
+    return F.when((F.size(loose) > 0) & (F.size(base) > 0), let(F.struct(loose.alias("loose"), base.alias("base")), left)).otherwise(loose)
+
+
+def replaced(text: Column, spans: Column, label: Callable[[Column], Column]) -> Column:
+    """The text with every span (start, end, kind), and what overlaps it, replaced by its label; a span that starts inside an earlier one adds none."""
+
+    def ordered(s: Column) -> Column:
+        return let(F.array_sort(F.transform(s, lambda x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"), x["kind"].alias("kind")))), placed)
+
+    def placed(s: Column) -> Column:
+        return let(most_before(F.transform(s, lambda x: x["end"])), lambda ends: pieces(F.zip_with(s, ends, lambda x, e: F.struct(F.coalesce(e, F.lit(0).cast("long")).alias("at"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))))
+
+    def pieces(s: Column) -> Column:
+        tail = let(F.array_max(F.transform(s, lambda x: x["end"])), lambda e: F.substring(text, (e + 1).cast("int"), F.length(text)))
+        return F.concat(cut_up(text, F.lit(0).cast("long"), s, STEP * STEP), tail)
+
+    def cut_up(t: Column, at: Column, s: Column, size: int) -> Column:
+        """The replaced text of spans, given the text from character `at` on: each step's part is cut out once, and smaller steps out of that."""
+        steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / size).cast("int")), lambda b: F.slice(s, b * size + 1, size))
+        return F.array_join(F.transform(steps, lambda step: step_of(t, at, step, size)), "")
+
+    def step_of(t: Column, at: Column, step: Column, size: int) -> Column:
+        first, last = step[0]["at"], F.array_max(F.transform(step, lambda x: F.greatest(x["at"], x["end"])))
+        part = F.struct(first.alias("at"), F.substring(t, (first - at + 1).cast("int"), (last - first).cast("int")).alias("t"))
+        return let(part, lambda p: cut_up(p["t"], p["at"], step, STEP) if size > STEP else F.array_join(F.transform(step, lambda x: one(p, x)), ""))
+
+    def one(p: Column, x: Column) -> Column:
+        gap = F.substring(p["t"], (x["at"] - p["at"] + 1).cast("int"), F.greatest(x["start"] - x["at"], F.lit(0)).cast("int"))
+        return F.when(x["start"] >= x["at"], F.concat(gap, label(x["kind"]))).otherwise("")
+
+    return F.when(F.size(spans) > 0, let(spans, ordered)).otherwise(text)
