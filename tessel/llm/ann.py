@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, ready, written
+from .common import batch, ready, trimmed, written
 
 SAMPLE = 8192
 LIST = 2048
@@ -165,9 +165,9 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", i
                 m = lists.shape[1]
                 yield batch(schema, [pa.array(lists[i].astype(np.int32)), pa.array(np.full(m, b.column(0)[i].as_py())), [raw[i].tobytes()] * m, pa.array(np.full(m, limit[i]))])
 
-    index = written(good.select("id", "v").mapInArrow(dealt, "list int, id long, v binary"), "vector-lists")
+    index = written(good.select("id", "v").mapInArrow(trimmed(dealt), "list int, id long, v binary"), "vector-lists")
     asking = good.filter("q").select("id", "v").dropDuplicates(["id"])
-    queries = asking.mapInArrow(probing, "list int, id long, v binary, limit double")
+    queries = asking.mapInArrow(trimmed(probing), "list int, id long, v binary, limit double")
     sizes = index.groupBy("list").count().withColumn("parts", F.ceil(F.col("count") / LIST).cast("int")).select("list", "parts")  # a row per list, MOST_LISTS at most
     parts = F.broadcast(sizes)
     left = index.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("list", "part", "id", "v")

@@ -335,7 +335,7 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     go), so texts are shuffled only where that table is too large to broadcast.
     """
     found = written(grouped(docs, key, text), "near-copies").filter("k is not null")
-    first = found.filter("mark is not null").groupBy("root").agg(F.min(F.struct("k", "h")).alias("first"))
+    first = written(found.filter("mark is not null").groupBy("root").agg(F.min(F.struct("k", "h")).alias("first")), "firsts")
     met = found.join(first, "root", "left")
     stays = F.col("mark").isNull() | F.coalesce((F.col("k") == F.col("first.k")) & (F.col("h") == F.col("first.h")), F.lit(True))
     judged = written(met.groupBy(F.col("k").alias("_key"), F.col("h").alias("_hash")).agg(F.max(stays).alias("stays"), F.count("*").alias("rows")), "judged")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, ready, texts
+from .common import batch, ready, texts, trimmed
 from .vocab import byte_bpe
 
 CAPACITY = 1024
@@ -82,7 +82,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             take = pa.array(at, pa.int32())
             yield batch(pa.schema([b.schema.field(0), b.schema.field(2), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())]), [b.column(0).take(take), b.column(2).take(take), *cols])
 
-    return dealt.mapInArrow(rows, f"k {dealt.schema[0].dataType.simpleString()}, block int, {PIECES}")
+    return dealt.mapInArrow(trimmed(rows), f"k {dealt.schema[0].dataType.simpleString()}, block int, {PIECES}")
 
 
 def sequences(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import batch, ready, texts
+from .common import batch, ready, texts, trimmed
 
 MARK = "▁"
 REMEMBERED = 400_000
@@ -268,7 +268,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text")
         for b in batches:
             yield batch(pa.schema([b.schema.field(0), ("ids", pa.list_(pa.int32()))]), [b.column(0), [c.encode(t) for t in texts(b.column(1))]])
 
-    return keyed.mapInArrow(rows, f"k {keyed.schema[0].dataType.simpleString()}, ids array<int>").withColumnRenamed("k", key)
+    return keyed.mapInArrow(trimmed(rows), f"k {keyed.schema[0].dataType.simpleString()}, ids array<int>").withColumnRenamed("k", key)
 
 
 def decode(coded: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -280,7 +280,7 @@ def decode(coded: DataFrame, model: str, key: str = "doc_id", ids: str = "ids")
         for b in batches:
             yield batch(pa.schema([b.schema.field(0), ("text", pa.string())]), [b.column(0), [c.decode(i or []) for i in b.column(1).to_pylist()]])
 
-    return keyed.mapInArrow(rows, f"k {keyed.schema[0].dataType.simpleString()}, text string").withColumnRenamed("k", key)
+    return keyed.mapInArrow(trimmed(rows), f"k {keyed.schema[0].dataType.simpleString()}, text string").withColumnRenamed("k", key)
 
 
 def round_trip(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -297,4 +297,4 @@ def round_trip(docs: DataFrame, model: str, key: str = "doc_id", text: str = "te
             cols = [list(x) for x in zip(*found, strict=True)] or [[], [], []]
             yield batch(pa.schema([b.schema.field(0), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]), [b.column(0), *cols])
 
-    return keyed.mapInArrow(rows, f"k {keyed.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("k", key)
+    return keyed.mapInArrow(trimmed(rows), f"k {keyed.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("k", key)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import batch, ready, texts
+from .common import batch, ready, texts, trimmed
 
 LEVEL = 3
 CHUNK = 2048
@@ -104,7 +104,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             yield batch(pa.schema([b.schema.field(0), *MEASURES]), [b.column(0), *(list(c) for c in zip(*found, strict=True))] if found else [b.column(0)] + [[]] * len(MEASURES))
 
     kind = keyed.schema[0].dataType.simpleString()
-    return keyed.mapInArrow(rows, f"k {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, bad_chunks long").withColumnRenamed("k", key)
+    return keyed.mapInArrow(trimmed(rows), f"k {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, bad_chunks long").withColumnRenamed("k", key)
 
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -116,4 +116,4 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([judge.row(t)[6] for t in texts(b.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(trimmed(rows), docs.schema)

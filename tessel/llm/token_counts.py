@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, ready, texts
+from .common import batch, ready, texts, trimmed
 from .vocab import SPLIT, encoding
 
 LEAF = 32
@@ -171,7 +171,7 @@ def after_edits(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
             cols = [list(x) for x in zip(*found, strict=True)] or [[]] * 5
             yield batch(pa.schema([b.schema.field(0), *((n, pa.int64()) for n in ("n_tokens", "n_pretokens", "n_edits", "n_tokens_after", "n_reencoded"))]), [b.column(0), *cols])
 
-    return keyed.mapInArrow(rows, f"k {keyed.schema[0].dataType.simpleString()}, n_tokens long, n_pretokens long, n_edits long, n_tokens_after long, n_reencoded long").withColumnRenamed("k", key)
+    return keyed.mapInArrow(trimmed(rows), f"k {keyed.schema[0].dataType.simpleString()}, n_tokens long, n_pretokens long, n_edits long, n_tokens_after long, n_reencoded long").withColumnRenamed("k", key)
 
 
 def with_edits(docs: DataFrame, log: DataFrame, key: str = "doc_id") -> DataFrame:
