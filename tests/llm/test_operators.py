@@ -296,7 +296,7 @@ def test_scan_limits_by_distinct_ids():
     x = g.standard_normal((60, 32))
     x = np.repeat(x / np.linalg.norm(x, axis=1, keepdims=True), 7, axis=0)
     ids, query = np.repeat(np.arange(60), 7), x[0]
-    at = ann.scan(query, 0, [x[:, :16], x[:, 16:]], ids, 4.0, 5)
+    at = ann.scan(query, np.flatnonzero(ids != 0), [x[:, :16], x[:, 16:]], ids, 4.0, 5)
     best = [i for i in dict.fromkeys(ids[np.argsort(-(x @ query), kind="stable")].tolist()) if i != 0][:5]
     assert set(best) <= set(ids[at].tolist())
 
