@@ -6,7 +6,7 @@ rest are dealt into blocks of about BLOCK documents and packed there: in descend
 to the sequence of lowest cost that has room for it, among as many sequences as the block's tokens need. A piece
 that fits nowhere is cut to fill the rooms that are left, so a block pads less than one sequence.
 
-Tokens are made once, in the first stage; only the rests carry their ids (16 bits each) into the one shuffle. Blocks
+Tokens are made once, in the first stage; only the rests carry their ids (16 bits each, 32 where the vocabulary has more than 65,536) into the one shuffle. Blocks
 are dealt by a hash of key and row number, so neither a frequent key nor copies crowd a block.
 
 Defined cases: a null text is empty and gives one piece, its end token; repeated rows are packed one by one; ties
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, ready, texts, trimmed
-from .vocab import byte_bpe
+from .vocab import byte_bpe, encoding
 
 CAPACITY = 1024
 BLOCK = 512
@@ -63,13 +63,18 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
     return out
 
 
+def id_kind(tokenizer: str) -> str:
+    """The type in which ids of a vocabulary travel."""
+    return "<u2" if encoding(tokenizer).max_token_value < 1 << 16 else "<u4"
+
+
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """Cut documents: key, start, length, checksum, the document's tokens, ids (null for a piece that fills a sequence), block."""
     blocks = max(1, -(-docs.count() // block))
     dealt = ready(docs).select(F.col(key).alias("k"), F.col(text).alias("t"), F.pmod(F.xxhash64(F.col(key), F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(tokenizer)
+        encode, kind = byte_bpe(tokenizer), id_kind(tokenizer)
         for b in batches:
             at, cols = [], [[] for _ in range(5)]
             for i, t in enumerate(texts(b.column(1))):
@@ -77,7 +82,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                 for start in range(0, len(ids), capacity):
                     part = ids[start : start + capacity]
                     at.append(i)
-                    for c, v in zip(cols, (start, len(part), zlib.crc32(part.tobytes()), len(ids), None if len(part) == capacity else part.astype("<u2").tobytes()), strict=True):
+                    for c, v in zip(cols, (start, len(part), zlib.crc32(part.tobytes()), len(ids), None if len(part) == capacity else part.astype(kind).tobytes()), strict=True):
                         c.append(v)
             take = pa.array(at, pa.int32())
             yield batch(pa.schema([b.schema.field(0), b.schema.field(2), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())]), [b.column(0).take(take), b.column(2).take(take), *cols])
@@ -100,7 +105,7 @@ def sequences(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
         order = sorted((i for i in range(n) if t["ids"][i] is not None), key=lambda i: (-t["length"][i], t["k"][i] is None, t["k"][i] if t["k"][i] is not None else 0, t["start"][i]))
         for piece, first, tokens, s, offset in pack([t["length"][i] for i in order], capacity):
             i = order[piece]
-            ids = np.frombuffer(t["ids"][i], "<u2")[first : first + tokens]
+            ids = np.frombuffer(t["ids"][i], id_kind(tokenizer))[first : first + tokens]
             rows.append((i, t["start"][i] + first, tokens, t["ids_crc32"][i] if tokens == t["length"][i] else zlib.crc32(ids.astype("<u4").tobytes()), nth + s, offset))
         at, start, length, crc, seq, offset = ([*c] for c in zip(*rows, strict=True))
         base = t["block"][0] << 24

@@ -11,7 +11,7 @@ model is a table of distinct windows, joined by a shuffle, as it grows with the
 histogram of at most 2 * 2001 rows.
 
 Defined cases: a null URL, or one without "://", has an empty host and path and the text that it is; an empty text
-scores 0; without training texts of both verdicts every score is 0 and the threshold 0, so all is allowed; repeated rows are
+scores 0; a very long URL is scored whole, in linear time; scores that tie with the threshold are allowed, and of fitting rules of equal length the last listed wins; without training texts of both verdicts every score is 0 and the threshold 0, so all is allowed; repeated rows are
 judged each and count each; an empty table gives an empty result; other columns are not read.
 """
 
@@ -26,6 +26,7 @@ from .spans import let
 ORDER = 4
 FLAT = 1.0 / 256
 HELD_OUT = 5
+LARGE, SMALL = 4096, 64  # characters of the pieces that windows are cut from
 SCALE = 100
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Host, path, verdict.
@@ -48,10 +49,17 @@ def fitting(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return best
 
 
+def cuts(text: Column, size: int, overlap: int) -> Column:
+    """Pieces of a text that begin every `size` characters and reach `overlap` characters into the next."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(text) - overlap - 1) / size), F.lit(0)).cast("int")), lambda b: F.substring(text, b * size + 1, F.lit(size + overlap)))
+
+
 def windows(text: Column) -> Column:
-    """Every character with the ORDER before it; the start is padded."""
+    """Every character with the ORDER before it; the start is padded. Long texts are cut in large pieces, these in small ones, so that no window is looked for from the start."""
     padded = F.concat(F.lit("\x02" * ORDER), text, F.lit("\x03"))
-    return F.when(F.length(text) > 0, let(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - ORDER), lambda i: F.substring(p, i, F.lit(ORDER + 1))))).otherwise(F.array().cast("array<string>"))
+    small = F.flatten(F.transform(cuts(padded, LARGE, ORDER), lambda p: cuts(p, SMALL, ORDER)))
+    each = F.flatten(F.transform(small, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - ORDER), lambda i: F.substring(p, i, F.lit(ORDER + 1)))))
+    return F.when(F.length(text) > 0, each).otherwise(F.array().cast("array<string>"))
 
 
 def _tail(c: Column, n: int) -> Column:
