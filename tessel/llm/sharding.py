@@ -5,27 +5,27 @@ hash of its key. Loads are bounded by row count: shard capacities add up to the
 at most, so every shard ends exactly full. Rows that find their shard full continue clockwise to the next point
 whose shard has room, and all others stay where plain consistent hashing puts them.
 
-Per-row work is native and needs one shuffle of four narrow columns. The walk along the ring is done on counts of
-(arc, part) cells, of which there are at most n_shards * VNODES * PARTS whatever the table's size; the parts
-split an arc that holds a very frequent key.
+Per-row work is native and needs one shuffle of five narrow columns. The walk along the ring is done on counts of
+cells: an arc, or where it holds more than CELL rows, as with a very frequent key, parts of it. The driver gets n_shards * VNODES
+counts and one more for every CELL rows; no task sorts more than about CELL rows of an arc.
 
 Defined cases: a null text has size 8 and checksum 0; a null key hashes like any other value; repeated rows and
-ties are placed one by one; an empty table gives an empty result; columns other than key and text are not read.
+ties are placed one by one, by row number; a very long text counts whole; an empty table gives an empty result; columns other than key and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import written
 
-RING = 8192
-VNODES = 64
-PARTS = 16
+RING = 1 << 16
+VNODES = 256
+CELL = 200_000
 
 
 def ring(n_shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -83,37 +83,36 @@ def assign(docs: DataFrame, n_shards: int = 24, key: str = "doc_id", text: str =
     owners = [s for _, s in nodes]
     content = F.coalesce(F.col(text), F.lit(""))
     hashed = F.xxhash64(F.col(key))
-    arc_of = F.array(*[F.lit(a) for a in arcs_by_position(nodes)])
-    rows = written(
-        docs.select(
-            F.col(key).alias("key"),
-            (F.octet_length(content) + 8).cast("long").alias("size"),
-            F.crc32(content.cast("binary")).alias("crc"),
-            hashed.alias("h"),
-            F.pmod(hashed, F.lit(RING)).cast("int").alias("position"),
-            F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int").alias("part"),
-        ),
-        "ring-rows",
-    ).withColumn("arc", F.element_at(arc_of, F.col("position") + 1))
-    cells = {(r[0], r[1]): r[2] for r in rows.groupBy("arc", "part").count().collect()}
-    counts, before = [0] * len(nodes), []
-    for a, p in sorted(cells):
-        before.append((a, p, counts[a]))
-        counts[a] += cells[a, p]
-    pieces = walk(counts, owners, n_shards)
-    schema = T.StructType(
-        [
-            T.StructField("arc", T.IntegerType()),
-            T.StructField("part", T.IntegerType()),
-            T.StructField("before", T.LongType()),
-            T.StructField("pieces", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("first", "end", "shard", "slot")]))),
-        ]
+    met = spark.createDataFrame(pa.table({"position": pa.array(range(RING), pa.int32()), "arc": pa.array(arcs_by_position(nodes), pa.int32())}))
+    narrow = docs.select(
+        F.col(key).alias("key"),
+        (F.octet_length(content) + 8).cast("long").alias("size"),
+        F.crc32(content.cast("binary")).alias("crc"),
+        hashed.alias("h"),
+        F.pmod(hashed, F.lit(RING)).cast("int").alias("position"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    table = spark.createDataFrame([(a, p, n, pieces[a]) for a, p, n in before], schema)
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("arc", "part").orderBy("h", "key", "crc", "size")).cast("long") - 1)
-    placed = ranked.join(F.broadcast(table), ["arc", "part"]).withColumn("rank", F.col("before") + F.col("r"))
-    piece = F.filter("pieces", lambda x: (x["first"] <= F.col("rank")) & (x["end"] > F.col("rank")))[0]
-    return placed.select("key", "size", "crc", "rank", piece.alias("p")).select(
+    rows = written(narrow.join(F.broadcast(met), "position").drop("position"), "ring-rows")  # RING rows are sent, whatever the table's size
+    counts = [0] * len(nodes)
+    for a, n in rows.groupBy("arc").count().collect():
+        counts[a] = n
+    parts = [max(1, -(-n // CELL)) for n in counts]
+    split = spark.createDataFrame(pa.table({"arc": pa.array(range(len(nodes)), pa.int32()), "parts": pa.array(parts, pa.int32())}))
+    rows = rows.join(F.broadcast(split), "arc").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
+    cells = [(a, 0, 0) for a, n in enumerate(parts) if n == 1 and counts[a]]
+    if max(parts) > 1:
+        at: dict[int, int] = {}
+        for a, p, n in sorted(map(tuple, rows.join(F.broadcast(split.filter("parts > 1").select("arc")), "arc", "left_semi").groupBy("arc", "part").count().collect())):
+            cells.append((a, p, at.get(a, 0)))
+            at[a] = at.get(a, 0) + n
+    pieces = walk(counts, owners, n_shards)
+    before = spark.createDataFrame(pa.table({"arc": pa.array([c[0] for c in cells], pa.int32()), "part": pa.array([c[1] for c in cells], pa.int32()), "before": pa.array([c[2] for c in cells], pa.int64())}))
+    piece = pa.struct([(n, pa.int64()) for n in ("first", "end", "shard", "slot")])
+    by_arc = pa.table({"arc": pa.array(range(len(nodes)), pa.int32()), "pieces": pa.array([[dict(zip(("first", "end", "shard", "slot"), p, strict=True)) for p in own] for own in pieces], pa.list_(piece))})
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("arc", "part").orderBy("h", "key", "crc", "size", "row")).cast("long") - 1)
+    placed = ranked.join(F.broadcast(before), ["arc", "part"]).join(F.broadcast(spark.createDataFrame(by_arc)), "arc").withColumn("rank", F.col("before") + F.col("r"))
+    own = F.filter("pieces", lambda x: (x["first"] <= F.col("rank")) & (x["end"] > F.col("rank")))[0]
+    return placed.select("key", "size", "crc", "rank", own.alias("p")).select(
         F.col("key").alias(key),
         "size",
         F.col("crc").alias("text_crc32"),
