@@ -39,10 +39,12 @@ def op3_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_counts
+    from .common import written
     from .vocab import public_path
 
-    docs = table(spark, sf_dir, "documents")
-    return token_counts.after_edits(docs.select("doc_id", "text", token_counts.usual_edits().alias("edits")), public_path("byte_bpe_50k.json"))
+    tokenizer = public_path("byte_bpe_50k.json")
+    kept = written(token_counts.trees(table(spark, sf_dir, "documents"), tokenizer), "trees")
+    return token_counts.edited(kept, tokenizer, token_counts.usual_edits())
 
 
 def op5_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,10 +213,46 @@ def test_edit_query_and_log(spark):
         t = t[:half] + texts[r.doc_id][half : half + tenth].upper() + t[half + tenth :]
         t = t[: max(n - 12, 0)] + t[n:]
         assert r.n_tokens_after == len(whole(t)), r.doc_id
-    docs = docs_of(spark, [(1, "one two three"), (2, None), (None, "x")])
-    log = spark.createDataFrame([(1, 2, 0, 0, "B "), (1, 1, 0, 0, "A "), (2, 1, 0, 5, "new text")], "doc_id long, seq int, start long, stop long, text string")
-    out = {r.doc_id: r for r in token_counts.after_edits(token_counts.with_edits(docs, log), BPE).collect()}
-    assert out[1].n_tokens_after == len(whole("B A one two three")) and out[2].n_tokens_after == len(whole("new text")) and out[None].n_edits == 0
+
+
+def test_kept_trees_take_logs_of_edits(spark):
+    whole = encoding(BPE).encode_ordinary
+    r = random.Random(8)
+    bits = [" ", "  ", "\n", "\n\n", "'s", "a", "the", " word", "12", "é", "!!", "   \n ", "中", "🙂"]
+    some = lambda n: "".join(r.choice(bits) for _ in range(n))
+    docs = [(i, some(r.choice([0, 3, 40, 900]))) for i in range(40)] + [(1, "again"), (2, None), (None, "x y"), (99, "left alone")]
+    log, want = [], []
+    for seq in range(600):
+        k = 7 if seq % 3 == 0 else r.choice([*range(20), None])
+        i = r.randrange(-2, 950)
+        log.append((k, seq, i, i + r.choice([0, 1, 30]), some(r.choice([0, 1, 5]))))
+    for k, t in docs:
+        cur = t or ""
+        for key, _, i, j, new in log:
+            if key == k:
+                a = min(max(i, 0), len(cur))
+                cur = cur[:a] + new + cur[min(max(j, a), len(cur)) :]
+        want.append((k, cur, len(whole(cur))))
+    df = docs_of(spark, docs).withColumnRenamed("text", "body").selectExpr("doc_id", "body", "1 AS k", "2 AS tokens", "3 AS edits")
+    kept = token_counts.trees(df, BPE, text="body")
+    assert {(x.doc_id, x.text): x.n_tokens for x in kept.collect()} == {(k, t or ""): len(whole(t or "")) for k, t in docs}
+    log_df = spark.createDataFrame(log, "doc_id long, seq int, start long, stop long, text string")
+    half = token_counts.updated(kept, BPE, log_df.filter("seq < 300"))
+    got = token_counts.updated(half, BPE, log_df.filter("seq >= 300")).collect()
+    assert sorted(((x.doc_id, x.text, x.n_tokens) for x in got), key=str) == sorted(want, key=str)
+    assert token_counts.updated(kept.limit(0), BPE, log_df).count() == 0 and token_counts.trees(df.limit(0), BPE, text="body").count() == 0
+    assert token_counts.updated(kept, BPE, log_df.limit(0)).count() == len(docs)
+
+
+def test_kept_trees_encode_little():
+    count, whole = token_counts.counter(BPE), encoding(BPE).encode_ordinary
+    t = " ".join(f"word{i}" for i in range(5000))
+    first = token_counts.Tree(t, count)
+    tree = token_counts.Tree.kept(t, *first.sums(), count)
+    assert tree.tokens == first.tokens and tree.encoded == 0
+    tree.edit(20000, 20010, "other words")
+    t = t[:20000] + "other words" + t[20010:]
+    assert tree.text() == t and tree.tokens == len(whole(t)) and 0 < tree.encoded < 200
 
 
 # Nearest neighbours
@@ -464,7 +500,7 @@ def test_clashing_columns_and_long_texts(spark, empty):
     assert quality.keep(df).columns == df.columns
     assert packing.sequences(df, BPE).select("doc_id").distinct().count() == (0 if empty else 4)
     assert piece_codec.round_trip(df, PIECE).count() == n
-    assert token_counts.after_edits(df.withColumn("edits", token_counts.usual_edits()), BPE).count() == n
+    assert token_counts.edited(token_counts.trees(df, BPE), BPE, token_counts.usual_edits()).count() == n
     assert sharding.assign(df, 5).count() == n
     assert pii.find(df).count() == n and secrets.scan(df).count() == n
     assert ngram_join.components(df).count() == n
