@@ -1,10 +1,14 @@
 """Base spans against plain Python, the voting model, masking and linking."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from tessel.llm import pii, secrets
@@ -116,3 +120,173 @@ def test_empty_tables_clashing_names_and_repeats(spark):
     df = spark.createDataFrame([(None, "a@b.cc", 1, 2, 3), (5, "a@b.cc", 1, 2, 3), (5, "a@b.cc", 1, 2, 3)], "doc_id long, text string, base int, row int, spans int")
     assert sorted(len(r.base) for r in pii.find(df).collect()) == [1, 1, 1]
     assert secrets.scan(df).count() == 3
+
+
+# Added spans: a plain version of the whole method, and how well it finds planted loose data
+
+
+def plain_candidates(t):
+    """(kind, start, end, before, after) as the method sees them: the text since the last match began, and the next character."""
+    out = []
+    for kind, pattern in pii.CANDIDATES:
+        found = list(regex.finditer(pattern, t)) if pattern else [m for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t)]
+        for i, m in enumerate(found):
+            since = found[i - 1].start() if i else 0
+            before = t[since : m.start()][-32:]
+            if kind != "digits" or (13 <= len(re.sub("[^0-9]", "", m[0])) <= 19 and not luhn(re.sub("[^0-9]", "", m[0]))):
+                out.append((kind, m.start(), m.end(), before, t[m.end() : m.end() + 1]))
+    base = pii_base(t)
+    return [c for c in out if not any(s < c[2] and c[1] < e for _, s, e in base)]
+
+
+def plain_iban(t):
+    n = "".join(str(int(c, 36)) for c in (t.replace(" ", "")[4:] + t.replace(" ", "")[:4]))
+    return int(n) % 97 == 1
+
+
+TITLE = r"^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Sr|Sra|Señor|Señora)\.? "
+
+
+def plain_votes(kind, t, before):
+    vote = lambda yes, no: 1 if yes else -1 if no else 0
+    words = re.sub(TITLE, "", t).split(" ")
+    form = {
+        "name": lambda: vote(re.search(TITLE, t), False),
+        "idnum": lambda: vote(re.search("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)", t), re.search("^(?:000|666)|-00-|-0000$", t)),
+        "local": lambda: vote(re.search(r"^\([2-9]|^[2-9][0-9]{2}([ .-])[0-9]{3}\1", t), re.search(r"^\(?[01]", t)),
+        "hidden": lambda: vote("[at]" in t or "(at)" in t, False),
+        "iban": lambda: vote(15 <= len(t.replace(" ", "")) <= 34 and plain_iban(t), not plain_iban(t)),
+        "digits": lambda: -1,
+    }[kind]()
+    listed = {
+        "name": lambda: vote(any(w in pii.FIRST_NAMES for w in words), any(w in pii.NO_NAMES for w in words)),
+        "idnum": lambda: 0,
+        "local": lambda: vote(False, re.search("555[ .-]01", t)),
+        "hidden": lambda: vote(re.search("[A-Za-z]+$", t)[0].lower() in pii.DOMAINS, True),
+        "iban": lambda: vote(t[:2] in pii.COUNTRIES, True),
+        "digits": lambda: vote(False, re.search("^(?:4|5[1-5]|3[47]|6011)", t)),
+    }[kind]()
+    return [form, listed, vote(re.search(pii.TRIGGERS[kind], before), False), vote(False, re.search(pii.AGAINST, before)), vote(False, re.search(r"(.)\1{4}|0123456|1234567", t))]
+
+
+def plain_added(texts):
+    """The spans that the whole method adds, by text."""
+    each = []
+    for i, t in enumerate(texts):
+        for kind, s, e, before, after in plain_candidates(t or ""):
+            votes = plain_votes(kind, t[s:e], before)
+            word = regex.search(r"(\p{L}+)[^\p{L}]*$", before)
+            h = xxhash.xxh64_intdigest((word[1] if word else "").lower().encode(), seed=42)
+            bucket = (h - (1 << 64) if h >> 63 else h) % pii.BUCKETS
+            after_kind = 3 if after == "" else 0 if regex.match(r"\p{L}", after) else 1 if after in "0123456789" else 2 if after in ".,;:!?)]" else 4
+            each.append((i, kind, s, e, votes, {"word": bucket, "size": min(e - s, 31), "next": after_kind}))
+    counts = Counter((x[1], ",".join(map(str, x[4]))) for x in each)
+    p, prior, chance = pii.expectation_maximisation(dict(counts))
+    yes, no = Counter(), Counter()
+    for _, kind, _, _, votes, other in each:
+        q = p[kind, ",".join(map(str, votes))]
+        for f in other.items():
+            yes[kind, f] += q
+            no[kind, f] += 1 - q
+    out = {}
+    for i, kind, s, e, votes, other in each:
+        a = sum(n * p[k] for k, n in counts.items() if k[0] == kind)
+        b = sum(n * (1 - p[k]) for k, n in counts.items() if k[0] == kind)
+        score = math.log(prior[kind] / (1 - prior[kind])) + sum(math.log(c[1][v + 1] / c[0][v + 1]) for c, v in zip(chance[kind], votes, strict=True))
+        for f in other.items():
+            y, n = yes[kind, f], no[kind, f]
+            rate = pii.SMOOTH * (y + n) / (a + b)
+            score += math.log((y + rate) / (a + pii.SMOOTH)) - math.log((n + rate) / (b + pii.SMOOTH))
+        if score > 0 and 1 in votes:
+            out.setdefault(i, set()).add((kind, s, e))
+    return out
+
+
+def loose_texts(n, seed):
+    """Texts with loose personal data, and what of it is meant to be found: (kind, start, end) by text."""
+    r = random.Random(seed)
+    firsts = ["Anna", "John", "Pedro", "Julia", "Klaus", "Sophie", "Martin", "Laura", "Zoltan", "Priya"]  # the last two are in no gazetteer
+    lasts = ["Baker", "Kowalski", "Meier", "Dupont", "Garcia", "Okafor", "Lindgren", "Rossi"]
+    prose = ["the river was calm and wide", "we walked along the old road", "nothing else was said that day", "Green River runs south", "The Version was out", "General Public notes", "Upper Valley and Lower Valley", "he read page 12 of it"]
+
+    def iban():
+        bban = "".join(r.choice("0123456789") for _ in range(18))
+        check = 98 - int("".join(str(int(c, 36)) for c in bban + "DE00")) % 97
+        return f"DE{check:02d}{bban}"
+
+    def personal():
+        name = f"{r.choice(firsts)} {r.choice(lasts)}"
+        number = lambda k: "".join(r.choice("23456789") for _ in range(k))
+        return r.choice(
+            [
+                lambda: ("contact: ", f"{r.choice(['Mr. ', 'Dr. ', ''])}{name}", "name"),
+                lambda: ("signed by ", name, "name"),
+                lambda: ("written to ", f"{r.choice(['Mrs. ', 'Prof. '])}{name}", "name"),
+                lambda: ("ssn: ", f"{r.randrange(100, 600)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}", "idnum"),
+                lambda: ("tel: ", f"{number(3)} {number(3)} {number(4)}", "local"),
+                lambda: ("call ", f"({number(3)}) {number(3)}-{number(4)}", "local"),
+                lambda: ("write to us at first: ", f"{name.split()[0].lower()} [at] mail{r.randrange(9)} [dot] {r.choice(['com', 'org', 'net'])}", "hidden"),
+                lambda: ("iban: ", iban(), "iban"),
+            ]
+        )()
+
+    def harmless():
+        return r.choice([lambda: ("version ", f"{r.randrange(100, 600)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}"), lambda: ("serial no. ", f"AB{r.randrange(10, 99)}{r.randrange(10**15, 10**16)}"), lambda: ("order #", f"{r.randrange(100, 199)} {r.randrange(100, 999)} {r.randrange(1000, 9999)}"), lambda: ("", r.choice(prose))])()
+
+    out, truth = [], {}
+    for i in range(n):
+        t = r.choice(prose) + "; "
+        for _ in range(r.randrange(1, 5)):
+            if r.random() < 0.4:
+                lead, value, kind = personal()
+                t += lead
+                truth.setdefault(i, set()).add((kind, len(t), len(t) + len(value)))
+                t += value
+            else:
+                t += "".join(harmless())
+            t += "; " + r.choice(prose).lower() + "; "
+        out.append(t)
+    return out, truth
+
+
+def test_added_spans_equal_the_plain_method_and_find_planted_data(spark):
+    for seed in (1, 2):
+        values, truth = loose_texts(400, seed)
+        rows = pii.find(frame(spark, values)).collect()
+        got = {r.doc_id: {(s.kind, s.start, s.end) for s in r.spans if s.kind not in pii.BASE} for r in rows}
+        want = plain_added(values)
+        assert {k: v for k, v in got.items() if v} == want
+        right = sum(len(v & truth.get(k, set())) for k, v in got.items())
+        precision, recall = right / sum(map(len, got.values())), right / sum(map(len, truth.values()))
+        assert precision >= 0.95 and recall >= 0.85, (precision, recall)
+
+
+def test_added_spans_over_documents_equal_the_plain_method(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    rows = pii.find(frame(spark, [x.text for x in docs])).collect()
+    got = {r.doc_id: {(s.kind, s.start, s.end) for s in r.spans if s.kind not in pii.BASE} for r in rows}
+    assert {k: v for k, v in got.items() if v} == plain_added([x.text for x in docs])
+
+
+def test_masks_overlaps_and_many_spans(spark):
+    t = "x@y.zz " * 400 + "mid 4111111111111111 +1 555 123 4567 and 1.2.3.4@a.bc end"
+    spans = sorted((s, e, k) for k, s, e in pii_base(t))
+    want, at = [], 0
+    for s, e, k in spans:
+        if s >= at:
+            want += [t[at:s], f"[{k.upper()}]"]
+        at = max(at, e)
+    assert pii.mask(frame(spark, [t])).first().text == "".join(want) + t[at:]
+
+
+def test_spans_clear_of_others(spark):
+    from tessel.llm.spans import clear_of
+
+    r = random.Random(4)
+    rows = []
+    for _ in range(60):
+        some = lambda n: sorted((s, s + r.randrange(1, 12)) for s in (r.randrange(2000) for _ in range(n)))
+        rows.append((some(r.choice([0, 1, 5, 300])), some(r.choice([0, 1, 5, 300]))))
+    kind = "array<struct<start:long,end:long>>"
+    for x in spark.createDataFrame(rows, f"loose {kind}, base {kind}").select("loose", "base", clear_of(F.col("loose"), F.col("base")).alias("left")).collect():
+        assert [tuple(a) for a in x.left] == [tuple(a) for a in x.loose if not any(b[0] < a[1] and a[0] < b[1] for b in x.base)]
