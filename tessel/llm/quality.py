@@ -27,10 +27,10 @@ from .common import batch, ready, texts, trimmed
 LEVEL = 3
 CHUNK = 2048
 #: Limits of the whole document's ratio, by its bytes.
-BANDS = ((512, 0.40, 0.86), (1024, 0.36, 0.80), (2048, 0.32, 0.76), (4096, 0.30, 0.72), (8192, 0.28, 0.70), (float("inf"), 0.25, 0.68))
+BANDS = ((512, 0.45, 0.84), (1024, 0.42, 0.76), (2048, 0.37, 0.70), (4096, 0.34, 0.66), (8192, 0.31, 0.62), (float("inf"), 0.28, 0.60))
 #: Limits of a chunk's ratio, and the share of chunks that may lie outside.
-CHUNK_BAND = (0.30, 0.76)
-MAX_BAD = 0.35
+CHUNK_BAND = (0.34, 0.70)
+MAX_BAD = 0.2
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"

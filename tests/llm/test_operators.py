@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import sentencepiece
+import zstandard
 from tokenizers import Tokenizer
 
 from tessel.llm import ann, packing, piece_codec, quality, sharding, token_counts, url_filter
@@ -61,6 +62,34 @@ def test_quality_bands_keep_prose_and_reject_ends():
     assert quality.Bands().row("")[:7] == (0, 0, 0, 0, 0, True, False)
 
 
+def plain_verdict(t):
+    """Whether a text lies in the bands: limits by bytes of the text, chunks of 2,048 bytes with a short last one joined to the one before."""
+    z, b = zstandard.ZstdCompressor(level=3), t.encode()
+    ratio = lambda x: len(z.compress(x)) / len(x)
+    n = len(b)
+    low, high = (0.45, 0.84) if n < 512 else (0.42, 0.76) if n < 1024 else (0.37, 0.70) if n < 2048 else (0.34, 0.66) if n < 4096 else (0.31, 0.62) if n < 8192 else (0.28, 0.60)
+    if not low <= ratio(b) <= high:
+        return False
+    starts = list(range(0, n, 2048))
+    if len(starts) > 1 and n - starts[-1] < 1024:
+        starts.pop()
+    parts = [b[i:j] for i, j in zip(starts, [*starts[1:], n])]
+    return len(parts) == 1 or sum(not 0.34 <= ratio(x) <= 0.70 for x in parts) <= 0.2 * len(parts)
+
+
+def test_quality_verdicts_equal_plain_python(spark):
+    r = random.Random(11)
+    texts = {x.doc_id: x.text or "" for x in table(spark, "documents").collect()}
+    prose = [t for t in texts.values() if 9000 < len(t) < 40000 and not plain_measures(t)[5] and plain_verdict(t)]
+    junk = lambda n: " ".join("".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(40)) for _ in range(n // 41))
+    mixed = [t + "\n" + junk(len(t) // 2) for t in prose] + [t + "\n" + "the same line again and again\n" * (len(t) // 55) for t in prose]
+    rows = list(texts.items()) + [(10_000 + i, t) for i, t in enumerate([*mixed, *(junk(n) for n in (300, 900, 3000, 30000)), *("ab " * n for n in (100, 1000, 9000))])]
+    got = {x.doc_id: x.kept for x in quality.measure(docs_of(spark, rows)).collect()}
+    for k, t in rows:
+        assert got[k] == (not plain_measures(t)[5] and plain_verdict(t)), k
+    assert len(mixed) > 10 and not any(got[10_000 + i] for i in range(len(mixed)))
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_repeated_words_on_random_texts(seed):
     r = random.Random(seed)
