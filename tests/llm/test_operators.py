@@ -435,6 +435,59 @@ def test_url_models_equal_plain_python_and_tell_apart(spark):
     assert {x.verdict for x in url_filter.judge(df.filter("page_id >= 400")).collect()} == {"allow"}
 
 
+def test_url_verdicts_of_the_whole_table_equal_plain_python(spark):
+    from pyspark.sql import functions as F
+
+    urls = {r.page_id: r.url for r in table(spark, "pages").collect()} | {10**6 + i: u for i, u in enumerate([None, "", "x://", "http://a.org/" + "very-long/" * 3000, "http://b.net/🙂", "no scheme"])}
+    df = spark.createDataFrame(list(urls.items()), "page_id long, url string").selectExpr("*", "1 AS key", "2 AS row", "'x' AS text", "'y' AS rule")
+    rows = {r.page_id: r for r in url_filter.judge(df).collect()}
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    texts = {k: lower(u.split("://", 1)[1] if u and "://" in u else u or "") for k, u in urls.items()}
+    fits = {k: plain_rule(*plain_host_path(u)) for k, u in urls.items()}
+    held = {r.t for r in spark.createDataFrame([(t,) for t in set(texts.values())], "t string").filter(F.pmod(F.xxhash64("t"), F.lit(url_filter.HELD_OUT)) == 0).collect()}
+    n = {True: Counter(), False: Counter()}
+    for k, t in texts.items():
+        if fits[k][1] and t and t not in held:
+            p = "\x02" * 4 + t + "\x03"
+            n[fits[k][1] == "allow"].update(p[i - j : i + 1] for i in range(4, len(p)) for j in range(5))
+    after = {v: defaultdict(list) for v in n}
+    for v, grams in n.items():
+        for g, c in grams.items():
+            after[v][g[:-1]].append(c)
+
+    def chance(v, g):
+        q = url_filter.FLAT
+        for j in range(5):
+            seen = after[v].get(g[4 - j : 4])
+            if seen:
+                q = (n[v][g[4 - j :]] + len(seen) * q) / (sum(seen) + len(seen))
+        return q
+
+    memory = {}
+
+    def score(t):
+        p = "\x02" * 4 + t + "\x03"
+        grams = [p[i - 4 : i + 1] for i in range(4, len(p))] if t else []
+        for g in grams:
+            if g not in memory:
+                memory[g] = math.log(chance(True, g) / chance(False, g))
+        return sum(memory[g] for g in grams) / len(grams) if grams else 0.0
+
+    known = [(score(t), fits[k][1] == "allow") for k, t in texts.items() if fits[k][1] and t in held]
+    good, bad = sum(a for _, a in known), sum(not a for _, a in known)
+    worth = {b: sum(a for s, a in known if math.floor(s * 100) >= b) / good + sum(not a for s, a in known if math.floor(s * 100) < b) / bad for b in range(-1000, 1002)}
+    best = [b for b, w in worth.items() if w > max(worth.values()) - 1e-9]
+    cut = (best[0] + best[-1]) / 200
+    for k, t in texts.items():
+        if fits[k][1]:
+            assert rows[k].verdict == fits[k][1]
+        else:
+            s = score(t)
+            assert math.isclose(rows[k].score, s, rel_tol=1e-6, abs_tol=1e-9)
+            assert abs(s - cut) < 1e-9 or rows[k].verdict == ("allow" if s >= cut else "block")
+    assert {rows[k].verdict for k in texts if not fits[k][1]} == {"allow", "block"}
+
+
 # Sharding
 
 
