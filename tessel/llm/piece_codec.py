@@ -10,7 +10,8 @@ Text is cut where no piece reaches across: before each space mark, and at charac
 become bytes. Segments are remembered in a bounded table, as words recur. Runs of two or more space marks hold
 pieces of equal score, where the order of merges decides: those segments alone are merged step by step.
 
-Defined cases: null is empty and encodes to no ids; very long texts are whole; other columns are not read.
+Defined cases: null is empty and encodes to no ids; very long texts are whole; pieces that tie in score go as the library has
+them; repeated rows are encoded each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
