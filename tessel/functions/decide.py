@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessel.functions import text as T
+from tessel.functions.python import fnv1a64
 
+#: What a memo's source starts with, and the mark of an unverified citation.
 MEMO_PREFIX = "訂正メモ"
 MARK = "（未確認）"
 
@@ -45,22 +47,38 @@ def document_class(has_meta: Column, has_outline: Column, breadcrumb: Column) ->
 
 
 def shrunk(before: Column, now: Column) -> Column:
-    """A table lost more than half of its rows."""
-    return (before > 0) & (now * 2 < before)
+    """A table lost rows since it was last saved; without a record of before nothing is said."""
+    return (before > 0) & (now < before)
+
+
+def volatile_path(path: Column, *temporary: str) -> Column:
+    """A folder that is gone next time: unpacked from or inside a zip, or in or below one of the temporary folders; in any case of letters."""
+    p = F.lower(F.trim(path))
+    below = F.concat(p, F.when(p.endswith("\\"), "").otherwise("\\"))
+    out = F.contains(p, F.lit("temp1_")) | F.contains(p, F.lit(".zip\\"))
+    for folder in temporary:
+        if folder.strip():
+            out = out | below.startswith(folder.strip().lower().rstrip("\\") + "\\")
+    return (p != "") & out
 
 
 def can_view(listed: Column, admin: Column, publisher: Column) -> Column:
     return F.when(listed, admin).otherwise(publisher)
 
 
-def expiry(days: Column, limit: Column, warned: Column, wiped: Column, reachable: Column, ahead: int = 7) -> Column:
-    """off without a limit, never without a known reach, none while reachable or early, warn once in the last days, then wipe once."""
+def expiry(reached: Column, days: Column, limit: Column, warned: Column, wiped: Column, reachable: Column, ahead: int = 7) -> Column:
+    """What to do with a copy of the shelf that has not reached the share for days: off without a limit, never without a known reach, none while it can be reached or is early,
+    warn once a day value in the last days, warn_first past the limit without any warning before, then wipe once. reached, warned and wiped are texts, empty where unset."""
+    held = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    early = (days < F.greatest(limit - ahead, F.lit(1))) | (held(warned) == days.cast("string"))
     return (
-        F.when(F.coalesce(limit, F.lit(0)) <= 0, "off")
-        .when(days.isNull(), "never")
-        .when(reachable | (days < limit - ahead), "none")
-        .when((days < limit) | ~warned, F.when(warned, "none").otherwise("warn"))
-        .otherwise(F.when(wiped, "none").otherwise("wipe"))
+        F.when(limit <= 0, "off")
+        .when(held(reached) == "", "never")
+        .when(reachable | (days <= 0), "none")
+        .when(days < limit, F.when(early, "none").otherwise("warn"))
+        .when(held(warned) == "", "warn_first")
+        .when(held(wiped) != "", "none")
+        .otherwise("wipe")
     )
 
 
@@ -78,7 +96,8 @@ def top_k(mode: Column, quick: int = 6, deep: int = 12, thorough: int = 16) -> C
 
 
 def sub_queries(mode: Column, normal: int = 3, thorough: int = 6) -> Column:
-    return F.when(mode == "thorough", thorough).otherwise(normal)
+    """How many queries a question is turned into, one at least."""
+    return F.greatest(F.when(mode == "thorough", thorough).otherwise(normal), F.lit(1))
 
 
 def per_chapter_cap(total: Column, chapters: Column, least: Column) -> Column:
@@ -114,8 +133,8 @@ def rotation_start(files: Column, cap: Column, serial: Column) -> Column:
 
 
 def page_at(starts: Column, pages: Column, position: Column) -> Column:
-    """The page whose start is the last one not after the position."""
-    return F.try_element_at(pages, F.size(F.filter(starts, lambda s: s <= position)))
+    """The page whose start is the last one not after the position; null before the first."""
+    return F.get(pages, F.size(F.filter(starts, lambda s: s <= position)) - 1)
 
 
 def estimated_chapters(chunks: Column) -> Column:
@@ -168,7 +187,10 @@ def beacon_fields(line: Column) -> Column:
 
 
 def safe_left(s: Column, n: int) -> Column:
-    return F.substring(s, 1, n)
+    """As many characters as fit into n units of UTF-16, in which those beyond U+FFFF take two; none is cut in half."""
+    plain = F.substring(s, 1, max(n, 0))
+    wide = F.regexp_replace(plain, "([^\\x{0}-\\x{FFFF}])", "$1\uffff")  # a wide character's second unit
+    return F.when(plain.rlike("[^\\x{0}-\\x{FFFF}]"), F.regexp_replace(F.regexp_replace(F.substring(wide, 1, max(n, 0)), "[^\\x{0}-\\x{FFFF}]$", ""), "\uffff", "")).otherwise(plain)
 
 
 def ingest_text(s: Column) -> Column:
@@ -178,12 +200,11 @@ def ingest_text(s: Column) -> Column:
 
 
 def joined_numbers(line: Column) -> Column:
-    """第 １ ２ 条 becomes 第12条: spaces between 第, digits and the unit go, digits fold."""
-    closed = line
-    for _ in range(4):
-        closed = F.regexp_replace(closed, "(第[ 　]*[0-9０-９]*)[ 　]+(?=[0-9０-９]*[ 　]*[0-9０-９ 　]*[条章項節編号])", "$1")
-    digits = "０１２３４５６７８９"
-    return F.when(closed != line, F.translate(closed, digits, "0123456789")).otherwise(closed)
+    """第 １ ２ 条 becomes 第12条: between 第 and its unit spaces go and digits fold, however many there are; all else stays."""
+    label = "第[ 　\t]*[0-9０-９][0-9０-９ 　\t]*[条章節項号編]"
+    fold = lambda x: F.translate(x, "０１２３４５６７８９ 　\t", "0123456789")
+    found = F.concat(F.transform(F.regexp_extract_all(line, F.lit(label), F.lit(0)), fold), F.array(F.lit("")))
+    return F.array_join(F.zip_with(F.split(line, label, -1), found, lambda gap, x: F.concat(gap, x)), "")
 
 
 def breadcrumb(source: Column, chapter: Column, section: Column) -> Column:
@@ -198,7 +219,8 @@ def section_path(chunk: Column, most: int = 200) -> Column:
 
 
 def anonymous(user: Column) -> Column:
-    return F.substring(F.sha2(user, 256), 1, 16)
+    """The id's hash as fnv1a64 gives it; an empty id stays empty."""
+    return F.when(user == "", "").otherwise(fnv1a64(user))
 
 
 def unverified(answer: Column, known: Column) -> Column:
@@ -220,8 +242,14 @@ def choice_numbers(s: Column, most: int) -> Column:
 
 
 def path_escapes(s: Column) -> Column:
-    """Why a name can't be used in a path; null where it can."""
-    return F.when(F.trim(s) == "", "empty").when(s.contains(".."), "parent").when(s.rlike(r'[\\/:*?"<>|]'), "separator").when(s.startswith("_"), "reserved")
+    """Why a name can't be that of a folder: 'parent' for two dots, 'start' or 'end' for a space, TAB or dot there; empty where it can."""
+    edge = lambda c: c.isin(" ", ".", "\t", "　")
+    return F.when(s == "", "").when(F.contains(s, F.lit("..")), "parent").when(edge(F.left(s, F.lit(1))), "start").when(edge(F.right(s, F.lit(1))), "end").otherwise("")
+
+
+def cell_safe(s: Column) -> Column:
+    """A spreadsheet cell: formula starters get a quote before them."""
+    return F.when(F.left(s, F.lit(1)).isin("=", "+", "-", "@"), F.concat(F.lit("'"), s)).otherwise(s)
 
 
 def encoding_pick(utf8: Column, known: Column, other: Column) -> Column:

@@ -5,6 +5,10 @@ from __future__ import annotations
 import math
 import re
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 MASK = (1 << 64) - 1
 NUMBER = re.compile(r"[0-9０-９]+(?:[,，.．][0-9０-９]+)*")
 UNIT = re.compile(r"\s*(?:%|％|円|年|月|日|人|件|個|回|時間|分|秒|km|kg|cm|mm|m|g|€|\$)")
@@ -19,8 +23,19 @@ def fnv(s: str) -> str:
     return f"{h:016x}"
 
 
+def fnv1a64(s: Column, upper: bool = False) -> Column:
+    """fnv of a text column; an Arrow function, as unsigned products of 64 bits have no column form."""
+
+    @F.pandas_udf("string")
+    def hashed(v: pd.Series) -> pd.Series:
+        return v.map(fnv, na_action="ignore")
+
+    return F.upper(hashed(s)) if upper else hashed(s)
+
+
 def mock_embedding(text: str, dims: int) -> list[float]:
     """A unit vector that depends on the text alone: a linear congruential sequence seeded by its hash, in [-1, 1)."""
+    #: Multiplier, increment and modulus of the sequence.
     x = float(int(fnv(text)[:13], 16))
     out = []
     for _ in range(dims):

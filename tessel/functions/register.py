@@ -24,7 +24,8 @@ FUNCTIONS = {
     "occurrences(s STRING, k STRING) RETURNS BIGINT": "CAST((length(s) - length(replace(s, k, ''))) / length(k) AS BIGINT)",
     "key_weight(n INT) RETURNS DOUBLE": f"pow(least(n, {T.KEY_LENGTH}), {T.KEY_POWER})",
     "exp_level(e BIGINT) RETURNS BIGINT": "CAST(floor(sqrt(e / 100D)) AS BIGINT) + 1",
-    "csv_safe(s STRING) RETURNS STRING": r"CASE WHEN substring(s, 1, 1) IN ('=', '+', '-', '@', '\t', '\r') THEN concat('\'', s) ELSE s END",
+    "formula_safe(s STRING) RETURNS STRING": r"CASE WHEN substring(s, 1, 1) IN ('=', '+', '-', '@', '\t', '\r') THEN concat('\'', s) ELSE s END",
+    "csv_safe(s STRING) RETURNS STRING": r"""CASE WHEN formula_safe(s) RLIKE '[,"\r\n]' THEN concat('"', replace(formula_safe(s), '"', '""'), '"') ELSE formula_safe(s) END""",
 }
 
 

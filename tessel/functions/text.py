@@ -226,9 +226,49 @@ def mode(s: Column | str) -> Column:
 
 
 def human_bytes(n: Column | str) -> Column:
-    n = _c(n).cast("double")
-    step = lambda p, unit: F.concat(F.format_number(n / 1024**p, 1), F.lit(unit))
-    return F.when(n < 1024, F.concat(F.format_number(n, 0), F.lit(" B"))).when(n < 1024**2, step(1, " KB")).when(n < 1024**3, step(2, " MB")).otherwise(step(3, " GB"))
+    """B without decimals, KB to TB with one; less than nothing is 0."""
+    n = F.greatest(_c(n).cast("double"), F.lit(0.0))
+    step = lambda p, unit: F.concat(F.format_string("%.1f", n / 1024**p), F.lit(unit))
+    whole = F.concat(F.bround(n, 0).cast("long").cast("string"), F.lit(" B"))
+    return F.when(n < 1024, whole).when(n < 1024**2, step(1, " KB")).when(n < 1024**3, step(2, " MB")).when(n < 1024**4, step(3, " GB")).otherwise(step(4, " TB"))
+
+
+def human_seconds(n: Column | str) -> Column:
+    """約N秒, 約N分 or 約N分N秒."""
+    s = F.greatest(F.bround(_c(n).cast("double"), 0).cast("long"), F.lit(0).cast("long"))
+    minutes, rest = F.floor(s / 60).cast("string"), s % 60
+    return F.when(s < 60, F.concat(F.lit("約"), s.cast("string"), F.lit("秒"))).when(rest == 0, F.concat(F.lit("約"), minutes, F.lit("分"))).otherwise(F.concat(F.lit("約"), minutes, F.lit("分"), rest.cast("string"), F.lit("秒")))
+
+
+def eta(left: Column, ms: Column) -> Column:
+    """How long the items left will take at so many milliseconds each: empty while unknown, else in minutes or hours."""
+    sec = left * ms / 1000.0
+    minutes = F.greatest(F.floor(sec / 60 + 0.5), F.lit(1))
+    hours, rest = F.floor(minutes / 60).cast("string"), minutes % 60
+    text = F.when(sec < 60, "まもなく完了").when(minutes < 60, F.concat(F.lit("残り約"), minutes.cast("string"), F.lit("分"))).when(rest == 0, F.concat(F.lit("残り約"), hours, F.lit("時間"))).otherwise(F.concat(F.lit("残り約"), hours, F.lit("時間"), rest.cast("string"), F.lit("分")))
+    return F.when((left <= 0) | (ms <= 0), "").otherwise(text)
+
+
+def extension(path: Column | str) -> Column:
+    """What follows the last dot of a file's name, in lower case; empty without one."""
+    return F.lower(F.regexp_extract(file_name(path), r"\.([^.]+)$", 1))
+
+
+def date_keys(ts: Column | str) -> Column:
+    """struct of the date's forms: iso, iso with time, compact, year and month, year."""
+    form = lambda f, name: F.date_format(_c(ts), f).alias(name)
+    return F.struct(form("yyyy-MM-dd", "iso"), form("yyyy-MM-dd HH:mm:ss", "stamp"), form("yyyyMMdd", "compact"), form("yyyyMM", "month"), form("yyyy", "year"))
+
+
+def json_escaped(s: Column | str) -> Column:
+    """A text as the inside of a JSON string: backslashes, quotes, line breaks and TABs by letter, other control characters by number."""
+    out = F.replace(F.replace(_c(s), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for c, letter in (("\n", "n"), ("\r", "r"), ("\t", "t")):
+        out = F.replace(out, F.lit(c), F.lit("\\" + letter))
+    plain = out
+    for c in (*range(9), 11, 12, *range(14, 32)):
+        out = F.replace(out, F.lit(chr(c)), F.lit(f"\\u{c:04X}"))
+    return F.when(plain.rlike("[\\x00-\\x1f]"), out).otherwise(plain)
 
 
 def origin_kind(origin: Column | str) -> Column:

@@ -23,9 +23,9 @@ def neighbours(chunks: DataFrame, hits: DataFrame, radius: int, most: int = NEIG
 
 
 def by_references(meta: DataFrame, hits: DataFrame, most: int = REFS, candidates: int = REF_CANDIDATES) -> DataFrame:
-    """Chunks whose section path holds a label that a hit refers to outside its own path, in the hits' sources; meta has chunk_id, source, section_path, refs (array), ord."""
+    """Chunks whose section path holds a label that a hit refers to outside its own path, in the hits' sources; meta has chunk_id, source, section_path, refs (array), ord. Labels are 24 a hit at most, so what is broadcast is as small as the hits."""
     own = meta.join(hits.select("chunk_id"), "chunk_id", "left_semi")
-    labels = own.select(F.explode(F.filter("refs", lambda r: ~F.contains(F.col("section_path"), r))).alias("label")).distinct().limit(24 * 16)
+    labels = own.select(F.explode(F.filter("refs", lambda r: ~F.contains(F.col("section_path"), r))).alias("label")).distinct()
     rows = meta.join(hits.select("source").distinct(), "source", "left_semi").join(hits.select("chunk_id"), "chunk_id", "left_anti")
     met = rows.join(F.broadcast(labels), F.contains(F.col("section_path"), F.col("label")), "left_semi")
     return met.orderBy("ord").limit(candidates).orderBy("ord").limit(most)

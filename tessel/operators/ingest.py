@@ -5,27 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions import text as T
-from tessel.functions.python import fnv
+from tessel.functions.python import fnv1a64
 
 RUN = 6
 
 
-def fnv1a64(s: Column) -> Column:
-    """fnv of a text column; an Arrow function, as unsigned products of 64 bits have no column form."""
-
-    @F.pandas_udf("string")
-    def hashed(v: pd.Series) -> pd.Series:
-        return v.map(fnv, na_action="ignore")
-
-    return hashed(s)
-
-
 def html_text(html: Column | str) -> Column:
     """Text of a page: tags to spaces, white space to single spaces."""
     c = F.col(html) if isinstance(html, str) else html
@@ -48,8 +37,8 @@ def join_pages(pages: DataFrame, keys: list[str]) -> DataFrame:
 
 def split_pages(text: Column) -> Column:
     """Inverse of join_pages: array of struct page, text."""
-    pieces = F.slice(F.split(text, r"(?:^|\n)--- page (?=[0-9]+ ---\n)"), 2, 1_000_000)
-    return F.transform(pieces, lambda p: F.struct(F.regexp_extract(p, "^([0-9]+) ---", 1).cast("int").alias("page"), F.regexp_replace(p, "^[0-9]+ ---\n", "").alias("text")))
+    pieces = F.split(text, r"(?:^|\n)--- page (?=[0-9]+ ---\n)", -1)
+    return F.transform(F.filter(pieces, lambda p, i: i > 0), lambda p: F.struct(F.regexp_extract(p, "^([0-9]+) ---", 1).cast("int").alias("page"), F.regexp_replace(p, "^[0-9]+ ---\n", "").alias("text")))
 
 
 def drop_garbled(pages: DataFrame, key: str, text: str, most: float = 0.2, least_chars: int = 50) -> DataFrame:
@@ -79,15 +68,20 @@ def windows(text: str, target: int, overlap: int) -> list[tuple[int, int]]:
 
 def _chunked(docs: DataFrame, key: str, text: str, cut, paged: bool = False) -> DataFrame:  # noqa: ANN001
     kind = docs.schema[key].dataType.simpleString()
-    names = ["k", "seq", *(["page"] if paged else []), "start", "end", "text"]
-    types = {"seq": np.int32, "page": np.int32, "start": np.int64, "end": np.int64}
-
-    def rows(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [(k, i, *c) for k, t in zip(f["k"], f["t"], strict=True) for i, c in enumerate(cut(t or ""))]
-            yield pd.DataFrame(out, columns=names).astype({n: t for n, t in types.items() if n in names})
-
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(rows, f"k {kind}, seq int, {'page int, ' if paged else ''}start long, end long, text string").withColumnRenamed("k", key)
+    fields = [("seq", pa.int32()), *([("page", pa.int32())] if paged else []), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out = [], []
+            for row, t in enumerate(b.column(1).to_pylist()):
+                for i, c in enumerate(cut(t or "")):
+                    at.append(row)
+                    out.append((i, *c))
+            columns = [list(x) for x in zip(*out, strict=True)] or [[] for _ in fields]
+            schema = pa.schema([b.schema.field(0), *fields])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True))], schema=schema)
+
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(rows, f"k {kind}, seq int, {'page int, ' if paged else ''}start long, end long, text string").withColumnRenamed("k", key)
 
 
 def fixed_chunks(docs: DataFrame, key: str, text: str, target: int, overlap: int) -> DataFrame:

@@ -29,9 +29,11 @@ def reconciled(held: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, zero("a").alias("held"), zero("b").alias("ledger"), (zero("a") == zero("b")).alias("agrees"))
 
 
-def counts_by_prefix(rows: DataFrame, column: str, prefix: str) -> DataFrame:
-    """Counts of what follows a prefix, which is compared in any case."""
-    return rows.filter(F.lower(column).startswith(prefix.lower())).groupBy(F.expr(f"substring({column}, {len(prefix) + 1})").alias(column)).agg(F.count("*").alias("n"))
+def counts_by_prefix(rows: DataFrame, column: str, prefix: str, order: str) -> DataFrame:
+    """column, n, first: counts of what follows a prefix, both compared in any case, as it is first spelt, with its place in that order; nothing after the prefix counts for nothing."""
+    trimmed = F.trim(column)
+    named = rows.filter(F.lower(trimmed).startswith(prefix.lower()) & (F.length(trimmed) > len(prefix))).select(F.substring(trimmed, len(prefix) + 1, 1 << 30).alias("_name"), F.col(order).alias("_o"))
+    return named.groupBy(F.lower("_name").alias("_key")).agg(F.min_by("_name", "_o").alias(column), F.count("*").alias("n"), F.min("_o").alias("first")).drop("_key")
 
 
 def most_recent(rows: DataFrame, key: str, value: str, at: str, n: int) -> DataFrame:

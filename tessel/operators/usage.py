@@ -6,13 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Badges, the counter that each goes by, and from how many on.
+BADGES = [
+    ("welcome", "name", 1), ("first_ingest", "ingest", 1), ("shelf10", "source", 10), ("shelf30", "source", 30), ("first_pack_out", "pack_out", 1), ("first_pack_in", "pack_in", 1),
+    ("solve10", "solved", 10), ("solve50", "solved", 50), ("streak7", "streak_day", 7), ("fb10", "correction", 10), ("fb50", "correction", 50), ("qa_share10", "shared", 10),
+    ("gapfill", "gap_filled", 1), ("thanks5", "thanks", 5), ("streak30", "streak_day", 30), ("thorough10", "thorough", 10),
+]
+
+
 def change(counts: DataFrame, group: str, period: str, n: str = "n") -> DataFrame:
-    """counts with the period before and the change in percent, rounded half to even; null where there was nothing before."""
+    """counts with the period before and the change in percent, rounded half to even; null where there was nothing before (see delta_label)."""
     before = F.lag(n).over(Window.partitionBy(group).orderBy(period))
     delta = F.when(F.coalesce(F.col("before"), F.lit(0)) == 0, None).otherwise(F.bround((F.col(n) - F.col("before")) * 100.0 / F.col("before"), 0).cast("long"))
     return counts.withColumn("before", before).withColumn("delta", delta)
 
 
+def delta_label(now: Column, before: Column) -> Column:
+    """▲ or ▼ with the change in percent, 新記録 where there was nothing before, a dash where there is nothing at all."""
+    percent = F.bround((now - before) * 100.0 / before, 0).cast("long")
+    known = F.when(percent >= 0, F.concat(F.lit("▲"), percent.cast("string"), F.lit("%"))).otherwise(F.concat(F.lit("▼"), F.abs(percent).cast("string"), F.lit("%")))
+    return F.when(before > 0, known).when(now > 0, "新記録").otherwise("—")
+
+
+def kept_log(log: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """A log's newest `most` rows, cut only once it holds a tenth more than that; 0 or less never cuts."""
+    if most <= 0 or log.count() <= most + most // 10:
+        return log
+    return log.orderBy(*order).limit(most)
+
+
 def this_and_last_month(events: DataFrame, event: str, ts: str, today: str) -> DataFrame:
     month, now = F.trunc(ts, "MM"), F.trunc(F.lit(today).cast("date"), "MM")
     return events.groupBy(event).agg(F.count_if(month == now).alias("this_month"), F.count_if(month == F.add_months(now, -1)).alias("last_month"))
@@ -90,17 +112,20 @@ def week_before(events: DataFrame, user: str, ts: str, today: str, minutes: int)
 
 
 def board(rows: DataFrame, dept: str, ts: str, minutes: str, today: str) -> DataFrame:
-    """Minutes of today, this month and in all, by department."""
+    """Minutes of today, this month and this year, by department; each sums only rows of the current day, month or year."""
     d, now = F.to_date(ts), F.lit(today).cast("date")
     part = lambda cond, name: F.coalesce(F.sum(F.when(cond, F.col(minutes))), F.lit(0).cast("long")).alias(name)
-    return rows.groupBy(dept).agg(part(d == now, "day_min"), part(F.trunc(d, "MM") == F.trunc(now, "MM"), "month_min"), F.sum(minutes).alias("year_min"))
+    return rows.groupBy(dept).agg(part(d == now, "day_min"), part(F.trunc(d, "MM") == F.trunc(now, "MM"), "month_min"), part(F.trunc(d, "YYYY") == F.trunc(now, "YYYY"), "year_min"))
 
 
 def blended(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Smoothed value of each key: the first as it is, then the mean of the old and the new."""
-    xs = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
-    a = rows.groupBy(key).agg(xs.alias("_x"))
-    return a.select(key, F.aggregate(F.slice("_x", F.lit(2), F.size("_x")), F.col("_x")[0], lambda s, x: (s + x) / 2).alias("blended"))
+    """Smoothed value of each key: the first as it is, then the mean of the old and the new.
+
+    The newest value weighs a half, the one before a quarter and so on, the first as much as the second; so this is a sum, and no key's values are gathered.
+    """
+    w = Window.partitionBy(key)
+    placed = rows.select(key, F.col(value).alias("_x"), F.row_number().over(w.orderBy(F.desc(order), F.desc(value))).alias("_r"), F.count("*").over(w).alias("_n"))
+    return placed.groupBy(key).agg(F.sum(F.col("_x") * F.pow(F.lit(0.5), F.least(F.col("_r"), F.col("_n") - 1))).alias("blended"))
 
 
 def source_of(detail: Column) -> Column:

@@ -58,12 +58,16 @@ def exp_level_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'click') AS k FROM events GROUP BY user_id)
-    SELECT user_id, unnest(list_filter([CASE WHEN v >= 1 THEN 'first_ask' END, CASE WHEN v >= 10 THEN 'ask_10' END, CASE WHEN v >= 50 THEN 'ask_50' END, CASE WHEN p >= 10 THEN 'solved_10' END, CASE WHEN p >= 30 THEN 'solved_30' END, CASE WHEN k >= 20 THEN 'thanks_20' END], lambda x: x IS NOT NULL)) AS badge FROM c"""
+    """WITH e AS (SELECT user_id, ['name', 'ingest', 'source', 'pack_out', 'pack_in', 'solved', 'streak_day', 'correction', 'shared', 'gap_filled', 'thanks', 'thorough'][event_id % 12 + 1] AS kind FROM events),
+    c AS (SELECT user_id, kind, count(*) AS n FROM e GROUP BY ALL),
+    r(badge, kind, least) AS (VALUES ('welcome', 'name', 1), ('first_ingest', 'ingest', 1), ('shelf10', 'source', 10), ('shelf30', 'source', 30), ('first_pack_out', 'pack_out', 1), ('first_pack_in', 'pack_in', 1), ('solve10', 'solved', 10), ('solve50', 'solved', 50),
+        ('streak7', 'streak_day', 7), ('fb10', 'correction', 10), ('fb50', 'correction', 50), ('qa_share10', 'shared', 10), ('gapfill', 'gap_filled', 1), ('thanks5', 'thanks', 5), ('streak30', 'streak_day', 30), ('thorough10', 'thorough', 10))
+    SELECT user_id, badge FROM c JOIN r ON c.kind = r.kind AND n >= least"""
 )
 def badges_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [("first_ask", "view", 1), ("ask_10", "view", 10), ("ask_50", "view", 50), ("solved_10", "purchase", 10), ("solved_30", "purchase", 30), ("thanks_20", "click", 20)]
-    return usage.badges(events_(spark, sf_dir), "user_id", "event_type", rules)
+    kinds = list(dict.fromkeys(k for _, k, _ in usage.BADGES))
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("event_id") % len(kinds) + 1).cast("int"))
+    return usage.badges(events_(spark, sf_dir).select("user_id", kind.alias("kind")), "user_id", "kind", usage.BADGES)
 
 
 BUSINESS = """d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE isodow(ts) <= 5 AND ts::DATE NOT IN (DATE '2024-01-01', DATE '2024-01-08')),
@@ -75,10 +79,10 @@ def user_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.streaks(events_(spark, sf_dir), "user_id", "ts", ["2024-01-01", "2024-01-08"], "2023-12-01", "2024-03-31")
 
 
-@query("WITH v AS (SELECT DISTINCT user_id AS reporter, 'src' || (event_id % 20) AS source FROM events WHERE event_type = 'error' AND event_id % 7 = 0), c AS (SELECT source, count(*) AS votes, string_agg(reporter::VARCHAR, ',' ORDER BY reporter) AS reporters FROM v GROUP BY source) SELECT source, votes, reporters FROM c WHERE votes >= 2 OR source IN ('src1', 'src2')")
+@query("WITH v AS (SELECT DISTINCT user_id AS reporter, 'src' || (event_id % 2000) AS source FROM events WHERE event_type = 'error'), c AS (SELECT source, count(*) AS votes, string_agg(reporter::VARCHAR, ',' ORDER BY reporter) AS reporters FROM v GROUP BY source) SELECT source, votes, reporters FROM c WHERE votes >= 2 OR source IN ('src1', 'src2')")
 def noise_excluded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events_(spark, sf_dir).filter("event_type = 'error' and event_id % 7 = 0")
-    votes = e.select(F.col("user_id").alias("reporter"), F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string")).alias("source"))
+    e = events_(spark, sf_dir).filter("event_type = 'error'")
+    votes = e.select(F.col("user_id").alias("reporter"), F.concat(F.lit("src"), (F.col("event_id") % 2000).cast("string")).alias("source"))
     return usage.excluded_sources(votes, 2, ["src1", "src2"])
 
 
@@ -110,9 +114,25 @@ def inbox_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_(spark, sf_dir).groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("b")).select("user_id", "b.event_type", "b.ts")
 
 
-@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 4000")
+RETAINED = """SELECT '{kind}' AS log, event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n, count(*) OVER () AS total FROM events WHERE event_type = '{kind}') WHERE total <= {most} + {most} // 10 OR n <= {most}"""
+LOGS = (("view", 2000), ("error", 150), ("signup", 1000000))
+
+
+@query(" UNION ALL ".join(RETAINED.format(kind=k, most=n) for k, n in LOGS))
 def log_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_(spark, sf_dir).select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(4000)
+    logs = [usage.kept_log(events_(spark, sf_dir).filter(F.col("event_type") == k).select(F.lit(k).alias("log"), "event_id", "ts"), [F.desc("ts"), F.desc("event_id")], n) for k, n in LOGS]
+    return logs[0].union(logs[1]).union(logs[2]).select("log", "event_id")
+
+
+@query(
+    """WITH w AS (SELECT user_id, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS now, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS before FROM events WHERE event_type = 'purchase' GROUP BY user_id),
+    p AS (SELECT *, CASE WHEN before > 0 THEN round_even((now - before) * 100.0::DOUBLE / before, 0)::BIGINT END AS pct FROM w)
+    SELECT user_id, CASE WHEN before > 0 AND pct >= 0 THEN '▲' || pct || '%' WHEN before > 0 THEN '▼' || abs(pct) || '%' WHEN now > 0 THEN '新記録' ELSE '—' END AS label FROM p"""
+)
+def saved_time_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
+    w = events_(spark, sf_dir).filter("event_type = 'purchase'").groupBy("user_id").agg(F.count_if(late).alias("now"), F.count_if(~late).alias("before"))
+    return w.select("user_id", usage.delta_label(F.col("now"), F.col("before")).alias("label"))
 
 
 @query("SELECT conv_id, turn, role, length(text) AS chars FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4")
@@ -159,12 +179,12 @@ def weekly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT user_id, ts::DATE AS day, count(*) * 15 AS minutes FROM events WHERE event_type = 'purchase' GROUP BY ALL)
-    SELECT 'D' || (user_id % 7) AS dept, coalesce(sum(minutes) FILTER (day = DATE '2024-01-30'), 0)::BIGINT AS day_min, coalesce(sum(minutes) FILTER (date_trunc('month', day) = DATE '2024-01-01'), 0)::BIGINT AS month_min, sum(minutes)::BIGINT AS year_min FROM r GROUP BY 1"""
+    """WITH r AS (SELECT user_id, (ts - (event_id % 4) * INTERVAL 10 DAY - (event_id % 3) * INTERVAL 400 DAY)::DATE AS day FROM events WHERE event_type = 'purchase')
+    SELECT 'D' || (user_id % 7) AS dept, 15 * count(*) FILTER (day = DATE '2024-01-20') AS day_min, 15 * count(*) FILTER (strftime(day, '%Y%m') = '202401') AS month_min, 15 * count(*) FILTER (strftime(day, '%Y') = '2024') AS year_min FROM r GROUP BY 1"""
 )
 def board_by_department(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events_(spark, sf_dir).filter("event_type = 'purchase'").select(F.concat(F.lit("D"), (F.col("user_id") % 7).cast("string")).alias("dept"), "ts", F.lit(15).cast("long").alias("minutes"))
-    return usage.board(e, "dept", "ts", "minutes", "2024-01-30")
+    e = events_(spark, sf_dir).filter("event_type = 'purchase'").select(F.concat(F.lit("D"), (F.col("user_id") % 7).cast("string")).alias("dept"), F.expr("ts - make_interval(0, 0, 0, cast(event_id % 4 * 10 + event_id % 3 * 400 as int))").alias("ts"), F.lit(15).cast("long").alias("minutes"))
+    return usage.board(e, "dept", "ts", "minutes", "2024-01-20")
 
 
 @query("SELECT user_id, round(avg(value), 5) AS mean, approx_quantile(value, 0.5) IS NOT NULL AS known, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
@@ -172,10 +192,10 @@ def distinct_and_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_(spark, sf_dir).groupBy("user_id").agg(F.round(F.avg("value"), 5).alias("mean"), F.percentile_approx("value", 0.5).isNotNull().alias("known"), F.countDistinct("event_type").alias("kinds"))
 
 
-@query("WITH o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events QUALIFY n <= 4), p AS (SELECT user_id, max(value) FILTER (n = 1) AS a, max(value) FILTER (n = 2) AS b, max(value) FILTER (n = 3) AS c, max(value) FILTER (n = 4) AS d FROM o GROUP BY user_id) SELECT user_id, round(CASE WHEN b IS NULL THEN a WHEN c IS NULL THEN (a + b) / 2 WHEN d IS NULL THEN ((a + b) / 2 + c) / 2 ELSE (((a + b) / 2 + c) / 2 + d) / 2 END, 6) AS blended FROM p")
+@query("SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x: (a + x) / 2), 4) AS blended FROM events GROUP BY user_id")
 def blended_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = events_(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).filter("n <= 4")
-    return usage.blended(first, "user_id", "n", "value").select("user_id", F.round("blended", 6).alias("blended"))
+    timed = events_(spark, sf_dir).select("user_id", F.struct("ts", "event_id").alias("at"), "value")
+    return usage.blended(timed, "user_id", "at", "value").select("user_id", F.round("blended", 4).alias("blended"))
 
 
 @query(

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessel.functions import decide as D
 from tessel.functions import text as T
+from tessel.functions.register import register
 from tessel.operators import ingest, rank, retrieve
 from tessel.plans.base import query, table
 
@@ -185,18 +187,28 @@ def doc_replacement_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_(spark, sf_dir).select("doc_id", F.round(T.replacement_ratio("text"), 6).alias("ratio"))
 
 
-@query("SELECT source, count(*) AS pages, sum(n_chars)::BIGINT AS chars, count(*) >= 10 AND sum(n_chars) < 60 * count(*) AS thin FROM documents GROUP BY source")
+@query(
+    """SELECT doc_id, doc_id % 3 <> 1 AND doc_id % 200 >= 10 AND (doc_id % 9 <= (doc_id % 200) // 20 OR n_chars < 60 * (doc_id % 200)) AS thin FROM documents"""
+)
 def thin_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = docs_(spark, sf_dir).groupBy("source").agg(F.count("*").alias("pages"), F.sum("n_chars").alias("chars"))
-    return g.withColumn("thin", (F.col("pages") >= 10) & (F.col("chars") < 60 * F.col("pages")))
+    i = F.col("doc_id")
+    return docs_(spark, sf_dir).select("doc_id", D.thin_extract(F.when(i % 3 == 1, "docx").otherwise("pdf"), i % 200, i % 9, F.col("n_chars")).alias("thin"))
 
 
-@query(
-    """SELECT doc_id, CASE WHEN regexp_matches(t, '[,"\\r\\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS field
-    FROM (SELECT doc_id, CASE WHEN substring(s, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || s ELSE s END AS t FROM (SELECT doc_id, substring(text, 1, 60) AS s FROM documents))"""
-)
+CSV = """SELECT doc_id, md5(CASE WHEN regexp_matches(t, '[,"\\r\\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END) AS field
+    FROM (SELECT doc_id, CASE WHEN substring(s, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || s ELSE s END AS t FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '=' WHEN 1 THEN '@' ELSE '' END || text AS s FROM documents))"""
+
+
+@query(CSV)
 def csv_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_(spark, sf_dir).select("doc_id", F.substring("text", 1, 60).alias("s")).select("doc_id", T.csv_safe("s").alias("field"))
+    starter = F.when(F.col("doc_id") % 4 == 0, "=").when(F.col("doc_id") % 4 == 1, "@").otherwise("")
+    return docs_(spark, sf_dir).select("doc_id", F.md5(T.csv_safe(F.concat(starter, F.col("text")))).alias("field"))
+
+
+@query(CSV)
+def csv_fields_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    return docs_(spark, sf_dir).selectExpr("doc_id", "md5(csv_safe(concat(CASE doc_id % 4 WHEN 0 THEN '=' WHEN 1 THEN '@' ELSE '' END, text))) AS field")
 
 
 @query(

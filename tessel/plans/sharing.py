@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.functions import decide as D
 from tessel.functions import text as T
 from tessel.operators import ingest, rank, sets
 from tessel.plans.base import query, table
@@ -34,16 +35,17 @@ def ledger_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.reconciled(d.filter("lang <> 'es'"), d.filter("lang <> 'fr'"), "source")
 
 
-@query("SELECT substring(origin, 5) AS origin, count(*) AS n FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'Src:' || lang ELSE 'self' END AS origin FROM documents) WHERE lower(origin) LIKE 'src:%' GROUP BY 1")
+@query("WITH o AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Src:' || lang WHEN 1 THEN ' src:' || upper(lang) WHEN 2 THEN 'SRC:' || source WHEN 3 THEN 'src:' ELSE 'self' END AS o FROM documents), p AS (SELECT doc_id, substring(trim(o, ' '), 5) AS name FROM o WHERE lower(trim(o, ' ')) LIKE 'src:_%') SELECT min_by(name, doc_id) AS origin, count(*) AS n, min(doc_id) AS first FROM p GROUP BY lower(name)")
 def origin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Src:"), F.col("lang"))).otherwise("self").alias("origin"))
-    return sets.counts_by_prefix(d, "origin", "src:")
+    i = F.col("doc_id") % 5
+    origin = F.when(i == 0, F.concat(F.lit("Src:"), "lang")).when(i == 1, F.concat(F.lit(" src:"), F.upper("lang"))).when(i == 2, F.concat(F.lit("SRC:"), "source")).when(i == 3, "src:").otherwise("self")
+    return sets.counts_by_prefix(table(spark, sf_dir, "documents").select("doc_id", origin.alias("origin")), "origin", "src:", "doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE source = 'src0') AND source = 'src1'")
+@query("SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE lang = 'en') AND lang <> 'en'")
 def new_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("hash"))
-    return sets.new_rows(d.filter("source = 'src1'"), d.filter("source = 'src0'"), ["hash"]).select("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5("text").alias("hash"))
+    return sets.new_rows(d.filter("lang <> 'en'"), d.filter("lang = 'en'"), ["hash"]).select("doc_id")
 
 
 @query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src3')")
@@ -72,11 +74,12 @@ def mentions_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH s AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), c AS (SELECT *, len(regexp_extract_all(text, '[?？]')) AS marks, len(list_filter(regexp_split_to_array(text, '[。.!！?？\\n]'), lambda x: trim(x, ' ') <> '')) AS sentences FROM s)
-    SELECT conv_id, turn, marks >= 2 OR sentences >= 2 AS compound, length(text) >= 25 OR marks >= 2 OR sentences >= 2 AS decompose FROM c"""
+    SELECT conv_id, turn, marks >= 2 OR sentences >= 2 AS compound, conv_id % 3 <> 0 AND (conv_id % 3 = 1 OR length(text) >= 25 OR marks >= 2 OR sentences >= 2) AS decompose FROM c"""
 )
 def question_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("compound", T.compound_signal("text"))
-    return q.select("conv_id", "turn", "compound", ((F.length("text") >= 25) | F.col("compound") | T.global_signal("text")).alias("decompose"))
+    q = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    mode = F.when(F.col("conv_id") % 3 == 0, "off").when(F.col("conv_id") % 3 == 1, "always").otherwise("auto")
+    return q.select("conv_id", "turn", T.compound_signal("text").alias("compound"), D.decompose_gate(mode, F.col("text")).alias("decompose"))
 
 
 @query("SELECT o_orderkey, list_aggregate(list_distinct(list_filter([o_orderkey % 5 + 1, o_custkey % 7 + 1, 99, o_orderkey % 3 + 1], lambda x: x <= 6)), 'sum')::BIGINT AS total FROM orders")
@@ -120,9 +123,9 @@ def lineitem_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT conv_id, turn, max(memo) AS memo, 2 AS level FROM m GROUP BY conv_id, turn"""
 )
 def memo_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", T.question_key("text", None).alias("key"))
-    memo = q.filter("turn = 0").groupBy("key").agg(F.max("conv_id").alias("memo"))
-    return q.join(memo, "key").select("conv_id", "turn", "memo", F.lit(2).alias("level"))
+    q = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", "text", T.question_key("text", None).alias("key"))
+    memo = q.filter("turn = 0").groupBy("key").agg(F.max(F.struct("conv_id", F.col("text").alias("question"))).alias("m"))
+    return q.join(memo, "key").select("conv_id", "turn", F.col("m.conv_id").alias("memo"), D.memo_level(F.col("text"), F.col("m.question")).alias("level"))
 
 
 @query("SELECT doc_id, quality, toxic FROM labels JOIN documents USING (doc_id) WHERE toxic = 0 AND quality = 1")

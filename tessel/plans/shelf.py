@@ -144,9 +144,9 @@ def counters_bumped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shelf.bumped(e.filter("event_type = 'view'").groupBy("key").agg(F.count("*").alias("value")), e.filter("event_type = 'error'").select("key", (F.col("event_id") % 3).alias("delta")))
 
 
-@query("SELECT substring(key, 7) AS source FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'noise:' ELSE 'gexcl:' END || source AS key, doc_id % 3 AS value FROM documents WHERE doc_id < 40) WHERE value >= 1 GROUP BY 1")
+@query("SELECT substring(key, 7) AS source FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'noise:' ELSE 'gexcl:' END || source AS key, doc_id % 3 AS value FROM documents) WHERE value >= 1 GROUP BY 1")
 def noise_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("doc_id < 40")
+    d = table(spark, sf_dir, "documents")
     stats = d.select(F.concat(F.when(F.col("doc_id") % 2 == 0, "noise:").otherwise("Gexcl:"), "source").alias("key"), (F.col("doc_id") % 3).cast("string").alias("value"))
     return shelf.noise_sources(stats)
 
@@ -157,12 +157,12 @@ def gallery_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT l AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents WHERE doc_id < 50) GROUP BY 1), b AS (SELECT l AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents WHERE doc_id BETWEEN 25 AND 75) GROUP BY 1)
+    """WITH a AS (SELECT l AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents WHERE lang = 'en') GROUP BY 1), b AS (SELECT l AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents WHERE lang <> 'en') GROUP BY 1)
     SELECT md5(coalesce(a.line, b.line)) AS line, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0) AS removed, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0) AS added FROM a FULL JOIN b ON a.line = b.line WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)"""
 )
 def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return shelf.line_diff(d.filter("doc_id < 50"), d.filter("doc_id between 25 and 75")).withColumn("line", F.md5("line"))
+    return shelf.line_diff(d.filter("lang = 'en'"), d.filter("lang <> 'en'")).withColumn("line", F.md5("line"))
 
 
 def _case(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessel.functions import text as X
+from tessel.operators import sets
 
 #: Extensions that a folder scan takes.
 EXTENSIONS = ("txt", "md", "csv", "pdf", "doc", "docx", "xls", "xlsx", "xlsm", "png", "jpg", "jpeg", "html")
@@ -95,15 +96,16 @@ def read_pack(spark: SparkSession, path: str, dim: int) -> tuple[dict[str, str],
         raise ValueError("another pack format")
     if meta.get("embed_dim") != str(dim):
         raise ValueError("another vector dimension")
-    vectors = spark.read.schema(VECTORS).parquet(f"{path}/vectors").groupBy("chunk_id").agg(F.first("vector").alias("vector"))
+    vectors = spark.read.schema(VECTORS).parquet(f"{path}/vectors").select("chunk_id", "vector", F.struct("_metadata.file_path", "_metadata.row_index").alias("_at")).groupBy("chunk_id").agg(F.min_by("vector", "_at").alias("vector"))
     return meta, spark.read.schema(CHUNKS).parquet(f"{path}/chunks").join(vectors, "chunk_id", "left")
 
 
 def imported(shelf: DataFrame, pack: DataFrame, origin: str, purge: list[str] | None = None) -> DataFrame:
-    """The shelf with a pack's chunks of new content, under an origin; rows of purged origins leave first."""
+    """The shelf with a pack's chunks of new content, under an origin; rows of purged origins leave first. Of chunks that repeat a content the one with the smallest chunk_id comes in."""
     kept = shelf.filter(~F.lower("origin").isin([p.lower() for p in purge])) if purge else shelf
     key = F.md5(X.norm_hash("full_text"))
-    fresh = pack.withColumn("_h", key).join(kept.select(key.alias("_h")).distinct(), "_h", "left_anti").dropDuplicates(["_h"])
+    fresh = pack.withColumn("_h", key).join(kept.select(key.alias("_h")).distinct(), "_h", "left_anti")
+    fresh = sets.deduplicated(fresh, ["_h"], ["chunk_id", "page"])
     fresh = fresh.withColumn("origin", F.lit(origin)).withColumn("embedded", F.col("vector").isNotNull())
     return kept.unionByName(fresh.select(*kept.columns))
 

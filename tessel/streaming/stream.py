@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def event_stream(spark: SparkSession, folder: str, name: str, ts: str = "ts") -> DataFrame:
@@ -92,14 +93,24 @@ def used_chunks(turns: DataFrame, session: str, ts: str, chunk: str, minutes: in
     return turns.withWatermark(ts, f"{minutes} minutes").groupBy(session).applyInPandasWithState(step, out, "last long, used array<string>", "append", "EventTimeTimeout")
 
 
-def drained(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
-    """All of a stream's present input, run to its end. Append mode writes files; other modes keep the last of each batch's rows."""
+def drained(stream: DataFrame, mode: str = "append", folder: str | None = None, keys: list[str] | None = None) -> DataFrame:
+    """All of a stream's present input, run to its end. Append mode writes files, complete mode gives the last batch, update mode the last row of each of the keys."""
     spark = stream.sparkSession
-    top = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessel-stream-")
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs keys to merge its batches by")
+    top = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if top is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="tessel-stream-")
     at = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         w.format("parquet").option("path", f"{at}/out").start().awaitTermination()
-    else:
+    elif mode == "complete":
         w.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{at}/out")).start().awaitTermination()
+    else:
+        w.foreachBatch(lambda df, i: df.withColumn("_batch", F.lit(i)).write.mode("overwrite").parquet(f"{at}/out/part={i}")).start().awaitTermination()
+        rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])).option("recursiveFileLookup", True).parquet(f"{at}/out")
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in stream.columns]), "_batch").alias("_r")).select("_r.*")
     return spark.read.schema(stream.schema).parquet(f"{at}/out")

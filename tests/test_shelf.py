@@ -47,9 +47,9 @@ def test_predicates(ask):
 
 
 def test_expiry_and_locks(ask):
-    e = lambda days, warned=False, wiped=False, reach=False, limit=30: D.expiry(L(days).cast("int"), L(limit), L(warned), L(wiped), L(reach))
-    got = ask(off=e(1, limit=0), never=e(None), early=e(5), warn=e(25), warned=e(25, True), late=e(40), wipe=e(40, True), done=e(40, True, True), near=e(40, True, reach=True), go=D.lock_action(L(False), L(0), L(5)), stale=D.lock_action(L(True), L(-6), L(5)), wait=D.lock_action(L(True), L(1), L(5)))
-    assert got == dict(off="off", never="never", early="none", warn="warn", warned="none", late="warn", wipe="wipe", done="none", near="none", go="go", stale="stale", wait="wait")
+    e = lambda days, warned="", wiped="", reach=False, limit=30: D.expiry(L("" if days is None else "2024-01-01"), L(days).cast("int"), L(limit), L(warned), L(wiped), L(reach))
+    got = ask(off=e(1, limit=0), never=e(None), early=e(5), warn=e(25), warned=e(25, "25"), late=e(40), wipe=e(40, "25"), done=e(40, "25", "x"), near=e(40, "25", reach=True), go=D.lock_action(L(False), L(0), L(5)), stale=D.lock_action(L(True), L(-6), L(5)), wait=D.lock_action(L(True), L(1), L(5)))
+    assert got == dict(off="off", never="never", early="none", warn="warn", warned="none", late="warn_first", wipe="wipe", done="none", near="none", go="go", stale="stale", wait="wait")
 
 
 def test_arithmetic(ask):
@@ -119,7 +119,7 @@ def test_texts(ask):
     )
     assert (got["joined"], got["kept"], got["text"], got["crumb"], got["path"]) == ("第12条 目的", "plain 第 x", "a\nb", "【S > C】", "第1章>第2条")
     assert got["cites"] == "x [shelf a p1] y [pack b]（未確認）"
-    assert (got["choice"], got["void"], got["parent"], got["fine"], got["pick"], got["lines"]) == ([1, 2, 3], [], "parent", None, "shift_jis", ["A", "b"])
+    assert (got["choice"], got["void"], got["parent"], got["fine"], got["pick"], got["lines"]) == ([1, 2, 3], [], "parent", "", "shift_jis", ["A", "b"])
     assert (got["same"], got["near"], got["far"], got["wrong"], got["right"], got["author"], got["unknown"]) == (2, 1, 0, True, False, "me", "")
     assert got["vectors"] == [[1.0, 2.0]] and got["rich"][0].summary == "s" and got["poor"] <= 1
 
