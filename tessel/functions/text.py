@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def norm_search(s: Column | str) -> Column:
     """Folds full-width letters and digits, A-Z, wide spaces and TAB; nothing else."""
     return F.translate(_c(s), FOLD_FROM, FOLD_TO)
@@ -47,10 +54,13 @@ def norm_hash(s: Column | str) -> Column:
 
 def tokens(s: Column | str) -> Column:
     """Runs of ASCII letters and digits, then bigrams over the Japanese letters put side by side."""
-    n = norm_search(s)
-    ja = F.regexp_replace(n, f"[^{JAPANESE}]", "")
-    grams = F.when(F.length(ja) > 1, F.transform(F.sequence(F.lit(1), F.length(ja) - 1), lambda i: F.substring(ja, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.regexp_extract_all(n, F.lit("[0-9a-z]+"), F.lit(0)), grams)
+    none = F.array().cast("array<string>")
+
+    def grams(ja: Column) -> Column:
+        each = bound(F.split(ja, ""), lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda x, i: F.concat(x, F.get(c, i + 1))))
+        return F.when(F.length(ja) > 1, each).otherwise(none)
+
+    return bound(norm_search(s), lambda n: F.concat(F.regexp_extract_all(n, F.lit("[0-9a-z]+"), F.lit(0)), F.when(n.rlike(f"[{JAPANESE}]"), bound(F.regexp_replace(n, f"[^{JAPANESE}]", ""), grams)).otherwise(none)))
 
 
 def distinct_keys(query: Column | str) -> Column:
@@ -81,12 +91,13 @@ def cap_score(raw: Column, cap: float) -> Column:
 def key_score(keys: Column, text: Column, cap: float = KEY_CAP) -> Column:
     """Length-weighted keyword score of a compact text, damped by its length and capped."""
 
-    def add(total: Column, key: Column) -> Column:
-        n = occurrences(text, key)
-        return total + F.when((F.length(key) >= 2) & (n > 0), key_weight(F.length(key)) * (1 + F.log(n.cast("double")))).otherwise(F.lit(0.0))
+    def score(t: Column) -> Column:
+        def add(total: Column, key: Column) -> Column:
+            return total + bound(occurrences(t, key), lambda n: F.when((F.length(key) >= 2) & (n > 0), key_weight(F.length(key)) * (1 + F.log(n.cast("double")))).otherwise(F.lit(0.0)))
+
+        return bound(F.aggregate(keys, F.lit(0.0), add), lambda raw: F.when(raw > 0, cap_score(raw / (1 + F.log(1 + F.length(t) / F.lit(KEY_DOCUMENT))), cap)).otherwise(F.lit(0.0)))
 
-    raw = F.aggregate(keys, F.lit(0.0), add)
-    return F.when(raw > 0, cap_score(raw / (1 + F.log(1 + F.length(text) / F.lit(KEY_DOCUMENT))), cap)).otherwise(F.lit(0.0))
+    return bound(text, score)
 
 
 def any_key(keys: Column, text: Column) -> Column:
@@ -95,8 +106,7 @@ def any_key(keys: Column, text: Column) -> Column:
 
 def exact_hits(keys: Column, text: Column) -> Column:
     """Keys that occur in the normalised text, spaces kept."""
-    n = norm_search(text)
-    return F.size(F.filter(keys, lambda k: F.contains(n, k))).cast("long")
+    return bound(norm_search(text), lambda n: F.size(F.filter(keys, lambda k: F.contains(n, k))).cast("long"))
 
 
 def coverage(keys: Column, text: Column) -> Column:

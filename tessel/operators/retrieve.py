@@ -65,17 +65,35 @@ def prefiltered(rows: DataFrame, query: list[float], key: str, vector: str, n: i
 
 
 def bm25(docs: DataFrame, question: list[str], key: str, tokens: Column, k: int) -> DataFrame:
-    """Term scores of distinct question tokens; document counts come from the postings of those tokens alone. The table's size and mean length are fetched first, as two numbers."""
+    """Term scores of distinct question tokens. Their counts are taken within each row, so no postings are made or moved; the driver gets one row: the
+    table's size, its mean length and how many documents hold each token."""
     words = sorted(set(question))
-    lengths = docs.select(key, tokens.alias("t")).withColumn("dl", F.size("t"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    postings = lengths.select(key, "dl", F.explode(F.filter("t", lambda x: x.isin(words))).alias("w")).groupBy(key, "dl", "w").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("w").agg(F.count("*").alias("df"))  # a row per question token
-    n, avgdl, tf = F.lit(stats.n), F.lit(stats.avgdl), F.col("tf")
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * tf * (T.K1 + 1) / (tf + T.K1 * (1 - T.B + T.B * F.col("dl") / avgdl))
-    scores = postings.join(F.broadcast(df), "w").groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scores, k, "score", key)
+    held = lambda t, w: F.size(F.filter(t, lambda x: x == w))
+    counted = T.bound(tokens, lambda t: F.struct(F.size(t).alias("dl"), F.array(*[held(t, w) for w in words]).alias("tf")))
+    rows = docs.select(key, counted.alias("c")).select(key, "c.dl", "c.tf")
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(words))]).first()
+    if not stats.n:
+        return rows.select(key, F.lit(0.0).alias("score")).limit(0)
+    score = F.lit(0.0)
+    for i in range(len(words)):
+        idf, tf = F.log(1 + (F.lit(stats.n) - stats[f"df{i}"] + 0.5) / F.lit(stats[f"df{i}"] + 0.5)), F.col("tf")[i]
+        score = score + idf * tf * (T.K1 + 1) / (tf + T.K1 * (1 - T.B + T.B * F.col("dl") / F.lit(stats.avgdl)))
+    met = rows.filter(F.exists("tf", lambda n: n > 0))
+    return top(met.select(key, F.round(score, 6).alias("score")), k, "score", key)
+
+
+def exact_boost(question: Column, text: Column, weight: float = 3.0) -> Column:
+    """weight for every key of the question that the text holds: article labels and runs of three letters or digits, both folded."""
+    q = T.norm_search(question)
+    keys = F.concat(F.regexp_extract_all(q, F.lit("第[0-9]+条(?:の[0-9]+)?"), F.lit(0)), F.regexp_extract_all(F.regexp_replace(q, "第[0-9]+条(?:の[0-9]+)?", " "), F.lit("[0-9a-z]{3,}"), F.lit(0)))
+    return T.bound(T.norm_search(text), lambda t: F.size(F.filter(keys, lambda k: F.contains(t, k))) * F.lit(weight))
+
+
+def page_hit(questions: DataFrame, ranked: DataFrame, gold: DataFrame, key: str = "item_id", depth: int = 5) -> DataFrame:
+    """page_hit: the share of questions with a row of the gold source within one page of the gold page among the first `depth`; ranked has source, page, rank, gold has gold, gold_page."""
+    near = ranked.filter(F.col("rank") <= depth).join(gold, key).filter((F.col("source") == F.col("gold")) & (F.abs(F.col("page") - F.col("gold_page")) <= 1)).select(key).distinct()
+    met = questions.join(near.withColumn("_hit", F.lit(1.0)), key, "left")
+    return met.agg(F.avg(F.coalesce("_hit", F.lit(0.0))).alias("page_hit"))
 
 
 def recall(ranks: DataFrame, cuts: tuple[int, ...] = (1, 3, 5, 10, 20)) -> DataFrame:

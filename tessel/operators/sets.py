@@ -37,9 +37,10 @@ def counts_by_prefix(rows: DataFrame, column: str, prefix: str, order: str) -> D
 
 
 def most_recent(rows: DataFrame, key: str, value: str, at: str, n: int) -> DataFrame:
-    """key and its n most recent distinct values, newest first, equal ones by value."""
-    ordered = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col(at).cast("timestamp"))).alias("t"), F.col(value).alias("v"))))
-    return rows.groupBy(key).agg(F.slice(F.transform(ordered, lambda x: x["v"]), 1, n).alias("recent"))
+    """key and its n most recent distinct values, newest first, equal ones by value; a key's other values are dropped before they meet."""
+    last = rows.groupBy(key, value).agg(F.max(at).alias("_at"))
+    first = last.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_at"), value))).filter(F.col("_rn") <= n)
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", F.col(value).alias("v")))), lambda x: x["v"]).alias("recent"))
 
 
 def merged_recent(old: Column, new: Column, n: int) -> Column:
@@ -47,6 +48,15 @@ def merged_recent(old: Column, new: Column, n: int) -> Column:
     return F.slice(F.array_distinct(F.concat(new, old)), 1, n)
 
 
+def listed_with(names: Column, name: Column) -> Column:
+    """A list of names with one more, once."""
+    return F.array_union(names, F.array(name))
+
+
+def listed_without(names: Column, name: Column) -> Column:
+    return F.array_except(names, F.array(name))
+
+
 def mentions(text: Column, names: list[str]) -> Column:
     out = F.lit(False)
     for name in names:

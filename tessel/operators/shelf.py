@@ -53,6 +53,11 @@ def retrieved(vectors: DataFrame, knowledge: DataFrame, question: str, queries:
     return hits
 
 
+def norm_filled(knowledge: DataFrame) -> DataFrame:
+    """knowledge whose empty norm_text is filled, so that searches don't fold texts anew; write it to keep it."""
+    return knowledge.withColumn("norm_text", F.coalesce("norm_text", T.match_text("summary", "keywords", "source", "full_text")))
+
+
 def widened(scoped: DataFrame, whole: DataFrame, least: int = 2) -> DataFrame:
     """The scoped hits, or those of the whole shelf where the scope gives fewer than `least`."""
     return scoped if scoped.limit(least).count() >= least else whole

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessel.plans import analytics, documents, rules, sharing, shelf, streams, vectors
+from tessel.plans import analytics, documents, flows, rules, sharing, shelf, streams, vectors
 from tessel.plans.base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "analytics", "documents", "rules", "sharing", "shelf", "streams", "vectors"]
+__all__ = ["ORACLE", "QUERIES", "analytics", "documents", "flows", "rules", "sharing", "shelf", "streams", "vectors"]

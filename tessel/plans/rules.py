@@ -169,14 +169,14 @@ def escaped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.json_escaped(odd)).alias("escaped"), F.size(T.listed("text", " ")).cast("long").alias("words"))
 
 
-#: Japanese fixtures: text, then what each function gives, worked out by hand.
+#: Japanese fixtures: a text, and by hand its lines joined, class, whether it is a page number, tokens, search keys, longest run, compact form, question key, what ingest leaves after a line x, whether it asks for the whole.
 JAPANESE = [
-    ("第 １ ２ 条 目的", "第12条 目的", "条目|目的", "第12条|目的", 2, False, "目的"),
-    ("第３ 章 と 第　４　項", "第3章 と 第4項", "第章|章と|と第|第項", "第4項", 1, False, "章と"),
-    ("Ａ１ 保険 ﾌｫｰﾑ", "Ａ１ 保険 ﾌｫｰﾑ", "a1|保険", "保険|a1", 0, False, "保険"),
-    ("- １９ -", "- １９ -", "19", "19", 3, True, "19"),
-    ("第 x 回 交通費", "第 x 回 交通費", "x|第回|回交|交通|通費", "交通費", 0, False, "交通費"),
-    ("別表第1と様式2の一覧", "別表第1と様式2の一覧", "1|2|別表|表第|第と|と様|様式|式の|の一|一覧", "", 0, False, ""),
+    ("第 １ ２ 条 目的", "第12条 目的", 2, False, "1|2|第条|条目|目的", "第12条|条目的|12", "目的", "第12条目的", "第１２条目的", "x\n第12条 目的", False),
+    ("第３ 章 と 第　４　項", "第3章 と 第4項", 1, False, "3|4|第章|章と|と第|第項", "第3章|第4項", "第3", "第3章と第4項", "第３章と第４項", "x\n第3章 と 第4項", False),
+    ("Ａ１ 保険 ﾌｫｰﾑ", "Ａ１ 保険 ﾌｫｰﾑ", 0, False, "a1|保険", "a1|保険", "a1", "a1保険ﾌｫｰﾑ", "ａ１保険ﾌｫｰﾑ", "x\nＡ１ 保険 ﾌｫｰﾑ", False),
+    ("- １９ -", "- １９ -", 3, True, "19", "19", "19", "-19-", "-１９-", "x", False),
+    ("第 x 回 交通費", "第 x 回 交通費", 0, False, "x|第回|回交|交通|通費", "回交通費", "交通費", "第x回交通費", "第x回交通費", "x\n第 x 回 交通費", False),
+    ("別表第1と様式2の一覧", "別表第1と様式2の一覧", 0, False, "1|2|別表|表第|第と|と様|様式|式の|の一|一覧", "別表第1|様式2|別表第|様式|一覧", "別表第1と様式2の一覧", "別表第1と様式2の一覧", "別表第1と様式2の一覧", "x\n別表第1と様式2の一覧", True),
 ]
 
 
@@ -184,12 +184,27 @@ def sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({sql_text(a)}, {sql_text(b)}, {str(p).lower()}, {c})" for a, b, _, _, c, p, _ in JAPANESE) + ") t(line, joined, page_line, class)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"({sql_text(a)}, {sql_text(b)}, {str(p).lower()}, {c})" for a, b, c, p, *_ in JAPANESE) + ") t(line, joined, page_line, class)")
 def japanese_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = given(spark, [(r[0],) for r in JAPANESE], "line string")
     return rows.select("line", D.joined_numbers(F.col("line")).alias("joined"), T.page_number_line("line").alias("page_line"), T.line_class(D.joined_numbers(F.col("line"))).alias("class"))
 
 
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(sql_text(x) for x in (r[0], *r[4:10])) + f", {str(r[10]).lower()})" for r in JAPANESE) + ") t(line, tokens, keys, main, compact, question, ingested, whole)")
+def japanese_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = given(spark, [(r[0],) for r in JAPANESE], "line string")
+    return rows.select(
+        "line",
+        F.array_join(T.tokens("line"), "|").alias("tokens"),
+        F.array_join(T.distinct_keys("line"), "|").alias("keys"),
+        T.main_keyword("line").alias("main"),
+        T.compact("line").alias("compact"),
+        T.question_key("line").alias("question"),
+        D.ingest_text(F.concat(F.lit("x\n"), "line")).alias("ingested"),
+        T.global_signal("line").alias("whole"),
+    )
+
+
 #: The golden values of the hash that names chunks: text and hash.
 HASHES = [("", "cbf29ce484222325"), ("hello", "32964f71b2764b97"), ("第12条", "5b02a1a0f87d2243")]
 

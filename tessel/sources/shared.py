@@ -44,7 +44,17 @@ def write_text(spark: SparkSession, path: str, text: str, tries: int = TRIES) ->
 
 def read_text(spark: SparkSession, path: str, tries: int = TRIES) -> str:
     """A small text file whole."""
-    return retried(lambda: spark.read.option("wholetext", True).text(path).first()[0], tries)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source = jvm.org.apache.hadoop.fs.Path(path)
+
+    def work() -> str:
+        stream = source.getFileSystem(conf).open(source)
+        try:
+            return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    return retried(work, tries)
 
 
 def channels(spark: SparkSession, folder: str, marker: str = "version.txt", most: int = 40) -> tuple[DataFrame, int]:
