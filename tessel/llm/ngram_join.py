@@ -214,7 +214,7 @@ def counted(packets_: DataFrame, parts: int) -> DataFrame:
                 none = [None] * len(token[i:j])
                 yield batch(schema, [none, none, pa.array(marks[i:j]), none, none, none, pa.array(token[i:j]), pa.array(df[i:j].astype(np.int64))])
 
-    return packets_.repartition(parts, "part").mapInArrow(trimmed(rows), ", ".join(f"{f.name} long" for f in schema))
+    return packets_.repartitionById(parts, F.col("part")).mapInArrow(trimmed(rows), ", ".join(f"{f.name} long" for f in schema))
 
 
 def least_overlap(a: Column, b: Column) -> Column:
