@@ -69,3 +69,33 @@ def test_update_mode_needs_keys(spark):
     e = stream.event_stream(spark, "/root/testdata/sf0.001", "events.parquet")
     with pytest.raises(ValueError):
         stream.drained(e.groupBy("user_id").count(), "update")
+
+
+def test_ingest_run_fills_every_table(spark):
+    from pyspark.sql import functions as F
+
+    from tessel.functions.python import mock_embedding
+    from tessel.operators import chain
+
+    body = "第1章 総則\n第1条 目的を定める。詳しくは第3条。\n" + "本文です。" * 60 + "\n第2章 手続\n第3条 手続を定める。\n" + "手続の本文。" * 60
+    pages = spark.createDataFrame([("a.txt", body), ("b.txt", body), ("c.txt", "short note with FAIL"), ("d.txt", " ")], "source string, text string")
+    held = spark.createDataFrame([], "source string, full_text string")
+    manifest = spark.createDataFrame([("a.txt", "failed", 0, 2), ("z.txt", "done", 4, 0)], "file_path string, status string, chunk_count long, streak int")
+
+    def embed(texts):
+        return [None if "FAIL" in t else mock_embedding(t, 8) for t in texts]
+
+    def summary(text):
+        return F.struct(F.substring(text, 1, 5).alias("summary"), F.lit("k").alias("keywords"))
+
+    out = chain.ingest(pages, held, manifest, "self", embed, summary, least=0)
+    chunks = out.chunks.collect()
+    ids = {r.chunk_id for r in chunks}
+    assert len(ids) == len(chunks) and {r.source for r in chunks} == {"a.txt", "b.txt", "c.txt"}
+    assert {r.chunk_id for r in out.meta.collect()} == ids
+    assert {r.chunk_id: r.embedded for r in out.vectors.collect()} == {r.chunk_id: r.source != "c.txt" for r in chunks}
+    m = {r.file_path: (r.status, r.streak) for r in out.manifest.collect()}
+    assert m == {"a.txt": ("done", 0), "b.txt": ("done", 0), "c.txt": ("partial", 0), "d.txt": ("done", 0), "z.txt": ("done", 0)}
+    outline = out.outline.orderBy("source", "n").collect()
+    assert [r.chap for r in outline if r.source == "a.txt"][:2] == ["第1章 総則", "第2章 手続"] and all(r.summary for r in outline)
+    assert out.links.count() > 0
