@@ -187,9 +187,9 @@ def board_by_department(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.board(e, "dept", "ts", "minutes", "2024-01-20")
 
 
-@query("SELECT user_id, round(avg(value), 5) AS mean, approx_quantile(value, 0.5) IS NOT NULL AS known, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
+@query("SELECT user_id, round(avg(value), 10) AS mean, approx_quantile(value, 0.5) IS NOT NULL AS known, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
 def distinct_and_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_(spark, sf_dir).groupBy("user_id").agg(F.round(F.avg("value"), 5).alias("mean"), F.percentile_approx("value", 0.5).isNotNull().alias("known"), F.countDistinct("event_type").alias("kinds"))
+    return events_(spark, sf_dir).groupBy("user_id").agg(F.round(F.avg("value"), 10).alias("mean"), F.percentile_approx("value", 0.5).isNotNull().alias("known"), F.countDistinct("event_type").alias("kinds"))
 
 
 @query("SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x: (a + x) / 2), 4) AS blended FROM events GROUP BY user_id")
