@@ -340,7 +340,7 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     stays = F.col("mark").isNull() | F.coalesce((F.col("k") == F.col("first.k")) & (F.col("h") == F.col("first.h")), F.lit(True))
     judged = written(met.groupBy(F.col("k").alias("_key"), F.col("h").alias("_hash")).agg(F.max(stays).alias("stays"), F.count("*").alias("rows")), "judged")
     by_key = judged.groupBy("_key").agg(F.max("stays").alias("some"))
-    gone = written(by_key.filter("NOT some").select("_key").repartitionByRange(8, "_key").sortWithinPartitions("_key"), "gone")
+    gone = written(by_key.filter("NOT some").select("_key").repartitionByRange("_key").sortWithinPartitions("_key"), "gone")
     rest = docs.join(gone, F.col(key).cast("long") == F.col("_key"), "left_anti")
     here = (F.col(key).cast("long") == F.col("_key")) & (F.xxhash64(F.col(text)) == F.col("_hash"))
     partly = written(judged.filter("NOT stays").join(by_key.filter("some"), "_key", "left_semi").select("_key", "_hash"), "partly-gone")
