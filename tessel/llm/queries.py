@@ -89,6 +89,24 @@ def op10_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import collocations
+
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import divergence
+
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_grid_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import grid_join
+
+    return grid_join.groups(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weak_pii": op1_weak_pii,
     "op2_ngram_join": op2_ngram_join,
@@ -100,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_codec": op8_piece_codec,
     "op9_linked_secrets": op9_linked_secrets,
     "op10_bounded_ring": op10_bounded_ring,
+    "op11_collocations": op11_collocations,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_grid_dedup": op13_grid_dedup,
 }
 
 NGRAM_SQL = r"""
@@ -158,4 +179,72 @@ WITH d AS (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (row)
 """
 
-ORACLE: dict[str, str] = {"op2_ngram_join": NGRAM_SQL, "op9_linked_secrets": SECRETS_SQL}
+COLLOCATION_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+    SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), s AS (
+    SELECT row_number() OVER () AS piece, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p
+), w AS (
+    SELECT piece, lang, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM s
+), x AS (
+    SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4 FROM w WINDOW o AS (PARTITION BY piece ORDER BY i)
+), g AS (
+    SELECT lang, 1 AS k, w1 AS phrase FROM x UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM x WHERE w2 IS NOT NULL
+    UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM x WHERE w3 IS NOT NULL UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM x WHERE w4 IS NOT NULL
+), n AS (
+    SELECT lang, count(*)::BIGINT AS n FROM w GROUP BY lang
+), f AS (
+    SELECT lang, phrase, any_value(k) AS k, count(*) AS f FROM g GROUP BY lang, phrase HAVING count(*) >= 30
+), c AS (
+    SELECT lang, phrase, f AS a, k, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), cut AS (
+    SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, ((2000000::HUGEINT * c.a) // (l.f + r.f))::BIGINT AS score,
+    row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (2000000::HUGEINT * c.a) // (l.f + r.f), v.i) AS best
+    FROM c JOIN (VALUES (1), (2), (3)) AS v(i) ON v.i < c.k
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:v.i], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[v.i + 1:], ' ')
+), longer AS (
+    SELECT lang, array_to_string(w[s.i:s.i + m.m - 1], ' ') AS phrase, max(a) AS a
+    FROM c, (VALUES (2), (3)) AS m(m), (VALUES (1), (2), (3)) AS s(i) WHERE m.m < k AND s.i + m.m - 1 <= k GROUP BY ALL
+), kept AS (
+    SELECT cut.lang, row_number() OVER (PARTITION BY cut.lang ORDER BY score DESC, cut.a DESC, cut.phrase) AS rank, cut.phrase, cut.a, l, r, score
+    FROM cut LEFT JOIN longer x ON x.lang = cut.lang AND x.phrase = cut.phrase WHERE best = 1 AND (x.a IS NULL OR 100 * x.a::HUGEINT < 80 * cut.a)
+)
+SELECT lang, rank, phrase, a, l, r, n.n AS n, score FROM kept JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), t AS (
+    SELECT row, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (
+    SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 3
+), v AS (
+    SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang
+), g AS (
+    SELECT DISTINCT lang, source FROM d
+), c AS (
+    SELECT t.lang, t.source, t.term, count(*)::HUGEINT AS c FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL
+), total AS (
+    SELECT lang, source, sum(c)::HUGEINT AS n FROM c GROUP BY lang, source
+), p AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (coalesce(total.n, 0) + v.v) AS p
+    FROM g JOIN k ON g.lang = k.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN total ON total.lang = g.lang AND total.source = g.source
+), q AS (
+    SELECT x.lang, x.term, 1 + (1000000000::HUGEINT * (x.c + 1)) // (y.n + v.v) AS q
+    FROM (SELECT lang, term, sum(c)::HUGEINT AS c FROM c GROUP BY lang, term) x JOIN (SELECT lang, sum(n)::HUGEINT AS n FROM total GROUP BY lang) y ON x.lang = y.lang JOIN v ON v.lang = x.lang
+), pair AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), every AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+    UNION ALL SELECT p.lang, p.source, 'term', p.term, (((p - q) * (p - q)) // q)::BIGINT FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.c > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLE: dict[str, str] = {"op2_ngram_join": NGRAM_SQL, "op9_linked_secrets": SECRETS_SQL, "op11_collocations": COLLOCATION_SQL, "op12_source_divergence": DIVERGENCE_SQL}
