@@ -195,15 +195,16 @@ WITH d AS (
     UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM x WHERE w3 IS NOT NULL UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM x WHERE w4 IS NOT NULL
 ), n AS (
     SELECT lang, count(*)::BIGINT AS n FROM w GROUP BY lang
-), f AS (
+), f AS MATERIALIZED (
     SELECT lang, phrase, any_value(k) AS k, count(*) AS f FROM g GROUP BY lang, phrase HAVING count(*) >= 30
 ), c AS (
     SELECT lang, phrase, f AS a, k, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), halves AS (
+    SELECT lang, phrase, a, i, array_to_string(w[1:i], ' ') AS head, array_to_string(w[i + 1:], ' ') AS tail FROM (SELECT c.*, unnest(range(1, k)) AS i FROM c)
 ), cut AS (
-    SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, ((2000000::HUGEINT * c.a) // (l.f + r.f))::BIGINT AS score,
-    row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (2000000::HUGEINT * c.a) // (l.f + r.f), v.i) AS best
-    FROM c JOIN (VALUES (1), (2), (3)) AS v(i) ON v.i < c.k
-    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:v.i], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[v.i + 1:], ' ')
+    SELECT h.lang, h.phrase, h.a, l.f AS l, r.f AS r, ((2000000::HUGEINT * h.a) // (l.f + r.f))::BIGINT AS score,
+    row_number() OVER (PARTITION BY h.lang, h.phrase ORDER BY (2000000::HUGEINT * h.a) // (l.f + r.f), h.i) AS best
+    FROM halves h JOIN f l ON l.lang = h.lang AND l.phrase = h.head JOIN f r ON r.lang = h.lang AND r.phrase = h.tail
 ), longer AS (
     SELECT lang, array_to_string(w[s.i:s.i + m.m - 1], ' ') AS phrase, max(a) AS a
     FROM c, (VALUES (2), (3)) AS m(m), (VALUES (1), (2), (3)) AS s(i) WHERE m.m < k AND s.i + m.m - 1 <= k GROUP BY ALL
