@@ -248,4 +248,19 @@ WITH d AS (
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
-ORACLE: dict[str, str] = {"op2_ngram_join": NGRAM_SQL, "op9_linked_secrets": SECRETS_SQL, "op11_collocations": COLLOCATION_SQL, "op12_source_divergence": DIVERGENCE_SQL}
+GRID_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e, embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS valid FROM embeddings
+), l AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.valid AND b.valid AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), r(vec_id, root) AS (
+    SELECT vec_id, vec_id FROM v UNION SELECT l.y, r.root FROM r JOIN l ON r.vec_id = l.x
+), c AS (
+    SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id
+), n AS (
+    SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x
+)
+SELECT c.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n ON n.vec_id = c.vec_id
+"""
+
+ORACLE: dict[str, str] = {"op13_grid_dedup": GRID_SQL, "op2_ngram_join": NGRAM_SQL, "op9_linked_secrets": SECRETS_SQL, "op11_collocations": COLLOCATION_SQL, "op12_source_divergence": DIVERGENCE_SQL}
