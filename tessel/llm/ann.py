@@ -2,7 +2,7 @@
 
 Index: centroids are fitted by spherical k-means on a bounded sample (SAMPLE ids by their hash, a row of each); every vector is normalised, turned by a fixed
 random rotation, and put into the list of its nearest centroid. Short lists share a bin, long ones are split into bins
-by a hash of the id, so that a bin holds about BIN rows whatever the lists are like.
+by a hash of id and row, so that a bin holds about BIN rows whatever the lists are like, and however often an id is repeated.
 
 Search: a query probes the PROBED share of nearest lists, LEAST_PROBED at least. It goes once to every bin that holds one
 of them, and there stands behind the bin's rows: a task holds one bin and streams the queries past it. More than
@@ -242,7 +242,7 @@ def nearest(rows: DataFrame, asking: DataFrame, index: Index, probes: int, k: in
                     here = here or Bin(index, kept)
                     yield batch(out_schema, here.answers(part, probes, 4.0 if whole else None, k))
 
-    inside = rows.select("list", "id", "v", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("part")).mapInArrow(trimmed(held), ddl)
+    inside = rows.select("list", "id", "v", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(1 << 30)).alias("part")).mapInArrow(trimmed(held), ddl)
     around = asking.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(copies)).cast("int").alias("copy")).mapInArrow(trimmed(asked), ddl)
     near = inside.unionByName(around).repartition("bin", "copy").sortWithinPartitions("bin", "copy", "asks", "id", "v").mapInArrow(trimmed(scanned), "query_id long, vec_id long, score double")
     near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -89,6 +89,14 @@ def trimmed(rows: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return all_rows
 
 
+def free(name: str, df: DataFrame) -> str:
+    """A name like the given one that no column of df has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def texts(column: pa.Array) -> list[str]:
     """A string column as Python strings, null as empty."""
     return [x or "" for x in column.to_pylist()]

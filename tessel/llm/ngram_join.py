@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, ready, trimmed, written
+from .common import batch, free, ready, trimmed, written
 
 SHINGLE = 5
 THRESHOLD = 80
@@ -338,15 +338,16 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     first = written(found.filter("mark is not null").groupBy("root").agg(F.min(F.struct("k", "h")).alias("first")), "firsts")
     met = found.join(first, "root", "left")
     stays = F.col("mark").isNull() | F.coalesce((F.col("k") == F.col("first.k")) & (F.col("h") == F.col("first.h")), F.lit(True))
-    judged = written(met.groupBy(F.col("k").alias("_key"), F.col("h").alias("_hash")).agg(F.max(stays).alias("stays"), F.count("*").alias("rows")), "judged")
-    by_key = judged.groupBy("_key").agg(F.max("stays").alias("some"))
-    gone = written(by_key.filter("NOT some").select("_key").repartitionByRange("_key").sortWithinPartitions("_key"), "gone")
-    rest = docs.join(gone, F.col(key).cast("long") == F.col("_key"), "left_anti")
-    here = (F.col(key).cast("long") == F.col("_key")) & (F.xxhash64(F.col(text)) == F.col("_hash"))
-    partly = written(judged.filter("NOT stays").join(by_key.filter("some"), "_key", "left_semi").select("_key", "_hash"), "partly-gone")
+    own, hash_ = free("_key", docs), free("_hash", docs)
+    judged = written(met.groupBy(F.col("k").alias(own), F.col("h").alias(hash_)).agg(F.max(stays).alias("stays"), F.count("*").alias("rows")), "judged")
+    by_key = judged.groupBy(own).agg(F.max("stays").alias("some"))
+    gone = written(by_key.filter("NOT some").select(own).repartitionByRange(own).sortWithinPartitions(own), "gone")
+    rest = docs.join(gone, F.col(key).cast("long") == F.col(own), "left_anti")
+    here = (F.col(key).cast("long") == F.col(own)) & (F.xxhash64(F.col(text)) == F.col(hash_))
+    partly = written(judged.filter("NOT stays").join(by_key.filter("some"), own, "left_semi").select(own, hash_), "partly-gone")
     if not partly.isEmpty():
         rest = rest.join(partly, here, "left_anti")
-    repeated = written(judged.filter("stays AND rows > 1").select("_key", "_hash"), "repeated")
+    repeated = written(judged.filter("stays AND rows > 1").select(own, hash_), "repeated")
     if repeated.isEmpty():
         return rest
     others = F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in docs.columns if c not in (key, text)], F.lit(0))

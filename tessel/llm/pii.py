@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 from .spans import clear_of, let, matches, replaced
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -281,9 +281,7 @@ def masked(text: Column, spans: Column) -> Column:
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with personal data masked in the text; texts without any, and null ones, stay as they are."""
-    own = "_spans"
-    while own in docs.columns:
-        own = "_" + own
+    own = free("_spans", docs)
     rows = written(docs.withColumn(own, scanned(F.col(text))), "pii-rows")
     model = train(rows.select(F.col(f"{own}.loose").alias("loose")))
     found = F.concat(F.col(f"{own}.base"), accepted(F.col(f"{own}.loose"), model))

@@ -2,7 +2,7 @@
 
 Merges never cross pre-tokens, so a document's count is the sum of its pre-tokens' counts. The tree keeps, per
 subtree, characters and tokens. An edit walks down to the leaves it touches, splits anew only from a pre-token that
-cannot have seen the edit (each depends on two characters past its end at most) up to the first old border after the
+cannot have seen the edit (each depends on two characters past its end, and on whether an added token begins there) up to the first old border after the
 edit that the new split meets again, and adds up the sums on the paths to the root. Everything else keeps its counts.
 
 trees() makes the table: the text, and characters and tokens of each leaf (a run of up to LEAF pre-tokens). edited() and
@@ -13,7 +13,8 @@ done to it later.
 A log of edits may hold any number for one key: rows are dealt by document, sorted by order, and streamed past the one
 tree that a task holds; copies of a document each get their edits.
 
-Defined cases: a null text is empty, 0 tokens; null edits are none; an edit's bounds are clipped to the text as it is
+Defined cases: the file's added tokens are one token each wherever a text has their string, also where an edit makes or breaks one, as tokenizers has
+it; a null text is empty, 0 tokens; null edits are none; an edit's bounds are clipped to the text as it is
 then, null ones are 0, and edits apply in order, ties by their bounds and text; a very long text is one tree; an empty table gives an empty result;
 other columns are not read whatever they are called; repeated rows count each; a null key's edits are those of rows without a key.
 """
@@ -21,6 +22,7 @@ other columns are not read whatever they are called; repeated rows count each; a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,38 @@ from .vocab import SPLIT, encoding
 
 LEAF = 32
 REMEMBERED = 500_000
-REACH = 2
-split = regex.compile(SPLIT).findall
+REACH = 2  # characters past its end on which a pre-token depends, besides added tokens
 walk = regex.compile(SPLIT).finditer
 
 
+class Splitter:
+    """Cuts texts into pre-tokens: at the added tokens of a vocabulary, which are one each, and by its pattern between them."""
+
+    def __init__(self, added: list[str]) -> None:
+        self.added = frozenset(added)
+        self.cut = regex.compile("|".join(regex.escape(a) for a in sorted(added, key=lambda a: (-len(a), a)))) if added else None
+        self.reach = REACH + max(map(len, added), default=0)
+
+    def walk(self, text: str) -> Iterator[tuple[int, str]]:
+        """(first character, pre-token) of each."""
+        at = 0
+        for m in self.cut.finditer(text) if self.cut else ():
+            for w in walk(text[at : m.start()]):
+                yield at + w.start(), w.group()
+            yield m.start(), m.group()
+            at = m.end()
+        for w in walk(text[at:] if at else text):
+            yield at + w.start(), w.group()
+
+    def split(self, text: str) -> list[str]:
+        return [w for _, w in self.walk(text)]
+
+
+@lru_cache(maxsize=4)
+def splitter(path: str) -> Splitter:
+    return Splitter(sorted(encoding(path).special_tokens_set))
+
+
 class Node:
     """A subtree: its sums, and either two subtrees, or a run of pre-tokens with their counts, or the text of a run not yet looked into."""
 
@@ -80,16 +109,16 @@ class Node:
 
 
 class Tree:
-    def __init__(self, text: str, count: Callable[[str], int]) -> None:
-        self.count = count
-        words = split(text)
+    def __init__(self, text: str, count: Callable[[str], int], cut: Splitter) -> None:
+        self.count, self.cut = count, cut
+        words = cut.split(text)
         self.root = Node(words, [count(w) for w in words])
         self.encoded = len(words)
 
     @classmethod
-    def kept(cls, text: str, chars: np.ndarray, tokens: np.ndarray, count: Callable[[str], int]) -> Tree:
+    def kept(cls, text: str, chars: np.ndarray, tokens: np.ndarray, count: Callable[[str], int], cut: Splitter) -> Tree:
         """The tree of a text with the sums of its leaves; nothing is encoded."""
-        tree = cls("", count)
+        tree = cls("", count, cut)
         ends = np.cumsum(chars).tolist()
         tree.root = Node.folded([(text[end - n : end], t) for end, n, t in zip(ends, chars.tolist(), tokens.tolist(), strict=True)])
         return tree
@@ -129,12 +158,12 @@ class Tree:
         return found
 
     def unfold(self, node: Node, end: int) -> None:
-        """Finds and counts the pre-tokens of a leaf that ends at a character; the next two characters tell its last one's border."""
+        """Finds and counts the pre-tokens of a leaf that ends at a character; the next characters tell its last one's border."""
         if node.raw is None:
             return
-        after = "".join(path[-1].text() for path, at in self.leaves(end, end + REACH) if at >= end)[:REACH]
+        after = "".join(path[-1].text() for path, at in self.leaves(end, end + self.cut.reach) if at >= end)[: self.cut.reach]
         words, left = [], node.chars
-        for w in split(node.raw + after):
+        for w in self.cut.split(node.raw + after):
             if left <= 0:
                 break
             words.append(w[:left])
@@ -146,9 +175,10 @@ class Tree:
         """Replaces [start, stop) by text; returns how many pre-tokens were encoded anew."""
         start = min(max(start, 0), self.root.chars)
         stop = min(max(stop, start), self.root.chars)
-        reach = stop + REACH
+        after = self.cut.reach
+        reach = stop + after
         while True:
-            touched = self.leaves(max(0, start - REACH), reach)
+            touched = self.leaves(max(0, start - after), reach)
             base = touched[0][1]
             for path, at in touched:
                 self.unfold(path[-1], at + path[-1].chars)
@@ -156,7 +186,7 @@ class Tree:
             counts = [c for path, _ in touched for c in path[-1].counts]
             end = base + sum(map(len, words))
             first, at = 0, base
-            while first < len(words) and at + len(words[first]) + REACH <= start:
+            while first < len(words) and at + len(words[first]) + after <= start:
                 at += len(words[first])
                 first += 1
             old = "".join(words[first:])
@@ -167,14 +197,14 @@ class Tree:
                 b += len(words[i])
             fresh, met = [], None
             whole = end == self.root.chars
-            for m in walk(new):
-                p = at + m.start()
+            for p, w in self.cut.walk(new):
+                p += at
                 if p >= start + len(text) and p in borders:
                     met = borders[p]
                     break
-                if not whole and at + m.end() + REACH > at + len(new):
+                if not whole and p + len(w) + after > at + len(new):
                     break
-                fresh.append(m.group())
+                fresh.append(w)
             else:
                 met = len(words) if whole else None
             if met is not None:
@@ -195,8 +225,8 @@ class Tree:
 
 
 def counter(path: str) -> Callable[[str], int]:
-    """Tokens of a pre-token, remembered in a bounded table."""
-    encode = encoding(path).encode_ordinary
+    """Tokens of a pre-token, one for an added token, remembered in a bounded table."""
+    encode, added = encoding(path).encode_ordinary, splitter(path).added
     memory: dict[str, int] = {}
 
     def count(word: str) -> int:
@@ -204,7 +234,7 @@ def counter(path: str) -> Callable[[str], int]:
         if n is None:
             if len(memory) >= REMEMBERED:
                 memory.clear()
-            n = len(encode(word))
+            n = 1 if word in added else len(encode(word))
             if len(word) < 64:
                 memory[word] = n
         return n
@@ -220,11 +250,11 @@ def trees(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
     keyed = ready(docs).select(docs[key].alias("k"), docs[text].alias("t"))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer)
+        count, cut = counter(tokenizer), splitter(tokenizer)
         for b in batches:
             found = []
             for t in texts(b.column(1)):
-                tree = Tree(t, count)
+                tree = Tree(t, count, cut)
                 chars, tokens = tree.sums()
                 found.append((t, chars.tobytes(), tokens.tobytes(), tree.tokens, tree.encoded))
             yield batch(pa.schema([b.schema.field(0), *tree_fields()]), [b.column(0), *([list(x) for x in zip(*found, strict=True)] or [[]] * 5)])
@@ -236,8 +266,8 @@ def tree_fields() -> list[tuple[str, pa.DataType]]:
     return [("text", pa.string()), ("chars", pa.binary()), ("tokens", pa.binary()), ("n_tokens", pa.int64()), ("n_pretokens", pa.int64())]
 
 
-def loaded(text: str | None, chars: bytes, tokens: bytes, count: Callable[[str], int]) -> Tree:
-    return Tree.kept(text or "", np.frombuffer(chars, "<u4"), np.frombuffer(tokens, "<u4"), count)
+def loaded(text: str | None, chars: bytes, tokens: bytes, count: Callable[[str], int], cut: Splitter) -> Tree:
+    return Tree.kept(text or "", np.frombuffer(chars, "<u4"), np.frombuffer(tokens, "<u4"), count, cut)
 
 
 def edited(kept: DataFrame, tokenizer: str, edits: Column, key: str = "doc_id") -> DataFrame:
@@ -245,11 +275,11 @@ def edited(kept: DataFrame, tokenizer: str, edits: Column, key: str = "doc_id")
     keyed = ready(kept).select(kept[key].alias("k"), *(kept[n].alias(n) for n, _ in tree_fields()), edits.alias("e"))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer)
+        count, cut = counter(tokenizer), splitter(tokenizer)
         for b in batches:
             after, anew, n = [], [], []
             for t, c, k, own in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 6)), strict=True):
-                tree = loaded(t, c, k, count)
+                tree = loaded(t, c, k, count, cut)
                 for e in own or []:
                     tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
                 after.append(tree.tokens)
@@ -275,7 +305,7 @@ def updated(kept: DataFrame, tokenizer: str, log: DataFrame, key: str = "doc_id"
     ordered = first.unionByName(then).repartition("row").sortWithinPartitions("row", "part", "seq", "start", "stop", "new")
 
     def applied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer)
+        count, cut = counter(tokenizer), splitter(tokenizer)
         tree, k, schema = None, None, None
 
         def made() -> pa.RecordBatch:
@@ -289,7 +319,7 @@ def updated(kept: DataFrame, tokenizer: str, log: DataFrame, key: str = "doc_id"
                 if "k" in r:
                     if tree is not None:
                         yield made()
-                    tree, k = loaded(r["text"], r["chars"], r["tokens"], count), r["k"]
+                    tree, k = loaded(r["text"], r["chars"], r["tokens"], count, cut), r["k"]
                 else:
                     tree.edit(r["start"] or 0, r["stop"] or 0, r["new"] or "")
         if tree is not None:

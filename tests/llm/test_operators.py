@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import zstandard
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessel.llm import ann, packing, piece_codec, quality, sharding, token_counts, url_filter
@@ -209,15 +210,21 @@ def test_byte_bpe_equals_unmodified_library_on_added_tokens(spark):
 # Token counts
 
 
+def library():
+    """The ids of the unmodified library."""
+    held = Tokenizer.from_file(BPE)
+    return lambda t: held.encode(t, add_special_tokens=False).ids
+
+
 def test_edits_count_like_encoding_anew():
-    count, whole = token_counts.counter(BPE), encoding(BPE).encode_ordinary
+    count, cut, whole = token_counts.counter(BPE), token_counts.splitter(BPE), library()
     r = random.Random(1)
-    bits = [" ", "  ", "\n", "'s", "'re", "a", "the", " word", "12", "é", "!!", "\t", "   \n ", "中", "🙂", "x" * 70, "'"]
+    bits = ["<|endoftext|>", "<|endof", "text|>", "<|", " ", "  ", "\n", "'s", "'re", "a", "the", " word", "12", "é", "!!", "\t", "   \n ", "中", "🙂", "x" * 70, "'"]
     some = lambda n: "".join(r.choice(bits) for _ in range(n))
     anew = total = 0
     for _ in range(400):
         cur = some(r.choice([0, 1, 5, 30, 300]))
-        tree = token_counts.Tree(cur, count)
+        tree = token_counts.Tree(cur, count, cut)
         for _ in range(6):
             i = r.randrange(-2, len(cur) + 3)
             j, new = i + r.choice([0, 0, 1, 3, 20, 500]), some(r.choice([0, 0, 1, 2, 10]))
@@ -225,13 +232,13 @@ def test_edits_count_like_encoding_anew():
             b = min(max(j, a), len(cur))
             cur = cur[:a] + new + cur[b:]
             anew += tree.edit(i, j, new)
-            total += len(token_counts.split(cur))
+            total += len(cut.split(cur))
             assert tree.text() == cur and tree.tokens == len(whole(cur))
     assert anew < total / 3
 
 
 def test_edit_query_and_log(spark):
-    whole = encoding(BPE).encode_ordinary
+    whole = library()
     texts = {r.doc_id: r.text or "" for r in table(spark, "documents").collect()}
     for r in QUERIES["op4_edit_counts"](spark, D).collect():
         t = texts[r.doc_id]
@@ -245,9 +252,9 @@ def test_edit_query_and_log(spark):
 
 
 def test_kept_trees_take_logs_of_edits(spark):
-    whole = encoding(BPE).encode_ordinary
+    whole = library()
     r = random.Random(8)
-    bits = [" ", "  ", "\n", "\n\n", "'s", "a", "the", " word", "12", "é", "!!", "   \n ", "中", "🙂"]
+    bits = ["<|endoftext|>", "<|end", "oftext|>", " ", "  ", "\n", "\n\n", "'s", "a", "the", " word", "12", "é", "!!", "   \n ", "中", "🙂"]
     some = lambda n: "".join(r.choice(bits) for _ in range(n))
     docs = [(i, some(r.choice([0, 3, 40, 900]))) for i in range(40)] + [(1, "again"), (2, None), (None, "x y"), (99, "left alone")]
     log, want = [], []
@@ -273,11 +280,21 @@ def test_kept_trees_take_logs_of_edits(spark):
     assert token_counts.updated(kept, BPE, log_df.limit(0)).count() == len(docs)
 
 
+def test_added_tokens_count_as_the_library_has_it(spark):
+    whole = library()
+    docs = [(1, "a <|endoftext|> b"), (2, "!!<|endoftext|><|endoftext|>  "), (3, "x  <|endoftext|>\n"), (4, "<|endoftext"), (5, "<|endoftext|>" * 500)]
+    kept = token_counts.trees(docs_of(spark, docs), BPE)
+    assert {r.doc_id: r.n_tokens for r in kept.collect()} == {k: len(whole(t)) for k, t in docs}
+    log = spark.createDataFrame([(1, 0, 5, 6, ""), (4, 0, 11, 11, "|>"), (5, 0, 13 * 250 + 4, 13 * 250 + 5, " ")], "doc_id long, seq int, start long, stop long, text string")
+    want = {1: "a <|edoftext|> b", 4: "<|endoftext|>", 5: docs[4][1][: 13 * 250 + 4] + " " + docs[4][1][13 * 250 + 5 :]}
+    assert {r.doc_id: (r.text, r.n_tokens) for r in token_counts.updated(kept, BPE, log).collect() if r.doc_id in want} == {k: (t, len(whole(t))) for k, t in want.items()}
+
+
 def test_kept_trees_encode_little():
-    count, whole = token_counts.counter(BPE), encoding(BPE).encode_ordinary
+    count, cut, whole = token_counts.counter(BPE), token_counts.splitter(BPE), library()
     t = " ".join(f"word{i}" for i in range(5000))
-    first = token_counts.Tree(t, count)
-    tree = token_counts.Tree.kept(t, *first.sums(), count)
+    first = token_counts.Tree(t, count, cut)
+    tree = token_counts.Tree.kept(t, *first.sums(), count, cut)
     assert tree.tokens == first.tokens and tree.encoded == 0
     tree.edit(20000, 20010, "other words")
     t = t[:20000] + "other words" + t[20010:]
@@ -568,13 +585,28 @@ def test_shards_equal_a_plain_walk(spark):
 # Odd tables
 
 
+def test_a_hot_id_is_dealt_to_several_bins(spark):
+    r = np.random.default_rng(9)
+    rows = [(i if i % 3 else 7, [float(x) for x in r.normal(size=8)]) for i in range(9000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.search(df, is_query=F.col("vec_id") == 11)
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    best = {}
+    for (k, _), c in zip(rows, x @ x[11], strict=True):
+        if k != 11:
+            best[k] = max(best.get(k, -2), c)
+    want = sorted(best, key=lambda k: (-best[k], k))[:5]
+    assert len({r.vec_id for r in got.collect()} & set(want)) >= 4
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_clashing_columns_and_long_texts(spark, empty):
     from tessel.llm import ngram_join, pii, secrets
 
     long = "word " * 60000 + "x" * 100000
     rows = [(1, "a b c d e f", *range(12)), (1, "a b c d e f", *range(12)), (2, None, *range(12)), (None, long, *[None] * 12), (4, " \t\n", *range(12))]
-    clash = "k t row part block n mark token ids key base spans".split()
+    clash = "k t row part block n mark token ids _KEY _hash spans".split()
     df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} int" for c in clash))
     df = df.limit(0) if empty else df
     n = 0 if empty else 5
