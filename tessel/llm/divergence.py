@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, ready, trimmed, written
@@ -35,7 +35,7 @@ from .common import batch, ready, trimmed, written
 LEAST = 3
 TERMS = 200
 SCALE = 1_000_000_000
-HELD = 300_000  # counts in a task before it gives them away
+HELD = 500_000  # counts in a task before it gives them away
 CELLS = 1_000_000  # numbers of a block of runs by sources
 BLOCK = 512
 LETTERS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -46,9 +46,13 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(LETTERS).split()
 
 
+def keys(lang: str, source: str) -> list[Column]:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))]
+
+
 def occurrences(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """Partial counts (lang, term, source, docs, n); a null term tells that the group occurs."""
-    held = ready(docs).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))], F.col(text).cast("binary").alias("t"))
+    """Partial counts (lang, term, source, docs, n)."""
+    held = ready(docs).select(*keys(lang, source), F.col(text).cast("binary").alias("t"))
     schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("docs", pa.int64()), ("n", pa.int64())])
     Counts = dict[tuple[str, str], tuple[Counter, Counter]]
 
@@ -60,15 +64,9 @@ def occurrences(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: Counts = {}
-        seen: set[tuple[str, str]] = set()
         for b in batches:
             for key, t in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), b.column(2), strict=True):
                 terms = terms_of(t.as_py() or b"")
-                if key not in seen:
-                    if len(seen) >= HELD:
-                        seen.clear()
-                    seen.add(key)
-                    yield batch(schema, [[key[0]], [None], [key[1]], [0], [0]])
                 counts = groups.get(key)
                 if counts is None:
                     counts = groups[key] = (Counter(), Counter())
@@ -192,9 +190,8 @@ class Bucket:
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partial = written(occurrences(docs, text, lang, source), "occurrences")
-    kept = written(runs(partial.filter("term IS NOT NULL"), least), "terms")
-    groups = partial.filter("term IS NULL").select("lang", "source").distinct()
+    kept = written(runs(occurrences(docs, text, lang, source), least), "terms")
+    groups = docs.select(*keys(lang, source)).distinct()
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     sizes = kept.groupBy("lang", "term").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("*").alias("kept"))
     zero = F.lit(0).cast("long")
