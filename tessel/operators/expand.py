@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from tessel.functions import decide as D
 from tessel.functions import text as T
+from tessel.operators.rank import PART, neighbours_in_parts
 
 NEIGHBOURS, REFS, REF_CANDIDATES, LINKED, SEEDS = 80, 8, 120, 2, 2
 
 
-def neighbours(chunks: DataFrame, hits: DataFrame, radius: int, most: int = NEIGHBOURS) -> DataFrame:
+def neighbours(chunks: DataFrame, hits: DataFrame, radius: int, most: int = NEIGHBOURS, size: int = PART) -> DataFrame:
     """Chunks (chunk_id, source, page, seq) within `radius` places of a hit in its source, in that order, hits left out.
 
-    Only sources with hits are read; the place is a window over source, so no pair of chunks is formed.
+    Only sources with hits are read; places are taken in parts of the sorted chunks, so a source of any size is many tasks and no pair of chunks is formed.
     """
-    near = chunks.join(hits.select("source").distinct(), "source", "left_semi").join(hits.select("chunk_id", F.lit(1).alias("_hit")), "chunk_id", "left")
-    w = Window.partitionBy("source").orderBy("page", "seq").rowsBetween(-radius, radius)
-    found = near.withColumn("_near", F.max("_hit").over(w)).filter(F.col("_hit").isNull() & (F.col("_near") == 1))
-    return found.orderBy("source", "page", "seq").limit(most).drop("_hit", "_near")
+    near = chunks.join(hits.select("source").distinct(), "source", "left_semi").join(hits.select("chunk_id", F.lit(True).alias("_is_hit")), "chunk_id", "left")
+    found = neighbours_in_parts(near, F.col("_is_hit"), "source", ["page", "seq"], radius, size)
+    return found.orderBy("source", "page", "seq").limit(most).drop("_is_hit")
 
 
 def by_references(meta: DataFrame, hits: DataFrame, most: int = REFS, candidates: int = REF_CANDIDATES) -> DataFrame:

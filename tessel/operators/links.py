@@ -1,14 +1,24 @@
-"""Centroids, links between them, spherical k-means, majority votes."""
+"""Centroids, links between them, spherical k-means, majority votes.
+
+Links by pivots. Every unit vector belongs to the cell of its nearest pivot. A row x and a row y of another cell q are at least
+(angle(x, q) - angle(x, own pivot)) / 2 apart, as y is nearer to q than to x's pivot, and at least angle(x, q) less the cell's radius. So x is
+copied only into cells that could hold a row within its angle, and there meets only rows whose angle to the pivot differs by no more than that (bands of
+that width, neighbours included). The angle is that of the least similarity, or for nearest rows without one that of the n-th nearest in x's own
+cell. Large cells are dealt in tiles, so neither a cell nor a group of copies is one task. Pairs left are compared exactly.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import vector as V
+from tessel.scratch import written
 
 
 def centroids(rows: DataFrame, keys: list[str], vector: str, decimals: int | None = 6) -> DataFrame:
@@ -37,6 +47,104 @@ def nearest_centroids(c: DataFrame, key: str, vector: str, n: int, decimals: int
     return best if least is None else best.filter(similar(F.col("sim"), least))
 
 
+PIVOTS, PIVOT_SAMPLE, TILE_ROWS, SLACK = 256, 4096, 2048, 1e-6
+
+
+def pivots(c: DataFrame, key: str, vector: str, most: int = PIVOTS) -> np.ndarray:
+    """Up to `most` rows far from each other, of a sample of PIVOT_SAMPLE rows by the hash of their key: about the square root of the rows."""
+    n = c.count()
+    some = c.orderBy(F.xxhash64(key), key).limit(PIVOT_SAMPLE).select(F.col(vector).cast("array<double>").alias("v")).collect()
+    points = np.array([r.v for r in some])
+    if not len(points):
+        return np.zeros((0, 0))
+    k = max(1, min(most, len(points), math.isqrt(n)))
+    out, far = [points[0]], 1 - points @ points[0]
+    while len(out) < k and far.max() > 1e-9:
+        out.append(points[int(np.argmax(far))])
+        far = np.minimum(far, 1 - points @ out[-1])
+    return np.array(out)
+
+
+def _angles(v: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(v @ pivot.T, -1.0, 1.0))
+
+
+def celled(c: DataFrame, key: str, vector: str, pivot: np.ndarray) -> DataFrame:
+    """key, v, cell, angle to its pivot."""
+    kind = dict(c.dtypes)[key]
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                at = _angles(np.array(b.column(1).to_pylist(), float), pivot)
+                cell = at.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(at[np.arange(len(at)), cell])], names=["key", "v", "cell", "angle"])
+
+    return c.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(rows, f"key {kind}, v array<double>, cell int, angle double")
+
+
+def _asking(cells: DataFrame, pivot: np.ndarray, radius: dict[int, float]) -> DataFrame:
+    """key, v, reach, to, angle: each row (with its reach) in every cell that could hold a row within reach."""
+    held = np.array([radius.get(i, -1.0) for i in range(len(pivot))])
+    kind = dict(cells.dtypes)["key"]
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = _angles(np.array(b.column("v").to_pylist(), float), pivot)
+            own, reach = b.column("cell").to_numpy(), b.column("reach").to_numpy()
+            far = np.maximum((at - at[np.arange(len(at)), own][:, None]) / 2, at - held)
+            i, to = np.nonzero((far <= reach[:, None] + SLACK) & (held >= 0))
+            take = pa.array(i)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(take), b.column("v").take(take), pa.array(reach[i]), pa.array(to.astype(np.int32)), pa.array(at[i, to])], names=["key", "v", "reach", "to", "angle"])
+
+    return cells.select("key", "v", "cell", "reach").mapInArrow(rows, f"key {kind}, v array<double>, reach double, to int, angle double")
+
+
+def _met(cells: DataFrame, asking: DataFrame, sizes: dict[int, int], width: float, decimals: int) -> DataFrame:
+    """a, b, sim of the pairs that meet: equal cells, neighbouring bands of angle, within tiles of about TILE_ROWS rows."""
+    tiles = F.create_map(*[F.lit(x) for c, n in sorted(sizes.items()) for x in (c, -(-n // TILE_ROWS))])
+    many = lambda c: F.coalesce(F.try_element_at(tiles, F.col(c)), F.lit(1))
+    band = lambda x: F.floor(x / F.lit(width)).cast("int")
+    y = cells.select(F.col("key").alias("b"), F.col("v").alias("vb"), F.col("cell"), F.col("angle").alias("of_b"), F.pmod(F.xxhash64("key"), many("cell")).cast("int").alias("tile")).withColumn("band", band(F.col("of_b")))
+    x = asking.select(F.col("key").alias("a"), F.col("v").alias("va"), "reach", F.col("to").alias("cell"), F.col("angle").alias("of_a"))
+    x = x.withColumn("band", F.explode(F.sequence(band(F.greatest(F.col("of_a") - F.col("reach") - SLACK, F.lit(0.0))), band(F.col("of_a") + F.col("reach") + SLACK)))).withColumn("tile", F.explode(F.sequence(F.lit(0), many("cell") - 1)))
+    near = (F.abs(F.col("of_a") - F.col("of_b")) <= F.col("reach") + SLACK) & (F.col("a") != F.col("b"))
+    return x.join(y, ["cell", "band", "tile"]).filter(near).select("a", "b", "reach", F.round(V.dot("va", "vb"), decimals).alias("sim"))
+
+
+def nearest_by_pivots(c: DataFrame, key: str, vector: str, n: int, decimals: int = 6, least: int | None = None, most: int = PIVOTS, told: Callable[[dict], None] | None = None) -> DataFrame:
+    """a, b, sim: what nearest_centroids gives, comparing only rows whose cells are near. Vectors are unit vectors of one length; null ones take no part.
+
+    With `least` all rows at least that similar are met; without it, rows first meet their own cell, and the n-th best there bounds how far they look.
+    `told` gets how many pairs were compared, and of how many.
+    """
+    c = c.filter(F.col(vector).isNotNull() & F.col(key).isNotNull())
+    pivot = pivots(c, key, vector, most)
+    if not len(pivot):
+        return c.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("sim")).limit(0)
+    cells = written(celled(c, key, vector, pivot), "cells")
+    facts = cells.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()  # a row a cell, PIVOTS at most
+    radius, sizes = {r.cell: r.radius for r in facts}, {r.cell: r.n for r in facts}
+    first_of = lambda pairs: pairs.withColumn("_rn", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).filter(F.col("_rn") <= n).drop("_rn")
+    if least is not None:
+        reach = math.acos(max(-1.0, min(1.0, least / 100 - 10.0**-decimals - 1e-6)))  # similar() is lenient by 1e-7, and sims are rounded
+        asking = _asking(cells.withColumn("reach", F.lit(reach)), pivot, radius)
+        pairs = _met(cells, asking, sizes, max(reach, 1e-3), decimals)
+    else:
+        own = cells.select("key", "v", F.lit(math.pi).alias("reach"), F.col("cell").alias("to"), "angle")
+        near = first_of(_met(cells, own, sizes, 4.0, 12).select("a", "b", "sim")).groupBy("a").agg(F.min("sim").alias("s"), F.count("*").alias("n"))
+        bound = F.when(F.col("n") >= n, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("s") - 10.0**-decimals - 1e-9)))).otherwise(math.pi)
+        reached = written(cells.join(near.select(F.col("a").alias("key"), bound.alias("reach")), "key", "left").withColumn("reach", F.coalesce("reach", F.lit(math.pi))), "reaches")
+        pairs = _met(cells, _asking(reached, pivot, radius), sizes, 0.25, decimals)
+    if told is not None:
+        pairs = written(pairs, "met")
+        told({"compared": pairs.count(), "of": sum(sizes.values()) * (sum(sizes.values()) - 1)})
+    best = first_of(pairs.select("a", "b", "sim"))
+    return best if least is None else best.filter(similar(F.col("sim"), least))
+
+
 SAMPLE, DIMS, MOST, ROUNDS, FEWEST = 400, 96, 7, 12, 8
 
 
@@ -63,10 +171,8 @@ def fit(points: np.ndarray) -> np.ndarray:
 
 
 def kmeans(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """key and cluster of every row; centres are fitted on a strided sample of 400 rows, so the driver holds no more."""
-    total = rows.count()
-    stride = max(1, total // SAMPLE)
-    sample = rows.filter(F.pmod(F.col(key), F.lit(stride)) == 0).orderBy(key).limit(SAMPLE).select(V.truncated(vector, DIMS).alias("v")).collect()
+    """key and cluster of every row; centres are fitted on 400 rows, those of the smallest hashes of their keys, so the driver holds no more."""
+    sample = rows.orderBy(F.xxhash64(key), key).limit(SAMPLE).select(V.truncated(vector, DIMS).alias("v")).collect()
     points = np.array([r.v for r in sample if r.v is not None])
     if len(points) < FEWEST:
         return rows.select(key, F.lit(0).alias("cluster"))

@@ -1,10 +1,14 @@
-"""Order of hits: diversity, demotion, explicit lists, confidence."""
+"""Order of hits: diversity, demotion, explicit lists, confidence; neighbours."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.scratch import written
+
+PART = 65_536
+
 
 def diversity_order(hits: DataFrame, source: str = "source", score: str = "score", order: str = "ord") -> DataFrame:
     """hits with `place`: the best of each source first, by score, then the rest in their order."""
@@ -72,3 +76,31 @@ def neighbours(rows: DataFrame, hit: Column, source: str, order: list, radius: i
     """Rows within `radius` places of a hit in the same source, hits left out."""
     w = Window.partitionBy(source).orderBy(*order).rowsBetween(-radius, radius)
     return rows.withColumn("_hit", hit.cast("int")).withColumn("_near", F.max("_hit").over(w)).filter((F.col("_near") == 1) & (F.col("_hit") == 0)).drop("_hit", "_near")
+
+
+def in_parts(rows: DataFrame, order: list, radius: int, size: int = PART) -> DataFrame:
+    """rows with `_pos` (dense place in the order of all), `_part` and `_own`: parts of `size` rows of that order, with copies of the `radius` rows beyond either border.
+
+    The order is one of ranges, so a group of any size lies in as many parts as it fills, and a window of `radius` rows within a part sees what a
+    window over everything would. The driver holds a number per task. Ties in the order fall as they come.
+    """
+    size = max(size, radius, 1)
+    marked = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "in-order")
+    task = F.shiftright("_at", 33).alias("_task")
+    before, offsets = 0, []
+    for r in marked.groupBy(task).agg(F.count("*").alias("n")).orderBy("_task").collect():
+        offsets += [F.lit(r["_task"]), F.lit(before)]
+        before += r.n
+    first = F.try_element_at(F.create_map(*offsets), F.shiftright("_at", 33)) if offsets else F.lit(0)
+    placed = marked.withColumn("_pos", first + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+    home, at = F.floor(F.col("_pos") / size), F.col("_pos") % size
+    to = F.array_compact(F.array(home, F.when((at < radius) & (home > 0), home - 1), F.when(at >= size - radius, home + 1)))
+    return placed.withColumn("_part", F.explode(to)).withColumn("_own", F.col("_part") == home)
+
+
+def neighbours_in_parts(rows: DataFrame, hit: Column, source: str, order: list, radius: int, size: int = PART) -> DataFrame:
+    """What neighbours() gives, however large a source is: windows run within parts of the order of (source, order)."""
+    parts = in_parts(rows.withColumn("_hit", F.coalesce(hit, F.lit(False)).cast("int")), [source, *order], radius, size)
+    w = Window.partitionBy("_part", source).orderBy("_pos").rowsBetween(-radius, radius)
+    near = parts.withColumn("_near", F.max("_hit").over(w))
+    return near.filter(F.col("_own") & (F.col("_near") == 1) & (F.col("_hit") == 0)).select(*rows.columns)
