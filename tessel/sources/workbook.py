@@ -7,6 +7,7 @@ import re
 import zipfile
 from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +17,49 @@ MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def lines(content: bytes, most: int) -> Iterator[tuple[str, int, str]]:
-    """(sheet, row, line) of filled rows: cells as [A1]value, parted by TABs; `most` rows a sheet."""
+def sheets(content: bytes) -> list[str]:
+    """The names of a workbook's sheets, in order."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        return [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{MAIN}sheet")]
+
+
+def made(content: dict[str, list[list[str]]]) -> bytes:
+    """A workbook of text cells: its sheets' rows."""
+    head = '<?xml version="1.0" encoding="UTF-8"?>'
+    main, link = MAIN.strip("{}"), LINK[1:].split("}")[0]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        names = "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(content, 1))
+        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{link}"><sheets>{names}</sheets></workbook>')
+        rels = "".join(f'<Relationship Id="rId{i}" Type="{link}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(content) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rels}</Relationships>')
+        for i, rows in enumerate(content.values(), 1):
+            cell = lambda n, c, v: f'<c r="{letters(c)}{n}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+            body = "".join(f'<row r="{n}">' + "".join(cell(n, c, v) for c, v in enumerate(row) if v) + "</row>" for n, row in enumerate(rows, 1))
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def letters(column: int) -> str:
+    """A column's name, from 0 for A."""
+    name = ""
+    column += 1
+    while column:
+        column, r = divmod(column - 1, 26)
+        name = chr(65 + r) + name
+    return name
+
+
+def lines(content: bytes, only: str | None = None) -> Iterator[tuple[str, int, str]]:
+    """(sheet, row, line) of filled rows, of one sheet if it is named: cells as [A1]value, parted by TABs."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         text = lambda e: "".join(t.text or "" for t in e.iter(f"{MAIN}t"))
         shared = [text(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{MAIN}si")] if "xl/sharedStrings.xml" in names else []
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{MAIN}sheet"):
+            if only is not None and sheet.get("name") != only:
+                continue
             part = "xl/" + targets[sheet.get(LINK)].removeprefix("/xl/")
             n = 0
             with z.open(part) as f:
@@ -38,15 +74,13 @@ def lines(content: bytes, most: int) -> Iterator[tuple[str, int, str]]:
                             cells.append(f"[{c.get('r')}]{value}")
                     number = int(row.get("r") or n + 1)
                     row.clear()
+                    n = number
                     if cells:
-                        n += 1
-                        if n > most:
-                            break
                         yield sheet.get("name"), number, "\t".join(cells)
 
 
-def sheet_lines(spark: SparkSession, path: str, most: int = 1_000_000) -> DataFrame:
-    """path, sheet, row, line, error of the workbooks in a folder. A file that can't be read gives one row with an error; `most` is the row limit of the format itself, so none is lost."""
+def sheet_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, sheet, row, line, error of the workbooks in a folder, all of their rows. A file that can't be read gives one row with an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(r"lower(path) rlike '\\.xls[xm]$' and not path rlike '/~[$][^/]*$'").select("path", "content")
     schema = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("row", pa.int32()), ("line", pa.string()), ("error", pa.string())])
 
@@ -55,7 +89,7 @@ def sheet_lines(spark: SparkSession, path: str, most: int = 1_000_000) -> DataFr
             for p, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 out: list[tuple] = []
                 try:
-                    for sheet, row, line in lines(content.as_py(), most):
+                    for sheet, row, line in lines(content.as_py()):
                         out.append((p, sheet, row, line, None))
                         if len(out) == 1000:
                             yield table(out)

@@ -6,7 +6,6 @@ over all that is there now and gives the result as a table.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessel import scratch
+
 
 def event_stream(spark: SparkSession, folder: str, name: str, ts: str = "ts") -> DataFrame:
     """The Parquet file `name` of a folder as a stream, its time column as a timestamp."""
@@ -98,12 +99,7 @@ def drained(stream: DataFrame, mode: str = "append", folder: str | None = None,
     spark = stream.sparkSession
     if mode == "update" and not keys:
         raise ValueError("update mode needs keys to merge its batches by")
-    top = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if top is None:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = tempfile.mkdtemp(prefix="tessel-stream-")
-    at = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}" if folder else scratch.folder(spark, "stream")
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         w.format("parquet").option("path", f"{at}/out").start().awaitTermination()
