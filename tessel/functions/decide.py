@@ -39,6 +39,7 @@ def too_vague(question: Column, best: Column, gap: Column, most_chars: int = 10,
 
 def decompose_gate(mode: Column, question: Column, least_chars: int = 25) -> Column:
     asked = (F.length(question) >= least_chars) | T.compound_signal(question) | T.global_signal(question)
+    mode = F.lower(F.trim(mode))
     return F.when(mode == "off", False).when(mode == "always", True).otherwise(asked)
 
 

@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 import math
-import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
-NUMBER = re.compile(r"[0-9０-９]+(?:[,，.．][0-9０-９]+)*")
-UNIT = re.compile(r"\s*(?:%|％|円|年|月|日|人|件|個|回|時間|分|秒|km|kg|cm|mm|m|g|€|\$)")
-WIDTH = str.maketrans("０１２３４５６７８９，．", "0123456789,.")
 
 
 def fnv(s: str) -> str:
@@ -43,18 +39,3 @@ def mock_embedding(text: str, dims: int) -> list[float]:
         out.append(x / 2147483648.0 - 1.0)
     n = math.sqrt(sum(v * v for v in out))
     return [v / n for v in out] if n else out
-
-
-def ungrounded_numbers(answer: str, evidence: str, most: int = 0) -> list[str]:
-    """Numbers with a unit, or of two digits or more, that an answer claims and the evidence lacks; list heads and labels don't count."""
-    known = {m.group().translate(WIDTH).replace(",", "") for m in NUMBER.finditer(evidence or "")}
-    out: list[str] = []
-    for line in (answer or "").split("\n"):
-        head = re.match(r"\s*(?:[(（]?[0-9０-９]+[.)．）、]|第[0-9０-９]+[条章項節])\s*", line)
-        for m in NUMBER.finditer(line, head.end() if head else 0):
-            digits = m.group().translate(WIDTH).replace(",", "")
-            unit = UNIT.match(line, m.end())
-            label = line[max(0, m.start() - 1) : m.start()] == "第"
-            if not label and (unit or len(digits) > 1) and digits not in known and digits not in out:
-                out.append(digits)
-    return out[:most] if most else out

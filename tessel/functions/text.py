@@ -316,3 +316,27 @@ def iso_date(s: Column | str) -> Column:
 def cite_tags(s: Column | str) -> Column:
     """Bracketed citations of shelf or pack sources."""
     return F.regexp_extract_all(_c(s), F.lit(r"\[(?:shelf|pack|本棚|パック)[^\]]*\]"), F.lit(0))
+
+
+#: Units that make a number a claim, longer ones first; digits that make a bare one; how many are told.
+UNITS = "ヶ月|か月|カ月|箇月|万円|億円|千円|パーセント|％|%|割|円|日|年|歳|件|名|回|倍|点|口"
+BARE, TOLD = 3, 4
+OWN_TAGS = (r"\[本棚:[^\]]*\]", r"[\[][A-Za-z]{1,3}[0-9]{1,7}(?: 付近)?\]|[(][A-Za-z]{1,3}[0-9]{1,7}(?: 付近)?[)]", r"\(コード[:：][^)]*\)")
+CLAIM = f"第[0-9]+[条項章号]|(?:別表|様式)第?[0-9]+|[0-9]+(?:[,.][0-9]+)*(?:{UNITS})?"
+LIST_HEAD = f"(?<![^\\r\\n])([ (（]*)[0-9](?:{'|'.join(u for u in UNITS.split('|') if len(u) == 1)})(?=[.．)）、，])"
+
+
+def ungrounded(answer: Column, evidence: Column, most: int = TOLD) -> Column:
+    """Claims of an answer that the evidence lacks, the first `most`: labels of articles, tables and forms, and numbers with a unit, with commas, or of three digits or more. The answer's own tags and the numbers of lists are no claims; a claim is grounded if the evidence holds it, or its digits where these are two or more. None without evidence."""
+
+    def missing(body: Column) -> Column:
+        own = answer
+        for tag in OWN_TAGS:
+            own = F.regexp_replace(own, tag, " ")
+        claims = F.regexp_extract_all(F.regexp_replace(norm_search(own), LIST_HEAD, "$1 "), F.lit(CLAIM), F.lit(0))
+        meant = F.filter(claims, lambda c: c.rlike("[^0-9.]") | (F.length(F.regexp_replace(c, "[^0-9]", "")) >= BARE))
+        digits = lambda c: F.regexp_replace(c, "[^0-9,.]", "")
+        lacking = F.filter(F.array_distinct(meant), lambda c: ~(F.contains(body, c) | ((F.length(digits(c)) >= 2) & F.contains(body, digits(c)))))
+        return F.when(F.length(body) > 0, F.slice(lacking, 1, most)).otherwise(F.array().cast("array<string>"))
+
+    return bound(norm_search(F.coalesce(evidence, F.lit(""))), missing)

@@ -11,8 +11,11 @@ from tessel.functions import decide as D
 from tessel.functions import text as T
 from tessel.operators import expand
 
-#: What parts turns of a conversation, how long a carried turn and all of them may be.
-TURN, CARRY, CARRY_ALL = ";;;", 600, 1500
+#: What parts turns of a conversation, how long a carried turn and all of them may be, how a carried answer says where it is from, what parts cells of a line.
+TURN, CARRY, CARRY_ALL = ";;;", 4000, 20016
+HEAD, TAIL = "【直前の", "での文脈】"
+NAMES = {"rag": "社内ナレッジ検索", "normal": "一般アシスタント"}
+CELLS = "│ "
 
 
 def by_parts(parts: list[str], search: Callable[[str, int], DataFrame], k: int) -> DataFrame:
@@ -57,24 +60,53 @@ def outline(groups: DataFrame, chunks: DataFrame, summary: Callable[[Column], Co
     return made.select("source", "chap", n.alias("n"), F.coalesce(F.nullif(F.col("_s.summary"), F.lit("")), F.lit("（要約失敗）")).alias("summary"), F.coalesce("_s.keywords", F.lit("")).alias("keywords"))
 
 
-def first_turns(turns: Column, most: int) -> Column:
-    """The first `most` turns of a history as an array; none of an empty one."""
-    return F.when(F.coalesce(turns, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.slice(F.split(turns, TURN), 1, most))
+def turns_of(history: Column) -> Column:
+    """The turns of a history, newest first; none of an empty one."""
+    return F.when(F.coalesce(history, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(history, TURN, -1))
 
 
-def carried(turns: Column, header: str, most: int) -> Column:
-    """The first turns of a history, newest first, each under a header and cut to its last CARRY characters, as many as fit into CARRY_ALL."""
-    cut = F.transform(first_turns(turns, most), lambda t: F.concat(F.lit(header), F.right(t, F.lit(CARRY))))
-    fits = F.transform(cut, lambda t, i: F.aggregate(F.slice(cut, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) <= CARRY_ALL)
-    return F.filter(cut, lambda t, i: F.get(fits, i))
+def plain_turn(turn: Column) -> Column:
+    """A turn without the line that says where it is from, cut to its last CARRY characters."""
+    at = F.instr(turn, "\n")
+    return F.right(F.when(turn.startswith(HEAD) & (at > 0), F.substr(turn, at + 1)).otherwise(turn), F.lit(CARRY))
 
 
-def bridged(source: Column, target: Column, header: str, most: int) -> Column:
-    """The target's history with the source's carried turns before it, `most` in all; unchanged where they lead it already or there are none."""
-    turns = carried(source, header, most)
-    held = first_turns(target, most)
-    known = (F.size(turns) == 0) | (F.get(turns, F.lit(0)) == F.get(held, F.lit(0)))
-    return F.when(F.coalesce(known, F.lit(False)), F.coalesce(target, F.lit(""))).otherwise(F.array_join(F.slice(F.concat(turns, held), 1, most), TURN))
+def headed(turn: Column, mode: Column) -> Column:
+    name = F.when(mode == "normal", NAMES["normal"]).otherwise(NAMES["rag"])
+    return F.when(turn.startswith(HEAD), turn).otherwise(F.concat(F.lit(HEAD), name, F.lit(TAIL + "\n"), turn))
+
+
+def fitting(turns: Column) -> Column:
+    """The first turns that fit into CARRY_ALL with what parts them; the first one always does."""
+    return T.bound(turns, lambda t: F.filter(t, lambda x, i: (i == 0) | (F.aggregate(F.slice(t, 1, i + 1), F.lit(0), lambda a, y: a + F.length(y)) + i * len(TURN) <= CARRY_ALL)))
+
+
+def bridged(source_q: Column, source_a: Column, target_q: Column, target_a: Column, source: Column, target: Column, most: Column, enabled: Column | None = None) -> Column:
+    """What a conversation looks like after a change of mode: struct moved, questions, answers.
+
+    The first `most` pairs of the mode that was left come before the target's own, `most` in all, answers under a line that says where they are from. A pair that
+    the target holds already, question and answer, is not carried again, and nothing moves if its first pair is the one that
+    would come first, if there is nothing to carry, within one mode, between unknown ones, or where switched off.
+    """
+    most = F.greatest(most, F.lit(1))
+    text = lambda x: F.coalesce(x, F.lit(""))
+    known = F.lit(True) if enabled is None else enabled
+    apart = ((source == "rag") & (target == "normal")) | ((source == "normal") & (target == "rag"))
+
+    def of(held: Column) -> Column:
+        sq, sa, dq, da = held["sq"], held["sa"], held["dq"], held["da"]
+        item = lambda a, i: text(F.get(a, i))
+        there = lambda i: (item(sq, i) != "") & F.exists(F.transform(dq, lambda x, j: (plain_turn(x) == plain_turn(item(sq, i))) & (plain_turn(item(da, j)) == plain_turn(item(sa, i)))), lambda x: x)
+        stays = F.filter(F.sequence(F.lit(0), most - 1), lambda i: ~((i < F.size(sq)) & there(i)))
+        carry = lambda a, made: fitting(F.transform(F.filter(stays, lambda i: i < F.size(a)), lambda i: made(F.right(F.get(a, i), F.lit(CARRY)))))
+        q, a = carry(sq, lambda x: x), carry(sa, lambda x: headed(x, source))
+        leads = ((F.size(dq) > 0) | (F.size(da) > 0)) & (item(dq, F.lit(0)) == F.right(item(sq, F.lit(0)), F.lit(CARRY))) & (item(da, F.lit(0)) == headed(F.right(item(sa, F.lit(0)), F.lit(CARRY)), source))
+        some = (item(sq, F.lit(0)) != "") | (item(sa, F.lit(0)) != "")
+        joined = lambda new, old: F.array_join(F.slice(F.concat(new, old), 1, F.when(F.size(old) > 0, most).otherwise(F.size(new))), TURN)
+        moved = F.coalesce(apart & known & some & ~leads & ((F.size(q) > 0) | (F.size(a) > 0)), F.lit(False))
+        return F.struct(moved.alias("moved"), F.when(moved, joined(q, dq)).otherwise(text(target_q)).alias("questions"), F.when(moved, joined(a, da)).otherwise(text(target_a)).alias("answers"))
+
+    return T.bound(F.struct(turns_of(source_q).alias("sq"), turns_of(source_a).alias("sa"), turns_of(target_q).alias("dq"), turns_of(target_a).alias("da")), of)
 
 
 def clarify_prompt(sources: Column, intents: list[str], head: str, most: int = 4) -> Column:
@@ -101,6 +133,20 @@ def spans(text: Column, pattern: str) -> Column:
     return F.transform(found, lambda m, i: F.struct((upto(i) + 1).alias("start"), F.length(m).alias("length")))
 
 
+def viewed(text: Column) -> Column:
+    """What a viewer marks in a shown passage: struct head (its first line), crumb (the line after it, if that is a breadcrumb), refs (bracketed tags at the start of lines or cells) and close (the last line), each struct start (from 1; 0 for none) and length."""
+    n = F.length(text)
+    mark = lambda start, length: F.struct(start.cast("int").alias("start"), length.cast("int").alias("length"))
+    none = mark(F.lit(0), F.lit(0))
+    line = F.length(F.regexp_extract(text, "^[^\r\n]*", 0))
+    after = F.substr(text, line + 2)
+    crumb = F.when((line + 1 < n) & after.startswith("【"), mark(line + 2, F.length(F.regexp_extract(after, "^[^\r\n]*", 0)))).otherwise(none)
+    last = F.length(F.regexp_extract(text, "[^\r\n]*$", 0))
+    close = F.when((last > 0) & (last < n), mark(n - last + 1, last)).otherwise(none)
+    refs = F.transform(spans(text, f"(?:(?<![\\s\\S])|(?<=[\r\n])|(?<={CELLS}))\\[[^\\]\r\n]*\\]"), lambda s: mark(s["start"], s["length"]))
+    return F.struct(F.when(n > 0, mark(F.lit(1), line)).otherwise(none).alias("head"), crumb.alias("crumb"), refs.alias("refs"), close.alias("close"))
+
+
 def plan(mode: Column) -> Column:
     """What a mode does: struct k, queries, expand, rerank, verify."""
     return F.struct(D.top_k(mode).alias("k"), D.sub_queries(mode).alias("queries"), (mode != "quick").alias("expand"), (mode != "quick").alias("rerank"), (mode == "thorough").alias("verify"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import python as P
+from tessel.functions import text as T
 from tessel.operators import answer, expand, ingest, queue, rank, retrieve, sets, shelf
 from tessel.plans.base import query, table
 from tessel.scratch import folder
@@ -13,6 +14,9 @@ from tessel.sources import files, shared
 from tessel.streaming import stream
 
 
+FOLD = "translate({x}, '０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚABCDEFGHIJKLMNOPQRSTUVWXYZ　' || chr(9), '0123456789abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz  ')"
+
+
 def documents_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -331,11 +335,23 @@ def benchmark_page_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.page_hit(b.select("item_id"), ranked, gold)
 
 
-@query("SELECT * FROM (VALUES ('a 30% rise of 12 days', '30,12'), ('(1) nothing', ''), ('第3条 with 45円', '45'), ('about 1,200', ''), ('7', '')) t(answer, missing)")
+UNIT = "ヶ月|か月|カ月|箇月|万円|億円|千円|パーセント|％|%|割|円|日|年|歳|件|名|回|倍|点|口"
+CLAIMS = "CASE doc_id % 4 WHEN 0 THEN '2. ' || text || chr(10) || '3点、第3条と別表第12は45円 [B42] (コード: E9)' WHEN 1 THEN text || ' ' || doc_id || '% of 1,200 and ' || (doc_id % 1000) ELSE text END"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {CLAIMS} AS a, CASE WHEN doc_id % 9 = 0 THEN '' ELSE substring(text, 1, 1500) || ' 200 45' END AS b FROM documents),
+    f AS (SELECT doc_id, {FOLD.format(x="regexp_replace(regexp_replace(regexp_replace(a, '\\[本棚:[^\\]]*\\]', ' ', 'g'), '\\[[A-Za-z]{{1,3}}[0-9]{{1,7}}(?: 付近)?\\]|[(][A-Za-z]{{1,3}}[0-9]{{1,7}}(?: 付近)?[)]', ' ', 'g'), '\\(コード[:：][^)]*\\)', ' ', 'g')")} AS a, {FOLD.format(x="b")} AS b FROM d),
+    c AS (SELECT doc_id, b, regexp_extract_all(regexp_replace(a, '(^|[\r\n])([ (（]*)[0-9](?:％|%|割|円|日|年|歳|件|名|回|倍|点|口)([.．)）、，])', '\1\2 \3', 'g'), '第[0-9]+[条項章号]|(?:別表|様式)第?[0-9]+|[0-9]+(?:[,.][0-9]+)*(?:{UNIT})?') AS c FROM f),
+    m AS (SELECT doc_id, b, list_filter(list_transform(list_zip(c, range(1, len(c) + 1)), lambda z: CASE WHEN list_position(c, z[1]) = z[2] THEN z[1] END), lambda x: x IS NOT NULL AND (regexp_matches(x, '[^0-9.]') OR length(regexp_replace(x, '[^0-9]', '', 'g')) >= 3)) AS c FROM c)
+    SELECT doc_id, CASE WHEN b = '' THEN '' ELSE array_to_string(list_filter(c, lambda x: NOT contains(b, x) AND NOT (length(regexp_replace(x, '[^0-9,.]', '', 'g')) >= 2 AND contains(b, regexp_replace(x, '[^0-9,.]', '', 'g'))))[1:4], '|') END AS missing FROM m"""
+)
 def ungrounded_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a 30% rise of 12 days",), ("(1) nothing",), ("第3条 with 45円",), ("about 1,200",), ("7",)]
-    grounded = F.udf(lambda a: ",".join(P.ungrounded_numbers(a, "we paid 1200 in 2024")), "string")
-    return spark.createDataFrame(rows, "answer string").select("answer", grounded("answer").alias("missing"))
+    """Numbers and labels that a text claims and its beginning, as evidence, lacks; some without evidence."""
+    i = F.col("doc_id")
+    claims = F.when(i % 4 == 0, F.concat(F.lit("2. "), "text", F.lit("\n3点、第3条と別表第12は45円 [B42] (コード: E9)"))).when(i % 4 == 1, F.concat("text", F.lit(" "), i.cast("string"), F.lit("% of 1,200 and "), (i % 1000).cast("string"))).otherwise(F.col("text"))
+    evidence = F.when(i % 9 == 0, "").otherwise(F.concat(F.substring("text", 1, 1500), F.lit(" 200 45")))
+    return documents_(spark, sf_dir).select("doc_id", F.array_join(T.ungrounded(claims, evidence), "|").alias("missing"))
 
 
 @query("SELECT doc_id, length(text) > 0 AS filled, true AS kept FROM documents")

@@ -279,17 +279,56 @@ def checked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'new;;;old1;;;old2' WHEN 1 THEN 'old1;;;old2' ELSE '【x】a' || event_id || ';;;【x】b;;;old1' END AS turns,
-    'Which?' || chr(10) || CASE WHEN event_id % 2 = 0 THEN '  1. s' || (event_id % 20) || chr(10) || '  2. t' || chr(10) || '  0. -' || chr(10) ELSE '' END || '  ① how' || chr(10) || '  ② when' AS prompt,
-    CASE WHEN event_id % 2 = 0 THEN '1+3,7+2' ELSE '' END AS spans FROM events"""
+    """SELECT event_id, 'Which?' || chr(10) || CASE WHEN event_id % 2 = 0 THEN '  1. s' || (event_id % 20) || chr(10) || '  2. t' || chr(10) || '  0. -' || chr(10) ELSE '' END || '  ① how' || chr(10) || '  ② when' AS prompt FROM events"""
 )
-def carried_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clarifying_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
-    source = pick("new", "", F.concat(F.lit("a"), i.cast("string"), F.lit(";;;b")))
-    turns = F.when(i % 3 == 2, answer.bridged(source, F.lit("old1;;;old2"), "【x】", 3)).otherwise(answer.bridged(source, F.lit("old1;;;old2"), "", 3))
     sources = F.when(i % 2 == 0, F.concat(F.lit("s"), (i % 20).cast("string"), F.lit("|t"))).otherwise("")
-    shown = F.when(i % 2 == 0, answer.spans(F.lit("第1条 xx第2"), "第1条|第2")).otherwise(answer.spans(F.lit("none"), "第[0-9]"))
-    return events_(spark, sf_dir).select("event_id", turns.alias("turns"), answer.clarify_prompt(sources, ["how", "when"], "Which?").alias("prompt"), F.array_join(F.transform(shown, lambda s: F.concat_ws("+", s["start"].cast("string"), s["length"].cast("string"))), ",").alias("spans"))
+    return events_(spark, sf_dir).select("event_id", answer.clarify_prompt(sources, ["how", "when"], "Which?").alias("prompt"))
+
+
+#: Histories of a conversation in one mode, and what the other mode holds of them: nothing, older pairs that were carried before, the same questions with other answers, or the newest pair in front.
+HISTORIES = """t AS (SELECT conv_id, list(text ORDER BY turn DESC) FILTER (role = 'user') AS u, list(text ORDER BY turn DESC) FILTER (role = 'assistant') AS r FROM conversations GROUP BY conv_id),
+    h AS (SELECT conv_id, coalesce(u[1:4], []) AS sq, coalesce(r[1:4], []) AS sa, CASE conv_id % 4 WHEN 1 THEN coalesce(u[2:3], []) WHEN 2 THEN list_concat(['other'], coalesce(u[1:2], [])) WHEN 3 THEN coalesce(u[1:2], []) ELSE [] END AS dq,
+    CASE conv_id % 4 WHEN 1 THEN list_transform(coalesce(r[2:3], []), lambda x: '【直前の社内ナレッジ検索での文脈】' || chr(10) || x) WHEN 2 THEN ['reply', 'different'] WHEN 3 THEN list_transform(coalesce(r[1:2], []), lambda x: '【直前の社内ナレッジ検索での文脈】' || chr(10) || x) ELSE [] END AS da FROM t)"""
+
+
+@query(
+    f"""WITH {HISTORIES}, i AS (SELECT conv_id, sq, sa, dq, da, unnest(range(1, 4)) AS i FROM h),
+    n AS (SELECT *, list_filter(range(1, len(dq) + 1), lambda j: dq[j] = sq[i] AND regexp_replace(coalesce(da[j], ''), '^【直前の[^\n]*\n', '') = coalesce(sa[i], '')) AS there FROM i),
+    k AS (SELECT conv_id, list(i ORDER BY i) FILTER (i > len(sq) OR len(there) = 0) AS stays FROM n GROUP BY conv_id),
+    c AS (SELECT h.*, list_transform(list_filter(coalesce(stays, []), lambda i: i <= len(sq)), lambda i: right(sq[i], 4000)) AS q, list_transform(list_filter(coalesce(stays, []), lambda i: i <= len(sa)), lambda i: '【直前の社内ナレッジ検索での文脈】' || chr(10) || right(sa[i], 4000)) AS a FROM h JOIN k USING (conv_id)),
+    m AS (SELECT *, (len(sq) > 0 OR len(sa) > 0) AND (len(q) > 0 OR len(a) > 0) AND NOT coalesce(len(dq) + len(da) > 0 AND coalesce(dq[1], '') = coalesce(sq[1], '') AND coalesce(da[1], '') = '【直前の社内ナレッジ検索での文脈】' || chr(10) || coalesce(sa[1], ''), false) AS moved FROM c)
+    SELECT conv_id, moved, md5(array_to_string(CASE WHEN moved THEN list_concat(q, dq)[1:3] ELSE dq END, ';;;')) AS questions, md5(array_to_string(CASE WHEN moved THEN list_concat(a, da)[1:3] ELSE da END, ';;;')) AS answers, conv_id % 5 <> 0 AND moved AS switched FROM m"""
+)
+def carried_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories carried from one mode to the other; switched: the same where carrying is off for some."""
+    c = table(spark, sf_dir, "conversations")
+    of = lambda role: F.transform(F.reverse(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text"))))), lambda x: x["text"])
+    t = c.groupBy("conv_id").agg(of("user").alias("u"), of("assistant").alias("r"))
+    head = lambda x: F.concat(F.lit("【直前の社内ナレッジ検索での文脈】\n"), x)
+    k, none = F.col("conv_id") % 4, F.array().cast("array<string>")
+    dq = F.when(k == 1, F.slice("u", 2, 2)).when(k == 2, F.concat(F.array(F.lit("other")), F.slice("u", 1, 2))).when(k == 3, F.slice("u", 1, 2)).otherwise(none)
+    da = F.when(k == 1, F.transform(F.slice("r", 2, 2), head)).when(k == 2, F.array(F.lit("reply"), F.lit("different"))).when(k == 3, F.transform(F.slice("r", 1, 2), head)).otherwise(none)
+    text = lambda a: F.array_join(a, ";;;")
+    args = [text(F.slice("u", 1, 4)), text(F.slice("r", 1, 4)), text(dq), text(da), F.lit("rag"), F.lit("normal"), F.lit(3)]
+    made = t.select("conv_id", answer.bridged(*args).alias("b"), answer.bridged(*args, enabled=F.col("conv_id") % 5 != 0)["moved"].alias("switched"))
+    return made.select("conv_id", "b.moved", F.md5("b.questions").alias("questions"), F.md5("b.answers").alias("answers"), "switched")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '📄 ' || source || chr(10) || '【第1章】' || chr(10) || '[A1]x│ [B1]y' || chr(10) || replace(text, '[', '(') || chr(10) || '✕' WHEN 1 THEN source ELSE source || chr(10) || '[本棚] ' || replace(text, '[', '(') END AS t, source, text FROM documents)
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN length(source) + 2 WHEN doc_id % 3 = 1 THEN length(source) ELSE length(source) END::INTEGER AS head, CASE WHEN doc_id % 3 = 0 THEN (length(source) + 4) || '+5' ELSE '0+0' END AS crumb,
+    CASE doc_id % 3 WHEN 0 THEN (length(source) + 10) || '+4,' || (length(source) + 17) || '+4' WHEN 1 THEN '' ELSE (length(source) + 2) || '+4' END AS refs,
+    length(regexp_extract(t, '[^\r\n]*$'))::INTEGER * (CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 1 END)::INTEGER AS closing FROM d"""
+)
+def marks_of_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a viewer marks in passages: head, breadcrumb, tags at the start of lines and cells, closing line."""
+    i, body = F.col("doc_id"), F.replace("text", F.lit("["), F.lit("("))
+    shown = F.when(i % 3 == 0, F.concat(F.lit("📄 "), "source", F.lit("\n【第1章】\n[A1]x│ [B1]y\n"), body, F.lit("\n✕"))).when(i % 3 == 1, F.col("source")).otherwise(F.concat("source", F.lit("\n[本棚] "), body))
+    v = table(spark, sf_dir, "documents").select("doc_id", answer.viewed(shown).alias("v"))
+    plus = lambda s: F.concat_ws("+", s["start"].cast("string"), s["length"].cast("string"))
+    return v.select("doc_id", F.col("v.head.length").alias("head"), plus(F.col("v.crumb")).alias("crumb"), F.array_join(F.transform("v.refs", plus), ",").alias("refs"), F.col("v.close.length").alias("closing"))
 
 
 @query("SELECT conv_id, turn, array_to_string(list_slice(l, 1, 3), chr(10)) AS lines FROM (SELECT conv_id, turn, list_distinct_ordered AS l FROM (SELECT conv_id, turn, list_filter(list_transform(list_zip(w, range(1, len(w) + 1)), lambda z: CASE WHEN list_position(w, z[1]) = z[2] THEN z[1] END), lambda x: x IS NOT NULL) AS list_distinct_ordered FROM (SELECT conv_id, turn, list_filter(string_split(replace(lower(text), chr(10), ' '), ' '), lambda x: x <> '') AS w FROM conversations)))")

@@ -111,9 +111,10 @@ def imported(shelf: DataFrame, pack: DataFrame, origin: str, purge: list[str] |
 
 
 def write_analytics(rows: DataFrame, path: str) -> None:
-    """CSV with a header; text fields are made safe for spreadsheets."""
+    """CSV with a header; text fields are made safe for spreadsheets, and every file begins with a byte-order mark, without which these misread UTF-8."""
     safe = [(F.when(F.substring(c, 1, 1).isin("=", "+", "-", "@", "\t", "\r"), F.concat(F.lit("'"), F.col(c))).otherwise(F.col(c)) if t == "string" else F.col(c)).alias(c) for c, t in rows.dtypes]
-    rows.select(*safe).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    first = rows.columns[0]
+    rows.select(*safe).withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def inbox_files(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:

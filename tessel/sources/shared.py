@@ -24,7 +24,7 @@ def retried(work: Callable[[], object], tries: int = TRIES, pause: float = PAUSE
 
 
 def write_text(spark: SparkSession, path: str, text: str, tries: int = TRIES) -> None:
-    """Writes a small text as one file, in UTF-8: beside its place first, then renamed, so readers see all of it or the old one."""
+    """Writes a small text as one file, in UTF-8: beside its place first, then renamed over what is there in one step, so readers see all of it or the old one, and never nothing."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
 
@@ -35,9 +35,9 @@ def write_text(spark: SparkSession, path: str, text: str, tries: int = TRIES) ->
             out.write(bytearray(text.encode("utf-8")))
         finally:
             out.close()
-        fs.delete(target, False)
-        if not fs.rename(aside, target):
-            raise OSError(f"cannot rename to {path}")
+        over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(aside), fs.makeQualified(target), over)
 
     retried(work, tries)
 

@@ -88,10 +88,14 @@ def test_vectors(spark):
     assert one(spark, V.to_csv("a"), a=[0.1234565, 1.0]) == "0.123457,1.0"
 
 
-def test_python_functions():
+def test_python_functions(spark):
     v = P.mock_embedding("x", 8)
     assert v == P.mock_embedding("x", 8) != P.mock_embedding("y", 8) and math.isclose(sum(x * x for x in v), 1)
-    assert P.ungrounded_numbers("1. It takes 45 days\n第3条 says 10% of 7", "10 percent") == ["45"]
+    lacking = lambda a, b: spark.range(1).select(T.ungrounded(F.lit(a), F.lit(b)).alias("x")).first().x
+    assert lacking("1. It takes 45日\n第3条 says 10% of 7 and 1234, 1,5", "10 percent 第4条") == ["45日", "第3条", "1234", "1,5"]
+    assert lacking("a 45円 b 第9条", "") == [] and lacking("45円", None) == [] and lacking("(3) x\n3点. y", "z") == []
+    assert lacking("100円 200円 300円 400円 500円", "z") == ["100円", "200円", "300円", "400円"]
+    assert lacking("[B42] (ab12 付近) [本棚: 9999] (コード: E0203) ４５円", "45 円") == []
 
 
 def test_chunks(spark):
@@ -229,3 +233,56 @@ def test_used_chunks_stream(spark, tmp_path):
     s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     got = sorted((r.session, r.chunk, r.seen_before) for r in stream.drained(stream.used_chunks(s, "session", "ts", "chunk"), folder=str(tmp_path)).collect())
     assert got == [("s", "a", False), ("s", "a", False), ("s", "a", True), ("u", "b", False)]
+
+
+def test_bridged_carries_pairs_once(spark):
+    from tessel.operators import answer
+
+    head = "【直前の社内ナレッジ検索での文脈】\n"
+
+    def made(sq, sa, dq, da, a="rag", b="normal", most=3, **more):
+        c = answer.bridged(*(F.lit(x).cast("string") for x in (sq, sa, dq, da)), F.lit(a), F.lit(b), F.lit(most), **more)
+        r = spark.range(1).select(c.alias("x")).first().x
+        return r.moved, r.questions, r.answers
+
+    assert made("q2;;;q1", "a2;;;a1", "q1", head + "a1") == (True, "q2;;;q1", f"{head}a2;;;{head}a1")
+    assert made("q2;;;q1", "a2;;;a1", "q1", "another") == (True, "q2;;;q1;;;q1", f"{head}a2;;;{head}a1;;;another")
+    assert made("q1", "a1", "q1", head + "a1") == (False, "q1", head + "a1")
+    assert made("q1", "a1", "x;;;y;;;z", "1;;;2;;;3") == (True, "q1;;;x;;;y", f"{head}a1;;;1;;;2")
+    assert made("", "", "x", "1") == made(None, None, "x", "1") == made("q", "a", "x", "1", "rag", "rag") == made("q", "a", "x", "1", "rag", "other") == (False, "x", "1")
+    assert made("q", "a", "", "", enabled=F.lit(False)) == (False, "", "")
+    assert made("q", "a", None, None, "normal", "rag", 0) == (True, "q", "【直前の一般アシスタントでの文脈】\na")
+    long = "x" * 5000
+    moved, q, a = made(f"{long};;;q2", f"{long};;;a2", "", "")
+    assert q == "x" * 4000 + ";;;q2" and a == head + "x" * 4000 + f";;;{head}a2"
+    assert made(long, long, "x" * 4000, head + "x" * 4000)[0] is False
+    many = ";;;".join(["y" * 4000] * 6)
+    assert made(many, "", "", "", most=9)[1] == ";;;".join(["y" * 4000] * 5)
+
+
+def test_viewed_marks(spark):
+    from tessel.operators import answer
+
+    def marks(t):
+        v = one(spark, answer.viewed(F.col("t")), t=t)
+        return tuple(v.head), tuple(v.crumb), [tuple(r) for r in v.refs], tuple(v.close)
+
+    assert marks("") == ((0, 0), (0, 0), [], (0, 0)) and marks("head") == ((1, 4), (0, 0), [], (0, 0))
+    assert marks("h\n【c】\n[A1]x│ [B1]y [C1]\r[open\n[x]]z\nend") == ((1, 1), (3, 3), [(7, 4), (14, 4), (31, 3)], (37, 3))
+    assert marks("[A]\n【c") == ((1, 3), (5, 2), [(1, 3)], (5, 2)) and marks("h\n") == ((1, 1), (0, 0), [], (0, 0))
+
+
+def test_a_shared_file_is_replaced_in_one_step(spark, tmp_path):
+    from tessel.sources import shared
+
+    at = f"{tmp_path}/x/version.txt"
+    for text in ("one", "二" * 1000, ""):
+        shared.write_text(spark, at, text)
+        assert shared.read_text(spark, at) == text
+    assert [p.name for p in (tmp_path / "x").iterdir() if not p.name.startswith(".")] == ["version.txt"]
+
+
+def test_analytics_files_begin_with_a_mark(spark, tmp_path):
+    files.write_analytics(spark.createDataFrame([(1, "é")], "a int, b string"), f"{tmp_path}/out")
+    (part,) = [p for p in (tmp_path / "out").iterdir() if p.name.startswith("part")]
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfa,b\n")
