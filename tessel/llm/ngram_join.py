@@ -48,6 +48,7 @@ REMEMBERED = 150_000
 SLICE = 2048  # documents, and
 FLUSH = 500_000  # shingles that a task holds at once before it packs them, more where parts are many
 MOST_FLUSH = 4_000_000
+EDGES = 100_000  # of a component's graph in a file
 PART_BYTES = 12 << 20  # of text whose shingles a task counts
 TOP = np.uint64(1 << 63)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -232,21 +233,21 @@ def linked(overlap: Column, n1: Column, n2: Column) -> Column:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of edges (a, b): alternating large and small stars until they stand still."""
+    """(node, root) for each node of edges (a, b): alternating large and small stars until they stand still. Each table is written in as many files as its rows ask for."""
     e = written(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    most, before = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), None
     while True:
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+        before, parts = state, min(most, 1 + 2 * state.n // EDGES)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "stars")
-        large = written(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "edges")
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(parts), "stars")
+        large = written(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct().coalesce(parts), "edges")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = written(down.groupBy("u").agg(F.min("v").alias("m")), "stars")
+        low = written(down.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts), "stars")
         small = down.join(low, "u").select("u", "v", "m")
-        e = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")
+        e = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct().coalesce(parts), "edges")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, measure_all: bool) -> DataFrame:

@@ -10,8 +10,8 @@ Everything per row is native, and linear but for one sort of spans. The corpus e
 patterns and 6 * 69 feature values, whatever the table's size. The scan leaves only spans; there is no join. Texts are
 scanned once, by mask() too, which writes the rows with their spans before it trains.
 
-Defined cases: a null text is empty; texts are scanned whole; candidates on which all labelers abstain or say no are
-never accepted; candidates that overlap a base span are dropped; of spans that tie for a place the kind listed first comes first;
+Defined cases: a null text is empty; texts are scanned whole; candidates that neither the gazetteer nor a trigger word backs, nor two other labelers, nor a name's title, are
+never accepted; of a run of capitalised words each pair of neighbours is judged; candidates that overlap a base span are dropped; of spans that tie for a place the kind listed first comes first;
 where spans overlap, the first one's kind stands for all; repeated rows count each; an empty table trains an
 empty model; other columns are not read by find() and pass through mask() whatever they are called.
 """
@@ -33,16 +33,19 @@ CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
 
-#: Candidates: kind and pattern ("digits" are runs like a card's that fail its check).
+TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Sr|Sra|Señor|Señora"
+WORD = "[A-Z][a-zà-ÿ]{1,20}"
+#: Candidates: kind and pattern ("digits" are runs like a card's that fail its check). Names have two: leftmost pairs of capitalised words, and the pairs between these, so that each pair of neighbours in a run is one.
 CANDIDATES = (
-    ("name", r"(?<![\p{L}])(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Sr|Sra|Señor|Señora)\.? )?[A-Z][a-zà-ÿ]{1,20} [A-Z][a-zà-ÿ]{1,20}(?![\p{L}])"),
+    ("name", rf"(?<![\p{{L}}])(?:(?:{TITLES})\.? )?{WORD} {WORD}(?![\p{{L}}])"),
+    ("name", rf"(?<=(?<![\p{{L}}]){WORD} )(?<!(?<![\p{{L}}])(?:{TITLES}) ){WORD} {WORD}(?![\p{{L}}])"),
     ("idnum", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("local", r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"),
     ("hidden", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63} ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z]{2,10}(?![A-Za-z])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("digits", ""),
 )
-KINDS = (*BASE, *(k for k, _ in CANDIDATES))
+KINDS = (*BASE, *dict.fromkeys(k for k, _ in CANDIDATES))
 #: Gazetteers and trigger words.
 FIRST_NAMES = (
     "Adam Agnes Alain Albert Alex Alexander Alice Alicia Amanda Amy Ana Andre Andrea Andreas Andrew Angela Anita Ann Anna Anne Antoine Antonio Arthur Barbara Beatriz Ben Benjamin Bernard "
@@ -52,7 +55,7 @@ FIRST_NAMES = (
     "Joseph Juan Julia Julie Karen Karin Karl Kevin Klaus Laura Lea Linda Lisa Louis Lucas Lucia Luis Manuel Marc Marco Maria Marie Mark Markus Marta Martin Mary Matthew Max Michael Michel "
     "Miguel Monica Nicole Nina Olivier Oscar Pablo Patricia Paul Pedro Peter Philippe Pierre Rachel Rafael Raul Richard Robert Sara Sarah Simon Sofia Sophie Stefan Susan Thomas Ursula Victor William"
 ).split()
-NO_NAMES = "The This That These Those And But For With From Of On In To Is Are Was It As At By Or An Der Die Das Und Le La Les Et Un Une El Los Las Que De Del Version License General Public Creative Commons Apache".split()
+NO_NAMES = "Dear Hello Hi Hallo Liebe Lieber Cher Chère Querido Querida Contact Signed From Name Author By Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame The This That These Those And But For With From Of On In To Is Are Was It As At By Or An Der Die Das Und Le La Les Et Un Une El Los Las Que De Del Version License General Public Creative Commons Apache".split()
 DOMAINS = "com net org edu gov io de fr es uk info eu".split()
 COUNTRIES = (
     "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV "
@@ -62,15 +65,27 @@ TRIGGERS = {
     "name": r"(?i:name|contact|signed|from|dear|mr|mrs|ms|dr|author|by)[:.,]?\s*$",
     "idnum": r"(?i:ssn|social security|tax id|id(?: no\.?| number)?)[:#]?\s*$",
     "local": r"(?i:tel|phone|call|fax|mobile|cell|telefon|teléfono|téléphone)[.:]?\s*$",
-    "hidden": r"(?i:e-?mail|mail|contact|write|reach)(?: (?:me|us|to))*[:]?\s*$",
+    "hidden": r"(?i:e-?mail|mail|contact|write|reach)(?: (?:me|us|to|at|on|via))*[:]?\s*$",
     "iban": r"(?i:iban|account|konto|cuenta|compte)(?: no\.?)?[:]?\s*$",
     "digits": r"(?i:card|visa|mastercard|amex|credit|karte|carte|tarjeta)(?: no\.?| number)?[:#]?\s*$",
 }
 AGAINST = r"(?i:version|page|pages|isbn|issn|order|invoice|serial|part|vol|fig|section|no)[.:#]?\s*$|[$€£§#%=]\s*$"
 LABELERS = ("format", "gazetteer", "trigger", "against", "shape")
-#: Where expectation-maximisation starts, (no, abstain, yes) for harmless and for personal spans.
-START = ((0.4, 0.5, 0.1), (0.05, 0.35, 0.6))
+#: Where expectation-maximisation starts, by labeler: (no, abstain, yes) for harmless and for personal spans.
+START = (
+    ((0.25, 0.7, 0.05), (0.03, 0.67, 0.3)),
+    ((0.2, 0.78, 0.02), (0.03, 0.47, 0.5)),
+    ((0.001, 0.969, 0.03), (0.001, 0.599, 0.4)),
+    ((0.2, 0.799, 0.001), (0.02, 0.979, 0.001)),
+    ((0.1, 0.899, 0.001), (0.01, 0.989, 0.001)),
+)
+#: START counts as so many spans at least, and as this share of a kind's spans, so that a kind whose spans all look alike is judged by it.
+ANCHOR, ANCHOR_SHARE = 10, 0.25
+#: A labeler takes harmless spans for personal at most so many times as often as START has it: without that, estimation could hold a kind with many votes for all harmless.
+MOST_FALSE = 2
 ROUNDS = 60
+#: A span needs a yes of the gazetteer or of a trigger word, or two; a name's title is enough.
+BACKED = "^-?[01],1|^-?[01],-?[01],1|1,.*(?<!-)1"
 BUCKETS = 32
 SMOOTH = 8.0
 
@@ -117,8 +132,8 @@ def _votes(kind: str, s: Column, before: Column) -> list[Column]:
     t = s["text"]
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     never = F.lit(False)
-    titled = t.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Sr|Sra|Señor|Señora)\.? ")
-    words = F.split(F.regexp_replace(t, r"^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Sr|Sra|Señor|Señora)\.? ", ""), " ")
+    titled = t.rlike(r"^(?:" + TITLES + r")\.? ")
+    words = F.split(F.regexp_replace(t, r"^(?:" + TITLES + r")\.? ", ""), " ")
     form = {
         "name": vote(titled, never),
         "idnum": vote(t.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), t.rlike("^(?:000|666)|-00-|-0000$")),
@@ -128,7 +143,7 @@ def _votes(kind: str, s: Column, before: Column) -> list[Column]:
         "digits": vote(never, F.lit(True)),
     }[kind]
     gazetteer = {
-        "name": vote(F.exists(words, lambda w: _among(w, FIRST_NAMES)), F.exists(words, lambda w: _among(w, NO_NAMES))),
+        "name": vote(_among(F.get(words, F.lit(0)), FIRST_NAMES), F.exists(words, lambda w: _among(w, NO_NAMES))),
         "idnum": F.lit(0),
         "local": vote(never, t.rlike("555[ .-]01")),
         "hidden": vote(F.lower(F.regexp_extract(t, "([A-Za-z]+)$", 1)).isin(DOMAINS), F.lit(True)),
@@ -187,7 +202,7 @@ def expectation_maximisation(counts: dict[tuple[str, str], int]) -> tuple[dict[t
     but not to mean the opposite: yes is never rarer, and no never more frequent, for personal spans.
     """
     kinds = {k for k, _ in counts}
-    chance = {k: [[list(START[0]), list(START[1])] for _ in LABELERS] for k in kinds}
+    chance = {k: [[list(no), list(yes)] for no, yes in START] for k in kinds}
     prior = dict.fromkeys(kinds, 0.3)
     p: dict[tuple[str, str], float] = {}
     for _ in range(ROUNDS if counts else 0):
@@ -198,20 +213,21 @@ def expectation_maximisation(counts: dict[tuple[str, str], int]) -> tuple[dict[t
             p[kind, pattern] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
         for kind in kinds:
             own = [(key[1].split(","), n, p[key]) for key, n in counts.items() if key[0] == kind]
+            anchor = max(ANCHOR, ANCHOR_SHARE * sum(n for _, n, _ in own))
             for i in range(len(LABELERS)):
-                sums = [[10 * x for x in START[y]] for y in (0, 1)]  # START counts as ten spans
+                sums = [[anchor * x for x in START[i][y]] for y in (0, 1)]
                 for votes, n, q in own:
                     v = int(votes[i]) + 1
                     sums[1][v] += n * q
                     sums[0][v] += n * (1 - q)
-                chance[kind][i] = directed([[x / sum(s) for x in s] for s in sums])
+                chance[kind][i] = directed([[x / sum(s) for x in s] for s in sums], MOST_FALSE * START[i][0][2])
             prior[kind] = min(0.95, max(0.05, (3 + sum(n * q for _, n, q in own)) / (10 + sum(n for _, n, _ in own))))
     return p, prior, chance
 
 
-def directed(chance: list[list[float]]) -> list[list[float]]:
-    """Chances of (no, abstain, yes) for harmless and personal spans, pooled where a vote would mean its opposite."""
-    no, yes = [chance[0][0], chance[1][0]], [chance[0][2], chance[1][2]]
+def directed(chance: list[list[float]], most: float = 1.0) -> list[list[float]]:
+    """Chances of (no, abstain, yes) for harmless and personal spans, pooled where a vote would mean its opposite; harmless ones get no more than `most` yes."""
+    no, yes = [chance[0][0], chance[1][0]], [min(most, chance[0][2]), chance[1][2]]
     if no[1] > no[0]:
         no = [sum(no) / 2] * 2
     if yes[1] < yes[0]:
@@ -262,7 +278,7 @@ def accepted(loose: Column, model: Model) -> Column:
 
     def good(c: Column) -> Column:
         score = F.aggregate(_feature_keys(c), F.coalesce(F.try_element_at(prior, c["kind"]), F.lit(-1.0)), lambda a, f: a + F.coalesce(F.try_element_at(odds, f), F.lit(0.0)))
-        return (score > 0) & c["votes"].rlike("(?:^|,)1")
+        return (score > 0) & c["votes"].rlike(BACKED) | (score > 0) & (c["kind"] == "name") & c["votes"].startswith("1")
 
     return F.transform(F.filter(loose, good), lambda c: F.struct(c["rank"].alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
 
