@@ -141,7 +141,7 @@ def viewed(text: Column) -> Column:
     line = F.length(F.regexp_extract(text, "^[^\r\n]*", 0))
     after = F.substr(text, line + 2)
     crumb = F.when((line + 1 < n) & after.startswith("【"), mark(line + 2, F.length(F.regexp_extract(after, "^[^\r\n]*", 0)))).otherwise(none)
-    last = F.length(F.regexp_extract(text, "[^\r\n]*$", 0))
+    last = F.length(F.regexp_extract(text, "[^\r\n]*\\z", 0))
     close = F.when((last > 0) & (last < n), mark(n - last + 1, last)).otherwise(none)
     refs = F.transform(spans(text, f"(?:(?<![\\s\\S])|(?<=[\r\n])|(?<={CELLS}))\\[[^\\]\r\n]*\\]"), lambda s: mark(s["start"], s["length"]))
     return F.struct(F.when(n > 0, mark(F.lit(1), line)).otherwise(none).alias("head"), crumb.alias("crumb"), refs.alias("refs"), close.alias("close"))
