@@ -86,9 +86,10 @@ def setting(value: Column, default: int | float | bool | str) -> Column:
     return F.when(F.coalesce(value, F.lit("")) == "", default).otherwise(value)
 
 
-def stamp(rows: DataFrame, key: str) -> DataFrame:
-    """What tells whether a cache of rows is stale: their number, first and last key in one text; empty without rows."""
-    return rows.agg(F.when(F.count("*") > 0, F.concat_ws("|", F.count("*").cast("string"), F.min(key).cast("string"), F.max(key).cast("string"))).otherwise("").alias("stamp"))
+def stamp(rows: DataFrame, key: str, per: list[str] | None = None) -> DataFrame:
+    """What tells whether a cache of rows is stale: their number, first and last key in one text; empty without rows. With `per`, a stamp for each group."""
+    made = F.when(F.count("*") > 0, F.concat_ws("|", F.count("*").cast("string"), F.min(key).cast("string"), F.max(key).cast("string"))).otherwise("").alias("stamp")
+    return rows.groupBy(*per).agg(made) if per else rows.agg(made)
 
 
 def stale(built: Column, built_stamp: Column, built_generation: Column, now_stamp: Column, now_generation: Column) -> Column:

@@ -9,6 +9,7 @@ from tessel.functions import python as P
 from tessel.functions import text as T
 from tessel.operators import answer, expand, ingest, queue, rank, retrieve, sets, shelf
 from tessel.plans.base import query, table
+from tessel.plans.rules import FNV, HEX
 from tessel.scratch import folder
 from tessel.sources import files, shared
 from tessel.streaming import stream
@@ -99,11 +100,13 @@ def terms_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shelf.synonym_terms(knowledge, meta, d.select("source", F.col("lang").alias("keywords")))
 
 
-@query("SELECT 'narrow' AS asked, count(*) AS hits FROM documents UNION ALL SELECT 'wide', count(*) FROM documents WHERE source = 'src1'")
+@query("SELECT 'narrow' AS asked, doc_id FROM documents UNION ALL SELECT 'wide', doc_id FROM documents WHERE source = 'src1'")
 def widened_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents_(spark, sf_dir)
-    asked = lambda name, rows: rows.agg(F.count("*").alias("hits")).select(F.lit(name).alias("asked"), "hits")
-    return asked("narrow", shelf.widened(d.filter("doc_id = 1"), d)).union(asked("wide", shelf.widened(d.filter("source = 'src1'"), d)))
+    """A scope with one hit, the longest text's, gives way to the whole shelf; a wide one stays."""
+    d = documents_(spark, sf_dir).select("doc_id", "source", "n_chars")
+    one = d.orderBy(F.desc("n_chars"), "doc_id").limit(1)
+    asked = lambda name, rows: rows.select(F.lit(name).alias("asked"), "doc_id")
+    return asked("narrow", shelf.widened(one, d)).union(asked("wide", shelf.widened(d.filter("source = 'src1'"), d)))
 
 
 @query(
@@ -124,10 +127,14 @@ def channel_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.pending_updates(local, u.select(text("c", i).alias("channel"), F.when(i % 7 == 0, "").otherwise(text("v", i % 2 + 1)).alias("version")))
 
 
-@query("SELECT * FROM (VALUES ('a', 'v1', true), ('a', 'v2', false), ('a', 'v3', false), ('b', 'v1', true)) t(channel, version, current)")
+@query(
+    """WITH v AS (SELECT DISTINCT source AS channel, 'v-' || lang AS version, lang = 'en' AS current FROM documents) SELECT channel, version, CASE WHEN channel = 'src1' THEN version = 'v-de' ELSE current END AS current FROM v
+    UNION ALL SELECT 'src1', 'v-new', false"""
+)
 def versions_of_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.createDataFrame([("a", "/a/1", "v1", False), ("a", "/a/2", "v2", True), ("b", "/b/1", "v1", True)], "channel string, path string, version string, current boolean")
-    return shelf.rolled_back(shelf.published(spark, v, "a", "/a/3", "v3"), "a", "v1").select("channel", "version", "current")
+    """Channels with a version a language: one gets a new current version, then goes back to an older one."""
+    d = documents_(spark, sf_dir).select(F.col("source").alias("channel"), text("/", F.col("source"), "/", F.col("lang")).alias("path"), text("v-", F.col("lang")).alias("version"), (F.col("lang") == "en").alias("current")).distinct()
+    return shelf.rolled_back(shelf.published(spark, d, "src1", "/src1/new", "v-new"), "src1", "v-de").select("channel", "version", "current")
 
 
 @query("WITH s AS (SELECT DISTINCT CASE user_id % 3 WHEN 0 THEN 'ask:' WHEN 1 THEN 'sv:' ELSE 'other:' END || user_id AS key, user_id FROM events) SELECT key, CASE WHEN key LIKE 'ask:%' OR key LIKE 'sv:%' THEN 'new' ELSE 'old' END AS value FROM s")
@@ -138,15 +145,16 @@ def stats_migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT event_id, user_id, ts, 'question' || (event_id % 50) AS key FROM events WHERE event_id % 4 <> 0 AND event_id % 4 <> 1), s AS (SELECT 'question' || n AS key, TIMESTAMP '2024-01-10' AS at FROM (SELECT unnest(range(0, 50, 2)) AS n))
-    SELECT q.key, ts AS at, CASE WHEN user_id % 2 = 0 THEN '' ELSE 'hashed' END AS user FROM q WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.key = q.key AND s.at > q.ts - INTERVAL 24 HOUR)"""
+    f"""WITH q AS (SELECT event_id, user_id, ts, 'question' || (event_id % 50) AS key FROM events WHERE event_id % 4 <> 0 AND event_id % 4 <> 1), s AS (SELECT 'question' || n AS key, TIMESTAMP '2024-01-10' AS at FROM (SELECT unnest(range(0, 50, 2)) AS n)),
+    u AS (SELECT DISTINCT user_id, {FNV.format(s="user_id::VARCHAR")} AS h FROM events)
+    SELECT q.key, ts AS at, CASE WHEN user_id % 2 = 0 THEN '' ELSE {HEX.format(h="h")} END AS user FROM q JOIN u USING (user_id) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.key = q.key AND s.at > q.ts - INTERVAL 24 HOUR)"""
 )
 def gaps_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     q = F.when(i % 4 == 0, " ").when(i % 4 == 1, text("mail a@b.cc ", i)).otherwise(text("Question ", i % 50, "? "))
     rows = events_(spark, sf_dir).select(q.alias("question"), F.when(F.col("user_id") % 2 == 0, "").otherwise(F.col("user_id").cast("string")).alias("user_id"), F.col("ts").alias("at"))
     sent = spark.range(0, 50, 2).select(text("question", F.col("id")).alias("key"), F.lit("2024-01-10").cast("timestamp").alias("at"))
-    return shelf.gap_events(rows, sent).select("key", "at", F.when(F.col("user").rlike("^[0-9a-f]{16}$"), "hashed").otherwise(F.col("user")).alias("user"))
+    return shelf.gap_events(rows, sent).select("key", "at", "user")
 
 
 @query(
@@ -187,10 +195,10 @@ def channels_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.channels(spark, top, most=2)[0]
 
 
-@query("SELECT user_id, event_id, (SELECT count(*) FROM (SELECT 1)) AS n FROM (SELECT DISTINCT ON (user_id) user_id, event_id FROM events WHERE event_id % 3 <> 0 ORDER BY user_id, ts DESC, event_id DESC)")
+@query("SELECT DISTINCT ON (user_id) user_id, event_id FROM events WHERE event_id % 3 <> 0 ORDER BY user_id, ts DESC, event_id DESC")
 def telemetry_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events_(spark, sf_dir).filter("event_id % 3 <> 0").select("user_id", "event_id", F.struct("ts", "event_id").alias("at"))
-    return queue.published(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1")).select("user_id", "event_id", F.lit(1).cast("long").alias("n"))
+    return queue.published(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1")).select("user_id", "event_id")
 
 
 @query("SELECT 'first' AS pass, count(*) FILTER (doc_id % 2 = 0 OR doc_id % 5 <> 0) AS embedded, count(*) AS rows FROM documents UNION ALL SELECT 'again', 0, count(*) FROM documents UNION ALL SELECT 'stopped', count(*) FILTER (doc_id % 2 = 0), count(*) FROM documents")
@@ -212,24 +220,20 @@ def embedding_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 NORM = "trim(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \\t]+', ' ', 'g'), ' ')"
 
 
-@query(f"WITH s AS (SELECT md5({NORM}) AS h FROM documents WHERE doc_id % 2 = 0) SELECT 'first' AS run, count(*) + (SELECT count(DISTINCT md5({NORM})) FROM documents WHERE doc_id % 2 = 1 AND md5({NORM}) NOT IN (SELECT h FROM s)) AS rows FROM s UNION ALL SELECT 'again', count(*) FROM s")
+@query(
+    f"""WITH d AS (SELECT doc_id, md5({NORM}) AS h FROM documents), s AS (SELECT h FROM d WHERE doc_id % 2 = 0), f AS (SELECT h, min(doc_id) AS doc_id FROM d WHERE doc_id % 2 = 1 AND h NOT IN (SELECT h FROM s) GROUP BY h)
+    SELECT 'first' AS run, doc_id AS chunk_id FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT 'first', doc_id FROM f UNION ALL SELECT 'again', doc_id FROM d WHERE doc_id % 2 = 0"""
+)
 def seed_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents_(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("full_text"))
     held, seed = d.filter("chunk_id % 2 = 0"), d.filter("chunk_id % 2 = 1")
-    runs = [(name, queue.seeded(held, seed, done)) for name, done in (("first", False), ("again", True))]
-    counted = [rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("run"), "rows") for name, rows in runs]
-    return counted[0].union(counted[1])
+    first, again = (queue.seeded(held, seed, done).select(F.lit(name).alias("run"), "chunk_id") for name, done in (("first", False), ("again", True)))
+    return first.union(again)
 
 
 @query("SELECT lang, count(*) || '|' || min(doc_id) || '|' || max(doc_id) AS stamp FROM documents GROUP BY lang")
 def cache_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents_(spark, sf_dir)
-    langs = [r[0] for r in d.select("lang").distinct().orderBy("lang").collect()]
-    out = [queue.stamp(d.filter(F.col("lang") == x), "doc_id").select(F.lit(x).alias("lang"), "stamp") for x in langs]
-    first = out[0]
-    for o in out[1:]:
-        first = first.union(o)
-    return first
+    return queue.stamp(documents_(spark, sf_dir), "doc_id", ["lang"])
 
 
 @query("WITH p AS (SELECT 1 AS part, doc_id FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 6), q AS (SELECT 2 AS part, doc_id FROM documents WHERE doc_id % 2 = 0 ORDER BY n_chars DESC, doc_id LIMIT 6), a AS (SELECT * FROM p UNION ALL SELECT * FROM q) SELECT doc_id AS chunk_id, min(part)::INTEGER AS part FROM a GROUP BY doc_id")
@@ -277,11 +281,14 @@ def lists_of_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_(spark, sf_dir).select("event_id", F.array_join(sets.merged_recent(held, new, 2), ",").alias("cited"), F.array_join(listed, ",").alias("unsubscribed"), F.array_contains(listed, "b").alias("has"))
 
 
-@query("SELECT * FROM (VALUES ('car', 'Automobile', 1), ('bike', 'cycle', 5), ('Bus', 'coach', 6)) t(term, canonical, ord)")
+@query(
+    """WITH o AS (SELECT lower(source) AS k, source AS term, max(lang) AS canonical, min(doc_id) AS ord FROM documents WHERE doc_id % 2 = 0 GROUP BY source), w AS (SELECT 'SRC' || (doc_id % 30) AS term, 'x' || doc_id AS canonical, doc_id AS ord FROM documents WHERE doc_id % 3 = 0 AND doc_id % 30 < 12),
+    n AS (SELECT term, min_by(canonical, ord) AS canonical, min(ord) AS ord FROM w GROUP BY term) SELECT term, canonical, ord FROM o WHERE k NOT IN (SELECT lower(term) FROM n) UNION ALL SELECT term, canonical, ord FROM n"""
+)
 def synonym_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = "term string, canonical string, ord int"
-    old = spark.createDataFrame([("car", "Automobile", 1), ("BIKE", "old", 2), ("bus", "old", 3)], kind)
-    new = spark.createDataFrame([("bike", "cycle", 5), ("Bus", "coach", 6), ("bus", "late", 7)], kind)
+    d, i = documents_(spark, sf_dir), F.col("doc_id")
+    old = d.filter(i % 2 == 0).groupBy(F.col("source").alias("term")).agg(F.max("lang").alias("canonical"), F.min(i).alias("ord"))
+    new = d.filter((i % 3 == 0) & (i % 30 < 12)).select(text("SRC", i % 30).alias("term"), text("x", i).alias("canonical"), i.alias("ord"))
     return sets.merged_pairs(old, new)
 
 
@@ -299,11 +306,18 @@ def wrong_hits_demoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.wrong_last(hits, F.col("source").isin("src1", "src2")).select("id", "place")
 
 
-@query("SELECT * FROM (VALUES (100, 1), (1, 2), (3, 3), (2, 4)) t(id, place)")
+@query(
+    """WITH h AS (SELECT doc_id AS id, source, doc_id % 5 AS page, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE n_chars > 20000),
+    m AS (SELECT -max(doc_id) - 1 AS id FROM documents WHERE doc_id % 7 = 3), a AS (SELECT id, 0 AS bad, 0 AS rank FROM m UNION ALL SELECT id, (source || ' p.' || page IN ('src3 p.1', 'src4 p.2', 'src5 p.0'))::INT, rank FROM h)
+    SELECT id, row_number() OVER (ORDER BY bad, CASE WHEN bad = 1 THEN -rank ELSE rank END)::INTEGER AS place FROM a"""
+)
 def memo_leads_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = spark.createDataFrame([(1, "Doc A", 0.9, 1, 1), (2, "Doc B", 0.8, 2, 7), (3, "Doc C", 0.7, 3, 1)], "id long, source string, score double, rank int, page int")
-    memos = spark.createDataFrame([(99, "訂正メモ0", "交通費 の 精算", "Doc A p.1", 1), (100, "訂正メモ1", "交通費の精算", "Doc B p.7", 2)], "id long, source string, question string, wrong string, ord int")
-    return expand.memo_injected(hits, memos, "交通費の精算", 4).select("id", F.col("place").cast("int").alias("place"))
+    """Long documents as hits, memos made of others: the last equal question leads, the sources it calls wrong go to the tail."""
+    d, i = documents_(spark, sf_dir), F.col("doc_id")
+    long = d.filter("n_chars > 20000").select(i.alias("id"), "source", F.lit(0.5).alias("score"), (i % 5).cast("int").alias("page"))
+    hits = long.withColumn("rank", F.row_number().over(Window.orderBy("id")))  # the hits of one question
+    memos = d.filter(i % 7 == 3).select((-i - 1).alias("id"), text("memo", i).alias("source"), F.lit("交通費 の 精算").alias("question"), F.lit("Src3 p.1|src4 p.2、SRC5 p.0").alias("wrong"), i.cast("int").alias("ord"))
+    return expand.memo_injected(hits, memos, "交通費の精算", 1_000_000).select("id", F.col("place").cast("int").alias("place"))
 
 
 @query("WITH t AS (SELECT user_id, event_type, ts, event_id FROM events), l AS (SELECT user_id, event_type, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM t), s AS (SELECT *, sum(CASE WHEN before IS NULL OR epoch_ms(ts) - epoch_ms(before) > 1800000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM l) SELECT user_id AS session, event_type AS chunk, row_number() OVER (PARTITION BY user_id, sid, event_type ORDER BY ts, event_id) > 1 AS seen_before FROM s")
@@ -318,9 +332,9 @@ def stream_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.drained(e.groupBy("user_id").agg(F.max("ts").alias("ts"), F.count("*").alias("n")), "update", keys=["user_id"])
 
 
-@query("SELECT doc_id, 3 * (CASE WHEN contains(lower(text), 'license') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'apache') THEN 1 ELSE 0 END)::DOUBLE AS boost, n_chars >= 0 AS known FROM documents")
+@query("SELECT doc_id, 3 * (CASE WHEN contains(lower(text), 'license') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'apache') THEN 1 ELSE 0 END)::DOUBLE AS boost FROM documents")
 def exact_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_(spark, sf_dir).select("doc_id", retrieve.exact_boost(F.lit("License Apache no"), F.col("text")).alias("boost"), F.lit(True).alias("known"))
+    return documents_(spark, sf_dir).select("doc_id", retrieve.exact_boost(F.lit("License Apache no"), F.col("text")).alias("boost"))
 
 
 @query(
@@ -354,12 +368,10 @@ def ungrounded_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_(spark, sf_dir).select("doc_id", F.array_join(T.ungrounded(claims, evidence), "|").alias("missing"))
 
 
-@query("SELECT doc_id, length(text) > 0 AS filled, true AS kept FROM documents")
+@query(f"SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN 'kept' ELSE replace({FOLD.format(x="'Sum ' || source || text")}, ' ', '') END) AS norm_text FROM documents")
 def norm_texts_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents_(spark, sf_dir).select("doc_id", "source", F.lit("").alias("summary"), F.lit(None).cast("string").alias("keywords"), F.col("text").alias("full_text"), F.when(F.col("doc_id") % 2 == 0, "kept").alias("norm_text"))
-    done = shelf.norm_filled(d)
-    kept = F.when(F.col("doc_id") % 2 == 0, F.col("norm_text") == "kept").otherwise(F.contains("norm_text", F.lower(F.lit("src"))))
-    return done.select("doc_id", (F.length("full_text") > 0).alias("filled"), kept.alias("kept"))
+    d = documents_(spark, sf_dir).select("doc_id", "source", F.lit("Sum ").alias("summary"), F.lit(None).cast("string").alias("keywords"), F.col("text").alias("full_text"), F.when(F.col("doc_id") % 2 == 0, "kept").alias("norm_text"))
+    return shelf.norm_filled(d).select("doc_id", F.md5("norm_text").alias("norm_text"))
 
 
 @query("SELECT user_id, percent, percent >= 80 AS ok FROM (SELECT DISTINCT user_id, user_id % 101 AS percent FROM events)")

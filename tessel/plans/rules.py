@@ -184,24 +184,49 @@ def sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({sql_text(a)}, {sql_text(b)}, {str(p).lower()}, {c})" for a, b, c, p, *_ in JAPANESE) + ") t(line, joined, page_line, class)")
+def in_documents(values: str) -> str:
+    """SQL of documents, each with one of the given rows (i from 0)."""
+    return f"j AS (SELECT * FROM (VALUES {values}) t), d AS (SELECT doc_id, text, j.* FROM documents JOIN j ON doc_id % {len(JAPANESE)} = j.i)"
+
+
+def japanese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a Japanese line each."""
+    lines = F.array(*[F.lit(r[0]) for r in JAPANESE])
+    return table(spark, sf_dir, "documents").select("doc_id", "text", F.get(lines, F.col("doc_id") % len(JAPANESE)).alias("line"))
+
+
+@query(
+    "WITH "
+    + in_documents(", ".join(f"({i}, {sql_text(a)}, {sql_text(b)}, {str(p).lower()}, {c})" for i, (a, b, c, p, *_) in enumerate(JAPANESE))).replace(") t)", ") t(i, line, joined, page_line, class))")
+    + " SELECT doc_id, joined, page_line, class, md5(text || chr(10) || joined) AS whole FROM d"
+)
 def japanese_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = given(spark, [(r[0],) for r in JAPANESE], "line string")
-    return rows.select("line", D.joined_numbers(F.col("line")).alias("joined"), T.page_number_line("line").alias("page_line"), T.line_class(D.joined_numbers(F.col("line"))).alias("class"))
+    rows = japanese(spark, sf_dir)
+    joined = D.joined_numbers(F.col("line"))
+    return rows.select("doc_id", joined.alias("joined"), T.page_number_line("line").alias("page_line"), T.line_class(joined).alias("class"), F.md5(F.concat("text", F.lit("\n"), joined)).alias("whole"))
+
 
+LATIN = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9), 'abcdefghijklmnopqrstuvwxyz ')"
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(sql_text(x) for x in (r[0], *r[4:10])) + f", {str(r[10]).lower()})" for r in JAPANESE) + ") t(line, tokens, keys, main, compact, question, ingested, whole)")
+
+@query(
+    "WITH "
+    + in_documents(", ".join(f"({i}, " + ", ".join(sql_text(x) for x in (r[0], *r[4:10])) + f", {str(r[10]).lower()})" for i, r in enumerate(JAPANESE))).replace(") t)", ") t(i, line, tokens, keys, main, compact, question, ingested, global))")
+    + f""" SELECT doc_id, keys, main, question, ingested, global, md5(replace({LATIN}, ' ', '') || chr(10) || compact) AS compact,
+    md5(array_to_string(list_concat(list_concat(regexp_extract_all({LATIN}, '[0-9a-z]+'), list_filter(string_split(tokens, '|'), lambda x: regexp_matches(x, '^[0-9a-z]+$'))), list_filter(string_split(tokens, '|'), lambda x: NOT regexp_matches(x, '^[0-9a-z]+$') AND x <> '')), '|')) AS tokens FROM d"""
+)
 def japanese_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = given(spark, [(r[0],) for r in JAPANESE], "line string")
+    rows = japanese(spark, sf_dir)
+    both = F.concat("text", F.lit("\n"), "line")
     return rows.select(
-        "line",
-        F.array_join(T.tokens("line"), "|").alias("tokens"),
+        "doc_id",
         F.array_join(T.distinct_keys("line"), "|").alias("keys"),
         T.main_keyword("line").alias("main"),
-        T.compact("line").alias("compact"),
         T.question_key("line").alias("question"),
         D.ingest_text(F.concat(F.lit("x\n"), "line")).alias("ingested"),
-        T.global_signal("line").alias("whole"),
+        T.global_signal("line").alias("global"),
+        F.md5(T.compact(both)).alias("compact"),
+        F.md5(F.array_join(T.tokens(both), "|")).alias("tokens"),
     )
 
 
@@ -209,9 +234,18 @@ def japanese_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 HASHES = [("", "cbf29ce484222325"), ("hello", "32964f71b2764b97"), ("第12条", "5b02a1a0f87d2243")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({sql_text(a)}, {sql_text(b)}, {sql_text(b.upper())}, {sql_text(b if a else '')})" for a, b in HASHES) + ") t(text, hash, upper, anonymous)")
+FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, flatten(list_transform(string_split({s}, ''), lambda c: [(unicode(c) % 256)::HUGEINT, (unicode(c) // 256)::HUGEINT]))), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+HEX = "printf('%08x', ({h} // 4294967296)::BIGINT) || printf('%08x', ({h} % 4294967296)::BIGINT)"
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, '第' || source || '条-' || lang || doc_id AS s FROM documents), h AS (SELECT doc_id, {FNV.format(s="s")} AS h FROM n), x AS (SELECT doc_id, {HEX.format(h="h")} AS hash FROM h)
+    SELECT doc_id, hash, upper(hash) AS upper, CASE WHEN doc_id % 3 = 0 THEN '' ELSE hash END AS anonymous FROM x"""
+)
 def hashed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return given(spark, [(a,) for a, _ in HASHES], "text string").select("text", P.fnv1a64(F.col("text")).alias("hash"), P.fnv1a64(F.col("text"), True).alias("upper"), D.anonymous(F.col("text")).alias("anonymous"))
+    i = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("第"), "source", F.lit("条-"), "lang", i.cast("string")).alias("s"))
+    return rows.select("doc_id", P.fnv1a64(F.col("s")).alias("hash"), P.fnv1a64(F.col("s"), True).alias("upper"), D.anonymous(F.when(i % 3 == 0, "").otherwise(F.col("s"))).alias("anonymous"))
 
 
 @query("SELECT doc_id, md5(text) AS text FROM documents")
@@ -271,11 +305,11 @@ def settings_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text || ' [shelf a]' ELSE text || ' [pack b]（未確認）' END AS answer, 12 AS figure FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text || ' [shelf a]' ELSE text || ' [pack b]（未確認）' END AS answer FROM conversations")
 def checked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     cited = F.concat("text", F.when(F.col("turn") % 3 == 0, " [shelf a]").otherwise(" [pack b]"))
-    return c.select("conv_id", "turn", D.unverified(cited, F.array(F.lit("[shelfa]"))).alias("answer"), F.lit(12).alias("figure"))
+    return c.select("conv_id", "turn", D.unverified(cited, F.array(F.lit("[shelfa]"))).alias("answer"))
 
 
 @query(
@@ -346,9 +380,9 @@ def service_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.coalesce(F.size(D.embedding_arrays(response)), F.lit(0)).alias("vectors"), F.try_element_at(D.enrichments(rich), F.lit(1))["summary"].alias("summary"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'me' WHEN event_id % 4 = 2 THEN '' ELSE 'id' || user_id END AS author, event_id % 5 < 2 AS wrong, event_id % 2 = 0 AS named FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'me' WHEN event_id % 4 = 2 THEN '' ELSE 'id' || user_id END AS author, event_id % 5 < 2 AS wrong FROM events")
 def authors_and_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     stored = F.when(i % 4 < 2, F.concat(F.lit("id"), F.col("user_id").cast("string"))).otherwise("")
     line = F.lit("Doc A p.0|doc b p.1、Other p.7")
-    return events_(spark, sf_dir).select("event_id", D.author_id(stored, i % 4 == 2, F.lit("me")).alias("author"), D.wrong_source(line, pick("doc a", "DOC B", "doc a", "other", "x"), i % 5).alias("wrong"), (i % 2 == 0).alias("named"))
+    return events_(spark, sf_dir).select("event_id", D.author_id(stored, i % 4 == 2, F.lit("me")).alias("author"), D.wrong_source(line, pick("doc a", "DOC B", "doc a", "other", "x"), i % 5).alias("wrong"))
