@@ -10,6 +10,7 @@ from tessel.functions import python as P
 from tessel.functions.register import register
 from tessel.operators import history, worklog
 from tessel.plans.base import ORACLE, query, table
+from tessel.plans.rules import FNV, HEX
 from tessel.scratch import folder
 from tessel.sources import shelf_source, versions, workbook
 
@@ -94,7 +95,7 @@ def shelved(d: DataFrame, at: str) -> None:
     kinds = ("txt", "MD", "xlsx", "csv")
 
     def write(rows: pd.DataFrame) -> pd.DataFrame:
-        n = int(rows["file"].iloc[0])
+        n, rows = int(rows["file"].iloc[0]), rows.sort_values("doc_id")
         kind = kinds[n % 4]
         lines = [[str(k), t] for k, t in zip(rows["doc_id"], rows["line"], strict=True)]
         if kind == "xlsx":
@@ -228,11 +229,10 @@ def vector_functions_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT e.vec_id, round(dot(e.embedding, q.embedding), 6) AS dot, hamming(array(e.vec_id, CAST(e.label AS BIGINT)), array(12345L, 0L)) AS hamming FROM _embeddings e, (SELECT embedding FROM _embeddings WHERE vec_id = 0) q")
 
 
-FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, flatten(list_transform(string_split({s}, ''), lambda c: [(unicode(c) % 256)::HUGEINT, (unicode(c) // 256)::HUGEINT]))), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
 NAMED = "source || '-' || lang || '-' || doc_id"
 
 
-@query(f"SELECT doc_id, printf('%08x', ({FNV.format(s=NAMED)} // 4294967296)::BIGINT) || printf('%08x', ({FNV.format(s=NAMED)} % 4294967296)::BIGINT) AS fnv FROM documents")
+@query(f"SELECT doc_id, {HEX.format(h='h')} AS fnv FROM (SELECT doc_id, {FNV.format(s=NAMED)} AS h FROM documents)")
 def names_hashed_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)
     table(spark, sf_dir, "documents").createOrReplaceTempView("_documents")
