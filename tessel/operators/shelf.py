@@ -171,6 +171,17 @@ def thanks(inbox: DataFrame, me: list[str], seen: DataFrame) -> DataFrame:
     return sets.new_rows(sets.deduplicated(mine, ["nonce"], ["at"]), seen, ["nonce"])
 
 
+#: Points of a thank-you, and the counters that it moves.
+THANKS_POINTS, POINTS, THANKED = 10, "exp_total", "thanks_received_total"
+
+
+def thanked(inbox: DataFrame, me: list[str], seen: DataFrame, stats: DataFrame, points: int = THANKS_POINTS) -> DataFrame:
+    """stats (key, value) after a pass over the inbox: each unseen thank-you to me counts once, and gives points."""
+    n = thanks(inbox, me, seen).agg(F.count("*").alias("n"))
+    deltas = n.select(F.explode(F.create_map(F.lit(POINTS), F.col("n") * points, F.lit(THANKED), F.col("n"))).alias("key", "delta")).filter("delta > 0")
+    return bumped(stats, deltas)
+
+
 def delivered(inbox: DataFrame, me: list[str], seen: DataFrame, most: int = 3) -> DataFrame:
     """The first unseen questions for me; the rest wait for the next pass."""
     return thanks(inbox, me, seen).orderBy("at", "nonce").limit(most)

@@ -41,6 +41,46 @@ def thanks_received(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shelf.thanks(inbox, ["me", "My Name"], seen).select("nonce", F.col("at").alias("received"))
 
 
+@query(
+    """WITH n AS (SELECT count(DISTINCT event_id % 700) AS n FROM events WHERE event_id % 3 <> 1 AND event_id % 700 % 2 = 1), s AS (SELECT event_type AS key, count(*) AS value FROM events GROUP BY event_type)
+    SELECT key, value FROM s UNION ALL SELECT 'exp_total', 7 + 10 * n FROM n UNION ALL SELECT 'thanks_received_total', n FROM n"""
+)
+def points_of_thanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, i = events_(spark, sf_dir), F.col("event_id")
+    inbox = e.select((i % 700).alias("nonce"), F.when(i % 3 == 0, "ME").when(i % 3 == 1, "other").otherwise("my name").alias("addressee"), F.col("ts").alias("at"))
+    stats = e.groupBy(F.col("event_type").alias("key")).agg(F.count("*").alias("value")).unionByName(spark.range(1).select(F.lit("exp_total").alias("key"), F.lit(7).cast("long").alias("value")))
+    return shelf.thanked(inbox, ["me", "My Name"], spark.range(0, 700, 2).select(F.col("id").alias("nonce")), stats)
+
+
+@query(
+    """WITH u AS (SELECT user_id, count(*) AS n, (ARRAY['qa', 'gap', 'correction'])[1 + user_id % 3] AS kind, 'a' || (user_id % 4) || '-' || lpad(user_id::VARCHAR, 9, '0') AS nonce FROM events GROUP BY user_id),
+    f AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY nonce) AS r FROM u WHERE user_id % 4 <> 1 AND user_id % 5 <> 0) SELECT kind, nonce, n, 'Q' || user_id AS question FROM f WHERE r <= 20 AND user_id % 7 <> 0"""
+)
+def posts_collected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts of users in three folders: own and seen ones left out, unfinished files passed over, the first twenty of each."""
+    import pandas as pd
+
+    from tessel.sources.shelf_source import opened
+
+    at = folder(spark)
+    u = events_(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"))
+    kind = F.element_at(F.array(F.lit("qa"), F.lit("gap"), F.lit("correction")), (1 + F.col("user_id") % 3).cast("int"))
+    posts = u.select(kind.alias("kind"), text("a", F.col("user_id") % 4, "-", F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("nonce"), F.when(F.col("user_id") % 7 == 0, F.col("n").cast("string")).otherwise(F.concat_ws("\t", F.col("n").cast("string"), text("Q", F.col("user_id")))).alias("line"))
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        held, top = opened(at)
+        for r in rows.itertuples():
+            held.create_dir(f"{top}/{r.kind}", recursive=True)
+            with held.open_output_stream(f"{top}/{r.kind}/{r.nonce}.txt") as out:
+                out.write(r.line.encode())
+        return pd.DataFrame({"n": [len(rows)]})
+
+    posts.groupBy("kind").applyInPandas(write, "n long").collect()  # a row a folder
+    seen = u.filter("user_id % 5 = 0").select(text("A", F.col("user_id") % 4, "-", F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("nonce"))
+    rows = files.collected(spark, {k: f"{at}/{k}" for k in ("qa", "gap", "correction")}, ["n", "question"], ["A1", "nobody"], seen, 20)
+    return rows.select("kind", "nonce", F.col("n").cast("long").alias("n"), "question")
+
+
 @query("WITH f AS (SELECT event_id % 700 AS nonce, min(ts) AS received FROM events WHERE event_id % 3 = 0 GROUP BY 1) SELECT nonce, received FROM f WHERE nonce % 2 = 1 ORDER BY received, nonce LIMIT 3")
 def questions_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")

@@ -123,6 +123,28 @@ def inbox_files(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     return t.filter(F.size("f") >= len(fields)).select(*[F.col("f")[i].alias(n) for i, n in enumerate(fields)])
 
 
+def collected(spark: SparkSession, folders: dict[str, str], fields: list[str], me: list[str], seen: DataFrame, most: int = 60) -> DataFrame:
+    """New posts of others in several folders (kind: path): kind, nonce, fields. A post is a file `<author>-<nonce>.txt` with one TAB-separated record.
+
+    Own posts and those whose nonce is among `seen` (nonce), in any case, take no part; of the others a folder gives the first `most` by name, so what was seen
+    long ago never keeps new ones out. Records with too few fields are passed over: a file that is still being written comes with the next pass. What came in has
+    to be added to `seen` by the caller.
+    """
+    known = seen.select(F.lower("nonce").alias("_k")).distinct()
+    out = None
+    for kind, path in folders.items():
+        t = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path).select(F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("nonce"), F.split(F.trim("value"), "\t").alias("f"))
+        mine = F.lit(False)
+        for m in me:
+            mine = mine | F.lower("nonce").startswith(m.lower() + "-")
+        new = t.filter(~mine).join(known, F.lower("nonce") == F.col("_k"), "left_anti").orderBy("nonce").limit(most)
+        rows = new.filter(F.size("f") >= len(fields)).select(F.lit(kind).alias("kind"), "nonce", *[F.col("f")[i].alias(n) for i, n in enumerate(fields)])
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no folders")
+    return out
+
+
 def pending_updates(local: DataFrame, remote: DataFrame) -> DataFrame:
     """Subscribed channels whose remote version is known and another than the local one."""
     r = remote.select("channel", F.col("version").alias("remote"))
