@@ -285,8 +285,16 @@ def embedding_arrays(response: Column) -> Column:
 
 
 def enrichments(response: Column) -> Column:
-    """Rows of [{"i", "summary", "keywords"}]; none where it can't be read."""
-    return F.coalesce(F.from_json(response, "array<struct<i:int,summary:string,keywords:string>>"), F.array().cast("array<struct<i:int,summary:string,keywords:string>>"))
+    """Rows of a model's [{"i", "summary", "keywords"}], scanned rather than parsed: text around, broken ends and missing fields (then empty) do no harm; an entry without a number is passed over."""
+
+    def value(piece: Column, name: str) -> Column:
+        raw = F.regexp_extract(piece, f'(?is)"{name}"[^:]*:[^"]*"((?:\\\\.|[^"\\\\])*)', 1)
+        plain = F.replace(F.replace(F.replace(raw, F.lit("\\\\"), F.lit("\x00")), F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
+        return F.replace(F.regexp_replace(plain, r"(?s)\\(.)", "$1"), F.lit("\x00"), F.lit("\\"))
+
+    pieces = F.filter(F.split(F.coalesce(response, F.lit("")), '"i"', -1), lambda p, i: i > 0)
+    numbered = F.filter(pieces, lambda p: p.rlike("^[^:]*:[ ]*[0-9]"))
+    return F.transform(numbered, lambda p: F.struct(F.regexp_extract(p, "^[^:]*:[ ]*([0-9]+)", 1).try_cast("int").alias("i"), value(p, "summary").alias("summary"), value(p, "keywords").alias("keywords")))
 
 
 def distinct_lines(s: Column, most: int) -> Column:

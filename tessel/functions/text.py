@@ -281,6 +281,13 @@ def json_escaped(s: Column | str) -> Column:
     return F.when(plain.rlike("[\\x00-\\x1f]"), out).otherwise(plain)
 
 
+def merged_labels(held: Column, added: Column) -> Column:
+    """Labels parted by |, with those of another list that are not among them."""
+    parts = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\|", -1), lambda x: x != "")
+    new = F.array_distinct(F.array_except(parts(added), parts(held)))
+    return F.when(F.size(new) == 0, F.coalesce(held, F.lit(""))).otherwise(F.array_join(F.concat(F.when(F.coalesce(held, F.lit("")) != "", F.array(held)).otherwise(F.array().cast("array<string>")), new), "|"))
+
+
 def origin_kind(origin: Column | str) -> Column:
     t = F.lower(F.ltrim(_c(origin)))
     return F.when(t.startswith("pack:"), "pack").when(t.startswith("channel:"), "channel").otherwise("")

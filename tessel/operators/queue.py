@@ -86,6 +86,13 @@ def setting(value: Column, default: int | float | bool | str) -> Column:
     return F.when(F.coalesce(value, F.lit("")) == "", default).otherwise(value)
 
 
+def settings_put(settings: DataFrame, changes: DataFrame) -> DataFrame:
+    """settings (key, value) with changes; a key is the same in any case, and keeps the spelling it had. Of changes to one key the last by `at` counts."""
+    last = changes.filter(F.trim("key") != "").groupBy(F.lower(F.trim("key")).alias("_k")).agg(F.max_by(F.struct("key", "value"), "at").alias("_n"))
+    met = settings.select(F.lower(F.trim("key")).alias("_k"), "key", "value").join(last, "_k", "full_outer")
+    return met.select(F.coalesce("key", F.trim("_n.key")).alias("key"), F.when(F.col("_n").isNotNull(), F.col("_n.value")).otherwise(F.col("value")).alias("value"))
+
+
 def stamp(rows: DataFrame, key: str, per: list[str] | None = None) -> DataFrame:
     """What tells whether a cache of rows is stale: their number, first and last key in one text; empty without rows. With `per`, a stamp for each group."""
     made = F.when(F.count("*") > 0, F.concat_ws("|", F.count("*").cast("string"), F.min(key).cast("string"), F.max(key).cast("string"))).otherwise("").alias("stamp")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessel.functions import decide as D
 from tessel.functions import text as T
 from tessel.functions import vector as V
-from tessel.operators import ingest, retrieve, sets
+from tessel.operators import ingest, rank, retrieve, sets
 
 
 def search(vectors: DataFrame, knowledge: DataFrame, query: list[float], question: str, k: int, excluded: DataFrame | None = None, scope: DataFrame | None = None) -> DataFrame:
@@ -38,9 +38,20 @@ def multi_search(vectors: DataFrame, knowledge: DataFrame, queries: list[tuple[s
     return retrieve.top(met.select("chunk_id", "source", "page", "ord", best.alias("score")).filter("score is not null"), pool).drop("ord")
 
 
-def retrieved(vectors: DataFrame, knowledge: DataFrame, question: str, queries: list[tuple[str, list[float] | None]], k: int, pool: int = 40, order: str | None = None, steps: list[Callable[[DataFrame], DataFrame]] | None = None, **limits: DataFrame) -> DataFrame:
-    """Multi-stage retrieval: pool, an explicit order from a model's answer if there is one, then the given steps over (chunk_id, source, page, score, rank)."""
+def retrieved(vectors: DataFrame, knowledge: DataFrame, question: str, queries: list[tuple[str, list[float] | None]], k: int, pool: int = 40, order: str | None = None, steps: list[Callable[[DataFrame], DataFrame]] | None = None, synonyms: DataFrame | None = None, diversify: int | None = None, **limits: DataFrame) -> DataFrame:
+    """Multi-stage retrieval: pool, an explicit order from a model's answer if there is one, the k first, then the given steps over (chunk_id, source, page, score, rank).
+
+    With synonyms (term, canonical, ord) a query gets up to three counterparts of the terms it holds. Where no query has a vector of the shelf's length, or the pool stays empty, it is the
+    question's keywords alone that score. With `diversify`, hits that are all of one source give their last place to the best of the pool from another, if that scores at least so many percent of it.
+    """
+    spark = vectors.sparkSession
+    if synonyms is not None and queries:
+        asked = sets.synonyms(spark.createDataFrame([(q,) for q in {q for q, _ in queries} | {question}], "query string"), synonyms)
+        wider = {r.query: r.expanded for r in asked.collect()}  # a row per query
+        queries, question = [(wider.get(q, q), v) for q, v in queries], wider.get(question, question)
     found = multi_search(vectors, knowledge, queries, pool, **limits)
+    if found.isEmpty():
+        found = by_keywords(knowledge, question, pool, **limits)
     ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
     if order:
         wanted = ranked.sparkSession.range(1).select(F.posexplode(F.transform(F.filter(F.transform(F.split(F.lit(order), "[,、 ]+"), lambda x: F.trim(x).try_cast("int")), lambda n: n.isNotNull()), lambda n: n)).alias("_p", "rank"))
@@ -48,11 +59,23 @@ def retrieved(vectors: DataFrame, knowledge: DataFrame, question: str, queries:
         ranked = ranked.join(F.broadcast(wanted), "rank", "left")
         ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.col("_p").asc_nulls_last(), "rank"))).drop("_p")
     hits = ranked.filter(F.col("rank") <= k)
+    if diversify is not None:
+        pages = ranked.select(F.col("chunk_id").alias("id"), "page")
+        swapped = rank.diversity_swap(hits.select(F.col("chunk_id").alias("id"), "source", "score", "rank"), ranked.select(F.col("chunk_id").alias("id"), "source", "score", "rank"), diversify)
+        hits = swapped.join(pages, "id").select(F.col("id").alias("chunk_id"), "source", "page", "score", "rank")
     for step in steps or []:
         hits = step(hits)
     return hits
 
 
+def by_keywords(knowledge: DataFrame, question: str, pool: int, **limits: DataFrame) -> DataFrame:
+    """The pool of chunks by the weighted keyword score alone; chunks without any keyword take no part."""
+    rows = retrieve.restricted(sets.deduplicated(knowledge, ["chunk_id"], ["ord"]), "source", limits.get("excluded"), limits.get("scope"))
+    doc = F.coalesce("norm_text", T.match_text("summary", "keywords", "source", "full_text"))
+    score = F.round(T.SPARSE_WEIGHT * T.key_score(T.distinct_keys(F.lit(question)), doc), 6)
+    return retrieve.top(rows.select("chunk_id", "source", "page", "ord", score.alias("score")).filter("score > 0"), pool).drop("ord")
+
+
 def norm_filled(knowledge: DataFrame) -> DataFrame:
     """knowledge whose empty norm_text is filled, so that searches don't fold texts anew; write it to keep it."""
     return knowledge.withColumn("norm_text", F.coalesce("norm_text", T.match_text("summary", "keywords", "source", "full_text")))

@@ -371,13 +371,44 @@ def lines_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", D.distinct_lines(F.replace(F.lower("text"), F.lit(" "), F.lit("\n")), 3).alias("l")).select("conv_id", "turn", F.array_join("l", "\n").alias("lines"))
 
 
-@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 2 WHEN vec_id % 3 = 1 THEN 0 ELSE 1 END AS vectors, CASE WHEN vec_id % 2 = 0 THEN 's' || vec_id ELSE NULL END AS summary FROM embeddings")
+@query(
+    """SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN '1.0,2.0;3.0,4.0' WHEN vec_id % 3 = 1 THEN '' ELSE label || '.5' END AS vectors,
+    CASE WHEN vec_id % 4 = 0 THEN '1:s"' || vec_id || chr(10) || chr(92) || ':k' WHEN vec_id % 4 = 1 THEN '' WHEN vec_id % 4 = 2 THEN '2::a,b;7:cut off ' || vec_id || ':' ELSE '3:S' || label || ':' END AS rich FROM embeddings"""
+)
 def service_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("vec_id")
-    response = F.when(i % 3 == 0, '{"data":[{"embedding":[1.0,2]},{"embedding":[3,4]}]}').when(i % 3 == 1, "not json").otherwise('{"data":[{"embedding":[1]}]}')
-    rich = F.when(i % 2 == 0, F.concat(F.lit('[{"i":1,"summary":"s'), i.cast("string"), F.lit('","keywords":"k"}]'))).otherwise("#ERR")
-    e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.coalesce(F.size(D.embedding_arrays(response)), F.lit(0)).alias("vectors"), F.try_element_at(D.enrichments(rich), F.lit(1))["summary"].alias("summary"))
+    """Vectors and enrichments of answers, whole, broken, with text around, or none."""
+    i, label = F.col("vec_id"), F.col("label").cast("string")
+    response = F.when(i % 3 == 0, '{"data":[{"embedding":[1.0,2]},{"embedding":[3,4]}]}').when(i % 3 == 1, "not json").otherwise(F.concat(F.lit('{"data":[{"embedding":['), label, F.lit(".5]}]}")))
+    n = i.cast("string")
+    rich = (
+        F.when(i % 4 == 0, F.concat(F.lit('Here: [{"i": 1, "summary":"s\\"'), n, F.lit('\\n\\\\","keywords":"k"}] done')))
+        .when(i % 4 == 1, "#ERR")
+        .when(i % 4 == 2, F.concat(F.lit('[{"i":2,"keywords":"a,b"},{"i":x},{"i":7,"summary":"cut off '), n))
+        .otherwise(F.concat(F.lit('{"i":3,"SUMMARY" : "S'), label, F.lit('"}')))
+    )
+    vectors = F.array_join(F.transform(D.embedding_arrays(response), lambda v: F.array_join(F.transform(v, lambda x: x.cast("string")), ",")), ";")
+    rows = F.array_join(F.transform(D.enrichments(rich), lambda r: F.concat_ws(":", r["i"].cast("string"), r["summary"], r["keywords"])), ";")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.coalesce(vectors, F.lit("")).alias("vectors"), rows.alias("rich"))
+
+
+@query(
+    """SELECT doc_id, source || '|' || lang || CASE WHEN doc_id % 2 = 0 THEN '|x' ELSE '' END || CASE WHEN lang = 'en' THEN '' ELSE '|en' END AS labels FROM documents"""
+)
+def labels_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    held = F.concat_ws("|", "source", "lang", F.when(F.col("doc_id") % 2 == 0, F.lit("x")))
+    return d.select("doc_id", T.merged_labels(held, F.concat(F.lit("|en||"), F.col("source"), F.lit("|en"))).alias("labels"))
+
+
+@query(
+    """WITH s AS (SELECT DISTINCT source AS key, 'old' AS value FROM documents), c AS (SELECT upper(source) AS key, max_by(doc_id, doc_id) AS value FROM documents WHERE source <> 'src3' GROUP BY source)
+    SELECT s.key, coalesce(c.value::VARCHAR, s.value) AS value FROM s LEFT JOIN c ON lower(c.key) = s.key UNION ALL SELECT 'New', max(doc_id)::VARCHAR FROM documents"""
+)
+def settings_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    settings = d.select(F.col("source").alias("key"), F.lit("old").alias("value")).distinct()
+    changes = d.filter("source <> 'src3'").select(F.concat(F.lit(" "), F.upper("source")).alias("key"), i.cast("string").alias("value"), i.alias("at")).unionByName(d.select(F.lit("New ").alias("key"), i.cast("string").alias("value"), i.alias("at")))
+    return queue.settings_put(settings, changes)
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'me' WHEN event_id % 4 = 2 THEN '' ELSE 'id' || user_id END AS author, event_id % 5 < 2 AS wrong FROM events")

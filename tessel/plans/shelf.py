@@ -57,6 +57,28 @@ def shelf_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shelf.retrieved(vectors_(spark, sf_dir), knowledge_(spark, sf_dir), "license: apache", [("license: apache", q)], 12, order="5, 3, 5, x, 9, 77").select("chunk_id", "source", "page", "score", "rank")
 
 
+@query(
+    f"""WITH {HYBRID}, s AS (SELECT k.doc_id AS chunk_id, source, 1 AS page, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) + 0.06::DOUBLE * ks, 6) AS score
+    FROM k JOIN embeddings e ON e.vec_id = k.doc_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE source IN ('src1', 'src2') ORDER BY score DESC, chunk_id LIMIT 40),
+    r AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM s), h AS (SELECT * FROM r WHERE rank <= 2),
+    o AS (SELECT r.* FROM r, (SELECT count(DISTINCT source) AS n, min(source) AS one, min(score) AS low FROM h) x WHERE x.n = 1 AND r.source <> x.one AND x.low > 0 AND r.score / x.low * 100 >= 10 ORDER BY r.score DESC, r.chunk_id LIMIT 1)
+    SELECT chunk_id, source, page, score, rank FROM h WHERE rank < 2 OR NOT EXISTS (SELECT 1 FROM o) UNION ALL SELECT chunk_id, source, page, score, 2 FROM o"""
+)
+def shelf_diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hits from two sources, asked with a synonym of what the texts hold; where both are of one source the second gives way."""
+    q = vectors_of(table(spark, sf_dir, "embeddings"), (0,))[0][1]
+    pairs = spark.createDataFrame([("apache", ":license", 1)], "term string, canonical string, ord int")
+    scope = spark.createDataFrame([("src1",), ("src2",)], "source string")
+    hits = shelf.retrieved(vectors_(spark, sf_dir), knowledge_(spark, sf_dir), "apache", [("apache", q)], 2, synonyms=pairs, diversify=10, scope=scope)
+    return hits.select("chunk_id", "source", "page", "score", "rank")
+
+
+@query(f"WITH {HYBRID} SELECT doc_id AS chunk_id, source, round(0.06::DOUBLE * ks, 6) AS score FROM k WHERE ks > 0 ORDER BY score DESC, chunk_id LIMIT 12")
+def shelf_without_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No query has a vector: keywords alone decide."""
+    return shelf.retrieved(vectors_(spark, sf_dir), knowledge_(spark, sf_dir), "license: apache", [("license: apache", None)], 12).select("chunk_id", "source", "score")
+
+
 @query(
     """WITH c AS (SELECT doc_id AS chunk_id, source, doc_id % 50 AS page, doc_id AS seq, row_number() OVER (PARTITION BY source ORDER BY doc_id % 50, doc_id) AS n FROM documents),
     h AS (SELECT * FROM c WHERE chunk_id % 97 = 5), x AS (SELECT DISTINCT c.chunk_id, c.source, c.page, c.seq FROM c JOIN h ON c.source = h.source AND abs(c.n - h.n) <= 2 WHERE c.chunk_id % 97 <> 5)
