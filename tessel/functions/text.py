@@ -100,6 +100,20 @@ def key_score(keys: Column, text: Column, cap: float = KEY_CAP) -> Column:
     return bound(text, score)
 
 
+def key_score_of(keys: list[str], text: Column, cap: float = KEY_CAP) -> Column:
+    """key_score for keys that are known when the query is written: one expression a key, which runs as generated code."""
+
+    def score(t: Column) -> Column:
+        raw = F.lit(0.0)
+        for k in keys:
+            if len(k) >= 2:
+                n = occurrences(t, F.lit(k))
+                raw = raw + F.when(F.contains(t, F.lit(k)), float(min(len(k), KEY_LENGTH)) ** KEY_POWER * (1 + F.log(n.cast("double")))).otherwise(F.lit(0.0))
+        return F.when(raw > 0, cap_score(raw / (1 + F.log(1 + F.length(t) / F.lit(KEY_DOCUMENT))), cap)).otherwise(F.lit(0.0))
+
+    return score(text)
+
+
 def any_key(keys: Column, text: Column) -> Column:
     return F.exists(keys, lambda k: (F.length(k) >= 2) & F.contains(text, k))
 

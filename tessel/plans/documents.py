@@ -10,6 +10,7 @@ from tessel.functions import text as T
 from tessel.functions.register import register
 from tessel.operators import ingest, rank, retrieve
 from tessel.plans.base import query, table
+from tessel.scratch import folder
 
 KEYS = ["license", "the", "that", "ing"]
 KEYS_SQL = "['license', 'the', 'that', 'ing']"
@@ -42,6 +43,26 @@ def doc_key_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.top(scored, 50, "score", "doc_id")
 
 
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and compact text of the documents, folded once an application and kept."""
+    held = (spark.sparkContext.applicationId, sf_dir)
+    at = _KEPT.get(held)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if at is None or not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        at = _KEPT[held] = folder(spark, "folded")
+        docs_(spark, sf_dir).select("doc_id", T.compact("text").alias("c")).write.parquet(at)
+    return spark.read.parquet(at)
+
+
+@query(f"WITH {KEYED} SELECT doc_id, round({SCORE}, 5) AS score FROM k ORDER BY score DESC, doc_id LIMIT 50")
+def doc_key_score_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword scan over kept folded texts."""
+    return retrieve.top(folded(spark, sf_dir).select("doc_id", F.round(T.key_score_of(KEYS, F.col("c")), 5).alias("score")), 50, "score", "doc_id")
+
+
 @query(f"WITH {KEYED} SELECT doc_id, round(1.0 / (1 + n_chars) + 0.06 * ({SCORE}), 6) AS score FROM k ORDER BY score DESC, doc_id LIMIT 20")
 def doc_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = F.array(*[F.lit(k) for k in KEYS])

@@ -283,6 +283,28 @@ def test_a_shared_file_is_replaced_in_one_step(spark, tmp_path):
 
 
 def test_analytics_files_begin_with_a_mark(spark, tmp_path):
-    files.write_analytics(spark.createDataFrame([(1, "é")], "a int, b string"), f"{tmp_path}/out")
+    files.write_analytics(spark.createDataFrame([(1, "é")], "a int, b string").coalesce(1), f"{tmp_path}/out")
     (part,) = [p for p in (tmp_path / "out").iterdir() if p.name.startswith("part")]
     assert part.read_bytes().startswith(b"\xef\xbb\xbfa,b\n")
+
+
+def test_enrichments_are_scanned(spark):
+    from tessel.functions import decide as D
+
+    got = lambda t: [tuple(r) for r in one(spark, D.enrichments(F.col("t")), t=t)]
+    assert got('x [{"i":1,"summary":"a \\"b\\" \\\\ c\\n","keywords":"k,l"}, {"i": 2}] y') == [(1, 'a "b" \\ c\n', "k,l"), (2, "", "")]
+    assert got('{"i":x} {"i": 30 ,"Keywords":"only"') == [(30, "", "only")] and got("") == [] == got("nothing")
+    assert got('"i":5,"summary":"never closed') == [(5, "never closed", "")]
+
+
+def test_labels_settings_and_scores_of_known_keys(spark):
+    from tessel.operators import queue
+
+    assert one(spark, T.merged_labels(F.col("a"), F.col("b")), a="x|y|x", b="y|z||z") == "x|y|x|z"
+    assert one(spark, T.merged_labels(F.col("a"), F.col("b")), a="", b="z") == "z" and one(spark, T.merged_labels(F.lit(None).cast("string"), F.lit(""))) == ""
+    old = spark.createDataFrame([("Top_K", "5"), ("other", "x")], "key string, value string")
+    new = spark.createDataFrame([(" top_k", "7", 1), ("TOP_K", "9", 2), ("new", "1", 1), ("  ", "z", 1)], "key string, value string, at int")
+    assert {tuple(r) for r in queue.settings_put(old, new).collect()} == {("Top_K", "9"), ("other", "x"), ("new", "1")}
+    for t in ("", "licenselicenseapache", "a", "xxthe"):
+        keys = ["license", "apache", "the", "a"]
+        assert math.isclose(one(spark, T.key_score_of(keys, F.col("t")), t=t), one(spark, T.key_score(F.array(*[F.lit(k) for k in keys]), F.col("t")), t=t))
