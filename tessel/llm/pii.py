@@ -37,8 +37,8 @@ TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Sr|Sra|Señor|Señora"
 WORD = "[A-Z][a-zà-ÿ]{1,20}"
 #: Candidates: kind and pattern ("digits" are runs like a card's that fail its check). Names have two: leftmost pairs of capitalised words, and the pairs between these, so that each pair of neighbours in a run is one.
 CANDIDATES = (
-    ("name", rf"(?<![\p{{L}}])(?:(?:{TITLES})\.? )?{WORD} {WORD}(?![\p{{L}}])"),
-    ("name", rf"(?<=(?<![\p{{L}}]){WORD} )(?<!(?<![\p{{L}}])(?:{TITLES}) ){WORD} {WORD}(?![\p{{L}}])"),
+    ("name", rf"(?=[A-Z])(?<![\p{{L}}])(?:(?:{TITLES})\.? )?{WORD} {WORD}(?![\p{{L}}])"),
+    ("name", rf"(?=[A-Z])(?<= )(?<=(?<![\p{{L}}]){WORD} )(?<!(?<![\p{{L}}])(?:{TITLES}) ){WORD} {WORD}(?![\p{{L}}])"),
     ("idnum", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("local", r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"),
     ("hidden", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63} ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z]{2,10}(?![A-Za-z])"),
