@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessel.functions import decide as D
 from tessel.functions import text as T
 from tessel.operators import expand
+from tessel.operators.rank import HITS
 
 #: What parts turns of a conversation, how long a carried turn and all of them may be, how a carried answer says where it is from, what parts cells of a line.
 TURN, CARRY, CARRY_ALL = ";;;", 4000, 20016
@@ -120,7 +121,7 @@ def clarify_prompt(sources: Column, intents: list[str], head: str, most: int = 4
 def rerank_prompt(hits: DataFrame, question: str, most: int) -> DataFrame:
     """One prompt: the question, then hits by number, as many characters as fit; hits has rank, source, page, full_text."""
     w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # the hits of one question
-    rows = hits.withColumn("_b", F.coalesce(F.sum(F.length("full_text")).over(w), F.lit(0)))
+    rows = hits.orderBy("rank").limit(HITS).withColumn("_b", F.coalesce(F.sum(F.length("full_text")).over(w), F.lit(0)))
     rows = rows.withColumn("_t", F.expr(f"substring(full_text, 1, CAST(greatest({most} - _b, 0) AS INT))")).filter("_t <> ''")
     line = lambda h: F.concat(F.lit("["), h["rank"].cast("string"), F.lit("] "), h["source"], F.lit(" p."), h["page"].cast("string"), F.lit("\n"), h["_t"])
     return rows.agg(F.concat(F.lit(question + "\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source", "page", "_t"))), line), "\n")).alias("prompt"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions import decide as D
 from tessel.functions import text as T
-from tessel.operators.rank import PART, neighbours_in_parts
+from tessel.operators.rank import HITS, PART, neighbours_in_parts
 
 NEIGHBOURS, REFS, REF_CANDIDATES, LINKED, SEEDS = 80, 8, 120, 2, 2
 
@@ -66,7 +66,7 @@ def memo_injected(hits: DataFrame, memos: DataFrame, question: str, k: int) -> D
     level = D.memo_level(F.lit(question), F.col("question"))
     best = memos.select("id", "source", "wrong", level.alias("level"), "ord").filter("level > 0").orderBy(F.desc("level"), F.desc("ord")).limit(1)
     row = best.select("id", "source", F.when(F.col("level") == 2, 1.0).otherwise(0.9).alias("score"), F.lit(0).alias("rank"), "wrong", "level")
-    rest = hits.join(F.broadcast(row.select(F.lower("source").alias("_s"), F.col("wrong").alias("_w"), F.col("level").alias("_l"))), how="left")
+    rest = hits.orderBy("rank").limit(HITS).join(F.broadcast(row.select(F.lower("source").alias("_s"), F.col("wrong").alias("_w"), F.col("level").alias("_l"))), how="left")
     rest = rest.filter(F.col("_s").isNull() | (F.lower("source") != F.col("_s")))
     bad = F.coalesce((F.col("_l") == 2) & D.wrong_source(F.col("_w"), F.col("source"), F.col("page")) & (F.col("rank") >= 1), F.lit(False))
     kept = rest.select("id", "source", "score", "rank", bad.alias("_bad")).unionByName(row.select("id", "source", "score", "rank", F.lit(False).alias("_bad")))

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from tessel.scratch import written
 
 PART = 65_536
+#: Hits of one question that are ordered together, in one task: more than any prompt or page takes.
+HITS = 10_000
 
 
 def diversity_order(hits: DataFrame, source: str = "source", score: str = "score", order: str = "ord") -> DataFrame:
-    """hits with `place`: the best of each source first, by score, then the rest in their order."""
+    """hits with `place`: the best of each source first, by score, then the rest in their order; of more than HITS the best by score."""
+    hits = hits.orderBy(F.desc(score), order).limit(HITS)
     w = Window.partitionBy(F.lower(source)).orderBy(F.desc(score), order)
     first = hits.withColumn("_rn", F.row_number().over(w)).withColumn("_later", (F.col("_rn") > 1).cast("int"))
     place = F.row_number().over(Window.orderBy("_later", F.when(F.col("_rn") == 1, -F.col(score)), order))
@@ -33,7 +36,8 @@ def demoted(hits: DataFrame, used: Column, keep: int, rank: str = "rank") -> Dat
 
 
 def wrong_last(hits: DataFrame, wrong: Column, rank: str = "rank") -> DataFrame:
-    """hits with `place`: wrong ones after the others, the first of them last."""
+    """hits with `place`: wrong ones after the others, the first of them last; of more than HITS the first by rank."""
+    hits = hits.orderBy(rank).limit(HITS)
     w = Window.orderBy(wrong.cast("int"), F.when(wrong, -F.col(rank)).otherwise(F.col(rank)))
     return hits.withColumn("place", F.row_number().over(w))
 

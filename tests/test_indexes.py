@@ -202,3 +202,31 @@ def test_prefilter_from_the_index_equals_the_scan(spark):
     for rescue in (None, F.col("label") == 2):
         got = signs.prefiltered(spark.read.parquet(at), df, rows[0][1], "k", "v", 30, 5, rescue).collect()
         assert got == retrieve.prefiltered(df, rows[0][1], "k", "v", 30, 5, rescue).collect()
+
+
+def test_kmeans_over_the_table_equals_plain_numpy(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    rows = e.orderBy(F.xxhash64("vec_id"), "vec_id").select("vec_id", "embedding", "label").collect()
+    unit = np.array([r.embedding[:96] for r in rows], float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    points = unit[:400]
+    centre = [points[0]]
+    while len(centre) < min(7, max(2, int((len(points) / 2) ** 0.5) + 1)):
+        centre.append(points[max(range(len(points)), key=lambda i: (min(1 - points[i] @ c for c in centre), -i))])
+    centre, before = np.array(centre), None
+    for turn in range(12):
+        of = [int(np.argmax(centre @ p)) for p in points]
+        if turn and of == before:
+            break
+        before = of
+        for j in range(len(centre)):
+            mine = [p for p, o in zip(points, of, strict=True) if o == j]
+            if mine and np.linalg.norm(np.mean(mine, axis=0)) > 0:
+                centre[j] = np.mean(mine, axis=0) / np.linalg.norm(np.mean(mine, axis=0))
+    want = {r.vec_id: int(np.argmax(centre @ u)) for r, u in zip(rows, unit, strict=True)}
+    got = links.kmeans(e, "vec_id", "embedding")
+    assert {r.vec_id: r.cluster for r in got.collect()} == want
+    votes = Counter((r.label, want[r.vec_id]) for r in rows)
+    best = {s: max((n, -c) for (t, c), n in votes.items() if t == s) for s, _ in votes}
+    of_source = links.majority(got.join(e.select("vec_id", F.col("label").alias("source")), "vec_id"), "source", "cluster").collect()
+    assert {r.source: (r.cluster, r.votes) for r in of_source} == {s: (-c, n) for s, (n, c) in best.items()}
