@@ -7,7 +7,8 @@ the order that counts varies with what the corpus has seen. A URL's score is the
 difference of log likelihoods; a threshold calibrated on held-out rule-decided URLs, a fifth of them, parts what stays.
 
 All native. Windows of ORDER + 1 characters are counted before any shuffle; shorter contexts are sums of longer ones. The
-model is a table of distinct windows, joined by a shuffle, as it grows with the corpus. The driver gets one
+model is a table of distinct windows, joined by a shuffle, as it grows with the corpus; windows that hold a thousandth of all rows or more, such as that at the start of every URL,
+are OFTEN at most, so these are broadcast and their rows stay where they are. The driver gets one
 histogram of at most 2 * 2001 rows.
 
 Defined cases: a null URL, or one without "://", has an empty host and path and the text that it is; an empty text
@@ -26,6 +27,7 @@ from .spans import let
 ORDER = 4
 FLAT = 1.0 / 256
 HELD_OUT = 5
+OFTEN = 1000
 LARGE, SMALL = 4096, 64  # characters of the pieces that windows are cut from
 SCALE = 100
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -138,8 +140,14 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple
     grams, contexts = model(train)
     undecided = rows.filter(F.col("held") | F.col("allowed").isNull())
     shown = undecided.select("row", F.explode(windows(F.col("text"))).alias("w")).groupBy("row", "w").count()
-    ratio = written(ratios(shown.select("w").distinct(), grams, contexts), "url-ratios")
-    scores = written(shown.join(ratio, "w").groupBy("row").agg((F.sum(F.col("llr") * F.col("count")) / F.sum("count")).alias("score")), "url-scores")
+    weights = written(shown.groupBy("w").agg(F.count("*").alias("pages")), "url-windows")
+    total = weights.agg(F.sum("pages")).first()[0] or 0
+    ratio = written(ratios(weights.select("w"), grams, contexts).join(weights, "w"), "url-ratios")
+    often = F.col("pages") * OFTEN >= total  # OFTEN windows at most
+    hot = ratio.filter(often).select("w", F.col("llr").alias("hot"))
+    met = shown.join(F.broadcast(hot), "w", "left").withColumn("k", F.when(F.col("hot").isNull(), F.col("w")).otherwise(F.concat(F.lit("\x00"), F.col("row").cast("string"))))
+    met = met.join(ratio.filter(~often).select(F.col("w").alias("k"), "llr"), "k", "left").withColumn("llr", F.coalesce("hot", "llr"))
+    scores = written(met.groupBy("row").agg((F.sum(F.col("llr") * F.col("count")) / F.sum("count")).alias("score")), "url-scores")
     cut = threshold(rows.filter(F.col("held") & F.col("allowed").isNotNull()).join(scores, "row").select("score", "allowed"))
     out = rows.join(scores, "row", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return out.select(F.col("key").alias(key), "host", "path", "fit.rule", F.coalesce("fit.verdict", F.when(F.col("score") >= cut, "allow").otherwise("block")).alias("verdict"), "score")
