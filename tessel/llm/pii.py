@@ -148,7 +148,7 @@ def _votes(kind: str, s: Column, before: Column) -> list[Column]:
         "local": vote(never, t.rlike("555[ .-]01")),
         "hidden": vote(F.lower(F.regexp_extract(t, "([A-Za-z]+)$", 1)).isin(DOMAINS), F.lit(True)),
         "iban": vote(F.substring(t, 1, 2).isin(COUNTRIES), F.lit(True)),
-        "digits": vote(t.rlike("^(?:4|5[1-5]|3[47]|6011)"), never),
+        "digits": vote(never, t.rlike("^(?:4|5[1-5]|3[47]|6011)")),
     }[kind]
     shape = vote(never, t.rlike(r"(.)\1{4}|0123456|1234567"))
     return [form, gazetteer, vote(before.rlike(TRIGGERS[kind]), never), vote(never, before.rlike(AGAINST)), shape]

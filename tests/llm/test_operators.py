@@ -210,14 +210,14 @@ def test_byte_bpe_equals_unmodified_library_on_added_tokens(spark):
 # Token counts
 
 
-def library():
+def counted_ids():
     """The ids of the unmodified library."""
     held = Tokenizer.from_file(BPE)
     return lambda t: held.encode(t, add_special_tokens=False).ids
 
 
 def test_edits_count_like_encoding_anew():
-    count, cut, whole = token_counts.counter(BPE), token_counts.splitter(BPE), library()
+    count, cut, whole = token_counts.counter(BPE), token_counts.splitter(BPE), counted_ids()
     r = random.Random(1)
     bits = ["<|endoftext|>", "<|endof", "text|>", "<|", " ", "  ", "\n", "'s", "'re", "a", "the", " word", "12", "é", "!!", "\t", "   \n ", "中", "🙂", "x" * 70, "'"]
     some = lambda n: "".join(r.choice(bits) for _ in range(n))
@@ -238,7 +238,7 @@ def test_edits_count_like_encoding_anew():
 
 
 def test_edit_query_and_log(spark):
-    whole = library()
+    whole = counted_ids()
     texts = {r.doc_id: r.text or "" for r in table(spark, "documents").collect()}
     for r in QUERIES["op4_edit_counts"](spark, D).collect():
         t = texts[r.doc_id]
@@ -252,7 +252,7 @@ def test_edit_query_and_log(spark):
 
 
 def test_kept_trees_take_logs_of_edits(spark):
-    whole = library()
+    whole = counted_ids()
     r = random.Random(8)
     bits = ["<|endoftext|>", "<|end", "oftext|>", " ", "  ", "\n", "\n\n", "'s", "a", "the", " word", "12", "é", "!!", "   \n ", "中", "🙂"]
     some = lambda n: "".join(r.choice(bits) for _ in range(n))
@@ -281,7 +281,7 @@ def test_kept_trees_take_logs_of_edits(spark):
 
 
 def test_added_tokens_count_as_the_library_has_it(spark):
-    whole = library()
+    whole = counted_ids()
     docs = [(1, "a <|endoftext|> b"), (2, "!!<|endoftext|><|endoftext|>  "), (3, "x  <|endoftext|>\n"), (4, "<|endoftext"), (5, "<|endoftext|>" * 500)]
     kept = token_counts.trees(docs_of(spark, docs), BPE)
     assert {r.doc_id: r.n_tokens for r in kept.collect()} == {k: len(whole(t)) for k, t in docs}
@@ -291,7 +291,7 @@ def test_added_tokens_count_as_the_library_has_it(spark):
 
 
 def test_kept_trees_encode_little():
-    count, cut, whole = token_counts.counter(BPE), token_counts.splitter(BPE), library()
+    count, cut, whole = token_counts.counter(BPE), token_counts.splitter(BPE), counted_ids()
     t = " ".join(f"word{i}" for i in range(5000))
     first = token_counts.Tree(t, count, cut)
     tree = token_counts.Tree.kept(t, *first.sums(), count, cut)
