@@ -1,7 +1,8 @@
-"""Resumable work: rows are cut into batches, each done by one Spark job and committed under its number, so a pass that dies goes on where it stopped.
+"""Resumable work: rows are cut into batches, committed under their numbers, so a pass that dies goes on where it stopped.
 
 A queue is a folder: `todo` holds the rows with their batch, `batch-<number>-<attempt>` what an attempt made, and the log (tessel.sources.versions) which
-attempt of a batch counts. A batch is committed once: of two passes that work at the same time the second sees a Conflict, and its result is
+attempt of a batch counts. An attempt is one Spark job and one commit over a group of batches: as many as may fail at first, twice as many after each group
+without failure, GROUP at most, so the number of jobs does not grow with that of batches. A batch is committed once: of two passes that work at the same time the second sees a Conflict, and its result is
 thrown away. Rows that the service left without an answer are no part of a committed result; a later pass takes them up as a batch of their own.
 
 Failures: the service raises Unavailable; any other exception is a fault of the code and ends the pass with nothing committed. The count of failed
@@ -16,7 +17,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +25,7 @@ from pyspark.sql import types as t
 
 from tessel.sources.versions import Conflict, Log
 
-CALL, FAILURES, SIZE = 128, 3, 100_000
+CALL, FAILURES, SIZE, GROUP = 128, 3, 100_000, 1024
 
 Embed = Callable[[list[str]], list[list[float] | None]]
 
@@ -61,14 +61,16 @@ def _with(payload: dict | None, **changes: object) -> dict:
 
 
 def _todo(spark: SparkSession, path: str, state: dict) -> DataFrame:
-    return reduce(DataFrame.unionByName, [spark.read.parquet(f"{path}/{p}") for p in state["parts"]])
+    return spark.read.schema(TODO).parquet(*[f"{path}/{p}" for p in state["parts"]])
 
 
+TODO = t.StructType([t.StructField("key", t.StringType()), t.StructField("text", t.StringType()), t.StructField("batch", t.IntegerType())])
 OUT = t.StructType([t.StructField("key", t.StringType()), t.StructField("vector", t.ArrayType(t.DoubleType()))])
+MADE = t.StructType([*OUT, t.StructField("batch", t.IntegerType())])
 
 
 def _called(rows: DataFrame, embed: Embed, call: int, failures: int) -> DataFrame:
-    """key and vector, null where the service failed."""
+    """key, vector (null where the service failed) and batch."""
 
     def passed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         failed = 0
@@ -83,46 +85,76 @@ def _called(rows: DataFrame, embed: Embed, call: int, failures: int) -> DataFram
                     except Unavailable:
                         failed += 1
                 vectors += made
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, pa.list_(pa.float64()))], names=["key", "vector"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, pa.list_(pa.float64())), b.column(2)], names=["key", "vector", "batch"])
 
-    return rows.select("key", "text").mapInArrow(passed, OUT)
+    return rows.select("key", "text", "batch").mapInArrow(passed, MADE)
 
 
 def run(spark: SparkSession, path: str, embed: Embed, call: int = CALL, failures: int = FAILURES, most: int | None = None) -> dict:
     """One pass over the batches that are open, `most` of them at most; returns what it did."""
     log = Log(spark, path)
     done = {"committed": 0, "failed": 0, "lost": 0}
-    for number in sorted((int(b) for b, made in _state(log)["batches"].items() if made is None)):
+    left = sorted((int(b) for b, made in _state(log)["batches"].items() if made is None))
+    many = 0
+    while left:
         state = _state(log)
-        if state["failed"] >= failures or most is not None and done["committed"] + done["failed"] >= most:
+        room = failures - state["failed"]
+        if most is not None:
+            room = min(room, most - done["committed"] - done["failed"])
+        if room <= 0:
             break
-        if state["batches"].get(str(number)) is not None:
+        many = min(max(many, failures - state["failed"]), GROUP, len(left), len(left) if most is None else most - done["committed"] - done["failed"])
+        group, left = [n for n in left[:many] if state["batches"].get(str(n)) is None], left[many:]
+        if not group:
             continue
-        attempt = f"batch-{number}-{uuid.uuid4().hex}"
-        todo = _todo(spark, path, state).filter(F.col("batch") == number)
+        attempt = f"batch-{group[0]}-{uuid.uuid4().hex}"
+        todo = _todo(spark, path, state).filter(F.col("batch").isin(group))
         _called(todo, embed, call, failures).write.parquet(f"{path}/{attempt}")
-        made = spark.read.schema(OUT).parquet(f"{path}/{attempt}")
-        missing = made.filter("vector IS NULL").select("key")
-        counts = made.agg(F.count("*").alias("n"), F.count_if(F.col("vector").isNull()).alias("missing")).first()
-
-        def change(p: dict | None, number: int = number, attempt: str = attempt, missing: DataFrame = missing, counts: object = counts, todo: DataFrame = todo) -> dict:
-            if p["batches"].get(str(number)) is not None:
-                raise Conflict(f"batch {number} is committed")
-            failed = p["failed"] + 1 if counts.missing else 0
-            if counts.n and counts.missing == counts.n:
-                return _with(p, failed=failed)  # nothing made: the batch stays open
-            batches, parts = {**p["batches"], str(number): attempt}, p["parts"]
-            if counts.missing:
-                again, part = max(map(int, batches)) + 1, f"todo-{uuid.uuid4().hex}"
-                todo.join(missing, "key", "left_semi").select("key", "text", F.lit(again).alias("batch")).write.parquet(f"{path}/{part}")
-                batches, parts = {**batches, str(again): None}, [*parts, part]
+        made = spark.read.schema(MADE).parquet(f"{path}/{attempt}")
+        counts = {r.batch: r for r in made.groupBy("batch").agg(F.count("*").alias("n"), F.count_if(F.col("vector").isNull()).alias("missing")).collect()}  # a row a batch of the group
+        some = [n for n in group if n in counts and 0 < counts[n].missing < counts[n].n]
+        again = None
+        if some:
+            again = f"todo-{uuid.uuid4().hex}"
+            missing = made.filter(F.col("vector").isNull() & F.col("batch").isin(some)).select("key")
+            todo.filter(F.col("batch").isin(some)).join(missing, "key", "left_semi").write.parquet(f"{path}/{again}-made")
+
+        def change(p: dict | None, group: list[int] = group, attempt: str = attempt, counts: dict = counts, some: list[int] = some, again: str | None = again) -> dict:
+            batches, parts, failed = dict(p["batches"]), p["parts"], p["failed"]
+            free = [n for n in group if batches.get(str(n)) is None]
+            if not free:
+                raise Conflict(f"batches {group} are committed")
+            renamed: dict[int, int] = {}
+            for n in free:
+                lacks = counts[n].missing if n in counts else 0
+                if failed < failures:
+                    failed = failed + 1 if lacks else 0
+                if lacks and lacks == counts[n].n:
+                    continue  # nothing made: the batch stays open
+                batches[str(n)] = attempt
+                if lacks:
+                    renamed[n] = max(map(int, batches)) + 1
+                    batches[str(renamed[n])] = None
+            if renamed:
+                part = f"{again}-{uuid.uuid4().hex}"
+                numbers = spark.createDataFrame(sorted(renamed.items()), "batch int, again int")
+                rows = spark.read.schema(TODO).parquet(f"{path}/{again}-made").join(F.broadcast(numbers), "batch")
+                rows.select("key", "text", F.col("again").alias("batch")).write.parquet(f"{path}/{part}")
+                parts = [*parts, part]
+            taken.append(free)
             return _with(p, batches=batches, parts=parts, failed=failed)
 
+        taken: list[list[int]] = []
         try:
             log.committed(change)
-            done["failed" if counts.missing else "committed"] += 1
+            mine = taken[-1]
         except Conflict:
-            done["lost"] += 1
+            mine = []
+        bad = sum(n in counts and counts[n].missing > 0 for n in mine)
+        done["failed"] += bad
+        done["committed"] += len(mine) - bad
+        done["lost"] += len(group) - len(mine)
+        many = many if bad else 2 * many
     return done
 
 
@@ -133,9 +165,14 @@ def resume(spark: SparkSession, path: str) -> None:
 
 def results(spark: SparkSession, path: str) -> DataFrame:
     """key and vector of all committed work."""
-    made = [m for m in _state(Log(spark, path))["batches"].values() if m]
-    rows = [spark.read.schema(OUT).parquet(f"{path}/{m}") for m in made]
-    return (reduce(DataFrame.unionByName, rows) if rows else spark.createDataFrame([], OUT)).filter("vector IS NOT NULL")
+    made = [(m, int(n)) for n, m in _state(Log(spark, path))["batches"].items() if m]
+    if not made:
+        return spark.createDataFrame([], OUT)
+    counted = F.broadcast(spark.createDataFrame(made, "attempt string, counted int"))
+    rows = spark.read.schema(MADE).parquet(*sorted({f"{path}/{m}" for m, _ in made})).withColumn("at", F.regexp_extract("_metadata.file_path", "/(batch-[^/]*)/[^/]*$", 1))
+    # an attempt's rows count for the batches that were committed with it; attempts of one batch have no column of its number
+    rows = rows.join(counted, (F.col("at") == F.col("attempt")) & (F.col("batch").isNull() | (F.col("batch") == F.col("counted"))), "left_semi")
+    return rows.filter("vector IS NOT NULL").select("key", "vector")
 
 
 def pending(spark: SparkSession, path: str) -> DataFrame:

@@ -30,7 +30,7 @@ def service(texts: list[str]) -> list[list[float] | None]:
 def queue_taken_up_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A queue whose first pass dies in the middle of a batch; the passes after go on from the batches that are committed, each row done once."""
     at, d = folder(spark, "queue"), table(spark, sf_dir, "documents").select("doc_id", "text")
-    worklog.add(d.filter("doc_id % 3 <> 0"), at, "doc_id", "text", size=200)
+    rows = worklog.add(d.filter("doc_id % 3 <> 0"), at, "doc_id", "text", size=200)
     worklog.run(spark, at, service, most=1)
 
     def dying(texts: list[str]) -> list[list[float] | None]:
@@ -41,8 +41,8 @@ def queue_taken_up_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     except Exception as e:  # noqa: BLE001  what a lost pass raises here
         if "killed" not in str(e):
             raise
-    worklog.add(d, at, "doc_id", "text", size=200)
-    for _ in range(3):
+    rows += worklog.add(d, at, "doc_id", "text", size=200)
+    for _ in range(max(3, -(-rows // 100_000))):  # a pass ends after 1000 batches with failures
         worklog.resume(spark, at)
         worklog.run(spark, at, service, failures=1000)
     made = worklog.results(spark, at).select(F.col("key").cast("long").alias("doc_id"), F.col("vector")[0].alias("first"))

@@ -83,6 +83,17 @@ def test_failures_are_counted_over_the_queue_and_passes(spark):
     assert worklog.results(spark, at).count() == 60
 
 
+def test_many_batches_take_few_jobs_and_commits(spark):
+    at = folder(spark)
+    worklog.add(texts(spark, 400), at, "k", "body", size=4)
+    odd = lambda batch: [None if t == "t77" else [1.0] for t in batch]
+    assert worklog.run(spark, at, odd)["failed"] == 1
+    assert worklog.history(spark, at).count() < 12
+    assert worklog.results(spark, at).count() == 399 and [r.key for r in worklog.pending(spark, at).collect()] == ["77"]
+    worklog.run(spark, at, lambda batch: [[2.0] for _ in batch])
+    assert worklog.results(spark, at).filter("vector[0] = 2.0").count() == 1 and worklog.results(spark, at).count() == 400
+
+
 def test_of_two_passes_one_commits_a_batch(spark):
     at = folder(spark)
     worklog.add(texts(spark, 5), at, "k", "body")
