@@ -22,7 +22,7 @@ def replayed(rows: DataFrame, batch: Column, session: SparkSession) -> DataFrame
     """rows as a stream of one file a batch."""
     at = folder(rows.sparkSession, "replay")
     for b in range(BATCHES):
-        rows.filter(batch == b).coalesce(1).write.mode("append").parquet(f"{at}/batch-{b}")
+        rows.filter(batch == b).repartition(1).write.mode("append").parquet(f"{at}/batch-{b}")
     return session.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(at)
 
 

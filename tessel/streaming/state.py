@@ -1,7 +1,7 @@
 """Stateful processors with map state, timers and time-to-live.
 
-Each key's state is rows of its own in the state store, not one growing value: a chunk, a nonce or a question is looked up, put and expired alone.
-Needs the RocksDB state store, which `session_for_state` sets. Event-time timers fire when the watermark has passed them, so what a batch
+A nonce or a question is a row of its own in the state store, looked up, put and expired alone. Open runs and the chunks of open sessions, which end with a
+pause, are a row per bucket of keys; it travels with the bucket's new rows, where a processor would ask for each value of each key through a socket. Needs the RocksDB state store, which `session_for_state` sets. Event-time timers fire when the watermark has passed them, so what a batch
 gives depends on event times only, not on when it runs.
 
 Defined cases: rows with a null key or time are left out; within a batch rows of a key are taken by time, then by the tie column; a row as late as
@@ -13,11 +13,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Groups of keys whose state is one row. A call costs milliseconds whatever it does, so calls grow with batches, not with keys.
+BUCKETS = 4096
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -32,105 +35,82 @@ def _ms(t: pd.Timestamp) -> int:
     return int(t.value // 1_000_000)
 
 
+def _times(rows: pd.DataFrame, ts: str) -> list[int]:
+    """Milliseconds."""
+    return (rows[ts].to_numpy("datetime64[ns]").astype(np.int64) // 1_000_000).tolist()
+
+
 def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     frames = list(rows)
     return pd.concat(frames).sort_values(by, kind="stable") if frames else pd.DataFrame()
 
 
-class UsedChunks(StatefulProcessor):
-    """session, chunk, ts, seen_before: whether a chunk was used earlier in a session whose pauses are no longer than `minutes`."""
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
-    def __init__(self, minutes: int, session: str, chunk: str, ts: str) -> None:
-        self.span, self.session, self.chunk, self.ts = minutes * 60_000, session, chunk, ts
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.used = handle.getMapState("used", "chunk string", "at long")
-        self.last = handle.getValueState("last", "at long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = _sorted(rows, [self.ts, self.chunk])
-        if frame.empty:
-            return
-        last = self.last.get()[0] if self.last.exists() else None
-        flags = []
-        for t, c in zip(frame[self.ts], frame[self.chunk], strict=True):
-            at = _ms(t)
-            if last is not None and at - last > self.span:
-                self.used.clear()
-            flags.append(self.used.containsKey((str(c),)))
-            if not flags[-1]:
-                self.used.updateValue((str(c),), (at,))
-            last = at if last is None else max(last, at)
-        self.last.update((last,))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(last + self.span + 1)
-        yield frame[[self.session, self.chunk, self.ts]].assign(seen_before=flags)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.used.clear()
-        self.last.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+def _until(state: Any, end: int) -> None:
+    """Wakes a bucket as soon as the watermark has passed `end`."""
+    state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
 
 
 def used_chunks(turns: DataFrame, session: str, chunk: str, ts: str, minutes: int = 30, delay: str = "30 minutes") -> DataFrame:
-    kinds = dict(turns.dtypes)
+    """session, chunk, ts, seen_before: whether a chunk was used earlier in a session whose pauses are no longer than `minutes`."""
+    kinds, span = dict(turns.dtypes), minutes * 60_000
     rows = turns.filter(F.col(session).isNotNull() & F.col(ts).isNotNull() & F.col(chunk).isNotNull()).select(session, chunk, ts).withWatermark(ts, delay)
     out = f"{session} {kinds[session]}, {chunk} {kinds[chunk]}, {ts} timestamp, seen_before boolean"
-    return rows.groupBy(session).transformWithStateInPandas(UsedChunks(minutes, session, chunk, ts), out, "Append", "EventTime")
-
-
-class Lapsed(StatefulProcessor):
-    """key, opened, closed, n: runs of a key's rows with pauses of no more than `minutes`, given when a run has lapsed by event time."""
 
-    def __init__(self, minutes: int, key: str, ts: str) -> None:
-        self.span, self.key, self.ts = minutes * 60_000, key, ts
+    def step(of: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        held = {k: (last, set(used)) for k, last, used in zip(*state.get, strict=True)} if state.exists else {}
+        frame = pd.DataFrame() if state.hasTimedOut else _sorted(frames, [ts, chunk])
+        flags = []
+        for k, at, c in zip(frame[session].tolist(), _times(frame, ts), map(str, frame[chunk]), strict=True) if len(frame) else ():
+            last, used = held.get(k, (at, set()))
+            if at - last > span:
+                used = set()
+            flags.append(c in used)
+            used.add(c)
+            held[k] = max(last, at), used
+        now = state.getCurrentWatermarkMs()
+        open_ = [(k, last, sorted(used)) for k, (last, used) in held.items() if last + span + 1 > now]
+        if open_:
+            state.update(tuple(list(x) for x in zip(*open_, strict=True)))
+            _until(state, min(last for _, last, _ in open_) + span)
+        else:
+            state.remove()
+        if len(frame):
+            yield frame[[session, chunk, ts]].assign(seen_before=flags)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.runs = handle.getMapState("runs", "opened long", "closed long, n long")
+    return rows.withColumn("_bucket", _bucket(session)).groupBy("_bucket").applyInPandasWithState(step, out, f"keys array<{kinds[session]}>, last array<long>, used array<array<string>>", "append", "EventTimeTimeout")
 
-    def _rows(self, key: Any, runs: list[tuple[int, int, int]]) -> pd.DataFrame:
-        at = lambda i: pd.to_datetime([r[i] for r in runs], unit="ms")
-        return pd.DataFrame({self.key: [key[0]] * len(runs), "opened": at(0), "closed": at(1), "n": [r[2] for r in runs]})
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        runs = sorted((k[0], v[0], v[1]) for k, v in self.runs.iterator())
-        for t in _sorted(rows, [self.ts]).get(self.ts, []):
-            at = _ms(t)
-            near = [r for r in runs if r[0] - self.span <= at <= r[1] + self.span]
-            whole = (min([at, *(r[0] for r in near)]), max([at, *(r[1] for r in near)]), 1 + sum(r[2] for r in near))
-            runs = sorted([r for r in runs if r not in near] + [whole])
-        for k in [k for k, _ in self.runs.iterator()]:
-            self.runs.removeKey(k)
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        for a, b, n in runs:
-            self.runs.updateValue((a,), (b, n))
-            self.handle.registerTimer(b + self.span + 1)
-        return iter(())
+def lapsed(rows: DataFrame, key: str, ts: str, minutes: int = 30, delay: str = "30 minutes") -> DataFrame:
+    """key, opened, closed, n: runs of a key's rows with pauses of no more than `minutes`, given when a run has lapsed by event time; the last ones stay open until later rows push the watermark past them."""
+    kinds, span = dict(rows.dtypes), minutes * 60_000
+    each = rows.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, ts).withWatermark(ts, delay)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        done = sorted((k[0], v[0], v[1]) for k, v in self.runs.iterator() if v[0] + self.span + 1 <= due)
-        for a, _, _ in done:
-            self.runs.removeKey((a,))
+    def step(of: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        if not state.hasTimedOut:
+            held += [(k, at, at, 1) for frame in frames for k, at in zip(frame[key].tolist(), _times(frame, ts), strict=True)]
+        runs: list[list] = []
+        for k, opened, closed, n in sorted(held):
+            if runs and k == runs[-1][0] and opened - runs[-1][2] <= span:
+                runs[-1][2:] = [max(runs[-1][2], closed), runs[-1][3] + n]
+            else:
+                runs.append([k, opened, closed, n])
+        now = state.getCurrentWatermarkMs()
+        done, open_ = [r for r in runs if r[2] + span + 1 <= now], [r for r in runs if r[2] + span + 1 > now]
+        if open_:
+            state.update(tuple(list(x) for x in zip(*open_, strict=True)))
+            _until(state, min(r[2] for r in open_) + span)
+        else:
+            state.remove()
         if done:
-            yield self._rows(key, done)
-
-    def close(self) -> None:
-        pass
-
+            at = lambda i: pd.to_datetime([r[i] for r in done], unit="ms")
+            yield pd.DataFrame({key: [r[0] for r in done], "opened": at(1), "closed": at(2), "n": [r[3] for r in done]})
 
-def lapsed(rows: DataFrame, key: str, ts: str, minutes: int = 30, delay: str = "30 minutes") -> DataFrame:
-    """Finished sessions; the last ones stay open until later rows push the watermark past them."""
-    kinds = dict(rows.dtypes)
-    each = rows.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, ts).withWatermark(ts, delay)
-    return each.groupBy(key).transformWithStateInPandas(Lapsed(minutes, key, ts), f"{key} {kinds[key]}, opened timestamp, closed timestamp, n long", "Append", "EventTime")
+    return each.withColumn("_bucket", _bucket(key)).groupBy("_bucket").applyInPandasWithState(step, f"{key} {kinds[key]}, opened timestamp, closed timestamp, n long", f"keys array<{kinds[key]}>, opened array<long>, closed array<long>, n array<long>", "append", "EventTimeTimeout")
 
 
 class Remembered(StatefulProcessor):

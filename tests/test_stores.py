@@ -216,6 +216,18 @@ def test_sessions_meet_across_batches_and_late_rows(spark, tmp_path):
     assert {x for x in got if x[0] in "ab"} == {("a", 0, 50, 3), ("b", 60, 60, 1)}
 
 
+def test_state_of_sessions_has_a_row_a_bucket(spark, tmp_path):
+    many = [(f"k{i}", "c", 0) for i in range(5000)]
+    s = turns(spark, tmp_path, [many, [("k1", "c", 10), ("k4999", "d", 20)], [("z", "c", 1000)], [("z", "c", 1001)]])
+    at = folder(spark)
+    q = state.lapsed(s, "k", "ts", 30, "10 minutes").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in (json.loads(p.json) if hasattr(p, "json") else p for p in q.recentProgress) if p["stateOperators"]]
+    got = {r.k: (r.closed.hour * 60 + r.closed.minute, r.n) for r in spark.read.parquet(f"{at}/out").collect()}
+    assert len(got) == 5000 and got["k1"] == (10, 2) and got["k4999"] == (20, 2) and got["k7"] == (0, 1)
+    assert 1 < max(sizes) <= state.BUCKETS and sizes[-1] == 1, sizes
+
+
 # Values over time
 
 
