@@ -5,7 +5,7 @@ Index: a row per word of each code (place of the word, word, key, the whole code
 Search: codes that differ in r bits over m words agree with the query in some word up to r // m bits. So after all words within radius 0, 1, .. t of a query's
 have been looked up, every row within m * (t + 1) - 1 bits has been met, and a query whose k-th distance is no greater has its answer. Each round looks up
 the words at exactly t bits; a row met through several words counts where its nearest word, the first of equals, is. Words at t
-bits are made in the join's small side: C(WIDTH, t) a word and query. Where half of all words would be looked up, the open queries
+bits are C(WIDTH, t) a word and query; they are shuffled to the rows, never broadcast. Where half of all words would be looked up, the open queries
 take one scan instead, so a query far from everything costs no more than that.
 
 Defined cases: empty and null vectors have no code and take no part; vectors of other lengths than the query's are passed over; fewer than k rows give all;
@@ -61,7 +61,8 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, width: int = WIDTH, to
         else:
             flips = F.array(*[F.lit(x) for x in masks(width, radius)]).cast("array<bigint>")
             words = open_.select("query", "asked", "asked_dims", F.posexplode("asked").alias("at", "w")).withColumn("flip", F.explode(flips)).select("query", "asked", "asked_dims", "at", F.col("w").bitwiseXOR(F.col("flip")).alias("look"))
-            rows = index.join(words, (F.col("place") == F.col("at")) & (F.col("word") == F.col("look")) & (F.col("dims") == F.col("asked_dims")))
+            # the size that Spark expects of the words is that of the queries, before they were made: it would send millions of them through the driver
+            rows = index.join(words.hint("merge"), (F.col("place") == F.col("at")) & (F.col("word") == F.col("look")) & (F.col("dims") == F.col("asked_dims")))
             apart = F.zip_with("code", "asked", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int"))
             first = F.array_position(F.col("apart"), F.array_min("apart")) - 1
             met = rows.select("query", "key", "place", apart.alias("apart")).filter((F.array_min("apart") == radius) & (F.col("place") == first))

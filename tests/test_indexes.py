@@ -107,6 +107,17 @@ def test_sign_index_equals_a_scan(spark, dim, n):
     assert signs.nearest(spark.read.parquet(at), signs.coded(df.limit(0), "k", "v").withColumnRenamed("key", "query"), 7).collect() == []
 
 
+def test_words_of_many_queries_are_not_broadcast(spark, monkeypatch):
+    centre = np.random.default_rng(9).normal(size=(6, 32))
+    df = spark.createDataFrame([(i, centre[i % 6].tolist()) for i in range(60)], "k long, v array<double>")
+    at, plans, real = folder(spark), [], signs.written
+    signs.build(df, "k", "v", at)
+    monkeypatch.setattr(signs, "written", lambda d, name: (plans.append(d._jdf.queryExecution().executedPlan().toString()) if name == "sign-met" else None, real(d, name))[1])
+    assert signs.nearest(spark.read.parquet(at), signs.coded(df, "k", "v").withColumnRenamed("key", "query"), 3).count() == 180
+    looked = [p for p in plans if "SortMergeJoin" in p or "bitwise" in p or "flip" in p]
+    assert looked and not any("BroadcastHashJoin" in p for p in looked), plans[0]
+
+
 # Links
 
 
