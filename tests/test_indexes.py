@@ -118,6 +118,12 @@ def test_words_of_many_queries_are_not_broadcast(spark, monkeypatch):
     assert looked and not any("BroadcastHashJoin" in p for p in looked), plans[0]
 
 
+def test_copies_in_cells_are_not_broadcast(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(unit_rows(4, 60, 8, 3))], "k long, v array<double>")
+    plan = links.nearest_by_pivots(df, "k", "v", 2, least=40)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, plan
+
+
 # Links
 
 
