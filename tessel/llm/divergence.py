@@ -8,7 +8,8 @@ through the runs of terms in LEAST documents or more. They are written as a tabl
 
 The second scan streams the kept runs once more, dealt by (lang, bucket of the term) behind header rows that tell a bucket every source of the language with
 its totals. Each run adds to the partial sums of its language's pairs, and gives term rows; both leave a task once per bucket: pairs
-summed, terms cut to the TERMS first of a source, as only these can be among the first of all. Pairs of more than BLOCK sources are
+summed, terms cut to the TERMS first of a source, as only these can be among the first of all. Buckets grow with the kept runs alone, a bucket for
+ROWS of them, so what leaves them is the same on however many partitions. Pairs of more than BLOCK sources are
 dealt by blocks of the first one.
 
 Arithmetic is exact: a share is divided in three steps of a thousand, so nothing passes 63 bits while a language has fewer than 9e15
@@ -38,6 +39,7 @@ SCALE = 1_000_000_000
 HELD = 500_000  # counts in a task before it gives them away
 CELLS = 1_000_000  # numbers of a block of runs by sources
 BLOCK = 512
+ROWS = 250_000  # kept runs of a bucket, on average
 LETTERS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
@@ -189,8 +191,8 @@ class Bucket:
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = written(runs(occurrences(docs, text, lang, source), least), "terms")
+    buckets = kept.count() // ROWS + 1
     groups = docs.select(*keys(lang, source)).distinct()
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     sizes = kept.groupBy("lang", "term").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("*").alias("kept"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tessel.llm import collocations, divergence, grid_join
+from tessel.llm.common import written
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, phrase int, depth string, n double, term string, seq int"
@@ -143,6 +144,23 @@ def test_audit_in_blocks_of_sources_and_without_terms(spark, monkeypatch):
     assert divergence.audit(documents(spark, rows).limit(0)).collect() == []
 
 
+def test_partial_rows_of_an_audit_do_not_grow_with_partitions(spark, monkeypatch):
+    rows = [(f"a b c{'d' * (i % 4)} e{'f' * (i % 9)}", "en", f"s{i % 3}") for i in range(60)]
+    tables = {}
+    monkeypatch.setattr(divergence, "written", lambda df, name: tables.setdefault((name, spark.conf.get("spark.sql.shuffle.partitions")), written(df, name)))
+    held, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("2", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(map(tuple, divergence.audit(documents(spark, rows)).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert got == [brute_audit(rows)] * 2
+    assert tables["parts", "2"].count() == tables["parts", "40"].count()
+    monkeypatch.setattr(divergence, "ROWS", 5)
+    assert sorted(map(tuple, divergence.audit(documents(spark, rows)).collect())) == got[0]
+
+
 def test_shares_of_large_counts_are_exact():
     r = random.Random(4)
     for _ in range(200):
