@@ -2,13 +2,45 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
+#: Rows in an Arrow batch of whole texts: batches of the usual 10,000 rows hold tens of megabytes each, and several times that as Python strings.
+ROWS = "500"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; Python functions over its texts get small batches from now on, unless the session sets their size."""
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+    return df
+
+
+def given_back() -> None:
+    """Gives memory that Python no longer needs back to the machine: workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(rows: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """rows, after which the worker gives its memory back."""
+
+    def all_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            given_back()
+
+    return all_rows
 
 
 def fnv(s: str) -> str:

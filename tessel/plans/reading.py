@@ -80,7 +80,8 @@ def shelf_of(spark: SparkSession, sf_dir: str) -> str:
     UNION ALL SELECT 'broken.xlsx', 'xlsx' UNION ALL SELECT 'scan.pdf', 'pdf'"""
 )
 def files_of_a_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.folder(spark, shelf_of(spark, sf_dir)).select("file_name", "ext")
+    """The names of a folder's files, each once, as large ones go on in folders below."""
+    return files.folder(spark, shelf_of(spark, sf_dir)).select("file_name", "ext").distinct()
 
 
 @query(f"SELECT doc_id, md5(coalesce(text, '')) AS text FROM documents WHERE doc_id % {FILES} % 4 <> 2")
@@ -95,8 +96,7 @@ def sheets_of_a_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = folder(spark, "shelf")
     shelved(documents_(spark, sf_dir), at)
     rows = workbook.sheet_lines(spark, at).filter("error IS NULL").withColumn("kind", F.lit("workbook"))
-    cells = rows.select("sheet", F.regexp_extract("line", r"^\[A[0-9]+\]([0-9]+)", 1).cast("long").alias("doc_id"))
-    return cells.join(parsed(rows), "doc_id").select("doc_id", F.md5("text").alias("text"), "sheet")
+    return parsed(rows, "sheet").select("doc_id", F.md5("text").alias("text"), "sheet")
 
 
 PII = """CASE WHEN regexp_matches(text, '[A-Za-z0-9.]@[A-Za-z0-9.]') AND regexp_matches(text, '(?s)^[^@]*@.*[.]') THEN 'email' WHEN regexp_matches(text, '([0-9][- ‐]*){10}') THEN 'number' END"""

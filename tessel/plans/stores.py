@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.functions import python as P
+from tessel.functions.python import small_batches, trimmed
 from tessel.functions.register import register
 from tessel.operators import history, worklog
 from tessel.plans.base import ORACLE, query, table
@@ -88,40 +91,56 @@ def versions_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The shelf's files
 
 FILES = 24
+#: Characters of a file after which the rest goes into one of the same name in a folder below.
+PIECE = 4_000_000
 
 
 def shelved(d: DataFrame, at: str) -> None:
-    """Documents as files of several kinds, about `FILES` of them: UTF-8, UTF-16 with its mark, workbooks of two sheets, one that is none, and a picture."""
-    kinds = ("txt", "MD", "xlsx", "csv")
+    """Documents as files of several kinds, `FILES` names of them: UTF-8, UTF-16 with its mark, workbooks of two sheets, one that is none, and a picture. Files grow in number with the documents, not in size, and rows are streamed into them."""
+    kinds, most = ("txt", "MD", "xlsx", "csv"), PIECE
 
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        n, rows = int(rows["file"].iloc[0]), rows.sort_values("doc_id")
+    def put(n: int, piece: int, lines: list[list[str]]) -> None:
         kind = kinds[n % 4]
-        lines = [[str(k), t] for k, t in zip(rows["doc_id"], rows["line"], strict=True)]
         if kind == "xlsx":
             content = workbook.made({"First": lines[::2], "Second & last": lines[1::2]})
         else:
             content = "".join(f"{a}\t{b}\n" for a, b in lines).encode("utf-16" if kind == "csv" else "utf-8")
         held, top = shelf_source.opened(at)
-        held.create_dir(f"{top}/part {n % 3}", recursive=True)
-        with held.open_output_stream(f"{top}/part {n % 3}/f{n}.{kind}") as out:
+        into = f"{top}/part {n % 3}" + (f"/{piece}" if piece else "")
+        held.create_dir(into, recursive=True)
+        with held.open_output_stream(f"{into}/f{n}.{kind}") as out:
             out.write(content)
-        return pd.DataFrame({"n": [len(rows)]})
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, piece, lines, size = None, 0, [], 0
+        rows = (r for b in batches for i in range(0, len(b), 100) for r in zip(*(c.to_pylist() for c in b.slice(i, 100).columns), strict=True))
+        for n, k, line in rows:
+            if n != now or size >= most and len(lines) % 2 == 0:  # an even number, as sheets take turns
+                if lines:
+                    put(now, piece, lines)
+                    yield pa.RecordBatch.from_pydict({"n": [len(lines)]})
+                now, piece, lines, size = n, piece + 1 if n == now else 0, [], 0
+            lines.append([str(k), line])
+            size += len(line)
+        if lines:
+            put(now, piece, lines)
+            yield pa.RecordBatch.from_pydict({"n": [len(lines)]})
 
     line = F.replace(F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
-    d.select("doc_id", line.alias("line"), F.pmod("doc_id", F.lit(FILES)).alias("file")).groupBy("file").applyInPandas(write, "n long").collect()  # a row a file
+    rows = d.select(F.pmod("doc_id", F.lit(FILES)).cast("int").alias("file"), "doc_id", line.alias("line"))
+    small_batches(rows).repartition("file").sortWithinPartitions("file", "doc_id").mapInArrow(trimmed(write), "n long").agg(F.sum("n")).collect()
     held, top = shelf_source.opened(at)
     for name in ("broken.xlsx", "scan.pdf", "~$open.xlsx", "notes.bak"):
         with held.open_output_stream(f"{top}/{name}") as out:
             out.write(b"no workbook")
 
 
-def parsed(rows: DataFrame) -> DataFrame:
-    """doc_id and text of lines that shelved() wrote."""
+def parsed(rows: DataFrame, *more: str) -> DataFrame:
+    """doc_id and text of lines that shelved() wrote, and more of their columns."""
     cells = F.regexp_replace(F.regexp_replace("line", r"^\[A[0-9]+\]", ""), r"\t\[B[0-9]+\]", "\t")
     parts = F.split(F.when(F.col("kind") == "workbook", cells).otherwise(F.col("line")), "\t")
     back = F.replace(F.replace(F.replace(F.replace(F.replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), F.lit("\\\\"), F.lit("\x01")), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")), F.lit("\\t"), F.lit("\t")), F.lit("\x01"), F.lit("\\"))
-    return rows.filter("error IS NULL").select(F.get(parts, F.lit(0)).cast("long").alias("doc_id"), back.alias("text"))
+    return rows.filter("error IS NULL").select(F.get(parts, F.lit(0)).cast("long").alias("doc_id"), back.alias("text"), *more)
 
 
 @query("SELECT doc_id, md5(coalesce(text, '')) AS text FROM documents")

@@ -40,10 +40,11 @@ def shift_jis(content: Column) -> Column:
 
 
 def decoded(content: Column) -> Column:
-    """Text of bytes: by their mark, else UTF-8, unless that leaves many replacement characters and Shift-JIS fewer."""
+    """Text of bytes: by their mark, else UTF-8, unless that leaves many replacement characters and Shift-JIS fewer. Only bytes that this may help go through Python."""
     head = F.hex(F.substring(content, 1, 3))
     lossy = F.make_valid_utf8(content.cast("string"))
-    japanese = shift_jis(content)
+    marked = (head == "EFBBBF") | head.startswith("FFFE") | head.startswith("FEFF")
+    japanese = shift_jis(F.when(~marked & (X.replacement_ratio(lossy) > REPLACED), content))
     return (
         F.when(head == "EFBBBF", F.make_valid_utf8(F.substring(content, 4, 2_000_000_000).cast("string")))
         .when(head.startswith("FFFE") | head.startswith("FEFF"), F.decode(content, "UTF-16"))

@@ -17,12 +17,14 @@ Options: path; ext and kind (values parted by commas); encoding (default: by mar
 
 from __future__ import annotations
 
+import io
 import json
 import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -36,6 +38,7 @@ from tessel.sources import workbook
 PLAIN, BOOKS, OTHERS = ("txt", "md", "csv", "tsv", "html"), ("xlsx", "xlsm"), ("pdf", "doc", "docx", "xls", "png", "jpg", "jpeg")
 KINDS = {**dict.fromkeys(PLAIN, "text"), **dict.fromkeys(BOOKS, "workbook"), **dict.fromkeys(OTHERS, "other")}
 REPLACED = 0.02
+SMALL = 1 << 16
 BATCH = 2000
 SCHEMA = "path string, name string, ext string, kind string, unit string, row int, line string, error string, modified_at timestamp"
 ARROW = pa.schema([*((n, pa.string()) for n in ("path", "name", "ext", "kind", "unit")), ("row", pa.int32()), ("line", pa.string()), ("error", pa.string()), ("modified_at", pa.timestamp("us", tz="UTC"))])
@@ -83,6 +86,12 @@ def content(f: File) -> bytes:
         return s.read()
 
 
+def book(f: File) -> BinaryIO:
+    """A workbook as a file to seek in: read whole where it is small (no place before a short file's beginning is asked for), else left where it is."""
+    held = opened(f.root)[0]
+    return held.open_input_file(f.path) if (held.get_file_info(f.path).size or 0) > SMALL else io.BytesIO(content(f))
+
+
 def decoded(b: bytes, encoding: str | None = None) -> str:
     """Text of bytes: by the given charset or their mark, else UTF-8, unless that leaves many replacement characters and Shift-JIS fewer."""
     if encoding:
@@ -107,8 +116,9 @@ def units(files: list[File]) -> list[File]:
             out.append(f)
             continue
         try:
-            out += [File(f.root, f.path, f.at, s) for s in workbook.sheets(content(f))]
-        except (OSError, zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+            with book(f) as b:
+                out += [File(f.root, f.path, f.at, s) for s in workbook.sheets(b)]
+        except (OSError, zipfile.BadZipFile, KeyError, ValueError, ElementTree.ParseError) as e:
             out.append(File(f.root, f.path, f.at, None, said(e)))
     return out
 
@@ -130,8 +140,9 @@ def rows_of(f: File, encoding: str | None = None) -> Iterator[pa.RecordBatch]:
         if f.error is not None or f.kind == "other":
             yield None, None, f.error or f"unsupported: {f.ext} needs another program"
         elif f.kind == "workbook":
-            for _, n, line in workbook.lines(content(f), f.unit):
-                yield n, line, None
+            with book(f) as b:
+                for _, n, line in workbook.lines(b, f.unit):
+                    yield n, line, None
         else:
             text = decoded(content(f), encoding)
             for n, line in enumerate(re.split("\r\n|\r|\n", text)[: -1 if not text or text.endswith(("\r", "\n")) else None], 1):

@@ -4,12 +4,14 @@ import json
 import random
 import zipfile
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessel.functions.register import register
 from tessel.operators import history, worklog
+from tessel.plans import stores
 from tessel.scratch import folder
 from tessel.sources import shelf_source, workbook
 from tessel.streaming import state, stream
@@ -263,3 +265,18 @@ def test_vector_sums_refuse_what_they_cannot_sum(spark):
     with pytest.raises(Exception, match="vector_sums"):
         spark.sql("SELECT * FROM vector_sums(TABLE(_vs) PARTITION BY (k), 'k', 'nothing')").collect()
     assert spark.sql("SELECT vector_sum(v) AS s FROM _vs WHERE k IS NULL OR k = 2").first().s == [1.0, 1.0]
+
+
+def test_files_of_a_shelf_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores, "PIECE", 300)
+    monkeypatch.setattr(shelf_source, "SMALL", 200)
+    rows = [(i, None if i % 50 == 0 else f"text {i}\t\n" + "x" * (i % 40)) for i in range(1200)]
+    d, at = spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "shelf")
+    stores.shelved(d, at)
+    plain = [p for p in Path(at).rglob("*") if p.suffix in (".txt", ".MD", ".csv") and p.is_file()]
+    assert len({p.name for p in plain}) == 18 and max(p.stat().st_size for p in plain) < 900
+    shelf_source.register(spark)
+    read = stores.parsed(spark.read.format("shelf").option("path", at).load())
+    assert sorted(map(tuple, read.collect())) == [(i, t or "") for i, t in rows]
+    sheets = stores.parsed(workbook.sheet_lines(spark, at).withColumn("kind", F.lit("workbook")), "sheet")
+    assert {(r.doc_id, r.sheet) for r in sheets.collect()} == {(i, ("First", "Second & last")[i // 24 % 2]) for i, _ in rows if i % 24 % 4 == 2}
