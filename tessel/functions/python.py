@@ -55,8 +55,10 @@ def fnv1a64(s: Column, upper: bool = False) -> Column:
     """fnv of a text column; an Arrow function, as unsigned products of 64 bits have no column form."""
 
     @F.pandas_udf("string")
-    def hashed(v: pd.Series) -> pd.Series:
-        return v.map(fnv, na_action="ignore")
+    def hashed(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for v in series:
+            yield v.map(fnv, na_action="ignore")
+        given_back()
 
     return F.upper(hashed(s)) if upper else hashed(s)
 

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions import text as T
-from tessel.functions.python import fnv1a64
+from tessel.functions.python import fnv1a64, small_batches, trimmed
 
 RUN = 6
+HELD = 1_000_000  # characters of chunks in a task before it gives them away
 
 
 def html_text(html: Column | str) -> Column:
@@ -70,18 +71,27 @@ def _chunked(docs: DataFrame, key: str, text: str, cut, paged: bool = False) ->
     kind = docs.schema[key].dataType.simpleString()
     fields = [("seq", pa.int32()), *([("page", pa.int32())] if paged else []), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]
 
+    def given(keys: pa.Array, at: list[int], out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True)
+        schema = pa.schema([pa.field("k", keys.type), *fields])
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int32())), *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True))], schema=schema)
+
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, out = [], []
-            for row, t in enumerate(b.column(1).to_pylist()):
-                for i, c in enumerate(cut(t or "")):
+            at, out, held = [], [], 0
+            for row, t in enumerate(b.column(1)):
+                for i, c in enumerate(cut(t.as_py() or "")):
                     at.append(row)
                     out.append((i, *c))
-            columns = [list(x) for x in zip(*out, strict=True)] or [[] for _ in fields]
-            schema = pa.schema([b.schema.field(0), *fields])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True))], schema=schema)
-
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(rows, f"k {kind}, seq int, {'page int, ' if paged else ''}start long, end long, text string").withColumnRenamed("k", key)
+                    held += len(c[-1])
+                    if held > HELD:
+                        yield given(b.column(0), at, out)
+                        at, out, held = [], [], 0
+            if out:
+                yield given(b.column(0), at, out)
+
+    each = small_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return each.mapInArrow(trimmed(rows), f"k {kind}, seq int, {'page int, ' if paged else ''}start long, end long, text string").withColumnRenamed("k", key)
 
 
 def fixed_chunks(docs: DataFrame, key: str, text: str, target: int, overlap: int) -> DataFrame:

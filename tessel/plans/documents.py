@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions import decide as D
 from tessel.functions import text as T
+from tessel.functions.python import small_batches
 from tessel.functions.register import register
 from tessel.operators import ingest, rank, retrieve
 from tessel.plans.base import query, table
@@ -126,7 +127,7 @@ def doc_dedup_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def doc_fnv_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_(spark, sf_dir).select("doc_id", ingest.fnv1a64(T.norm_hash("text")).alias("fnv"))
+    return small_batches(docs_(spark, sf_dir)).select("doc_id", ingest.fnv1a64(T.norm_hash("text")).alias("fnv"))
 
 
 @query(

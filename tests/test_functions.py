@@ -308,3 +308,20 @@ def test_labels_settings_and_scores_of_known_keys(spark):
     for t in ("", "licenselicenseapache", "a", "xxthe"):
         keys = ["license", "apache", "the", "a"]
         assert math.isclose(one(spark, T.key_score_of(keys, F.col("t")), t=t), one(spark, T.key_score(F.array(*[F.lit(k) for k in keys]), F.col("t")), t=t))
+
+
+def test_chunks_leave_a_task_in_small_batches(spark, monkeypatch):
+    def checked(rows):
+        def all_rows(batches):
+            for b in rows(batches):
+                assert len(b) < 10
+                yield b
+
+        return all_rows
+
+    monkeypatch.setattr(ingest, "HELD", 1000)
+    monkeypatch.setattr(ingest, "trimmed", checked)
+    df = spark.createDataFrame([(i, "word. " * 400) for i in range(8)], "id int, t string").coalesce(1)
+    for f, more in ((ingest.fixed_chunks, ()), (ingest.structured_chunks, (300,))):
+        got = f(df, "id", "t", 200, 50, *more).groupBy("id").agg(F.count("*").alias("n"), F.max("end").alias("end"), F.max("seq").alias("last")).collect()
+        assert len(got) == 8 and all(r.n == r.last + 1 and r.end >= 2398 for r in got)
