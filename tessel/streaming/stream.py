@@ -45,27 +45,38 @@ def latest(records: DataFrame, key: str, ts: str, columns: list[str]) -> DataFra
     return records.groupBy(key).agg(F.max(F.struct(ts, *columns)).alias("b")).select(key, f"b.{ts}", *[f"b.{c}" for c in columns])
 
 
+#: Groups of keys whose state is one row. A call costs milliseconds whatever it does, so calls grow with batches, not with keys.
+BUCKETS = 1024
+
+
 def suppressed(events: DataFrame, keys: list[str], ts: str, order: str, hours: int) -> DataFrame:
-    """Events, in append mode, without one of the same keys strictly within the hours before; state holds the last time per key, and ends a day after."""
+    """Events, in append mode, without one of the same keys strictly within the hours before; state holds the last time per key in a row per bucket of keys, and ends a day after."""
     types = {f.name: f.dataType.simpleString() for f in events.schema}
     out = ", ".join(f"{k} {types[k]}" for k in [*keys, order]) + f", {ts} timestamp"
     limit = pd.Timedelta(hours=hours)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values([ts, order])
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        rows = pd.DataFrame() if state.hasTimedOut else pd.concat(list(frames)).sort_values([ts, order])
         keep = []
-        for t in rows[ts]:
-            keep.append(last is None or not last > t - limit)
-            last = t if last is None or t > last else last
-        state.update((int(last.value // 1000),))
-        state.setTimeoutTimestamp(max(int(last.value // 1_000_000) + hours * 3_600_000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield rows[keep][[*keys, order, ts]]
-
-    return events.withWatermark(ts, f"{hours} hours").groupBy(*keys).applyInPandasWithState(step, out, "last long", "append", "EventTimeTimeout")
+        for k, t, us in zip(rows["_key"], rows[ts], (rows[ts].to_numpy("datetime64[us]").astype("int64")).tolist(), strict=True) if len(rows) else ():
+            last = held.get(k)
+            keep.append(last is None or not pd.Timestamp(last, unit="us") > t - limit)
+            held[k] = us if last is None or us > last else last
+        now = state.getCurrentWatermarkMs()
+        end = lambda us: us // 1000 + hours * 3_600_000 + 1
+        held = {k: us for k, us in held.items() if end(us) > now}
+        if held:
+            state.update((list(held), list(held.values())))
+            state.setTimeoutTimestamp(max(end(min(held.values())), now + 1))
+        else:
+            state.remove()
+        if len(rows):
+            yield rows[keep][[*keys, order, ts]]
+
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    each = events.withWatermark(ts, f"{hours} hours").select(*dict.fromkeys([*keys, order, ts]), key.alias("_key"))
+    return each.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(BUCKETS)).cast("int")).groupBy("_bucket").applyInPandasWithState(step, out, "keys array<string>, last array<long>", "append", "EventTimeTimeout")
 
 
 def used_chunks(turns: DataFrame, session: str, ts: str, chunk: str, minutes: int = 30) -> DataFrame:

@@ -325,3 +325,15 @@ def test_chunks_leave_a_task_in_small_batches(spark, monkeypatch):
     for f, more in ((ingest.fixed_chunks, ()), (ingest.structured_chunks, (300,))):
         got = f(df, "id", "t", 200, 50, *more).groupBy("id").agg(F.count("*").alias("n"), F.max("end").alias("end"), F.max("seq").alias("last")).collect()
         assert len(got) == 8 and all(r.n == r.last + 1 and r.end >= 2398 for r in got)
+
+
+def test_suppressed_events_keep_a_state_row_a_bucket(spark, tmp_path):
+    rows = [(i, i % 3000, dt.datetime(2024, 1, 1, 3 * (i // 3000))) for i in range(6000)]
+    spark.createDataFrame(rows, "id long, user long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("id long, user long, ts timestamp").parquet(str(tmp_path / "in"))
+    at = str(tmp_path / "out")
+    q = stream.suppressed(s, ["user"], "ts", "id", 2).writeStream.format("parquet").option("path", at).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.read.parquet(at).count() == 6000
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert 0 < max(sizes) <= stream.BUCKETS
