@@ -42,7 +42,7 @@ def counted(tokens: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
         return T.bound(starts, lambda s: F.transform(s, lambda x, j: F.struct(F.get(a, x).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(a)) - x).alias("tf"))))
 
-    return F.when(F.size(tokens) > 0, T.bound(F.array_sort(tokens), runs)).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+    return F.when(F.size(tokens) > 0, T.bound(F.sort_array(tokens), runs)).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
 
 
 def _segment(docs: DataFrame, key: str, tokens: Column, path: str, block: int) -> None:
