@@ -17,6 +17,8 @@ TURN, CARRY, CARRY_ALL = ";;;", 4000, 20016
 HEAD, TAIL = "【直前の", "での文脈】"
 NAMES = {"rag": "社内ナレッジ検索", "normal": "一般アシスタント"}
 CELLS = "│ "
+#: Matches whose starts are folded into one array before it is put beside the others.
+SPANS = 256
 
 
 def by_parts(parts: list[str], search: Callable[[str, int], DataFrame], k: int) -> DataFrame:
@@ -128,24 +130,43 @@ def rerank_prompt(hits: DataFrame, question: str, most: int) -> DataFrame:
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """Start (from 1) and length of every match in a text: what a viewer highlights."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    upto = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, m: a + F.length(m))
-    return F.transform(found, lambda m, i: F.struct((upto(i) + 1).alias("start"), F.length(m).alias("length")))
+    """Start (from 1) and length of every match in a text: what a viewer highlights. The text is searched once for matches and once for what lies between; starts are folded from match to match, in blocks of SPANS, so work grows with the text."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    spot = "array<struct<start:int,length:int>>"
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + x["gap"]
+        return F.struct((start + x["length"]).alias("at"), F.concat(a["out"], F.array(F.struct((start + 1).alias("start"), x["length"].alias("length")))).alias("out"))
+
+    def of(pairs: Column) -> Column:
+        block = lambda a, i: F.aggregate(F.slice(pairs, i * SPANS + 1, SPANS), F.struct(a["at"].alias("at"), F.array().cast(spot).alias("out")), step)
+        blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(pairs) - 1, F.lit(0)) / SPANS).cast("int"))
+        put = lambda a, i: T.bound(block(a, i), lambda x: F.struct(x["at"].alias("at"), F.concat(a["out"], F.array(x["out"])).alias("out")))
+        return F.when(pairs.isNotNull(), F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spot}>").alias("out")), put, lambda a: a["out"])))
+
+    return T.bound(F.slice(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("length"))), 1, F.size(found)), of)
 
 
 def viewed(text: Column) -> Column:
-    """What a viewer marks in a shown passage: struct head (its first line), crumb (the line after it, if that is a breadcrumb), refs (bracketed tags at the start of lines or cells) and close (the last line), each struct start (from 1; 0 for none) and length."""
-    n = F.length(text)
+    """What a viewer marks in a shown passage: struct head (its first line), crumb (the line after it, if that is a breadcrumb), refs (bracketed tags at the start of lines or cells) and close (the last line), each struct start (from 1; 0 for none) and length.
+
+    Lines are cut at their ends, never searched for from every character, and the pattern of a tag begins with its bracket and looks back from there.
+    """
     mark = lambda start, length: F.struct(start.cast("int").alias("start"), length.cast("int").alias("length"))
     none = mark(F.lit(0), F.lit(0))
-    line = F.length(F.regexp_extract(text, "^[^\r\n]*", 0))
-    after = F.substr(text, line + 2)
-    crumb = F.when((line + 1 < n) & after.startswith("【"), mark(line + 2, F.length(F.regexp_extract(after, "^[^\r\n]*", 0)))).otherwise(none)
-    last = F.length(F.regexp_extract(text, "[^\r\n]*\\z", 0))
-    close = F.when((last > 0) & (last < n), mark(n - last + 1, last)).otherwise(none)
-    refs = F.transform(spans(text, f"(?:(?<![\\s\\S])|(?<=[\r\n])|(?<={CELLS}))\\[[^\\]\r\n]*\\]"), lambda s: mark(s["start"], s["length"]))
-    return F.struct(F.when(n > 0, mark(F.lit(1), line)).otherwise(none).alias("head"), crumb.alias("crumb"), refs.alias("refs"), close.alias("close"))
+    first = lambda s: F.length(F.substring_index(s, "\n", 1))
+
+    def of(held: Column) -> Column:
+        text, flat, n, line = held["text"], held["flat"], F.length(held["text"]), held["line"]
+        after, last = F.substr(flat, line + 2), F.length(F.substring_index(flat, "\n", -1))
+        crumb = F.when((line + 1 < n) & after.startswith("【"), mark(line + 2, first(after))).otherwise(none)
+        close = F.when((last > 0) & (last < n), mark(n - last + 1, last)).otherwise(none)
+        refs = F.transform(spans(text, f"\\[(?<=(?:\\A|[\r\n]|{CELLS})\\[)[^\\]\r\n]*+\\]"), lambda s: mark(s["start"], s["length"]))
+        return F.struct(F.when(n > 0, mark(F.lit(1), line)).otherwise(none).alias("head"), crumb.alias("crumb"), refs.alias("refs"), close.alias("close"))
+
+    flat = F.replace(text, F.lit("\r"), F.lit("\n"))
+    return T.bound(T.bound(F.struct(text.alias("text"), flat.alias("flat")), lambda h: F.struct(h["text"].alias("text"), h["flat"].alias("flat"), first(h["flat"]).alias("line"))), of)
 
 
 def plan(mode: Column) -> Column:

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -272,6 +274,19 @@ def test_viewed_marks(spark):
     assert marks("[A]\n【c") == ((1, 3), (5, 2), [(1, 3)], (5, 2)) and marks("h\n") == ((1, 1), (0, 0), [], (0, 0))
 
 
+def test_viewed_takes_time_with_the_text_only(spark):
+    from tessel.operators import answer
+
+    text = "head\n" + "x" * 60_000 + "\n" + "[A1]y│ [B1 𝒳]é x[no]\n" * 1500 + "[open\n" + "[" * 20_000 + "\rend"
+    want = [(m.start() + 1, len(m.group())) for m in re.finditer("(?:\\A|(?<=[\r\n])|(?<=│ ))\\[[^\\]\r\n]*\\]", text)]
+    t = time.monotonic()
+    v = one(spark, answer.viewed(F.col("t")), t=text)
+    assert [tuple(r) for r in v.refs] == want and len(want) == 3000
+    assert (tuple(v.head), tuple(v.crumb), tuple(v.close)) == ((1, 4), (0, 0), (len(text) - 2, 3))
+    assert time.monotonic() - t < 30
+    assert one(spark, answer.spans(F.col("t"), "[0-9]+"), t="12é3") == [(1, 2), (4, 1)] and one(spark, answer.spans(F.lit(None).cast("string"), "x")) is None
+
+
 def test_a_shared_file_is_replaced_in_one_step(spark, tmp_path):
     from tessel.sources import shared
 
