@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessel.functions import decide as D
 from tessel.functions import text as T
@@ -82,23 +86,32 @@ def hit_sources(hits: DataFrame, most: int = 4) -> DataFrame:
 def chapter_groups(chunks: DataFrame, least: int = 3, most: int = 60) -> DataFrame:
     """source, group, keys, chunks: chapters in first-seen order, neighbours merged until a group has `least` chunks; coarser where more than `most` groups are left.
 
-    The merge goes from chapter to chapter, so it is a fold over each source's list of chapters, not over chunks.
+    The merge goes from chapter to chapter, so it is a scan of a source's chapters, not of chunks: a few numbers are carried from row to row, for both ways of merging, and no list is built before the groups are known.
     """
-    chap = T.chapter_key("section_path")
+    chap, own = T.chapter_key("section_path"), Window.partitionBy("source")
     counted = chunks.groupBy("source", F.lower(chap).alias("_k")).agg(F.min(F.struct("ord", chap.alias("c"))).alias("_f"), F.count("*").alias("n"))
-    lists = counted.groupBy("source").agg(F.array_sort(F.collect_list(F.struct(F.col("_f.ord").alias("ord"), F.col("_f.c").alias("key"), "n"))).alias("l"), F.sum("n").alias("_total"))
-    group = "array<struct<keys:array<string>,n:long>>"
-
-    def merged(l: Column, at_least: Column) -> Column:
-        def step(a: Column, x: Column) -> Column:
-            last = F.try_element_at(a, F.size(a))
-            new = F.concat(a, F.array(F.struct(F.array(x["key"]).alias("keys"), x["n"].alias("n"))))
-            grown = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.concat(last["keys"], F.array(x["key"])).alias("keys"), (last["n"] + x["n"]).alias("n"))))
-            return F.when(F.size(a) == 0, new).when(last["n"] < at_least, grown).otherwise(new)
-
-        return F.aggregate(l, F.array().cast(group), step)
-
-    fine = lists.withColumn("g", merged(F.col("l"), F.lit(least)))
-    coarse = F.greatest(F.ceil(F.col("_total") / most), F.lit(least + 1))
-    both = fine.withColumn("g", F.when(F.size("g") <= most, F.col("g")).otherwise(merged(F.col("l"), coarse)))
-    return both.select("source", F.posexplode("g").alias("group", "_g")).select("source", "group", F.array_join("_g.keys", "｜").alias("keys"), F.col("_g.n").alias("chunks"))
+    rows = counted.select("source", F.col("_f.ord").alias("ord"), F.col("_f.c").alias("key"), "n").repartition("source").withColumn("_total", F.sum("n").over(own))
+    rows = rows.withColumn("_coarse", F.greatest(F.ceil(F.col("_total") / most), F.lit(least + 1))).drop("_total").sortWithinPartitions("source", "ord", "key", "n")
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, began = None, False
+        for b in batches:
+            fine, coarse = [], []
+            for source, n, enough in zip(b["source"].to_pylist(), b["n"].to_pylist(), b["_coarse"].to_pylist(), strict=True):
+                if not began or source != at:
+                    at, began, f, c, held_f, held_c = source, True, -1, -1, least, enough
+                if held_f >= least:
+                    f, held_f = f + 1, 0
+                if held_c >= enough:
+                    c, held_c = c + 1, 0
+                held_f, held_c = held_f + n, held_c + n
+                fine.append(f)
+                coarse.append(c)
+            yield pa.RecordBatch.from_arrays([*(b[x] for x in ("source", "ord", "key", "n")), pa.array(fine, pa.int32()), pa.array(coarse, pa.int32())], ["source", "ord", "key", "n", "_fine", "_group"])
+
+    kept = rows.select("source", "ord", "key", "n")
+    out = StructType([*kept.schema.fields, StructField("_fine", IntegerType()), StructField("_group", IntegerType())])
+    both = rows.mapInArrow(merged, out).withColumn("_last", F.max("_fine").over(own))
+    group = F.when(F.col("_last") < most, F.col("_fine")).otherwise(F.col("_group"))
+    lists = both.groupBy("source", group.alias("group")).agg(F.array_sort(F.collect_list(F.struct("ord", "key", F.col("n").alias("m")))).alias("_l"), F.sum("n").alias("chunks"))
+    return lists.select("source", "group", F.array_join(F.transform("_l", lambda x: x["key"]), "｜").alias("keys"), "chunks")

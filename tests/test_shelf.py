@@ -140,6 +140,29 @@ def test_chapter_groups(spark):
     assert expand.chapter_groups(spark.createDataFrame(many, "source string, section_path string, ord int")).count() <= 60
 
 
+def test_chapter_groups_of_many_chapters(spark):
+    import time
+
+    def folded(ns, enough):
+        out = []
+        for c, n in ns:
+            if out and out[-1][1] < enough:
+                out[-1] = (f"{out[-1][0]}｜{c}", out[-1][1] + n)
+            else:
+                out.append((c, n))
+        return out
+
+    few, many = [(f"Ch {i}", i % 3 + 1) for i in range(50)], [(f"Ch {i}", i % 4 + 1) for i in range(20_000)]
+    df = spark.range(20_000).selectExpr("'s' AS source", "id", "id % 4 + 1 AS n").unionByName(spark.range(50).selectExpr("CAST(null AS STRING) AS source", "id", "id % 3 + 1 AS n"))
+    df = df.selectExpr("source", "concat('Ch ', id, '>x') AS section_path", "explode(sequence(id * 10, id * 10 + n - 1)) AS ord")
+    t = time.monotonic()
+    got = [(r.source, r.keys, r.chunks) for r in expand.chapter_groups(df).orderBy("source", "group").collect()]
+    assert time.monotonic() - t < 40
+    want = folded(few, 3)
+    assert len(want) <= 60 and len(folded(many, 3)) > 60
+    assert got == [(None, *x) for x in want] + [("s", *x) for x in folded(many, -(-sum(n for _, n in many) // 60))]
+
+
 def test_manifest_states(spark):
     m = spark.createDataFrame([("/f/a.txt", "failed", 3, 2), ("/f/b.txt", "failed", 1, 1), ("/f/c.txt", "done", 5, 0)], "file_path string, status string, chunk_count int, streak int")
     ch = spark.createDataFrame([("/f/a.txt", "failed", -1), ("/f/b.txt", "done", 4), ("/f/d.txt", "failed", 0)], "file_path string, status string, chunk_count int")
