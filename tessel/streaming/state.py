@@ -1,7 +1,7 @@
-"""Stateful processors with map state, timers and time-to-live.
+"""State by buckets of keys, with timeouts by event time.
 
-A nonce or a question is a row of its own in the state store, looked up, put and expired alone. Open runs and the chunks of open sessions, which end with a
-pause, are a row per bucket of keys; it travels with the bucket's new rows, where a processor would ask for each value of each key through a socket. Needs the RocksDB state store, which `session_for_state` sets. Event-time timers fire when the watermark has passed them, so what a batch
+What is remembered of nonces, open runs and the chunks of open sessions is a row per bucket of keys; it travels with the bucket's new rows, where a processor would ask for each
+value of each key through a socket. Needs the RocksDB state store, which `session_for_state` sets. A bucket wakes when the watermark has passed its first end, so what a batch
 gives depends on event times only, not on when it runs.
 
 Defined cases: rows with a null key or time are left out; within a batch rows of a key are taken by time, then by the tie column; a row as late as
@@ -17,10 +17,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Groups of keys whose state is one row. A call costs milliseconds whatever it does, so calls grow with batches, not with keys.
 BUCKETS = 4096
+#: The same for nonces of a key, which have nothing to do with each other: small rows.
+NONCES = 65_536
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,10 +32,6 @@ def session_for_state(spark: SparkSession) -> SparkSession:
     return s
 
 
-def _ms(t: pd.Timestamp) -> int:
-    return int(t.value // 1_000_000)
-
-
 def _times(rows: pd.DataFrame, ts: str) -> list[int]:
     """Milliseconds."""
     return (rows[ts].to_numpy("datetime64[ns]").astype(np.int64) // 1_000_000).tolist()
@@ -45,8 +42,8 @@ def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(frames).sort_values(by, kind="stable") if frames else pd.DataFrame()
 
 
-def _bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def _bucket(n: int, *keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
 
 
 def _until(state: Any, end: int) -> None:
@@ -81,7 +78,7 @@ def used_chunks(turns: DataFrame, session: str, chunk: str, ts: str, minutes: in
         if len(frame):
             yield frame[[session, chunk, ts]].assign(seen_before=flags)
 
-    return rows.withColumn("_bucket", _bucket(session)).groupBy("_bucket").applyInPandasWithState(step, out, f"keys array<{kinds[session]}>, last array<long>, used array<array<string>>", "append", "EventTimeTimeout")
+    return rows.withColumn("_bucket", _bucket(BUCKETS, session)).groupBy("_bucket").applyInPandasWithState(step, out, f"keys array<{kinds[session]}>, last array<long>, used array<array<string>>", "append", "EventTimeTimeout")
 
 
 def lapsed(rows: DataFrame, key: str, ts: str, minutes: int = 30, delay: str = "30 minutes") -> DataFrame:
@@ -110,48 +107,42 @@ def lapsed(rows: DataFrame, key: str, ts: str, minutes: int = 30, delay: str = "
             at = lambda i: pd.to_datetime([r[i] for r in done], unit="ms")
             yield pd.DataFrame({key: [r[0] for r in done], "opened": at(1), "closed": at(2), "n": [r[3] for r in done]})
 
-    return each.withColumn("_bucket", _bucket(key)).groupBy("_bucket").applyInPandasWithState(step, f"{key} {kinds[key]}, opened timestamp, closed timestamp, n long", f"keys array<{kinds[key]}>, opened array<long>, closed array<long>, n array<long>", "append", "EventTimeTimeout")
+    return each.withColumn("_bucket", _bucket(BUCKETS, key)).groupBy("_bucket").applyInPandasWithState(step, f"{key} {kinds[key]}, opened timestamp, closed timestamp, n long", f"keys array<{kinds[key]}>, opened array<long>, closed array<long>, n array<long>", "append", "EventTimeTimeout")
 
 
-class Remembered(StatefulProcessor):
-    """Messages of a key whose nonce it has not seen within `minutes` before, by event time; nonces expire one by one."""
-
-    def __init__(self, minutes: int, key: str, nonce: str, ts: str) -> None:
-        self.span, self.key, self.nonce, self.ts = minutes * 60_000, key, nonce, ts
+def remembered(messages: DataFrame, key: str, nonce: str, ts: str, minutes: int, delay: str = "30 minutes") -> DataFrame:
+    """messages (key, nonce, ts) with repeats of a key's nonce, in any case and with any spaces around, within the span left out; empty nonces are. State holds when a nonce was last let through, and ends with the span."""
+    kinds, span = dict(messages.dtypes), minutes * 60_000
+    rows = messages.filter(F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col(nonce).isNotNull()).select(key, nonce, ts).withWatermark(ts, delay)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getMapState("seen", "nonce string", "at long")
+    @F.pandas_udf("string")
+    def plain(n: pd.Series) -> pd.Series:
+        return n.map(lambda x: str(x).strip().lower())
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = _sorted(rows, [self.ts, self.nonce])
+    def step(of: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        held = {(k, n): at for k, n, at in zip(*state.get, strict=True)} if state.exists else {}
+        parts = [] if state.hasTimedOut else list(frames)
+        frame = (parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)) if parts else pd.DataFrame()
         keep = []
-        for t, n in zip(frame.get(self.ts, []), frame.get(self.nonce, []), strict=True):
-            at, nonce = _ms(t), (str(n).strip().lower(),)
-            before = self.seen.getValue(nonce)[0] if self.seen.containsKey(nonce) else None
-            new = bool(nonce[0]) and (before is None or at - before > self.span)
-            keep.append(new)
-            if new:
-                self.seen.updateValue(nonce, (at,))
-                self.handle.registerTimer(at + self.span + 1)
         if len(frame):
-            yield frame[keep]
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        for k in [k for k, v in self.seen.iterator() if v[0] + self.span + 1 <= due]:
-            self.seen.removeKey(k)
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
+            ns = frame[ts].to_numpy("datetime64[ns]").astype(np.int64).tolist()
+            for at, _, k, n, i in sorted(zip(ns, frame[nonce].tolist(), frame[key].tolist(), frame["_nonce"].tolist(), range(len(ns)), strict=True)):
+                before = held.get((k, n))
+                if n != "" and (before is None or at // 1_000_000 - before > span):
+                    keep.append(i)
+                    held[k, n] = at // 1_000_000
+        now = state.getCurrentWatermarkMs()
+        open_ = [(k, n, at) for (k, n), at in held.items() if at + span + 1 > now]
+        if open_:
+            state.update(tuple(list(x) for x in zip(*open_, strict=True)))
+            _until(state, min(at for _, _, at in open_) + span)
+        else:
+            state.remove()
+        if keep:
+            yield frame[[key, nonce, ts]].take(keep)
 
-def remembered(messages: DataFrame, key: str, nonce: str, ts: str, minutes: int, delay: str = "30 minutes") -> DataFrame:
-    """messages (key, nonce, ts) with repeats within the span left out."""
-    kinds = dict(messages.dtypes)
-    rows = messages.filter(F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col(nonce).isNotNull()).select(key, nonce, ts).withWatermark(ts, delay)
-    return rows.groupBy(key).transformWithStateInPandas(Remembered(minutes, key, nonce, ts), f"{key} {kinds[key]}, {nonce} {kinds[nonce]}, {ts} timestamp", "Append", "EventTime")
+    each = rows.withColumn("_nonce", plain(nonce)).withColumn("_bucket", _bucket(NONCES, key, "_nonce"))
+    return each.groupBy("_bucket").applyInPandasWithState(step, f"{key} {kinds[key]}, {nonce} {kinds[nonce]}, {ts} timestamp", f"keys array<{kinds[key]}>, nonces array<string>, at array<long>", "append", "EventTimeTimeout")
 
 
 def replies(questions: DataFrame, answers: DataFrame, key: str, asked: str, replied: str, minutes: int, delay: str = "10 minutes") -> DataFrame:

@@ -212,6 +212,19 @@ def test_state_shrinks_when_nonces_expire(spark, tmp_path):
     assert max(sizes) >= 200 and sizes[-1] < 20, sizes
 
 
+def test_state_of_nonces_has_a_row_a_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "NONCES", 16)
+    many = [(f"k{i}", c, m) for i in range(1000) for c, m in (("n", 0), (" N ", 20), ("", 5))]
+    s = turns(spark, tmp_path, [many, [("k1", "n", 60), ("k2", "n\t", 61), ("k3", "m", 61)], [("z", "n", 1000)], [("z", "n", 1001)]])
+    at = folder(spark)
+    q = state.remembered(s, "k", "c", "ts", 60).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in (json.loads(p.json) if hasattr(p, "json") else p for p in q.recentProgress) if p["stateOperators"]]
+    got = sorted((r.k, r.c, r.ts.hour * 60 + r.ts.minute) for r in spark.read.parquet(f"{at}/out").collect())
+    assert got == sorted([*((f"k{i}", "n", 0) for i in range(1000)), ("k2", "n\t", 61), ("k3", "m", 61), ("z", "n", 16 * 60 + 40)])
+    assert 0 < max(sizes) <= 16 and sizes[-1] <= 1, sizes
+
+
 def test_sessions_meet_across_batches_and_late_rows(spark, tmp_path):
     s = turns(spark, tmp_path, [[("a", "", 0), ("a", "", 50)], [("a", "", 25), ("b", "", 60)], [("z", "", 1000)], [("z", "", 1001)], [("a", "", 2), ("z", "", 5000)]])
     got = {(r.k, r.opened.hour * 60 + r.opened.minute, r.closed.hour * 60 + r.closed.minute, r.n) for r in stream.drained(state.lapsed(s, "k", "ts", 30, "100 minutes")).collect()}
