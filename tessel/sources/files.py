@@ -16,6 +16,10 @@ PLAIN = ("txt", "md", "csv", "html")
 FORMAT_VERSION = 1
 REPLACED = 0.02
 
+#: Options for writing many files of a few bytes. A local folder gets no checksum files, whose writing and rights cost as much as the file's own; tasks move their own files to their
+#: place, so the driver does not rename all of them one by one.
+SMALL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
 CHUNKS = T.StructType([T.StructField(n, t) for n, t in (("chunk_id", T.StringType()), ("source", T.StringType()), ("origin", T.StringType()), ("page", T.IntegerType()), ("summary", T.StringType()), ("keywords", T.StringType()), ("full_text", T.StringType()))])
 VECTORS = T.StructType([T.StructField("chunk_id", T.StringType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
 META = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])

@@ -99,3 +99,11 @@ def test_ingest_run_fills_every_table(spark):
     outline = out.outline.orderBy("source", "n").collect()
     assert [r.chap for r in outline if r.source == "a.txt"][:2] == ["第1章 総則", "第2章 手続"] and all(r.summary for r in outline)
     assert out.links.count() > 0
+
+
+def test_small_files_have_no_checksum_files(spark, tmp_path):
+    at = str(tmp_path / "in")
+    spark.range(30).selectExpr("concat_ws('\t', id, 'é')").repartition(3).write.options(**files.SMALL).option("maxRecordsPerFile", 1).text(at)
+    names = [p.name for p in (tmp_path / "in").iterdir()]
+    assert len(names) == 31 and not [n for n in names if n.startswith(".")]
+    assert sorted((int(r.a), r.b) for r in files.inbox_files(spark, at, ["a", "b"]).collect()) == [(i, "é") for i in range(30)]
