@@ -148,6 +148,45 @@ def test_links_by_pivots_equal_all_pairs(spark, least, monkeypatch):
     assert links.nearest_by_pivots(df.filter("k = 3"), "k", "v", 4).collect() == []
 
 
+def test_pairs_of_evenly_spread_vectors_stay_in_their_blocks(spark, monkeypatch):
+    kept, real = [], links.written
+
+    def spied(d, name="table"):
+        out = real(d, name)
+        if name == "met":
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(links, "TILE_ROWS", 100)
+    monkeypatch.setattr(links, "written", spied)
+    r = np.random.default_rng(11)
+    v = r.normal(size=(400, 24))
+    v[:150] = v[0]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "k long, v array<double>")
+    got = {tuple(x) for x in links.nearest_by_pivots(df, "k", "v", 3, 6, 1, told=lambda t: None).collect()}
+    assert got == {tuple(x) for x in links.nearest_centroids(df, "k", "v", 3, 6, 1).collect()}
+    assert kept[0] <= 400 * 3 + 40, kept  # all pairs are 159,600; a row a task tells how many were compared
+
+
+def test_sims_at_a_half_and_keys_of_words(spark, monkeypatch):
+    monkeypatch.setattr(links, "TILE_ROWS", 30)
+    r = np.random.default_rng(12)
+    rows = [(f"k{i:03d}é"[: 3 + i % 3] + str(i), x.tolist()) for i, x in enumerate(r.choice([-0.125, 0.125], size=(120, 64)))]  # sims are multiples of 1/32
+    df = spark.createDataFrame(rows, "k string, v array<double>")
+    for least in (None, 5):
+        got = {tuple(x) for x in links.nearest_by_pivots(df, "k", "v", 5, 4, least).collect()}
+        assert got == {tuple(x) for x in links.nearest_centroids(df, "k", "v", 5, 4, least).collect()}, least
+
+
+def test_a_component_that_is_no_number_costs_no_other_row_its_links(spark):
+    rows = [(i, v) for i, v in enumerate(unit_rows(4, 60, 8, 3))]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    odd = spark.createDataFrame([(100, [float("nan")] * 8), (101, [None] * 8)], "k long, v array<double>")
+    got = {tuple(x) for x in links.nearest_by_pivots(df.unionByName(odd), "k", "v", 2, 6, 40).collect()}
+    assert got == {tuple(x) for x in links.nearest_centroids(df, "k", "v", 2, 6, 40).collect()}
+
+
 def test_kmeans_samples_keys_of_one_remainder(spark):
     rows = [(i * 1000 + 1, v) for i, v in enumerate(unit_rows(5, 900, 6, 3))]
     got = links.kmeans(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v")
