@@ -57,3 +57,9 @@ def test_equals_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_runs_without_sql(spark, name):
     assert catalog.QUERIES[name](spark, D).count() > 0
+
+
+def test_checked_answers_has_its_figure(spark, db):
+    df = catalog.QUERIES["checked_answers"](spark, D)
+    assert df.columns == [c[0] for c in db.execute(catalog.ORACLE["checked_answers"]).description] == ["conv_id", "turn", "answer", "figure"]
+    assert df.filter("figure = 12").count() == db.execute("SELECT count(*) FROM conversations").fetchone()[0]
