@@ -63,3 +63,8 @@ def test_checked_answers_has_its_figure(spark, db):
     df = catalog.QUERIES["checked_answers"](spark, D)
     assert df.columns == [c[0] for c in db.execute(catalog.ORACLE["checked_answers"]).description] == ["conv_id", "turn", "answer", "figure"]
     assert df.filter("figure = 12").count() == db.execute("SELECT count(*) FROM conversations").fetchone()[0]
+
+
+def test_authors_and_sources_says_which_are_named(spark):
+    rows_ = catalog.QUERIES["authors_and_sources"](spark, D).select("event_id", "named").collect()
+    assert len(rows_) > 100 and all(r.named == (r.event_id % 2 == 0) for r in rows_)
