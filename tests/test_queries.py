@@ -68,3 +68,10 @@ def test_checked_answers_has_its_figure(spark, db):
 def test_authors_and_sources_says_which_are_named(spark):
     rows_ = catalog.QUERIES["authors_and_sources"](spark, D).select("event_id", "named").collect()
     assert len(rows_) > 100 and all(r.named == (r.event_id % 2 == 0) for r in rows_)
+
+
+def test_exact_boosts_reads_the_length(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the Apache License", 18), (2, "apache", None), (3, "", -1)], "doc_id long, text string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["exact_boosts"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(1, 6.0, True), (2, 3.0, None), (3, 0.0, False)]
