@@ -45,25 +45,35 @@ def counted(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, T.bound(F.sort_array(tokens), runs)).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
 
 
-def _segment(docs: DataFrame, key: str, tokens: Column, path: str, block: int) -> None:
-    """Writes the docs and postings of a segment."""
-    spark = docs.sparkSession
+def _documents(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """key, dl, terms: a row per key."""
     each = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(tokens, F.array().cast("array<string>")).alias("_t"))
     once = each.groupBy("key").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t")) if each.groupBy("key").count().filter("count > 1").limit(1).count() else each
-    found = written(once.select("key", F.size("_t").alias("dl"), counted(F.col("_t")).alias("terms")).repartitionByRange("dl", "key").sortWithinPartitions("dl", "key"), "index-docs")
+    return once.select("key", F.size("_t").alias("dl"), counted(F.col("_t")).alias("terms"))
+
+
+def _postings(docs: DataFrame) -> DataFrame:
+    """The lists of a segment's docs. Rows are dealt out by ranges of term and block before they are gathered: they move once, and no task gathers more than its range."""
+    rows = docs.select("key", "dl", "block", F.explode("terms").alias("x")).select("x.term", "block", "key", "x.tf", "dl").repartitionByRange("term", "block")
+    lists = rows.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("key", "tf", "dl"))).alias("p"))
+    lists = lists.select("term", "block", F.size("p").alias("n"), F.array_max("p.tf").alias("tf"), F.array_min("p.dl").alias("dl"), F.col("p.key").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+    return lists.sortWithinPartitions("term", "block")
+
+
+def _segment(docs: DataFrame, path: str, block: int) -> None:
+    """Writes the docs and postings of a segment, from (key, dl, terms)."""
+    spark = docs.sparkSession
+    found = written(docs, "index-docs").repartitionByRange("dl", "key").sortWithinPartitions("dl", "key")
     row = F.monotonically_increasing_id()  # part << 33 | row, in the order of dl within a part
     placed = found.withColumn("block", F.floor(F.shiftright(row, 33) * ((1 << 33) // block) + row.bitwiseAND((1 << 33) - 1) / block).cast("long"))
     placed.write.parquet(f"{path}/docs")
-    rows = spark.read.parquet(f"{path}/docs").select("key", "dl", "block", F.explode("terms").alias("x")).select("x.term", "block", F.struct("key", "x.tf", "dl").alias("p"))
-    lists = rows.groupBy("term", "block").agg(F.count("*").cast("int").alias("n"), F.max("p.tf").alias("tf"), F.min("p.dl").alias("dl"), F.array_sort(F.collect_list("p")).alias("p"))
-    lists = lists.select("term", "block", "n", "tf", "dl", F.col("p.key").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
-    lists.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
+    _postings(spark.read.parquet(f"{path}/docs")).write.parquet(f"{path}/postings")
 
 
 def build(docs: DataFrame, key: str, tokens: Column, path: str, block: int = BLOCK) -> int:
     """Writes the index of a table as the first version of a folder; returns the version."""
     name = f"segment-{uuid.uuid4().hex}"
-    _segment(docs, key, tokens, f"{path}/{name}", block)
+    _segment(_documents(docs, key, tokens), f"{path}/{name}", block)
     return Log(docs.sparkSession, path).commit(0, {"segments": [name], "removed": []})
 
 
@@ -96,7 +106,7 @@ def update(path: str, rows: DataFrame, key: str, tokens: Column, removed: DataFr
     """Adds rows, replacing those of the same keys, and takes away the keys of `removed`; reads of the old only the documents' own rows."""
     spark = rows.sparkSession
     name, gone = f"segment-{uuid.uuid4().hex}", f"removed-{uuid.uuid4().hex}"
-    _segment(rows, key, tokens, f"{path}/{name}", block)
+    _segment(_documents(rows, key, tokens), f"{path}/{name}", block)
     keys = rows.select(F.col(key).alias("key"))
     if removed is not None:
         keys = keys.unionByName(removed.select(F.col(key).alias("key")))
@@ -111,8 +121,7 @@ def compact(spark: SparkSession, path: str, block: int = BLOCK) -> int:
     """One segment of all that is live, without reading a text."""
     at = Log(spark, path).current()
     name = f"segment-{uuid.uuid4().hex}"
-    docs = live(spark, path, at).select("key", F.flatten(F.transform("terms", lambda x: F.array_repeat(x["term"], x["tf"]))).alias("tokens"))
-    _segment(docs, "key", F.col("tokens"), f"{path}/{name}", block)
+    _segment(live(spark, path, at).select("key", "dl", "terms"), f"{path}/{name}", block)
     return Log(spark, path).commit(at, {"segments": [name], "removed": []})
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tessel.functions import text as T
@@ -84,6 +85,59 @@ def test_index_of_an_empty_table_and_repeated_keys(spark):
     assert [r.key for r in index.search(spark, at, ["b"], 3).collect()] == [2, 1]
 
 
+def plans_of_postings(monkeypatch):
+    plans, real = [], DataFrameWriter.parquet
+
+    def spied(self, path, *a, **b):
+        if path.endswith("/postings"):
+            plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return real(self, path, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spied)
+    return plans
+
+
+def test_rows_of_postings_move_once_and_are_gathered_after_it(spark, monkeypatch):
+    plans, at = plans_of_postings(monkeypatch), folder(spark)
+    index.build(spark.createDataFrame(texts(5, 50), "k long, body string"), "k", T.tokens("body"), at, block=8)
+    index.update(at, spark.createDataFrame(texts(6, 9), "k long, body string"), "k", T.tokens("body"), block=8)
+    index.compact(spark, at, block=8)
+    assert len(plans) == 3
+    for plan in plans:
+        above, _, below = plan.partition("Exchange rangepartitioning(term")
+        assert below and "Exchange" not in above + below and "ObjectHashAggregate" in above and "Aggregate" not in below, plan
+
+
+def test_lists_are_those_of_the_documents(spark):
+    at = folder(spark)
+    index.build(spark.createDataFrame(texts(7, 90), "k long, body string"), "k", T.tokens("body"), at, block=8)
+    segment = f"{at}/{index._segments(spark, at)[0][0]}"
+    docs, want = spark.read.parquet(f"{segment}/docs").collect(), {}
+    for d in docs:
+        assert d.dl == sum(x.tf for x in d.terms)
+        for x in d.terms:
+            want.setdefault((x.term, d.block), []).append((d.key, x.tf, d.dl))
+    got = spark.read.parquet(f"{segment}/postings").collect()
+    assert {(r.term, r.block): list(zip(r.keys, r.tfs, r.dls, strict=True)) for r in got} == {k: sorted(v) for k, v in want.items()} and len(got) == len(want)
+    assert all((r.n, r.tf, r.dl) == (len(r.keys), max(r.tfs), min(r.dls)) for r in got)
+    assert max(Counter(d.block for d in docs).values()) <= 8
+
+
+def test_compaction_takes_terms_as_they_are(spark, monkeypatch):
+    rows = [(1, "alpha beta alpha"), (1, "alpha beta alpha"), (2, None), (3, ""), (None, "beta"), (4, "beta gamma"), (5, "gamma")]
+    frame = lambda x: spark.createDataFrame(x, "k long, body string")
+    at, calls, real = folder(spark), [], index.counted
+    index.build(frame(rows), "k", T.tokens("body"), at)
+    index.update(at, frame([(4, "alpha"), (6, None), (None, "alpha"), (7, "beta"), (7, "beta")]), "k", T.tokens("body"), removed=frame([(5, ""), (None, ""), (5, ""), (99, "")]))
+    before = [tuple(r) for r in index.search(spark, at, ["alpha", "beta", "gamma"], 9).collect()]
+    monkeypatch.setattr(index, "counted", lambda t: (calls.append(t), real(t))[1])
+    index.compact(spark, at)
+    assert not calls
+    assert [tuple(r) for r in index.search(spark, at, ["alpha", "beta", "gamma"], 9).collect()] == before
+    close(before, scores([(1, "alpha beta alpha"), (2, None), (3, ""), (4, "alpha"), (6, None), (7, "beta")], ["alpha", "beta", "gamma"], 9))
+    assert {(r.key, r.dl) for r in index.live(spark, at).collect()} == {(1, 3), (2, 0), (3, 0), (4, 1), (6, 0), (7, 1)}
+
+
 # Sign bits
 
 
