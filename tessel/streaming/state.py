@@ -26,8 +26,11 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def session_for_state(spark: SparkSession) -> SparkSession:
-    """A session like the given one whose streams keep their state in RocksDB."""
+    """A session like the given one, its settings included, whose streams keep their state in RocksDB. A batch opens and commits a store for each shuffle partition, so their number must be the one that was set."""
     s = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if s.conf.isModifiable(name):
+            s.conf.set(name, value)
     s.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     return s
 

@@ -225,6 +225,27 @@ def test_state_of_nonces_has_a_row_a_bucket(spark, tmp_path, monkeypatch):
     assert 0 < max(sizes) <= 16 and sizes[-1] <= 1, sizes
 
 
+def test_state_has_as_many_stores_as_the_session_has_partitions(spark, tmp_path):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in zip(names, ("3", "Asia/Tokyo"), strict=True):
+            spark.conf.set(n, v)
+        s = state.session_for_state(spark)
+        assert [s.conf.get(n) for n in names] == ["3", "Asia/Tokyo"] and s.conf.get("spark.sql.streaming.stateStore.providerClass") == state.STORE
+        spark.conf.set(names[1], before[names[1]])
+        rows = turns(spark, tmp_path, [[("a", "x", 0), ("a", " X", 10), (None, "x", 1), ("b", None, 1), ("c", "", 1), ("a", "x", 61)], [("a", "x", 60), ("b", "x", 62)]])
+        at = folder(spark)
+        q = state.remembered(rows, "k", "c", "ts", 60).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
+        q.awaitTermination()
+        told = [p["stateOperators"][0] for p in (json.loads(p.json) if hasattr(p, "json") else p for p in q.recentProgress) if p["stateOperators"]]
+        assert {x["numShufflePartitions"] for x in told} == {3} == {x["numStateStoreInstances"] for x in told}, told
+        assert sorted((r.k, r.c, r.ts.hour * 60 + r.ts.minute) for r in spark.read.parquet(f"{at}/out").collect()) == [("a", "x", 0), ("a", "x", 61), ("b", "x", 62)]
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
 def test_sessions_meet_across_batches_and_late_rows(spark, tmp_path):
     s = turns(spark, tmp_path, [[("a", "", 0), ("a", "", 50)], [("a", "", 25), ("b", "", 60)], [("z", "", 1000)], [("z", "", 1001)], [("a", "", 2), ("z", "", 5000)]])
     got = {(r.k, r.opened.hour * 60 + r.opened.minute, r.closed.hour * 60 + r.closed.minute, r.n) for r in stream.drained(state.lapsed(s, "k", "ts", 30, "100 minutes")).collect()}
