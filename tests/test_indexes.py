@@ -85,11 +85,11 @@ def test_index_of_an_empty_table_and_repeated_keys(spark):
     assert [r.key for r in index.search(spark, at, ["b"], 3).collect()] == [2, 1]
 
 
-def plans_of_postings(monkeypatch):
+def plans_of(part, monkeypatch):
     plans, real = [], DataFrameWriter.parquet
 
     def spied(self, path, *a, **b):
-        if path.endswith("/postings"):
+        if part in path:
             plans.append(self._df._jdf.queryExecution().executedPlan().toString())
         return real(self, path, *a, **b)
 
@@ -98,7 +98,7 @@ def plans_of_postings(monkeypatch):
 
 
 def test_rows_of_postings_move_once_and_are_gathered_after_it(spark, monkeypatch):
-    plans, at = plans_of_postings(monkeypatch), folder(spark)
+    plans, at = plans_of("/postings", monkeypatch), folder(spark)
     index.build(spark.createDataFrame(texts(5, 50), "k long, body string"), "k", T.tokens("body"), at, block=8)
     index.update(at, spark.createDataFrame(texts(6, 9), "k long, body string"), "k", T.tokens("body"), block=8)
     index.compact(spark, at, block=8)
@@ -138,6 +138,20 @@ def test_compaction_takes_terms_as_they_are(spark, monkeypatch):
     assert {(r.key, r.dl) for r in index.live(spark, at).collect()} == {(1, 3), (2, 0), (3, 0), (4, 1), (6, 0), (7, 1)}
 
 
+def test_an_update_looks_up_removed_documents_of_its_keys_only(spark, monkeypatch):
+    frame = lambda x: spark.createDataFrame(x, "k long, body string")
+    plans, at = plans_of("/removed-", monkeypatch), folder(spark)
+    index.build(frame([(i, "alpha beta") for i in range(30)]), "k", T.tokens("body"), at)
+    index.update(at, frame([(1, "beta"), (None, "beta"), (40, None)]), "k", T.tokens("body"), removed=frame([(2, ""), (2, ""), (None, "")]))
+    index.update(at, frame([(1, "gamma"), (2, "gamma"), (3, None), (3, None)]), "k", T.tokens("body"), removed=frame([(40, "")]))
+    assert 0 < plans[1].index("LeftAnti") < plans[1].index("LeftSemi"), plans[1]
+    gone = [{(r.key, r.dl) for r in spark.read.parquet(f"{at}/{x}").collect()} for x in index._segments(spark, at)[1]]
+    assert gone == [{(1, 2), (2, 2)}, {(1, 1), (3, 2), (40, 0)}]
+    left = [(i, "alpha beta") for i in range(30) if i not in (1, 2, 3)] + [(1, "gamma"), (2, "gamma"), (3, None)]
+    close([tuple(r) for r in index.search(spark, at, ["beta", "gamma"], 50).collect()], scores(left, ["beta", "gamma"], 50))
+    assert sorted(r.key for r in index.live(spark, at).collect()) == list(range(30))
+
+
 # Sign bits
 
 
